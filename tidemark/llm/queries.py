@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.minhash import near_duplicates
 from tidemark.llm.mixing import mix_sources
 from tidemark.llm.sharding import shard_bytes
 from tidemark.llm.tokens import with_digests
@@ -43,8 +44,12 @@ def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_bytes(table(spark, sf_dir, "documents"))
 
 
+def op10_minmax_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_mix_sources, op3_warc, op4_sentencepiece, op9_shards)
+    f.__name__: f for f in (op2_mix_sources, op3_warc, op4_sentencepiece, op9_shards, op10_minmax_near_duplicates)
 }
 
 ORACLE_SQL: dict[str, str] = {}
