@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.lattice import cosine_links
+from tidemark.llm.maxscore import top_k
 from tidemark.llm.minhash import near_duplicates
 from tidemark.llm.mixing import mix_sources
 from tidemark.llm.sharding import shard_bytes
@@ -24,6 +26,10 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_lattice_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cosine_links(table(spark, sf_dir, "embeddings"))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
@@ -40,6 +46,10 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_digests(table(spark, sf_dir, "documents"), piece_model())
 
 
+def op5_maxscore_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_bytes(table(spark, sf_dir, "documents"))
 
@@ -49,7 +59,16 @@ def op10_minmax_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_mix_sources, op3_warc, op4_sentencepiece, op9_shards, op10_minmax_near_duplicates)
+    f.__name__: f for f in (op1_lattice_links, op2_mix_sources, op3_warc, op4_sentencepiece, op5_maxscore_top5, op9_shards, op10_minmax_near_duplicates)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_maxscore_top5": """
+        with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings
+                   where vec_id is not null and embedding is not null
+                     and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+             s as (select q.vec_id as query_id, c.vec_id, list_dot_product(q.e, c.e)::bigint as score
+                   from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id),
+             r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)
+        select query_id, rank, vec_id, score from r where rank <= 5""",
+}
