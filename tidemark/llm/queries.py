@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.langid import remainder, with_language
 from tidemark.llm.lattice import cosine_links
 from tidemark.llm.maxscore import top_k
 from tidemark.llm.minhash import near_duplicates
 from tidemark.llm.mixing import mix_sources
+from tidemark.llm.quality import scored
 from tidemark.llm.sharding import shard_bytes
 from tidemark.llm.tokens import with_digests
 from tidemark.llm.warc import read_warc, write_warc
@@ -50,6 +52,19 @@ def op5_maxscore_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op6_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = remainder("doc_id", 4) == 2
+    found = with_language(docs.select("doc_id", "text"), docs.where(~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def op7_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = remainder("doc_id", 5) == 0
+    return scored(docs, labels, ~held_out).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_bytes(table(spark, sf_dir, "documents"))
 
@@ -59,7 +74,7 @@ def op10_minmax_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_lattice_links, op2_mix_sources, op3_warc, op4_sentencepiece, op5_maxscore_top5, op9_shards, op10_minmax_near_duplicates)
+    f.__name__: f for f in (op1_lattice_links, op2_mix_sources, op3_warc, op4_sentencepiece, op5_maxscore_top5, op6_language_codes, op7_pairwise_quality, op9_shards, op10_minmax_near_duplicates)
 }
 
 ORACLE_SQL: dict[str, str] = {

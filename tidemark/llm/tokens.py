@@ -23,6 +23,7 @@ import ahocorasick
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 SPACE = "▁"
 NORMAL, CONTROL, BYTE = 1, 3, 6
@@ -360,5 +361,5 @@ def with_ids(docs: DataFrame, path: str) -> DataFrame:
             found = list(e.summaries(batch["text"]))
             yield batch.assign(ids=[[int(i) for i in f[1].split(",")] if f[0] else [] for f in found], decoded=[f[2] for f in found])
 
-    schema = docs.schema.add("ids", "array<int>").add("decoded", "string")
+    schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
     return docs.mapInPandas(run, schema)
