@@ -12,6 +12,7 @@ from tidemark.llm.lattice import cosine_links
 from tidemark.llm.maxscore import top_k
 from tidemark.llm.minhash import near_duplicates
 from tidemark.llm.mixing import mix_sources
+from tidemark.llm.pii import with_spans
 from tidemark.llm.quality import scored
 from tidemark.llm.sharding import shard_bytes
 from tidemark.llm.tokens import with_digests
@@ -65,6 +66,10 @@ def op7_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(docs, labels, ~held_out).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_spans(table(spark, sf_dir, "documents"))
+
+
 def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_bytes(table(spark, sf_dir, "documents"))
 
@@ -74,7 +79,7 @@ def op10_minmax_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_lattice_links, op2_mix_sources, op3_warc, op4_sentencepiece, op5_maxscore_top5, op6_language_codes, op7_pairwise_quality, op9_shards, op10_minmax_near_duplicates)
+    f.__name__: f for f in (op1_lattice_links, op2_mix_sources, op3_warc, op4_sentencepiece, op5_maxscore_top5, op6_language_codes, op7_pairwise_quality, op8_personal_data, op9_shards, op10_minmax_near_duplicates)
 }
 
 ORACLE_SQL: dict[str, str] = {
