@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 KINDS = ("email", "ip", "card", "phone")
 #: Texts learned from at most (in expectation), windows of them, window length, network sizes, steps, confidence asked for.
-DOCUMENTS, WINDOWS, WINDOW, EMBED, HIDDEN, STEPS, BATCH, SURE = 4000, 1500, 48, 6, 12, 160, 48, 0.9
+DOCUMENTS, WINDOWS, WINDOW, EMBED, HIDDEN, STEPS, BATCH, SURE = 4000, 1500, 48, 6, 12, 320, 48, 0.9
 LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
@@ -161,22 +161,26 @@ class Tagger:
         h = np.concatenate([hf, hb], axis=2)
         return h @ self.p["out"] + self.p["out_b"], (h, kf, kb)
 
-    def step(self, x: np.ndarray, y: np.ndarray, mask: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean negative log-likelihood of the tag paths y and its gradients. mask: which positions are text."""
-        em, (h, kf, kb) = self.emissions(x, True)
-        trans = self.p["trans"] + self.allowed
-        n, length, _ = em.shape
-        rows = np.arange(n)
+    def chain(self, em: np.ndarray, trans: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Forward and backward log-sums and the log-partition of each row; positions outside mask carry them on."""
         lse = lambda a, axis: (m := a.max(axis=axis, keepdims=True)).squeeze(axis) + np.log(np.exp(a - m).sum(axis=axis))
         alpha, beta = np.zeros_like(em), np.zeros_like(em)
         alpha[:, 0] = em[:, 0]
-        for t in range(1, length):
+        for t in range(1, em.shape[1]):
             new = lse(alpha[:, t - 1, :, None] + trans, 1) + em[:, t]
             alpha[:, t] = np.where(mask[:, t, None], new, alpha[:, t - 1])
-        for t in range(length - 2, -1, -1):
+        for t in range(em.shape[1] - 2, -1, -1):
             new = lse(trans + (em[:, t + 1] + beta[:, t + 1])[:, None, :], 2)
             beta[:, t] = np.where(mask[:, t + 1, None], new, beta[:, t + 1])
-        z = lse(alpha[:, -1], 1)
+        return alpha, beta, lse(alpha[:, -1], 1)
+
+    def step(self, x: np.ndarray, y: np.ndarray, mask: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+        """Mean negative log-likelihood of the tag paths y and its gradients. mask: which positions are text."""
+        em, (h, kf, kb) = self.emissions(x, True)
+        trans = self.p["trans"] + self.allowed
+        n, length, _ = em.shape
+        rows = np.arange(n)
+        alpha, beta, z = self.chain(em, trans, mask)
         gold = (np.take_along_axis(em, y[:, :, None], 2)[:, :, 0] * mask).sum()
         both = mask[:, 1:] & mask[:, :-1]
         gold += (trans[y[:, :-1], y[:, 1:]] * both).sum()
@@ -220,7 +224,7 @@ class Tagger:
         return losses
 
     def decode(self, x: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Viterbi tags of each window, and each tag's share of the softmax of its emissions."""
+        """Viterbi tags of each window, and each tag's marginal probability in the CRF."""
         em, _ = self.emissions(x)
         trans = self.p["trans"] + self.allowed
         n, length, _ = em.shape
@@ -235,9 +239,8 @@ class Tagger:
         tags[:, -1] = score.argmax(axis=1)
         for t in range(length - 1, 0, -1):
             tags[:, t - 1] = back[np.arange(n), t, tags[:, t]]
-        p = np.exp(em - em.max(axis=2, keepdims=True))
-        p = np.take_along_axis(p / p.sum(axis=2, keepdims=True), tags[:, :, None], 2)[:, :, 0]
-        return tags, p
+        alpha, beta, z = self.chain(em, trans, np.arange(length)[None, :] < lengths[:, None])
+        return tags, np.exp(np.take_along_axis(alpha + beta, tags[:, :, None], 2)[:, :, 0] - z[:, None])
 
 
 def tagged(text: str, spans: list[tuple[str, int, int]]) -> np.ndarray:

@@ -359,7 +359,7 @@ def with_ids(docs: DataFrame, path: str) -> DataFrame:
         e = encoder(path)
         for batch in batches:
             found = list(e.summaries(batch["text"]))
-            yield batch.assign(ids=[[int(i) for i in f[1].split(",")] if f[0] else [] for f in found], decoded=[f[2] for f in found])
+            yield batch.assign(ids=[np.fromstring(f[1], np.int32, sep=",") for f in found], decoded=[f[2] for f in found])
 
     schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
     return docs.mapInPandas(run, schema)
