@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import components, stored
+from tidemark.llm.shared import components, runs, stored
 
 SCALE, PROBES, BLOCK = 4.0, 3, 512
 
@@ -102,21 +102,6 @@ def unit_rows(vectors: list) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """Sorted batches cut so that no run of equal keys spans two."""
-    rest = None
-    for batch in batches:
-        rest = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-        k = rest[keys].to_numpy()
-        same = (k == k[-1]).all(axis=1)
-        cut = len(rest) - int(np.argmin(same[::-1])) if not same.all() else 0
-        if cut:
-            yield rest.iloc[:cut].reset_index(drop=True)
-            rest = rest.iloc[cut:].reset_index(drop=True)
-    if rest is not None and len(rest):
-        yield rest
-
-
 def cosine_links(vectors: DataFrame, threshold: float = 0.9, miss: float = 0.005) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of vectors (vec_id, embedding, ...)."""
     vectors = vectors.select(F.col("vec_id").cast("long"), "embedding")

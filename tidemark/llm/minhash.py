@@ -3,8 +3,10 @@
 Of each permutation both the least and the greatest value are kept, so a signature of 2p values costs p hash evaluations;
 each value agrees with the set's resemblance as its probability. Bands of four values propose candidates. Documents with
 equal sets are one class before anything else, so exact copies cost nothing. In a band's bucket every class is compared
-with one hub only (linear however large the bucket), twice with different hubs; what then still lies in different
-components of a bucket is compared pair by pair. All links that count are confirmed as 100 * intersection >= 75 * union.
+with one hub, the class that meets most others (linear however large the bucket). A bucket that is then still in more
+than one component is searched for links between them: its stragglers, the classes outside its largest component, are
+compared with all of it, in blocks of bounded size that count common shingles by their postings; of the links of a
+straggler to a component one is enough. All links are confirmed as 100 * intersection >= 75 * union on full sets.
 
 Defined results: null, empty and wordless texts have no shingle and are linked with nothing; with fewer words than a
 shingle has, the whole sequence is the one shingle; doc_id is the key: rows that share one are one vertex, and a null
@@ -21,9 +23,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import components, stored
+from tidemark.llm.shared import components, runs, stored
 
 BANDS, ROWS = 24, 4
+#: Stragglers and classes of a bucket that meet in one block; counted pairs of shingles at a time.
+LEFT, RIGHT, PAIRS = 256, 512, 1 << 22
 #: Bytes of text hashed at a time.
 CHUNK = 1 << 20
 _random = np.random.default_rng(20240229)
@@ -112,14 +116,21 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, n_shingles long, set_key binary, bands array<long>")
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, share: int = 75) -> DataFrame:
-    """Those of pairs (a, b of doc_id) whose full shingle sets resemble each other enough."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, shingles) of the docs with some ids, shingles as bytes of sorted 64-bit hashes."""
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({"id": batch["doc_id"], "shingles": [s.tobytes() for s in shingle_sets(batch["text"].tolist())]})
 
+    chosen = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
+    return stored(chosen.mapInPandas(sets, "id long, shingles binary"), "near-sets")
+
+
+def confirmed(docs: DataFrame, pairs: DataFrame, share: int = 75) -> DataFrame:
+    """Those of pairs (a, b of doc_id) whose full shingle sets resemble each other enough."""
+    chosen = full_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             keep = []
@@ -133,12 +144,73 @@ def confirmed(docs: DataFrame, pairs: DataFrame, share: int = 75) -> DataFrame:
                 keep.append(100 * both >= share * (len(x) + len(y) - both))
             yield batch.loc[keep, ["a", "b"]]
 
-    chosen = stored(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInPandas(sets, "id long, shingles binary"), "near-sets")
     both = pairs.join(chosen.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
     both = both.join(chosen.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
     return stored(both.select("a", "b", "x", "y").mapInPandas(check, "a long, b long"), "near-links")
 
 
+def common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all left and right sets, from the postings of their shingles."""
+    x, y = np.concatenate(left), np.concatenate(right)
+    own, other = np.repeat(np.arange(len(left)), [len(s) for s in left]), np.repeat(np.arange(len(right)), [len(s) for s in right])
+    order = np.argsort(y, kind="stable")
+    y, other = y[order], other[order]
+    low = np.searchsorted(y, x, "left")
+    n = np.searchsorted(y, x, "right") - low
+    own, low, n = own[n > 0], low[n > 0], n[n > 0]
+    out = np.zeros(len(left) * len(right), np.int64)
+    ends = np.cumsum(n)
+    at = 0
+    while at < len(n):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS)))
+        k = n[at:to]
+        place = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) + np.repeat(low[at:to], k)
+        out += np.bincount(np.repeat(own[at:to], k) * len(right) + other[place], minlength=len(out))
+        at = to
+    return out.reshape(len(left), len(right))
+
+
+def across(docs: DataFrame, shared: DataFrame, found: DataFrame, share: int) -> DataFrame:
+    """Links (a, b) between different components of a bucket. shared: (band, id); found: components so far."""
+    rows = shared.join(found, "id", "left").select("band", "id", F.coalesce("component_id", "id").alias("c"))
+    rows = stored(rows, "near-open")
+    sizes = rows.groupBy("band", "c").agg(F.count(F.lit(1)).alias("n"))
+    buckets = sizes.groupBy("band").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most")).where("n > most")
+    chunks = lambda n, size: F.ceil(n / size).cast("int")
+    rows = rows.join(buckets.select("band", "main", chunks(F.col("n"), RIGHT).alias("kr"), chunks(F.col("n") - F.col("most"), LEFT).alias("kl")), "band")
+    chunk = lambda k: F.pmod(F.xxhash64("id", F.lit(23)), F.col(k)).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+    right = rows.select("band", "id", "c", F.lit(False).alias("straggler"), every("kl").alias("l"), chunk("kr").alias("r"))
+    left = rows.where("c <> main").select("band", "id", "c", F.lit(True).alias("straggler"), chunk("kl").alias("l"), every("kr").alias("r"))
+    dealt = stored(left.unionByName(right), "near-blocks")
+    sets = full_sets(docs, dealt.select(F.col("id").alias("doc_id")).distinct())
+    blocks = dealt.join(sets, "id").repartition("band", "l", "r").sortWithinPartitions("band", "l", "r")
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in runs(batches, ["band", "l", "r"]):
+            keys = batch[["band", "l", "r"]].to_numpy()
+            edges = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1), True])
+            out = []
+            for at, end in zip(edges, edges[1:], strict=False):
+                block = batch.iloc[at:end]
+                one, two = block[block["straggler"]], block[~block["straggler"]]
+                if not len(one) or not len(two):
+                    continue
+                x, y = ([np.frombuffer(v, np.uint64) for v in part["shingles"]] for part in (one, two))
+                both = common(x, y)
+                sizes = np.array([len(v) for v in x])[:, None] + np.array([len(v) for v in y])[None, :]
+                c = two["c"].to_numpy()
+                hit = (100 * both >= share * (sizes - both)) & (one["c"].to_numpy()[:, None] != c[None, :])
+                i, j = np.nonzero(hit)
+                if len(i):
+                    links = pd.DataFrame({"a": one["id"].to_numpy()[i], "b": two["id"].to_numpy()[j], "c": c[j]})
+                    out.append(links.drop_duplicates(["a", "c"])[["a", "b"]])
+            if out:
+                yield pd.concat(out)
+
+    return stored(blocks.select("band", "id", "c", "straggler", "l", "r", "shingles").mapInPandas(search, "a long, b long"), "near-links")
+
+
 def near_duplicates(docs: DataFrame, share: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of docs (doc_id, text, ...)."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
@@ -146,30 +218,16 @@ def near_duplicates(docs: DataFrame, share: int = 75) -> DataFrame:
     named = rows.where("n_shingles > 0 and doc_id is not null")
     classes = stored(named.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("n")), "near-classes")
     entries = classes.select("id", F.explode("bands").alias("band"))
-    # hubs by two orders: smallest id, smallest hash
-    hubs = entries.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("hub"), F.min(F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("v")))["v"].alias("hub2")).where("n > 1").drop("n")
-    shared = stored(entries.join(hubs, "band"), "near-buckets")
-    star = lambda df, hub: df.where(F.col("id") != F.col(hub)).select(F.least("id", hub).alias("a"), F.greatest("id", hub).alias("b")).distinct()
+    met = entries.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = stored(entries.join(met, "band"), "near-buckets")
+    central = shared.groupBy("id").agg(F.sum("n").alias("met"))
+    ranked = shared.join(central, "id")
+    hubs = ranked.groupBy("band").agg(F.max_by("id", F.struct("met", -F.col("id"))).alias("hub"))
+    star = shared.join(hubs, "band").where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
     texts = docs.join(classes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-    links = confirmed(texts, star(shared, "hub"), share)
-    for last in (False, True):
-        found = components(links, "near-components")
-        part = lambda of, name, found=found: found.select(F.col("id").alias(of), F.col("component_id").alias(name))
-        open_ = shared.join(part("id", "c"), "id", "left").withColumn("c", F.coalesce("c", "id"))
-        many = open_.groupBy("band").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("band")
-        open_ = open_.join(many, "band")
-        if last:
-            left = open_.select("band", F.col("id").alias("a"), F.col("c").alias("ca"), "hub", "hub2")
-            right = open_.select("band", F.col("id").alias("b"), F.col("c").alias("cb"))
-            tested = lambda c: F.col(c).isin(F.col("hub"), F.col("hub2"))
-            more = left.join(right, "band").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & ~tested("a") & ~tested("b")).select("a", "b").distinct()
-        else:
-            own = part("hub2", "ch")
-            more = open_.join(own, "hub2", "left").where(F.coalesce("ch", "hub2") != F.col("c"))
-            more = star(more.where(F.col("hub") != F.col("hub2")), "hub2")
-        more = stored(more, "near-pairs")
-        if not more.isEmpty():
-            links = links.unionByName(confirmed(texts, more, share))
+    links = confirmed(texts, stored(star, "near-pairs"), share)
+    found = components(links, "near-components")
+    links = links.unionByName(across(texts, shared.select("band", "id"), found, share))
     found = components(links, "near-components")
     copies = classes.where("n > 1").select("set_key", F.col("id").alias("first"))
     out = rows.join(copies, "set_key", "left").withColumn("id", F.coalesce("first", "doc_id"))

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,3 +60,18 @@ def components(links: DataFrame, tag: str = "components") -> DataFrame:
         return edges.select(F.col("a").alias("id"), F.col("b").alias("component_id"))
     smallest = labels.groupBy("label").agg(F.min("id").alias("component_id"))
     return labels.join(smallest, "label").select("id", "component_id")
+
+
+def runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """Sorted batches cut so that no run of equal keys spans two."""
+    rest = None
+    for batch in batches:
+        rest = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+        k = rest[keys].to_numpy()
+        same = (k == k[-1]).all(axis=1)
+        cut = len(rest) - int(np.argmin(same[::-1])) if not same.all() else 0
+        if cut:
+            yield rest.iloc[:cut].reset_index(drop=True)
+            rest = rest.iloc[cut:].reset_index(drop=True)
+    if rest is not None and len(rest):
+        yield rest
