@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.shared import components, runs, stored
 
 BANDS, ROWS = 24, 4
-#: Stragglers and classes of a bucket that meet in one block; counted pairs of shingles at a time.
-LEFT, RIGHT, PAIRS = 256, 512, 1 << 22
+#: Stragglers and classes of a bucket that meet in one block; counted pairs of shingles, rows with sets at a time.
+LEFT, RIGHT, PAIRS, BATCH = 256, 512, 1 << 20, 512
 #: Bytes of text hashed at a time.
 CHUNK = 1 << 20
 _random = np.random.default_rng(20240229)
@@ -124,7 +124,7 @@ def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
             yield pd.DataFrame({"id": batch["doc_id"], "shingles": [s.tobytes() for s in shingle_sets(batch["text"].tolist())]})
 
     chosen = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
-    return stored(chosen.mapInPandas(sets, "id long, shingles binary"), "near-sets")
+    return stored(chosen.mapInPandas(sets, "id long, shingles binary"), "near-sets", BATCH)
 
 
 def confirmed(docs: DataFrame, pairs: DataFrame, share: int = 75) -> DataFrame:
@@ -146,7 +146,7 @@ def confirmed(docs: DataFrame, pairs: DataFrame, share: int = 75) -> DataFrame:
 
     both = pairs.join(chosen.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
     both = both.join(chosen.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-    return stored(both.select("a", "b", "x", "y").mapInPandas(check, "a long, b long"), "near-links")
+    return stored(both.select("a", "b", "x", "y").mapInPandas(check, "a long, b long"), "near-links", BATCH)
 
 
 def common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -208,13 +208,13 @@ def across(docs: DataFrame, shared: DataFrame, found: DataFrame, share: int) ->
             if out:
                 yield pd.concat(out)
 
-    return stored(blocks.select("band", "id", "c", "straggler", "l", "r", "shingles").mapInPandas(search, "a long, b long"), "near-links")
+    return stored(blocks.select("band", "id", "c", "straggler", "l", "r", "shingles").mapInPandas(search, "a long, b long"), "near-links", BATCH)
 
 
 def near_duplicates(docs: DataFrame, share: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of docs (doc_id, text, ...)."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    rows = stored(signatures(docs), "near-rows")
+    rows = stored(signatures(docs), "near-rows", 4 * BATCH)
     named = rows.where("n_shingles > 0 and doc_id is not null")
     classes = stored(named.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("n")), "near-classes")
     entries = classes.select("id", F.explode("bands").alias("band"))

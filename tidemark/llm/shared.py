@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 #: A word is a run of characters outside ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,11 +24,20 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage ends here and a lost executor costs no recomputation."""
+def stored(df: DataFrame, tag: str, batch: int | None = None) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: lineage ends here and a lost executor costs no recomputation.
+
+    batch: rows that Python workers get at a time during this write, for rows that may be large.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(ARROW_ROWS)
+    if batch:
+        spark.conf.set(ARROW_ROWS, batch)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(ARROW_ROWS, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
