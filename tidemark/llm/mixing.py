@@ -73,12 +73,12 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: flo
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, max_epochs: int = 2, seed: int = 0) -> DataFrame:
-    """Every row of docs (doc_id, text, source, ...) with size, source_size, target, taken and what of it is taken.
+    """Every row of docs (doc_id, text, source, ...) with size, source_size, target, taken, and its place in its shard.
 
-    taken_blocks: (first word, words, times) of the document's part of each block that is taken. Columns of docs that
-    have one of the new names are replaced.
+    place: where the document starts in its shard, and the shard's words, blocks, blocks to take, and order of blocks,
+    which say how often each word is taken (times_taken). Columns of docs that have one of the new names are replaced.
     """
-    new = ("size", "source_size", "target", "taken", "taken_blocks")
+    new = ("size", "source_size", "target", "taken", "place")
     docs = docs.drop(*[c for c in new if c in docs.columns])
     sized = docs.withColumn("size", words())
     # Everything but the text decides the mix: that part is stored once and feeds both the totals and the rows.
@@ -105,35 +105,48 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: fl
     line = Window.partitionBy("_s", "_null", "shard").orderBy(hashed("doc_id", 1), "doc_id", "size")
     placed = sized.withColumn("_end", F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0)))
     placed = placed.join(quotas, ["_s", "_null", "shard"])
-    start, end, n, size = F.col("_end") - F.col("size"), F.col("_end"), F.col("blocks"), F.greatest(F.col("cell_size"), F.lit(1))
-    div = lambda a, b: F.call_function("div", a, b)
-    stride = F.when(n % STRIDES[0] == 0, F.lit(STRIDES[1])).otherwise(F.lit(STRIDES[0])).cast("long")
+    stride = F.when(F.col("blocks") % STRIDES[0] == 0, F.lit(STRIDES[1])).otherwise(F.lit(STRIDES[0])).cast("long")
     offset = F.col("shard") * 7919 + F.col("rank") * 104729 + seed
-    times = lambda j: div(F.col("won"), n) + F.when((stride * j + offset) % n < F.col("won") % n, 1).otherwise(0)
-    first = lambda j: F.greatest(start, div(j * size, n))
-    last = lambda j: F.least(end, div((j + 1) * size, n))
-    span = F.sequence(div((start + 1) * n - 1, size), div(end * n - 1, size))
-    parts = F.transform(span, lambda j: F.struct((first(j) - start).alias("first"), (last(j) - first(j)).alias("words"), times(j).cast("long").alias("times")))
-    parts = F.when(F.col("size") > 0, F.filter(parts, lambda p: p["times"] > 0)).otherwise(F.array().cast("array<struct<first:bigint,words:bigint,times:bigint>>"))
-    placed = placed.withColumn("taken_blocks", parts)
-    taken = F.aggregate("taken_blocks", F.lit(0).cast("long"), lambda acc, p: acc + p["words"] * p["times"])
+    cell = F.greatest(F.col("cell_size"), F.lit(1))
+    placed = placed.withColumn("place", F.struct((F.col("_end") - F.col("size")).alias("start"), cell.alias("words"), "blocks", "won", stride.alias("stride"), offset.alias("offset")))
+    start, end, words_, n = F.col("place.start"), F.col("_end"), F.col("place.words"), F.col("place.blocks")
+    edge = lambda j: div(j * words_, n)
+    parts = F.sequence(block_of(start), block_of(end - 1))
+    count = lambda acc, j: acc + (F.least(end, edge(j + 1)) - F.greatest(start, edge(j))) * times_taken(j)
+    taken = F.when(F.col("size") > 0, F.aggregate(parts, F.lit(0).cast("long"), count)).otherwise(F.lit(0).cast("long"))
     out = placed.withColumn("taken", taken)
     return out.select(*[c for c in docs.columns if c in out.columns], *new)
 
 
+def div(a: Column, b: Column) -> Column:
+    return F.call_function("div", a, b)
+
+
+def block_of(word: Column) -> Column:
+    """The block of a shard's word: block j begins at word j * words div blocks."""
+    return div((word + 1) * F.col("place.blocks") - 1, F.col("place.words"))
+
+
+def times_taken(block: Column) -> Column:
+    """How often a block is taken: evenly, and once more if it is early in the seeded order."""
+    p = lambda c: F.col(f"place.{c}")
+    early = (p("stride") * block + p("offset")) % p("blocks") < p("won") % p("blocks")
+    return div(p("won"), p("blocks")) + F.when(early, 1).otherwise(0).cast("long")
+
+
 def mixed_texts(docs: DataFrame, **how) -> DataFrame:
     """The mix as documents: one row per document and repetition that has words, its text the words taken, in order.
 
     A document whose blocks are taken up to k times gives up to k rows with its doc_id; row i holds the words of the
     blocks taken at least i times. n_chars, where present, is the new text's length.
     """
-    mixed = mix_sources(docs, **how)
-    most = F.array_max(F.transform("taken_blocks", lambda p: p["times"]))
-    rows = mixed.where("taken > 0").withColumn("_turn", F.explode(F.sequence(F.lit(1).cast("long"), most)))
+    rows = mix_sources(docs, **how).where("taken > 0")
+    most = div(F.col("place.won"), F.col("place.blocks")) + 1
+    rows = rows.withColumn("_turn", F.explode(F.sequence(F.lit(1).cast("long"), most)))
     pieces = F.regexp_extract_all(F.col("text"), F.lit(rf"({WORD}[\x20\x09-\x0D]*)"), F.lit(1))
-    chosen = F.filter("taken_blocks", lambda p: p["times"] >= F.col("_turn"))
-    text = F.array_join(F.flatten(F.transform(chosen, lambda p: F.slice(F.col("_pieces"), (p["first"] + 1).cast("int"), p["words"].cast("int")))), "")
-    rows = rows.withColumn("_pieces", pieces).withColumn("text", text)
+    own = F.filter(pieces, lambda word, i: times_taken(block_of(F.col("place.start") + i)) >= F.col("_turn"))
+    # A generator, so that the text is put together once and not again for the filter and its length.
+    rows = rows.withColumn("text", F.explode(F.filter(F.array(F.array_join(own, "")), lambda text: text != "")))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
     return rows.select(*docs.columns)

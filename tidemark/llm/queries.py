@@ -82,13 +82,85 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_lattice_links, op2_mix_sources, op3_warc, op4_sentencepiece, op5_maxscore_top5, op6_language_codes, op7_pairwise_quality, op8_personal_data, op9_shards, op10_minmax_near_duplicates)
 }
 
+#: Brute force: all pairs of usable vectors by cosine in double precision; components by following links.
+LINKS_SQL = """
+    with recursive good as (select vec_id, embedding::double[] as e from embeddings
+                            where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+                              and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+         pairs as (select a.vec_id as a, b.vec_id as b from good a join good b on a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+                   where list_cosine_similarity(a.e, b.e) >= 0.9),
+         reach as (select vec_id, vec_id as c from embeddings union select pairs.b, reach.c from reach join pairs on reach.vec_id = pairs.a),
+         least as (select vec_id, min(c) as component_id from reach group by 1),
+         degree as (select a as vec_id, count(*) as n from pairs group by 1)
+    select l.vec_id, coalesce(d.n, 0)::bigint as n_links, l.component_id, l.vec_id = l.component_id as kept
+    from least l left join degree d on l.vec_id = d.vec_id"""
+
+#: The mix with all quotients listed and ranked, as apportionment is defined.
+MIX_SQL = r"""
+    with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size from documents),
+         k as (select *, greatest(1, least(65536, (sum(size) over () + 65535) // 65536)) as shards, greatest(1, least(8, sum(size) over () // 131072)) as block from d),
+         h as (select *, ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 8))::bigint % shards::bigint as shard, ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 9, 8))::bigint as place from k),
+         s0 as (select source, sum(size)::bigint as source_size, any_value(block)::bigint as block from h group by 1),
+         s1 as (select *, row_number() over (order by source is null, source) - 1 as rank from s0),
+         s2 as (select *, [5.0::double, 2.0, 1.0][(rank % 3 + 1)::int] as weight, 2.0::double * source_size as cap from s1),
+         s3 as (select *, (1.5::double * sum(source_size) over () - coalesce(sum(cap) over (order by cap / weight, rank rows between unbounded preceding and 1 preceding), 0))
+                          / sum(weight) over (order by cap / weight, rank rows between current row and unbounded following) as level from s2),
+         s4 as (select *, (select arg_min(level, (cap / weight, rank)) from s3 where cap >= level * weight) as water from s3),
+         s as (select source, rank, source_size, block, least(cap, coalesce(water * weight, cap)) as target from s4),
+         q1 as (select source, target / (2 * k + 1) as quotient, rank, (select floor(sum(target) / any_value(block)) from s) as seats
+                from (select *, unnest(range(0, (target / block)::bigint + 50)) as k from s where target > 0)),
+         q2 as (select source, row_number() over (order by quotient desc, rank) <= seats as won from q1),
+         quota as (select source, count(*) filter (won) as quota from q2 group by 1),
+         c as (select source, shard, sum(size)::bigint as cell_size from h group by 1, 2),
+         c1 as (select c.*, s.rank, s.source_size, s.target, s.block, coalesce(quota.quota, 0) as quota, greatest(1, round_even(c.cell_size / s.block, 0))::bigint as blocks
+                from c join s on c.source is not distinct from s.source left join quota on c.source is not distinct from quota.source),
+         q3 as (select rank, shard, quota, cell_size / (2 * k + 1) as quotient
+                from (select *, unnest(range(0, (quota * cell_size / greatest(source_size, 1))::bigint + 50)) as k from c1 where cell_size > 0)),
+         q4 as (select rank, shard, row_number() over (partition by rank order by quotient desc, shard) <= quota as won from q3),
+         w as (select rank, shard, count(*) filter (won) as won from q4 group by 1, 2),
+         c2 as (select c1.*, least(coalesce(w.won, 0), 2 * blocks) as won from c1 left join w on c1.rank = w.rank and c1.shard = w.shard),
+         p as (select h.doc_id, h.size, c2.*exclude(source, shard), c2.shard as sh, sum(h.size) over (partition by h.source, h.shard order by h.place, h.doc_id, h.size rows unbounded preceding)::bigint as upto
+               from h join c2 on h.source is not distinct from c2.source and h.shard = c2.shard)
+    select doc_id, size, source_size, target,
+           coalesce(list_sum(list_transform(range(((upto - size + 1) * blocks - 1) // greatest(cell_size, 1), (upto * blocks - 1) // greatest(cell_size, 1) + 1), lambda j:
+               (least(upto, ((j + 1) * cell_size) // blocks) - greatest(upto - size, (j * cell_size) // blocks))
+               * (won // blocks + case when ((case when blocks % 1000003 = 0 then 999983 else 1000003 end) * j + sh * 7919 + rank * 104729) % blocks < won % blocks then 1 else 0 end))) , 0)::bigint as taken
+    from p where size > 0
+    union all select doc_id, size, source_size, target, 0 from p where size = 0"""
+
+WARC_SQL = """
+    with d as (select page_id, encode(coalesce(html, '')) as body from pages),
+         p as (select page_id, octet_length(body)::bigint as payload_bytes, sha256(body) as payload_digest from d),
+         f as (select *, case when payload_bytes >= 100 then min(page_id) over (partition by payload_digest) end as first from p)
+    select page_id, payload_bytes, payload_digest, case when page_id is distinct from first and first is not null then 'revisit' else 'response' end as record_type,
+           case when page_id is distinct from first then first end as refers_to from f"""
+
+SEARCH_SQL = """
+    with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings
+               where vec_id is not null and embedding is not null
+                 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+         s as (select q.vec_id as query_id, c.vec_id, list_dot_product(q.e, c.e)::bigint as score
+               from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id),
+         r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)
+    select query_id, rank, vec_id, score from r where rank <= 5"""
+
+#: Brute force: all pairs of documents that share a shingle.
+NEAR_SQL = r"""
+    with recursive t as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+         g as (select doc_id, case when len(w) >= 5 then list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
+                                   when len(w) > 0 then [array_to_string(w, ' ')] else []::varchar[] end as s from t),
+         e as (select doc_id, len(s) as n, unnest(s) as x from g),
+         pairs as (select a.doc_id as a, b.doc_id as b, any_value(a.n) as na, any_value(b.n) as nb, count(*) as k from e a join e b on a.x = b.x and a.doc_id < b.doc_id group by 1, 2),
+         links as (select a, b from pairs where 100 * k >= 75 * (na + nb - k)),
+         sides as (select a, b from links union all select b, a from links),
+         reach as (select doc_id, doc_id as c from g union select sides.b, reach.c from reach join sides on reach.doc_id = sides.a),
+         least as (select doc_id, min(c) as component_id from reach group by 1)
+    select g.doc_id, len(g.s)::bigint as n_shingles, l.component_id, g.doc_id = l.component_id as kept from g join least l on g.doc_id = l.doc_id"""
+
 ORACLE_SQL: dict[str, str] = {
-    "op5_maxscore_top5": """
-        with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings
-                   where vec_id is not null and embedding is not null
-                     and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
-             s as (select q.vec_id as query_id, c.vec_id, list_dot_product(q.e, c.e)::bigint as score
-                   from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id),
-             r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)
-        select query_id, rank, vec_id, score from r where rank <= 5""",
+    "op1_lattice_links": LINKS_SQL,
+    "op2_mix_sources": MIX_SQL,
+    "op3_warc": WARC_SQL,
+    "op5_maxscore_top5": SEARCH_SQL,
+    "op10_minmax_near_duplicates": NEAR_SQL,
 }
