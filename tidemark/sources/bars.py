@@ -104,7 +104,7 @@ def read_search_reports(spark: SparkSession, path: str) -> DataFrame:
 def read_run_requests(spark: SparkSession, path: str) -> DataFrame:
     """Run request files whose dates are ISODate("...") literals."""
     schema = "Type string, ProtoRunName string, Symbol string, StartDate string, EndDate string, ValidationPct double, SignalType string"
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     return text.select(F.from_json(F.regexp_replace("value", r'ISODate\(\s*("[^"]*")\s*\)', "$1"), schema).alias("r")).select("r.*")
 
 
