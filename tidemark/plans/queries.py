@@ -130,10 +130,10 @@ def get_exactly_one(spark, sf_dir):
     return B.exactly_one(customers.join(F.broadcast(least), "c_custkey"), F.lit(True))
 
 
-@query("select o_orderdate::timestamp as ts, round(o_totalprice / 1000, 2)::double as gain, (o_orderkey % 500)::bigint as shares, round(o_totalprice, 2)::double as profit from orders")
+@query("select o_orderdate::timestamp as ts, round(o_totalprice, 2)::double as gain, (o_orderkey % 500)::bigint as shares, (o_orderkey / 4)::double as profit from orders")
 def read_trade_log(spark, sf_dir):
     rows = table(spark, sf_dir, "orders")
-    line = F.concat_ws("  ", F.date_format("o_orderdate", "M/d/yyyy"), F.round(F.col("o_totalprice") / 1000, 2), F.col("o_orderkey") % 500, F.round("o_totalprice", 2))
+    line = F.concat_ws("  ", F.date_format("o_orderdate", "M/d/yyyy"), F.format_string("%.2f", "o_totalprice"), F.col("o_orderkey") % 500, F.col("o_orderkey") / 4)
     path = scratch(spark, "log")
     rows.select(line).write.text(path)
     return B.read_trade_log(spark.read.text(path))
