@@ -27,8 +27,8 @@ from pyspark.sql import types as T
 
 SPACE = "▁"
 NORMAL, CONTROL, BYTE = 1, 3, 6
-#: Longest unit that is encoded together with others; characters of text encoded at a time.
-LONG, CHARS = 64, 1_000_000
+#: Longest unit that is encoded together with others; characters of text, and rows, encoded at a time.
+LONG, CHARS, ROWS = 64, 1_000_000, 512
 
 
 class Vocabulary:
@@ -337,13 +337,20 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The batches in parts of at most ROWS rows, so that what is made of one stays small."""
+    for batch in batches:
+        for at in range(0, len(batch), ROWS):
+            yield batch.iloc[at : at + ROWS]
+
+
 def with_digests(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row of docs (doc_id, text, ...); other columns are ignored."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         e = encoder(path)
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-        for batch in batches:
+        for batch in parts(batches):
             found = [(n, sha(ids), sha(text)) for n, ids, text in e.summaries(batch["text"])]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "n_tokens": [f[0] for f in found], "ids_sha256": [f[1] for f in found], "decoded_sha256": [f[2] for f in found]})
 
@@ -357,7 +364,7 @@ def with_ids(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         e = encoder(path)
-        for batch in batches:
+        for batch in parts(batches):
             found = list(e.summaries(batch["text"]))
             yield batch.assign(ids=[np.fromstring(f[1], np.int32, sep=",") for f in found], decoded=[f[2] for f in found])
 
