@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import langid, minhash, mixing, pii, quality, sharding
 
@@ -205,12 +206,12 @@ def test_quality_ranks(spark, empty):
     data = [(i, t) for i, t in enumerate(good + bad)] + [(200, None), (201, ""), (202, "b" * 100000)]
     docs = spark.createDataFrame(data, "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i < 60)) for i in range(80)] + [(5, None), (999, 1)], "doc_id long, quality int")
-    out = {r["doc_id"]: r for r in quality.scored(docs, labels, docs["doc_id"] >= 0).collect()}
+    out = {r["doc_id"]: r for r in quality.scored(docs, labels, F.col("doc_id") >= 0).collect()}
     assert len(out) == 83 and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in out.values())
     assert sum(out[i]["predicted"] == int(i < 60) for i in range(80)) >= 78
-    only = quality.scored(docs, labels.where("quality = 1"), docs["doc_id"] >= 0).collect()
+    only = quality.scored(docs, labels.where("quality = 1"), F.col("doc_id") >= 0).collect()
     assert {round(r["score"], 6) for r in only} == {0.3}
-    assert quality.scored(empty, labels, empty["doc_id"] >= 0).count() == 0
+    assert quality.scored(empty, labels, F.col("doc_id") >= 0).count() == 0
 
 
 E_ = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")

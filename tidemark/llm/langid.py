@@ -43,11 +43,11 @@ def grams(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
             some.append(text.lower().encode())
             size += len(some[-1]) + 3
         if some and (text is None or size >= CHUNK):
-            a = FOLD[np.frombuffer(b" " + b"  \0".join(some) + b"  ", np.uint8)]
+            a = FOLD[np.frombuffer(b"  " + b"   ".join(some) + b"   ", np.uint8)]
             code = a[:-2] << 16 | a[1:-1] << 8 | a[2:]
             bucket = np.where(code == 0x202020, BUCKETS, (code * np.uint32(0x9E3779B1)) >> np.uint32(18)).astype(np.int32)
             ends = np.cumsum([len(t) + 3 for t in some])
-            yield len(some), bucket[: ends[-1] - 1], np.r_[0, ends[:-1]]
+            yield len(some), bucket, np.r_[0, ends[:-1]]
             some, size = [], 0
 
 

@@ -58,13 +58,18 @@ def minimax_cuts(ends: DataFrame, end: str, total: int, shards: int) -> list[int
     """The group ends at which to cut 0..total into shards contiguous parts of least largest size."""
     windows = [(0, total)]
     bins: list[tuple[int, int, int]] = []
+    before, fine = 2 * total + 2, BINS
     while True:
-        width = max(1, sum(b - a for a, b in windows) // BINS)
-        inside, which = F.lit(False), F.lit(0)
+        reach = sum(b - a for a, b in windows)
+        fine = BINS if reach <= before // 2 else 4 * fine  # finer still where a round has gained little
+        before, each = reach, max(4, fine // len(windows))
+        inside, which, bin_ = F.lit(False), F.lit(0), F.lit(0).cast("long")
         for a, b in windows:
-            inside = inside | ((F.col(end) > a) & (F.col(end) <= b))
+            own = (F.col(end) > a) & (F.col(end) <= b)
+            inside = inside | own
             which = which + (F.col(end) > b).cast("int")
-        summary = ends.where(inside).groupBy(which.alias("_window"), F.floor(F.col(end) / width).alias("_bin"))
+            bin_ = F.when(own, F.floor((F.col(end) - a - 1) / max(1, (b - a) // each))).otherwise(bin_)
+        summary = ends.where(inside).groupBy(which.alias("_window"), bin_.alias("_bin"))
         found = summary.agg(F.min(end), F.max(end), F.countDistinct(end)).collect()
         bins = [x for x in bins if not any(x[0] > a and x[1] <= b for a, b in windows)] + [tuple(map(int, r[2:])) for r in found]
         known = Offsets(bins)
