@@ -5,7 +5,7 @@ read, so a task that runs twice costs a stray file and no wrong record. Of recor
 `least` bytes the one with the smallest page_id is a response, the others are revisits that refer to it.
 
 Reading: files are cut into byte ranges. A task scans its range for the gzip magic, takes a place as a member only if it
-inflates to a WARC header, ends with a right checksum, and is followed by another member or the file's end; it then reads
+inflates to a WARC header, ends with a right checksum, and is followed by more members or the file's end; it then reads
 member after member and owns those that start inside its range, past whose end it reads on as far as the last one goes.
 
 Defined results: null html is the empty payload; a null page_id counts as larger than any other and comes back null (if
@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.shared import shared_dir, stored
 
 MAGIC = b"\x1f\x8b\x08"
+#: Members that must follow each other for the first one found in a range to be taken.
+CHAIN = 16
 RECORD = "page_id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string, payload binary"
 
 
@@ -136,15 +138,31 @@ def parsed(record: bytes) -> tuple:
     return fields.get("x-page-id"), fields.get("warc-target-uri"), length, digest, kind, fields.get("x-refers-to-page-id"), payload
 
 
+def chained(source: Source, at: int, end: int) -> bool:
+    """Whether members follow each other from a place on, to the range's end or for CHAIN members.
+
+    A payload that is itself an archive may hold members in a stored block; where that block ends, their chain breaks.
+    """
+    for _ in range(CHAIN):
+        found = inflate(source, at)
+        if found is None:
+            return False
+        at = found[1]
+        if at >= end:
+            break
+    return True
+
+
 def records_in(path: str, start: int, end: int) -> Iterator[tuple]:
     """Records whose member starts in start..end of a file."""
     source = Source(path)
-    at, found = start, None
+    at, sure = start, start == 0
     while at < end:
-        if (found := inflate(source, at)) is not None:
+        if (sure or chained(source, at, end)) and (found := inflate(source, at)) is not None:
             yield parsed(found[0])
-            at = found[1]
+            at, sure = found[1], True
             continue
+        sure = False
         at += 1  # no record here: on to the next magic
         while at < end:
             data = source.read(at, min(source.block, end - at) + 2)
