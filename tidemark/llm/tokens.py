@@ -224,6 +224,10 @@ class Encoder:
             if len(text) > LONG:
                 self.remember(text, self.unit(text))
 
+    def forget(self) -> None:
+        """Let go of the units, which an idle worker would hold while other stages need the memory."""
+        self.known = {}
+
     def remember(self, text: str, ids: list[int]) -> None:
         spelled = "".join(map(self.v.pieces.__getitem__, ids)) if min(ids) >= self.plain_from else self.spelled(ids)
         self.known[text] = ",".join(map(self.decimal.__getitem__, ids)), len(ids), text if spelled == text else spelled
@@ -367,6 +371,7 @@ def with_ids(docs: DataFrame, path: str) -> DataFrame:
         for batch in parts(batches):
             found = list(e.summaries(batch["text"]))
             yield batch.assign(ids=[np.fromstring(f[1], np.int32, sep=",") for f in found], decoded=[f[2] for f in found])
+        e.forget()
 
     schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
     return docs.mapInPandas(run, schema)
