@@ -574,6 +574,13 @@ def whole_share_backtest(spark, sf_dir):
     return rows.select("symbol", "ts", "shares", F.round("value", 2).alias("value"))
 
 
+@query()
+def whole_share_backtest_all(spark, sf_dir):
+    df = orders(spark, sf_dir).withColumn("sig", F.signum(F.col("close") - F.col("open")))
+    rows = T.whole_share_backtest(df, "sig", 1e9)  # every bar; whole_share_backtest is its first 61, which recursive SQL can follow
+    return rows.select("symbol", "ts", "shares", F.round("value", 2).alias("value"))
+
+
 def ledger_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     action = F.element_at(F.array(*[F.lit(a) for a in ("buy", "sell", "short", "cover")]), (F.pmod(F.col("l_partkey"), F.lit(4)) + 1).cast("int"))
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("string").alias("account"), F.col("l_returnflag").alias("symbol"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).cast("bigint").alias("seq"), action.alias("action"), F.col("l_quantity").cast("bigint").alias("shares"), F.round(F.col("l_extendedprice") / F.greatest(F.col("l_quantity"), F.lit(1)), 2).alias("price"))
