@@ -26,3 +26,9 @@ def test_whole_share_backtest_takes_every_bar(spark):
     assert got.keys() == want.keys() and len(want) > 5 * 61
     for key, (shares, value) in want.items():
         assert got[key]["shares"] == shares and got[key]["value"] == pytest.approx(value, abs=0.01)
+
+
+def test_every_order_becomes_a_report(spark):
+    orders = Q.table(spark, SF, "orders").collect()
+    want = sorted((f"S{r['o_orderkey'] % 7}", round(float(r["o_totalprice"]), 2), str(r["o_custkey"] % 9)) for r in orders)
+    assert sorted(map(tuple, Q.QUERIES["read_search_reports_all"](spark, SF).collect())) == want

@@ -139,15 +139,24 @@ def read_trade_log(spark, sf_dir):
     return B.read_trade_log(spark.read.text(path))
 
 
-@query("select 'S' || (o_orderkey % 7) as strategy, round(o_totalprice, 2)::double as fitness, (o_custkey % 9)::varchar as period from orders where o_orderkey % 10 = 0")
-def read_search_reports(spark, sf_dir):
-    rows = table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0")  # a report for every tenth order, written and read back
+def reports_of(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """A report for every order of rows, written and read back."""
     text = F.format_string("=== BEST ===\nStrategy : S%d\nFitness : %.2f\nperiod: %d", F.col("o_orderkey") % 7, "o_totalprice", F.col("o_custkey") % 9)
     path = scratch(spark, "reports")
     rows.select(text).write.text(path)
     return B.read_search_reports(spark, path).select("strategy", "fitness", F.col("params")["period"].alias("period"))
 
 
+@query("select 'S' || (o_orderkey % 7) as strategy, round(o_totalprice, 2)::double as fitness, (o_custkey % 9)::varchar as period from orders where o_orderkey % 10 = 0")
+def read_search_reports(spark, sf_dir):
+    return reports_of(spark, table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0"))  # as its SQL; read_search_reports_all has them all
+
+
+@query()
+def read_search_reports_all(spark, sf_dir):
+    return reports_of(spark, table(spark, sf_dir, "orders"))
+
+
 @query(f"with {O_} select 'vendor' as symbol, ts, open, high, low, close, volume from bars where symbol = '5-LOW'")
 def normalize_vendor_csv(spark, sf_dir):
     path = scratch(spark, "vendor")
