@@ -3,12 +3,13 @@
 Patterns give the base spans of each kind: leftmost, not overlapping, failing ones dropped without another try. They hold
 for whole texts and are linear in their length (an e-mail is looked for at each @, numbers at each run of digits).
 
-The network is trained in numpy, from the base spans of a hash sample of DOCUMENTS texts at most. It reads classes of
-characters in windows of WINDOW characters that overlap by half, and decodes each by Viterbi. A span of any kind holds a
-digit or an @ - spans without one are thrown away - so windows are laid over every stretch within reach of one, and the
-rest of a text, which could only yield spans that are thrown away, isn't read by it. The windows of a text are then
-reconciled together: base spans stay, the others are taken by confidence if they overlap none that was taken, and only if
-they have what their kind asks for (an e-mail an @ between letters or digits; an address four numbers up to 255; a card 12
+The network is trained in numpy, from the base spans of a hash sample of DOCUMENTS texts at most; which windows of a text
+it sees is drawn by hash. It reads classes of characters in windows of WINDOW characters that overlap by half, and decodes
+each by Viterbi. A span of any kind holds a digit or an @, and an e-mail holds no white space, so windows are laid over
+every stretch within half a window of a digit or @ and over the whole run of other characters around an @. The tags of
+neighbouring windows are joined at the middle of their overlap and spans are built from the joined path, so a span may be
+longer than a window. The spans of a text are then reconciled together: base spans stay, the others are taken by
+confidence if they overlap none that was taken, and only if they have what their kind asks for (an e-mail an @ between letters or digits; an address four numbers up to 255; a card 12
 to 19 digits that pass Luhn; a phone 9 to 15 digits and a + or parentheses).
 
 Defined results: null text is the empty text and has no spans; a text in which all is base yields just that; offsets
@@ -36,7 +37,7 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-DIGITS, TRIGGER = re.compile("[0-9]+"), re.compile("[0-9@]")
+DIGITS, TRIGGER, RUN = re.compile("[0-9]+"), re.compile("[0-9@]"), re.compile(r"\S*")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 
@@ -101,13 +102,23 @@ def classes(text: str) -> np.ndarray:
 
 
 def windows(text: str) -> list[tuple[int, int]]:
-    """Overlapping windows over all that lies within half a window of a digit or @."""
-    half, out, reach = WINDOW // 2, [], -1
-    stretches: list[list[int]] = []
+    """Overlapping windows over all that lies within half a window of a digit or @, or a quarter of the run around an @.
+
+    Windows of one stretch overlap, those of two don't meet.
+    """
+    half, out, end = WINDOW // 2, [], 0  # end of the last run around an @
+    near, stretches = [], []
     for m in TRIGGER.finditer(text):
         a, b = max(0, m.start() - half), min(len(text), m.end() + half)
+        if m[0] == "@" and m.start() >= end:
+            start, low, end = m.start(), end, RUN.match(text, m.end()).end()
+            while start > low and not text[start - 1].isspace():
+                start -= 1
+            a, b = min(a, max(0, start - half // 2)), max(b, min(len(text), end + half // 2))
+        near.append((a, b))
+    for a, b in sorted(near):
         if stretches and a <= stretches[-1][1]:
-            stretches[-1][1] = b
+            stretches[-1][1] = max(b, stretches[-1][1])
         else:
             stretches.append([a, b])
     for a, b in stretches:
@@ -223,12 +234,13 @@ class Tagger:
                 self.p[k] = self.p[k] - rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-8)
         return losses
 
-    def decode(self, x: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Viterbi tags of each window, and each tag's marginal probability in the CRF."""
+    def decode(self, x: np.ndarray, lengths: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Viterbi tags of each window, and each tag's marginal probability in the CRF; only one that begins a text can't start inside a span."""
         em, _ = self.emissions(x)
+        em[begins, 0, 2::2] -= 1e4
         trans = self.p["trans"] + self.allowed
         n, length, _ = em.shape
-        score, back = em[:, 0] + np.where(np.arange(TAGS) % 2 == 0, np.where(np.arange(TAGS) > 0, -1e4, 0), 0), np.zeros((n, length, TAGS), np.int8)
+        score, back = em[:, 0], np.zeros((n, length, TAGS), np.int8)
         for t in range(1, length):
             all_ = score[:, :, None] + trans
             back[:, t] = all_.argmax(axis=1)
@@ -259,30 +271,32 @@ def padded(parts: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def train(texts: list[str]) -> Tagger | None:
-    """A tagger from the base spans of texts; None where no text has one."""
-    x, y = [], []
-    for text in texts:
-        spans = base_spans(text)
-        tags = None
-        for a, b in windows(text):
-            if len(x) >= WINDOWS:
-                break
-            tags = tagged(text, spans) if tags is None else tags
-            own = tags[a:b].copy()
-            at = 0  # a span cut by the window's start counts from there
-            while at < len(own) and a + at > 0 and own[at] and own[at] % 2 == 0 and (at or tags[a - 1]):
-                own[at], at = 0, at + 1
-            x.append(classes(text[a:b]))
-            y.append(own)
+def lessons(key: int, text: str) -> list[tuple[int, int, str, list[int]]]:
+    """(round, draw, window, tags) of a text's windows: a hash puts them in order, two a round."""
+    tags, out = tagged(text, base_spans(text)), []
+    drawn = sorted((int.from_bytes(hashlib.blake2b(f"{key}:{a}".encode(), digest_size=7).digest()), a, b) for a, b in windows(text))
+    for n, (draw, a, b) in enumerate(drawn[:WINDOWS]):
+        out.append((n // 2, draw, text[a:b], tags[a:b].tolist()))
+    return out
+
+
+def learned(rows: list[tuple[str, list[int]]]) -> Tagger | None:
+    """A tagger from windows and their tags; None where none holds a span."""
+    y = [np.array(tags, np.int64) for _, tags in rows]
     if not any(t.any() for t in y):
         return None
-    mask = np.arange(WINDOW)[None, :] < np.array([len(t) for t in x])[:, None]
+    mask = np.arange(WINDOW)[None, :] < np.array([len(t) for t in y])[:, None]
     tagger = Tagger()
-    tagger.train(padded(x), padded(y), mask)
+    tagger.train(padded([classes(window) for window, _ in rows]), padded(y), mask)
     return tagger
 
 
+def train(texts: list[str]) -> Tagger | None:
+    """A tagger from the base spans of texts; None where no text has one."""
+    rows = sorted(row for n, text in enumerate(texts) for row in lessons(n, text))
+    return learned([row[2:] for row in rows[:WINDOWS]])
+
+
 def admissible(kind: str, text: str) -> bool:
     if kind == "email":
         at = text.find("@")
@@ -292,25 +306,37 @@ def admissible(kind: str, text: str) -> bool:
     return is_ip(text) if kind == "ip" else is_card(text) and text[0].isdigit() and text[-1].isdigit()
 
 
+def spans_of(first: int, row: np.ndarray, p: np.ndarray) -> dict[tuple[str, int, int], float]:
+    """Spans of a path of tags that starts at first, with the least probability of their tags."""
+    out = {}
+    for start in np.flatnonzero(row % 2 == 1):
+        end = start + 1
+        while end < len(row) and row[end] == row[start] + 1:
+            end += 1
+        out[KINDS[row[start] // 2], int(first + start), int(first + end)] = float(p[start:end].min())
+    return out
+
+
 def all_spans(texts: list[str], base: list[list[tuple[str, int, int]]], tagger: Tagger | None, at_once: int = 2048) -> list[list[tuple[str, int, int]]]:
     """Base spans and those that the windows of each text, reconciled, add."""
     if tagger is None:
         return base
     places = [(n, a, b) for n, text in enumerate(texts) for a, b in windows(text)]
     offers: dict[int, dict[tuple[str, int, int], float]] = {}
+    path: list[tuple[np.ndarray, np.ndarray]] = []  # of the stretch that is being joined
+    quarter, first = WINDOW // 4, 0
     for at in range(0, len(places), at_once):
         some = places[at : at + at_once]
-        tags, sure = tagger.decode(padded([classes(texts[n][a:b]) for n, a, b in some]), np.array([b - a for _, a, b in some]))
-        for (n, a, b), row, p in zip(some, tags, sure, strict=True):
-            row = row[: b - a]
-            for start in np.flatnonzero(row % 2 == 1):
-                end = start + 1
-                while end < len(row) and row[end] == row[start] + 1:
-                    end += 1
-                span = (KINDS[row[start] // 2], int(a + start), int(a + end))
-                if (start == 0 and a > 0) or (end == len(row) and b < len(texts[n])):
-                    continue  # cut by the window: the next one holds it whole
-                offers.setdefault(n, {})[span] = max(offers.get(n, {}).get(span, 0), float(p[start:end].min()))
+        tags, sure = tagger.decode(padded([classes(texts[n][a:b]) for n, a, b in some]), np.array([b - a for _, a, b in some]), np.array([a == 0 for _, a, _ in some]))
+        for k, ((n, a, b), row, p) in enumerate(zip(some, tags, sure, strict=True), at):
+            if not path:
+                first = a
+            more = k + 1 < len(places) and places[k + 1][0] == n and places[k + 1][1] < b
+            own = slice(quarter if path else 0, 3 * quarter if more else b - a)
+            path.append((row[own], p[own]))
+            if not more:
+                offers.setdefault(n, {}).update(spans_of(first, *map(np.concatenate, zip(*path, strict=True))))
+                path = []
     out = []
     for n, (text, taken) in enumerate(zip(texts, base, strict=True)):
         taken = list(taken)
@@ -329,11 +355,11 @@ def fitted(docs: DataFrame) -> Tagger | None:
 
     def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(int(k), text[max(0, a - 64) : b + 64]) for k, text in zip(batch["k"], batch["text"], strict=True) for a, b in windows(text)[:2]]
-            yield pd.DataFrame(rows, columns=["k", "text"])
+            for k, text in zip(batch["k"], batch["text"], strict=True):
+                yield pd.DataFrame(lessons(int(k), text), columns=["round", "draw", "window", "tags"])
 
-    pieces = able.where(draw).select(F.xxhash64("doc_id", F.lit(10)).alias("k"), "text").mapInPandas(parts, "k long, text string")
-    return train([r["text"] for r in pieces.orderBy("k", "text").limit(WINDOWS).collect()])
+    drawn = able.where(draw).select(F.xxhash64("doc_id", F.lit(10)).alias("k"), "text").mapInPandas(parts, "round long, draw long, window string, tags array<long>")
+    return learned([(r["window"], r["tags"]) for r in drawn.orderBy("round", "draw", "window", "tags").limit(WINDOWS).collect()])
 
 
 def written(spans: list[tuple[str, int, int]]) -> str:
