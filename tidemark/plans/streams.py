@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import Any
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,26 +84,30 @@ TICKS = "k as (select event_type as symbol, ts::timestamp as ts, value::double a
 
 
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replay(spark, sf_dir, "events").select(F.col("event_type").alias("symbol"), "ts", F.col("value").cast("double").alias("x"))
+    return replay(spark, sf_dir, "events").select(F.col("event_type").alias("symbol"), "ts", F.col("event_id").alias("id"), F.col("value").cast("double").alias("x"))
 
 
-def values(rows: DataFrame) -> DataFrame:
+def values(spark: SparkSession, sf_dir: str, stream: Callable[..., Any], p: int) -> DataFrame:
+    """A series operator run over all there is, which comes as one batch, so no row is late."""
+    path = Q.scratch(spark, "series")
+    stream(ticks(spark, sf_dir), p, path, f"{path}-state").trigger(availableNow=True).start().awaitTermination()
+    rows = ops.series(spark, path)
     return rows.where("not late").select("symbol", F.col("ts").cast("timestamp_ntz").alias("ts"), tidy("value").alias("value"))
 
 
 @query(f"with {TICKS} select symbol, ts, round(avg(x) over (partition by symbol order by ts rows 6 preceding), 6) + 0.0 as value from k")
 def stream_mean(spark, sf_dir):
-    return values(finished(ops.stream_mean(ticks(spark, sf_dir), 7), spark))
+    return values(spark, sf_dir, ops.stream_mean, 7)
 
 
 @query(f"with {TICKS} select symbol, ts, round(stddev_pop(x) over (partition by symbol order by ts rows 6 preceding), 6) + 0.0 as value from k")
 def stream_std(spark, sf_dir):
-    return values(finished(ops.stream_std(ticks(spark, sf_dir), 7), spark))
+    return values(spark, sf_dir, ops.stream_std, 7)
 
 
 @query(f"with recursive {TICKS}, r as (select symbol, ts, pos, x as v from k where pos = 0 union all select b.symbol, b.ts, b.pos, {2 / 11} * b.x + {9 / 11} * r.v from r join k b on b.symbol = r.symbol and b.pos = r.pos + 1) select symbol, ts, round(v, 6) + 0.0 as value from r")
 def stream_ema(spark, sf_dir):
-    return values(finished(ops.stream_ema(ticks(spark, sf_dir), 10), spark))
+    return values(spark, sf_dir, ops.stream_ema, 10)
 
 
 @query()

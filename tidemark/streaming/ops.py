@@ -1,7 +1,8 @@
 """Structured Streaming twins: bars, running means and averages, routing, progress, ledgers.
 
-State is one record a key: the last values a window needs, the last average, or an account's positions. Rows that come
-later than the state's last time are counted as late in the output (late = true) and change nothing.
+State is one record a key: the last values a window needs, the last average, or an account's positions. Rows of a series
+that come in a later batch than one after them in order of (ts, id) are counted as late in the output (late = true) and
+change nothing; rows of one batch are never late to each other.
 """
 
 from __future__ import annotations
@@ -11,13 +12,13 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.operators.trading import LEDGER, Ledger, ledger_rows
 
-SERIES = "symbol string, ts timestamp, value double, late boolean"
+WRITTEN = "symbol string, ts timestamp, id bigint, value double, late boolean, state string"
 
 
 def stream_bars(ticks: DataFrame, symbol: str, price: str, tie: str, width: str = "1 hour", delay: str = "2 hours") -> DataFrame:
@@ -33,54 +34,78 @@ def ingest_new(bars: DataFrame, high_water: str, delay: str = "3 days") -> DataF
     return bars.where(F.col("ts") > F.lit(high_water).cast("timestamp")).withWatermark("ts", delay).dropDuplicatesWithinWatermark(["symbol", "ts"])
 
 
-def per_series(rows: DataFrame, begin: Callable[[], Any], step: Callable[[Any, float], float]) -> DataFrame:
-    """(symbol, ts, value, late): step(state, x) for each row of rows (symbol, ts, x) in order of ts within its batch.
+def per_series(rows: DataFrame, begin: Callable[[], Any], step: Callable[[Any, float], float], path: str, checkpoint: str):
+    """Write step(state, x) for each row of rows (symbol, ts, id, x), in order of (ts, id) within its batch; `series` reads it.
 
-    State is kept as JSON: the state object and the last time seen.
+    Spark sorts a batch's rows and a symbol's stream through its task in Arrow batches; only its state is held. A batch is
+    written with the states after it, as JSON: the state object and the last (ts, id) seen. A retried batch replaces itself.
     """
 
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        own, seen = json.loads(state.get[0]) if state.exists else (begin(), None)
-        rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
-        out = []
-        for ts, x in zip(rows["ts"], rows["x"], strict=True):
-            late = seen is not None and ts.value <= seen
-            out.append((key[0], ts, None if late else step(own, float(x)), late))
-            seen = seen if late else ts.value
-        state.update((json.dumps((own, seen)),))
-        yield pd.DataFrame(out, columns=["symbol", "ts", "value", "late"])
-
-    keyed = rows.select("symbol", "ts", "x").groupBy("symbol")
-    return keyed.applyInPandasWithState(fold, SERIES, "state string", "append", GroupStateTimeout.NoTimeout)
-
-
-def stream_mean(rows: DataFrame, p: int) -> DataFrame:
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        symbol, own, seen, any_ = None, None, None, False
+        kept = lambda: (symbol, None, None, None, None, json.dumps((own, seen)))
+        for batch in batches:
+            out = []
+            for s, ts, n, x, state in zip(batch["symbol"], batch["ts"], batch["id"], batch["x"], batch["state"], strict=True):
+                if not any_ or s != symbol:
+                    if any_:
+                        out.append(kept())
+                    symbol, own, seen, any_ = s, begin(), None, True
+                if state is not None:
+                    own, seen = json.loads(state)
+                    continue
+                at = [ts.value, int(n)]
+                late = seen is not None and at < seen
+                out.append((s, ts, n, None if late else step(own, float(x)), late, None))
+                seen = seen if late else at
+            yield pd.DataFrame(out, columns=["symbol", "ts", "id", "value", "late", "state"])
+        if any_:
+            yield pd.DataFrame([kept()], columns=["symbol", "ts", "id", "value", "late", "state"])
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        new = batch.select("symbol", "ts", "id", "x", F.lit(None).cast("string").alias("state"))
+        if epoch:
+            old = batch.sparkSession.read.schema(WRITTEN).parquet(f"{path}/epoch={epoch - 1}").where("state is not null")
+            new = new.unionByName(old.select("symbol", "ts", F.lit(0).cast("bigint").alias("id"), F.lit(0.0).alias("x"), "state"))
+        line = new.repartition("symbol").sortWithinPartitions("symbol", F.col("state").isNull(), "ts", "id")
+        line.mapInPandas(fold, WRITTEN).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+
+    keyed = rows.select("symbol", "ts", F.col("id").cast("bigint").alias("id"), F.col("x").cast("double").alias("x"))
+    return keyed.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+
+
+def series(spark: SparkSession, path: str) -> DataFrame:
+    """(symbol, ts, id, value, late) of all that per_series wrote to path."""
+    return spark.read.schema(WRITTEN).parquet(path).where("state is null").select("symbol", "ts", "id", "value", "late")
+
+
+def stream_mean(rows: DataFrame, p: int, path: str, checkpoint: str):
     def step(last: list[float], x: float) -> float:
         last.append(x)
         del last[:-p]
         return sum(last) / len(last)
 
-    return per_series(rows, list, step)
+    return per_series(rows, list, step, path, checkpoint)
 
 
-def stream_std(rows: DataFrame, p: int) -> DataFrame:
+def stream_std(rows: DataFrame, p: int, path: str, checkpoint: str):
     def step(last: list[float], x: float) -> float:
         last.append(x)
         del last[:-p]
         mean = sum(last) / len(last)
         return (sum((v - mean) ** 2 for v in last) / len(last)) ** 0.5
 
-    return per_series(rows, list, step)
+    return per_series(rows, list, step, path, checkpoint)
 
 
-def stream_ema(rows: DataFrame, p: int) -> DataFrame:
+def stream_ema(rows: DataFrame, p: int, path: str, checkpoint: str):
     k = 2 / (1 + p)
 
     def step(last: list[float], x: float) -> float:
         last[:] = [x * k + (1 - k) * last[0] if last else x]
         return last[0]
 
-    return per_series(rows, list, step)
+    return per_series(rows, list, step, path, checkpoint)
 
 
 def stream_progress(notes: DataFrame, total: int, delay: str = "1 day") -> DataFrame:
