@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 
+import numpy as np
 import pytest
 
 from tidemark.plans import queries as Q
@@ -32,3 +33,20 @@ def test_every_order_becomes_a_report(spark):
     orders = Q.table(spark, SF, "orders").collect()
     want = sorted((f"S{r['o_orderkey'] % 7}", round(float(r["o_totalprice"]), 2), str(r["o_custkey"] % 9)) for r in orders)
     assert sorted(map(tuple, Q.QUERIES["read_search_reports_all"](spark, SF).collect())) == want
+
+
+def test_candidates_are_scored_on_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(Q.M, "SAMPLE", 100)
+    score = Q.M.candidate_fitness
+    monkeypatch.setattr(Q.M, "candidate_fitness", lambda rows, fitted: score(rows.repartition(3), fitted, 70, 3))
+    fits = []
+    train = Q.M.train_candidates
+    monkeypatch.setattr(Q.M, "train_candidates", lambda own, x, y: fits.append((len(x), train(own, x, y))) or fits[0][1])
+    got = {r["candidate"]: r["fitness"] for r in Q.QUERIES["candidate_training"](spark, SF).collect()}
+    rows = Q.table(spark, SF, "embeddings").collect()
+    x, y = np.array([r["embedding"] for r in rows], float), np.array([1.0 if r["label"] % 2 else -1.0 for r in rows])
+    assert fits[0][0] == 100 and len(rows) == 500 and len(got) == 10
+    for c in fits[0][1].collect():
+        gap = ((x[:, None, :] - np.array(c["centers"])[None]) ** 2).sum(axis=2)
+        guess = np.exp(-gap / c["spread"] ** 2) @ np.array(c["weights"][:-1]) + c["weights"][-1]
+        assert got[c["candidate"]] == pytest.approx((np.sign(guess) == y).mean(), abs=1e-4)

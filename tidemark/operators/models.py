@@ -17,6 +17,9 @@ from tidemark.functions import scalar as S
 from tidemark.operators import recursive, series
 
 MIXED = ("open", "high", "low", "close", "volume")
+#: Rows a candidate's fit may take from, and centres of its RBF readout, at most.
+SAMPLE, CENTERS = 2000, 8
+FITTED = "candidate bigint, spread double, centers array<array<double>>, weights array<double>"
 
 
 def symbol_features(bars: DataFrame, symbol: str) -> DataFrame:
@@ -153,10 +156,10 @@ def fitness(df: DataFrame, predicted: str, actual: str, *keys: str) -> DataFrame
     return df.groupBy(*keys).agg(F.avg(F.when(same, 1.0).otherwise(0.0)).alias("fitness"))
 
 
-def train_candidates(candidates: DataFrame, x: np.ndarray, y: np.ndarray) -> DataFrame:
-    """(candidate, fitness, weights) of candidates (candidate, offset, size, spread): each fits an RBF readout on its slice.
+def train_candidates(candidates: DataFrame, x: np.ndarray, y: np.ndarray, centers: int = CENTERS) -> DataFrame:
+    """(candidate, spread, centers, weights) of candidates (candidate, offset, size, spread): each fits an RBF readout on its slice.
 
-    One task a batch of candidates; x and y are a sample of bounded size that every task gets.
+    One task a batch of candidates; x and y are a sample of bounded size that every task gets. The last weight is the bias.
     """
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -166,14 +169,36 @@ def train_candidates(candidates: DataFrame, x: np.ndarray, y: np.ndarray) -> Dat
                 start = int(np.clip(np.floor(c.offset * len(x)), 0, len(x) - 1))
                 n = int(np.clip(np.floor(c.size * len(x)), 1, len(x) - start))
                 own, label = x[start : start + n], y[start : start + n]
-                centers = own[:: max(1, n // 8)][:8]
-                phi = np.exp(-((own[:, None, :] - centers[None]) ** 2).sum(axis=2) / c.spread**2)
-                h = np.c_[phi, np.ones(n)]
-                w = np.linalg.lstsq(h, label, rcond=None)[0]
-                all_phi = np.c_[np.exp(-((x[:, None, :] - centers[None]) ** 2).sum(axis=2) / c.spread**2), np.ones(len(x))]
-                out.append((c.candidate, float((np.sign(all_phi @ w) == np.sign(y)).mean()), w.tolist()))
-            yield pd.DataFrame(out, columns=["candidate", "fitness", "weights"])
+                chosen = own[:: max(1, n // centers)][:centers]
+                phi = np.exp(-((own[:, None, :] - chosen[None]) ** 2).sum(axis=2) / c.spread**2)
+                w = np.linalg.lstsq(np.c_[phi, np.ones(n)], label, rcond=None)[0]
+                out.append((c.candidate, c.spread, chosen.tolist(), w.tolist()))
+            yield pd.DataFrame(out, columns=["candidate", "spread", "centers", "weights"])
 
-    return candidates.select("candidate", "offset", "size", "spread").mapInPandas(fit, "candidate bigint, fitness double, weights array<double>")
+    return candidates.select("candidate", "offset", "size", "spread").mapInPandas(fit, FITTED)
 
 
+def candidate_fitness(rows: DataFrame, fitted: DataFrame, rows_at_once: int = 2048, candidates_at_once: int = 256) -> DataFrame:
+    """(candidate, fitness): the share of all rows (x, y) whose y has the sign that a candidate of train_candidates predicts.
+
+    Every candidate meets every row: blocks of rows meet blocks of candidates, and only counts leave a pair of blocks.
+    """
+    down, across = -(-rows.count() // rows_at_once) or 1, -(-fitted.count() // candidates_at_once) or 1
+
+    def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(left):
+            x, y = np.array(left["x"].tolist(), float), np.sign(left["y"].to_numpy(float))
+            own = (x**2).sum(axis=1)[:, None]
+            for c in right.itertuples(index=False):
+                at = np.array([list(v) for v in c.centers], float)
+                gap = np.maximum(own - 2 * x @ at.T + (at**2).sum(axis=1), 0)
+                w = np.array(c.weights)
+                out.append((c.candidate, int((np.sign(np.exp(-gap / c.spread**2) @ w[:-1] + w[-1]) == y).sum()), len(y)))
+        return pd.DataFrame(out, columns=["candidate", "hits", "n"])
+
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = rows.select(F.pmod(F.monotonically_increasing_id(), F.lit(down)).cast("int").alias("r"), every(across).alias("c"), "x", "y")
+    right = fitted.select(every(down).alias("r"), F.pmod(F.xxhash64("candidate"), F.lit(across)).cast("int").alias("c"), "candidate", "spread", "centers", "weights")
+    counts = left.groupBy("r", "c").cogroup(right.groupBy("r", "c")).applyInPandas(score, "candidate bigint, hits bigint, n bigint")
+    return counts.groupBy("candidate").agg((F.sum("hits") / F.sum("n")).alias("fitness"))

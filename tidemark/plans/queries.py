@@ -871,11 +871,12 @@ def grid_search(spark, sf_dir):
 
 @query()
 def candidate_training(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings").orderBy(F.xxhash64("vec_id")).limit(2000).select("embedding", "label").collect()  # a fit's bounded sample
-    x = M.np.array([r["embedding"] for r in rows], dtype=float)
-    y = M.np.array([1.0 if r["label"] % 2 else -1.0 for r in rows])
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"), F.when(F.col("label") % 2 != 0, 1.0).otherwise(-1.0).alias("y"))
+    sample = rows.orderBy(F.xxhash64("vec_id")).limit(M.SAMPLE).collect()  # fits take a bounded sample, fitness takes all rows
+    x, y = M.np.array([r["x"] for r in sample], dtype=float), M.np.array([r["y"] for r in sample])
     own = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("candidate"), (F.col("s_suppkey") % 10 / 20).alias("offset"), F.lit(0.4).alias("size"), (F.col("s_suppkey") % 3 + 1.0).alias("spread"))
-    return M.train_candidates(own, x, y).select("candidate", F.round("fitness", 4).alias("fitness"))
+    fitted = G.written(M.train_candidates(own, x, y))
+    return M.candidate_fitness(rows, fitted).select("candidate", F.round("fitness", 4).alias("fitness"))
 
 
 # --- views
