@@ -50,3 +50,25 @@ def test_candidates_are_scored_on_all_rows(spark, monkeypatch):
         gap = ((x[:, None, :] - np.array(c["centers"])[None]) ** 2).sum(axis=2)
         guess = np.exp(-gap / c["spread"] ** 2) @ np.array(c["weights"][:-1]) + c["weights"][-1]
         assert got[c["candidate"]] == pytest.approx((np.sign(guess) == y).mean(), abs=1e-4)
+
+
+def vectors(spark):
+    return {r["vec_id"]: [float(v) for v in r["embedding"]] for r in Q.table(spark, SF, "embeddings").collect()}
+
+
+def test_vectors_are_taken_whole(spark):
+    own = vectors(spark)
+    got = {(r["vec_id"], r["k"]): r["value"] for r in Q.QUERIES["flatten_population_all"](spark, SF).collect()}
+    assert got == {(i, k): pytest.approx(x, abs=1e-6) for i, v in own.items() for k, x in enumerate(v)} and len(got) == 64 * len(own)
+    got = {(r["pair"], r["ord"], r["name"]): (r["x"], r["y"]) for r in Q.QUERIES["crossover_all"](spark, SF).collect()}
+    want = {(i, k, f"g{k}"): (own[i + 1][k - 1], v[k - 1]) if (i * 7919 + k * 31 + 13) % 1000 < 500 else (v[k - 1], own[i + 1][k - 1]) for i, v in own.items() if i + 1 in own for k in range(1, 65)}
+    assert got == want
+
+
+def test_matrix_of_all_labels_is_turned_in_blocks(spark):
+    own = vectors(spark)
+    got = {r["col"]: (r["n"], r["total"]) for r in Q.QUERIES["series_to_matrix_all"](spark, SF).collect()}
+    assert got == {k: (len(own), pytest.approx(sum(v[k] for v in own.values()), abs=1e-3)) for k in range(64)}
+    rows = spark.createDataFrame([(i, [float(i), float(-i)]) for i in range(25)], "row long, values array<double>")
+    blocks = {(r["col"], r["block"]): r["values"] for r in Q.M.transpose(rows, 10).collect()}
+    assert blocks == {(c, b): [float(i * (1 - 2 * c)) for i in range(10 * b, min(25, 10 * b + 10))] for c in (0, 1) for b in range(3)}

@@ -70,10 +70,10 @@ def training_set(features: DataFrame, labels: DataFrame) -> DataFrame:
     return features.join(labels.where("label is not null").select("ts", "label"), "ts")
 
 
-def transpose(rows: DataFrame) -> DataFrame:
-    """(col, values) of rows (row, values): the matrix turned."""
-    cells = rows.select("row", F.posexplode("values").alias("col", "value"))
-    return cells.groupBy("col").agg(F.transform(F.sort_array(F.collect_list(F.struct("row", "value"))), lambda x: x["value"]).alias("values"))
+def transpose(rows: DataFrame, at_once: int = 4096) -> DataFrame:
+    """(col, block, values) of rows (row, values): the matrix turned, in blocks of at_once row numbers at most."""
+    cells = rows.select("row", F.floor(F.col("row") / at_once).alias("block"), F.posexplode("values").alias("col", "value"))
+    return cells.groupBy("col", "block").agg(F.transform(F.sort_array(F.collect_list(F.struct("row", "value"))), lambda x: x["value"]).alias("values"))
 
 
 def feature_subset(x: str, n: int) -> Column:

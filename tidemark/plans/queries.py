@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import frames as W
@@ -401,10 +401,18 @@ def param_grid(spark, sf_dir):
     return table(spark, sf_dir, "nation").select("n_nationkey").join(grid)
 
 
+def values_of(rows: DataFrame, vector: Column) -> DataFrame:
+    return rows.select("vec_id", F.posexplode(vector).alias("k", "x")).select("vec_id", "k", tidy(F.col("x").cast("double")).alias("value"))
+
+
 @query("select vec_id, (i - 1)::int as k, round(embedding[i]::double, 6) + 0.0 as value from (select *, unnest(range(1, 5)) as i from embeddings)")
 def flatten_population(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(F.slice("embedding", 1, 4)).alias("k", "x"))
-    return rows.select("vec_id", "k", tidy(F.col("x").cast("double")).alias("value"))
+    return values_of(table(spark, sf_dir, "embeddings"), F.slice("embedding", 1, 4))  # as its SQL; flatten_population_all has them all
+
+
+@query()
+def flatten_population_all(spark, sf_dir):
+    return values_of(table(spark, sf_dir, "embeddings"), F.col("embedding"))
 
 
 @query("select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
@@ -727,10 +735,20 @@ def feature_subset(spark, sf_dir):
     return df.select("vec_id", tidy(F.aggregate("c", F.lit(0.0), lambda a, x: a + x), 5).alias("total"))
 
 
+def column_totals(rows: DataFrame) -> DataFrame:
+    turned = M.transpose(rows.select(F.col("vec_id").alias("row"), F.col("embedding").cast("array<double>").alias("values")))
+    total = F.aggregate("values", F.lit(0.0), lambda a, x: a + x)
+    return turned.groupBy("col").agg(F.sum(F.size("values")).cast("bigint").alias("n"), tidy(F.sum(total), 4).alias("total"))
+
+
 @query("select (i - 1)::int as col, count(*) as n, round(sum(embedding[i]::double), 4) + 0.0 as total from (select *, unnest(range(1, 65)) as i from embeddings where label = 3) group by 1")
 def series_to_matrix(spark, sf_dir):
-    rows = M.transpose(table(spark, sf_dir, "embeddings").where("label = 3").select(F.col("vec_id").alias("row"), F.col("embedding").cast("array<double>").alias("values")))
-    return rows.select("col", F.size("values").cast("bigint").alias("n"), tidy(F.aggregate("values", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
+    return column_totals(table(spark, sf_dir, "embeddings").where("label = 3"))  # as its SQL; series_to_matrix_all has all labels
+
+
+@query()
+def series_to_matrix_all(spark, sf_dir):
+    return column_totals(table(spark, sf_dir, "embeddings"))
 
 
 @query()
@@ -827,14 +845,24 @@ def weighted_pick_two(spark, sf_dir):
     return G.weighted_pick_two(items, table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("pair")), 3)
 
 
-@query("select a.vec_id as pair, i as ord, 'g' || i as name, case when (a.vec_id * 7919 + i * 31 + 13) % 1000 < 500 then b.embedding[i]::double else a.embedding[i]::double end as x, case when (a.vec_id * 7919 + i * 31 + 13) % 1000 < 500 then a.embedding[i]::double else b.embedding[i]::double end as y from embeddings a join embeddings b on b.vec_id = a.vec_id + 1, (select unnest(range(1, 6)) as i)")
-def crossover(spark, sf_dir):
-    genes = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(F.slice("embedding", 1, 5)).alias("k", "value"))
+def crossed(rows: DataFrame, vector: Column) -> DataFrame:
+    """Each vector's genes crossed with the next one's."""
+    genes = rows.select("vec_id", F.posexplode(vector).alias("k", "value"))
     genes = genes.select("vec_id", (F.col("k") + 1).cast("bigint").alias("ord"), F.concat(F.lit("g"), F.col("k") + 1).alias("name"), F.col("value").cast("double").alias("value"))
     coin = (F.col("pair") * 7919 + F.col("ord") * 31 + 13) % 1000 < 500
     return G.crossover(genes.withColumnRenamed("vec_id", "pair"), genes.withColumn("pair", F.col("vec_id") - 1).drop("vec_id"), coin)
 
 
+@query("select a.vec_id as pair, i as ord, 'g' || i as name, case when (a.vec_id * 7919 + i * 31 + 13) % 1000 < 500 then b.embedding[i]::double else a.embedding[i]::double end as x, case when (a.vec_id * 7919 + i * 31 + 13) % 1000 < 500 then a.embedding[i]::double else b.embedding[i]::double end as y from embeddings a join embeddings b on b.vec_id = a.vec_id + 1, (select unnest(range(1, 6)) as i)")
+def crossover(spark, sf_dir):
+    return crossed(table(spark, sf_dir, "embeddings"), F.slice("embedding", 1, 5))  # as its SQL; crossover_all has all genes
+
+
+@query()
+def crossover_all(spark, sf_dir):
+    return crossed(table(spark, sf_dir, "embeddings"), F.col("embedding"))
+
+
 def specs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "region").select(F.col("r_name").alias("name"), F.col("r_regionkey").cast("double").alias("min"), (F.col("r_regionkey") + 10.0).alias("max"), F.lit(0.25).alias("granularity"))
 
