@@ -72,3 +72,16 @@ def test_matrix_of_all_labels_is_turned_in_blocks(spark):
     rows = spark.createDataFrame([(i, [float(i), float(-i)]) for i in range(25)], "row long, values array<double>")
     blocks = {(r["col"], r["block"]): r["values"] for r in Q.M.transpose(rows, 10).collect()}
     assert blocks == {(c, b): [float(i * (1 - 2 * c)) for i in range(10 * b, min(25, 10 * b + 10))] for c in (0, 1) for b in range(3)}
+
+
+def test_items_are_picked_from_buckets(spark):
+    items = [(i * 3, float(i % 5)) for i in range(200)]
+    total, upto, want = sum(q for _, q in items), 0.0, {}
+    picks = [(n, (n + 0.5) / 300) for n in range(300)]
+    for i, q in items:
+        want |= {n: i for n, u in picks if upto / total <= u < (upto + q) / total}
+        upto += q
+    rows = Q.G.weighted_pick(spark.createDataFrame(items, "id long, quality double"), spark.createDataFrame(picks, "pick long, u double"), 16)
+    assert sorted(map(tuple, rows.collect())) == sorted(want.items()) and len(want) == 300
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Window" in x and "id#" in x and "[_b#" not in x for x in plan.splitlines())  # no window over all ids

@@ -62,15 +62,24 @@ def best_mixture(evals: DataFrame) -> DataFrame:
     return evals.groupBy("run_id").agg(F.max_by("mixture_id", at).alias("mixture_id"), F.max("fitness").alias("fitness"))
 
 
-def weighted_pick(items: DataFrame, picks: DataFrame) -> DataFrame:
+def weighted_pick(items: DataFrame, picks: DataFrame, buckets: int = 256) -> DataFrame:
     """(pick, id): for each pick's u in 0..1 the item (id, quality) whose interval of the cumulative quality holds u * total.
 
-    Intervals are kept in order of id; an item with no quality is never picked.
+    Intervals are kept in order of id; an item with no quality is never picked. Ids, which are numbers, are cut into buckets
+    at their quantiles; only a bucket's total takes part in the running sum over all, and picks find their bucket first.
     """
-    line = Window.orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
-    bounds = items.withColumn("_to", F.sum("quality").over(line)).withColumn("_all", F.sum("quality").over(Window.partitionBy()))
-    bounds = bounds.where("quality > 0").withColumn("_to", F.col("_to") / F.col("_all")).withColumn("_from", F.col("_to") - F.col("quality") / F.col("_all"))
-    return picks.join(bounds, (F.col("u") >= F.col("_from")) & (F.col("u") < F.col("_to"))).select("pick", "id")
+    able = items.where("quality > 0").select("id", F.col("quality").cast("double").alias("quality"))
+    cuts = able.agg(F.percentile_approx("id", [k / buckets for k in range(1, buckets)]).alias("_cuts"))
+    dealt = able.join(F.broadcast(cuts)).withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col("id")))).drop("_cuts")
+    line = Window.orderBy("_b")  # over the few buckets
+    totals = dealt.groupBy("_b").agg(F.sum("quality").alias("_own")).withColumn("_end", F.sum("_own").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    totals = totals.withColumn("_start", F.coalesce(F.lag("_end").over(line), F.lit(0.0))).withColumn("_all", F.max("_end").over(Window.partitionBy())).drop("_own")
+    own = Window.partitionBy("_b").orderBy("id")
+    bounds = dealt.join(F.broadcast(totals), "_b").withColumn("_to", F.col("_start") + F.sum("quality").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    bounds = bounds.withColumn("_to", F.when(F.lead("id").over(own).isNull(), F.col("_end")).otherwise(F.col("_to")))
+    bounds = bounds.withColumn("_from", F.coalesce(F.lag("_to").over(own), "_start")).select("_b", "id", (F.col("_from") / F.col("_all")).alias("_from"), (F.col("_to") / F.col("_all")).alias("_to"))
+    placed = picks.join(F.broadcast(totals), (F.col("u") >= F.col("_start") / F.col("_all")) & (F.col("u") < F.col("_end") / F.col("_all"))).select("pick", "u", "_b")
+    return placed.join(bounds, "_b").where((F.col("u") >= F.col("_from")) & (F.col("u") < F.col("_to"))).select("pick", "id")
 
 
 def weighted_pick_two(items: DataFrame, pairs: DataFrame, seed: int) -> DataFrame:
