@@ -91,6 +91,32 @@ def test_pruned_search_is_exact():
         assert list(zip((-got[1]).tolist(), got[0].tolist(), strict=True)) == [(float(a), int(b)) for a, b in want]
 
 
+def test_search_of_any_size_and_depth(spark, monkeypatch):
+    """k beyond a shard, equal and repeated rows, one huge component, negative best scores, ids that doubles can't hold."""
+    monkeypatch.setattr(maxscore, "SHARD_ROWS", 40)
+    monkeypatch.setattr(maxscore, "GROUP_QUERIES", 3)
+    monkeypatch.setattr(maxscore, "SUMMARIES", 2)
+    rng = np.random.default_rng(9)
+    ids = [*range(0, 240, 2), *(2**53 + i for i in range(60))]
+    data = [(i, [float(x) for x in rng.normal(size=6)]) for i in ids]
+    data += [data[3], data[3], (1000, data[3][1]), (1001, [1e200, *[0.1] * 5]), (1002, [-1.0]), (1003, [])]
+    for k in (1, 200):
+        out = maxscore.top_k(spark.createDataFrame(data, "vec_id long, embedding array<double>"), maxscore.F.col("vec_id") % 50 == 0, k).collect()
+        q = [(i, [int(np.floor(x * 256)) for x in v]) for i, v in data]
+        want = set()
+        for i, v in ((i, v) for i, v in q if i % 50 == 0):
+            scores = [(-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(v, w, strict=False)))), j) for j, w in q if j != i]
+            want |= {(i, n + 1, j, -s) for n, (s, j) in enumerate(sorted(scores)[:k])}
+        assert {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in out} == want
+
+
+def test_pairs_that_cannot_reach_the_threshold_are_left_out():
+    shards = maxscore.pd.DataFrame({"shard": [0, 1], "high": [np.array([9.0, 1.0]), np.array([1.0, 1.0])], "low": [np.zeros(2)] * 2, "norm": [9.1, 1.4]})
+    queries = maxscore.pd.DataFrame({"part": [0, 0], "vec_id": [5, 6], "query_key": [5, 6], "home": [9, 0], "threshold": [20, maxscore.NONE], "v": [np.array([3.0, 0.0])] * 2})
+    got = maxscore.open_pairs(queries, shards)
+    assert list(zip(got["shard"], got["vec_id"], strict=True)) == [(0, 5), (1, 6)]
+
+
 PAGES = "page_id long, url string, html string, payload string, first string"
 
 
