@@ -1,14 +1,18 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment of equal-token blocks (DataFrame functions only).
 
 Targets share `share` times all words by weight; a source stops at `max_epochs` times its size and the excess goes to
-the others by weight. Blocks of equal length are then given to sources by highest quotients target/(2k+1), and each
-source's blocks to its shards by highest quotients size/(2k+1), so that quotas are whole numbers that sum exactly. In a
-shard, documents lie end to end in a seeded order, are cut into blocks, and a seeded order of the blocks says which ones
-are taken once more than the others.
+the others by weight. A source is cut into shards of about SHARD_WORDS words by a hash of its documents, a shard's
+documents lie end to end in a seeded order, and the shard is cut into equal blocks of about BLOCK words. Blocks are given
+to sources by highest quotients target/(2k+1), and each source's blocks to its shards by highest quotients size/(2k+1), so
+that quotas are whole numbers that sum exactly. In a shard a seeded order of the blocks says which are taken once more than
+the others; what rounding to blocks leaves of the source's target is spread over its shards and cuts or lengthens the last
+block that each takes. A document is thus taken whole wherever its blocks are, and otherwise in contiguous runs.
 
 Defined results: null or wordless text has size 0 and nothing is taken; a null source is a source of its own, placed
-last; a null doc_id is an ordinary document that hashes as the empty string; repeated rows are mixed each on its own;
-other columns pass through; an empty table gives an empty result. The catalogue of sources must fit one task's sort.
+last; a null doc_id is an ordinary document that hashes by its text; repeated rows are mixed each on its own; other
+columns, whatever their names, pass through (those named as a new one are replaced by it in mix_sources and kept in
+mixed_texts); an empty table gives an empty result. The catalogue of sources, and the shards of a source, of which there
+are MOST_SHARDS at most, must fit one task's sort.
 """
 
 from __future__ import annotations
@@ -18,15 +22,13 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.shared import WORD, stored
 
-#: Words of the shards a source is cut into (in all), most shards of a source, longest block in words, blocks in all.
-SHARD_WORDS, MOST_SHARDS, MOST_BLOCK, BLOCKS = 1 << 16, 1 << 16, 8, 1 << 17
-#: Two primes; a block's place in the seeded order is (prime * block + start) mod blocks, with the prime that doesn't divide it.
-STRIDES = (1000003, 999983)
+#: Words of a block, words of a shard of a source, shards of a source at most (beyond, shards grow).
+BLOCK, SHARD_WORDS, MOST_SHARDS = 512, 1 << 16, 1 << 24
+NEW = ("size", "source_size", "target", "taken", "times", "runs")
 
 
-def hashed(col: str, part: int) -> Column:
-    """32 bits of the MD5 of a column's text, as long; the same on every engine."""
-    text = F.coalesce(F.col(col).cast("string"), F.lit(""))
+def hashed(text: Column, part: int = 0) -> Column:
+    """32 bits of the MD5 of a text, as long; the same on every engine."""
     return F.conv(F.substring(F.md5(text), 1 + 8 * part, 8), 16, 10).cast("long")
 
 
@@ -72,81 +74,107 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: flo
     return s.withColumn("target", F.least(F.col("cap"), F.coalesce(level * F.col("weight"), F.col("cap")))).drop("cap", "level")
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, max_epochs: int = 2, seed: int = 0) -> DataFrame:
-    """Every row of docs (doc_id, text, source, ...) with size, source_size, target, taken, and its place in its shard.
+def mix_plan(docs: DataFrame, keep: list[str], weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, max_epochs: int = 2, seed: int = 0) -> DataFrame:
+    """(row, size, source_size, target, taken, times, runs) of every row of docs (doc_id, text, source, ...).
 
-    place: where the document starts in its shard, and the shard's words, blocks, blocks to take, and order of blocks,
-    which say how often each word is taken (times_taken). Columns of docs that have one of the new names are replaced.
+    row: a struct of the columns to keep. The whole text is taken `times` times, and once more the runs of words
+    (begin, end) of `runs`.
     """
-    new = ("size", "source_size", "target", "taken", "place")
-    docs = docs.drop(*[c for c in new if c in docs.columns])
-    sized = docs.withColumn("size", words())
-    # Everything but the text decides the mix: that part is stored once and feeds both the totals and the rows.
-    narrow = "text" not in docs.columns or set(docs.columns) <= {"doc_id", "source", "text"}
-    if narrow:
-        sized = stored(sized.drop("text"), "mix")
-    total = sized.agg(F.sum("size")).first()[0] or 0
-    shards = min(max(-(-total // SHARD_WORDS), 1), MOST_SHARDS)
-    block = min(max(total // BLOCKS, 1), MOST_BLOCK)
-    sized = sized.withColumn("shard", hashed("doc_id", 0) % shards)
-    sized = sized.withColumn("_s", F.coalesce("source", F.lit(""))).withColumn("_null", F.col("source").isNull())
-    cells = stored(sized.groupBy("source", "shard").agg(F.sum("size").alias("cell_size")), "mix")
-    by_source = targets(cells.groupBy("source").agg(F.sum("cell_size").alias("source_size")), weights, share, max_epochs)
-    blocks = F.greatest(F.rint(F.col("cell_size") / block), F.lit(1.0)).cast("long")
-    seats = F.floor(F.sum("target").over(Window.partitionBy()) / block).cast("long")
-    by_source = apportion(by_source.withColumn("seats", seats), [], "rank", "target", "seats").withColumnRenamed("won", "quota").drop("seats")
-    quotas = cells.withColumnRenamed("source", "_s").join(by_source, F.col("_s").eqNullSafe(F.col("source")))
-    quotas = quotas.select("source", "shard", "cell_size", "rank", "source_size", "target", "quota")
-    quotas = apportion(quotas, ["rank"], "shard", "cell_size", "quota")
-    quotas = quotas.withColumn("blocks", blocks).withColumn("won", F.least(F.col("won"), max_epochs * F.col("blocks")))
-    quotas = quotas.withColumn("_s", F.coalesce("source", F.lit(""))).withColumn("_null", F.col("source").isNull())
-    quotas = stored(quotas.select("_s", "_null", "shard", "cell_size", "rank", "source_size", "target", "blocks", "won"), "mix")
+    key = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit(""))))
+    facts = [F.col("source"), F.col("doc_id").alias("id"), words().alias("size"), hashed(key).alias("spot"), hashed(key, 1).alias("turn")]
+    row = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row") if keep else F.lit(None).alias("row")
+    # Everything but the text decides the mix: that part is stored once and feeds the totals, and the rows if no text is kept.
+    wide = "text" in keep
+    facts_only = stored(docs.select(*facts, *([] if wide else [row])), "mix")
+    rows = docs.select(*facts, row, F.xxhash64("text").alias("last")) if wide else facts_only.withColumn("last", F.lit(0))
+
+    sources = targets(facts_only.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, max_epochs)
+    seats = F.floor(F.sum("target").over(Window.partitionBy()) / BLOCK).cast("long")
+    sources = apportion(sources.withColumn("seats", seats), [], "rank", "target", "seats").withColumnRenamed("won", "quota")
+    shards = F.least(F.greatest(div(F.col("source_size") + SHARD_WORDS - 1, F.lit(SHARD_WORDS)), F.lit(1)), F.lit(MOST_SHARDS))
+    sources = stored(sources.select(F.col("source").alias("of"), "rank", "source_size", "target", "quota", shards.alias("shards")), "mix")
+
+    def dealt(some: DataFrame) -> DataFrame:
+        found = some.join(sources.select("of", "rank", "shards"), some["source"].eqNullSafe(F.col("of")))
+        return found.withColumn("shard", F.col("spot") % F.col("shards")).drop("source", "of", "shards", "spot")
+
+    cells = dealt(facts_only).groupBy("rank", "shard").agg(F.sum("size").alias("cell_size"))
+    cells = apportion(cells.join(sources.select("rank", "source_size", "target", "quota"), "rank"), ["rank"], "shard", "cell_size", "quota")
+    cells = cells.withColumn("blocks", F.greatest(F.rint(F.col("cell_size") / BLOCK), F.lit(1.0)).cast("long"))
+    cells = cells.withColumn("rough", div(F.least("won", max_epochs * F.col("blocks")) * F.col("cell_size"), F.col("blocks")))
+    own = Window.partitionBy("rank")
+    cells = cells.withColumn("gap", F.floor("target").cast("long") - F.sum("rough").over(own)).withColumn("n", F.count(F.lit(1)).over(own))
+    cells = cells.withColumn("i", F.row_number().over(own.orderBy("shard")).cast("long"))
+    even = div(F.col("gap") * F.col("i"), F.col("n")) - div(F.col("gap") * (F.col("i") - 1), F.col("n"))
+    cells = cells.withColumn("wanted", F.greatest(F.lit(0), F.least(F.col("rough") + even, max_epochs * F.col("cell_size"))))
+    size = F.greatest(F.col("cell_size"), F.lit(1))
+    cells = cells.select("rank", "shard", "cell_size", "source_size", "target", "blocks", div(F.col("wanted"), size).alias("times"), (F.col("wanted") % size).alias("rest"))
+    # How much of each block, from its beginning, is taken once more: all of the first ones in the seeded order, and part of one.
+    each = cells.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    each = each.withColumn("length", edge(F.col("j") + 1) - edge(F.col("j")))
+    line = Window.partitionBy("rank", "shard").orderBy(hashed(F.concat_ws(":", F.lit(seed), "rank", "shard", "j")), "j")
+    before = F.coalesce(F.sum("length").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    each = each.withColumn("more", F.greatest(F.lit(0), F.least(F.col("length"), F.col("rest") - before)))
+    same = [F.first(c).alias(c) for c in ("cell_size", "source_size", "target", "blocks", "times")]
+    more = F.transform(F.array_sort(F.collect_list(F.struct("j", "more"))), lambda x: x["more"]).alias("more")
+    cells = stored(each.groupBy("rank", "shard").agg(*same, more), "mix")
+
     # A cell is small by construction, so one exchange by cell serves both the running sum and the join.
-    line = Window.partitionBy("_s", "_null", "shard").orderBy(hashed("doc_id", 1), "doc_id", "size")
-    placed = sized.withColumn("_end", F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    placed = placed.join(quotas, ["_s", "_null", "shard"])
-    stride = F.when(F.col("blocks") % STRIDES[0] == 0, F.lit(STRIDES[1])).otherwise(F.lit(STRIDES[0])).cast("long")
-    offset = F.col("shard") * 7919 + F.col("rank") * 104729 + seed
-    cell = F.greatest(F.col("cell_size"), F.lit(1))
-    placed = placed.withColumn("place", F.struct((F.col("_end") - F.col("size")).alias("start"), cell.alias("words"), "blocks", "won", stride.alias("stride"), offset.alias("offset")))
-    start, end, words_, n = F.col("place.start"), F.col("_end"), F.col("place.words"), F.col("place.blocks")
-    edge = lambda j: div(j * words_, n)
-    parts = F.sequence(block_of(start), block_of(end - 1))
-    count = lambda acc, j: acc + (F.least(end, edge(j + 1)) - F.greatest(start, edge(j))) * times_taken(j)
-    taken = F.when(F.col("size") > 0, F.aggregate(parts, F.lit(0).cast("long"), count)).otherwise(F.lit(0).cast("long"))
-    out = placed.withColumn("taken", taken)
-    return out.select(*[c for c in docs.columns if c in out.columns], *new)
+    line = Window.partitionBy("rank", "shard").orderBy("turn", "id", "size", "last").rowsBetween(Window.unboundedPreceding, 0)
+    placed = dealt(rows).withColumn("end", F.sum("size").over(line)).withColumn("start", F.col("end") - F.col("size")).join(cells, ["rank", "shard"])
+
+    def join_run(runs: Column, j: Column) -> Column:
+        begin = F.greatest(F.col("start"), edge(j)) - F.col("start")
+        end = F.least(F.col("end"), edge(j) + F.get("more", j.cast("int"))) - F.col("start")
+        last = F.element_at(runs, -1)
+        touches = (F.size(runs) > 0) & (F.try_element_at(runs, F.lit(-1))["end"] == begin)
+        longer = F.concat(F.slice(runs, 1, F.size(runs) - 1), F.array(F.struct(last["begin"].alias("begin"), end.alias("end"))))
+        return F.when(end <= begin, runs).when(touches, longer).otherwise(F.concat(runs, F.array(F.struct(begin.alias("begin"), end.alias("end")))))
+
+    none = F.array().cast("array<struct<begin:bigint,end:bigint>>")
+    runs = F.when(F.col("size") > 0, F.aggregate(F.sequence(block_of(F.col("start")), block_of(F.col("end") - 1)), none, join_run)).otherwise(none)
+    placed = placed.withColumn("runs", runs)
+    taken = F.col("times") * F.col("size") + F.aggregate("runs", F.lit(0).cast("long"), lambda n, run: n + run["end"] - run["begin"])
+    return placed.select("row", "size", "source_size", "target", taken.alias("taken"), "times", "runs")
+
+
+def mix_sources(docs: DataFrame, keep: list[str] | None = None, **how) -> DataFrame:
+    """Every row of docs (doc_id, text, source, ...) with the columns NEW; keep: those of docs' columns that pass through (all)."""
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in NEW]
+    return mix_plan(docs, kept, **how).select(*[F.col("row").getField(c).alias(c) for c in kept], *NEW)
 
 
 def div(a: Column, b: Column) -> Column:
     return F.call_function("div", a, b)
 
 
-def block_of(word: Column) -> Column:
-    """The block of a shard's word: block j begins at word j * words div blocks."""
-    return div((word + 1) * F.col("place.blocks") - 1, F.col("place.words"))
+def edge(j: Column) -> Column:
+    """The word of a shard that its block j begins at."""
+    return div(j * F.col("cell_size"), F.col("blocks"))
 
 
-def times_taken(block: Column) -> Column:
-    """How often a block is taken: evenly, and once more if it is early in the seeded order."""
-    p = lambda c: F.col(f"place.{c}")
-    early = (p("stride") * block + p("offset")) % p("blocks") < p("won") % p("blocks")
-    return div(p("won"), p("blocks")) + F.when(early, 1).otherwise(0).cast("long")
+def block_of(word: Column) -> Column:
+    return div((word + 1) * F.col("blocks") - 1, F.col("cell_size"))
 
 
 def mixed_texts(docs: DataFrame, **how) -> DataFrame:
-    """The mix as documents: one row per document and repetition that has words, its text the words taken, in order.
+    """The mix as documents with docs' columns: a row for each time a document is taken whole, and for each run of words.
 
-    A document whose blocks are taken up to k times gives up to k rows with its doc_id; row i holds the words of the
-    blocks taken at least i times. n_chars, where present, is the new text's length.
+    A run is a contiguous part of the text from the beginning of a word to the beginning of the next one that isn't taken;
+    one that holds all words is the text as it is. n_chars, where present, is the new text's length.
     """
-    rows = mix_sources(docs, **how).where("taken > 0")
-    most = div(F.col("place.won"), F.col("place.blocks")) + 1
-    rows = rows.withColumn("_turn", F.explode(F.sequence(F.lit(1).cast("long"), most)))
-    pieces = F.regexp_extract_all(F.col("text"), F.lit(rf"({WORD}[\x20\x09-\x0D]*)"), F.lit(1))
-    own = F.filter(pieces, lambda word, i: times_taken(block_of(F.col("place.start") + i)) >= F.col("_turn"))
-    # A generator, so that the text is put together once and not again for the filter and its length.
-    rows = rows.withColumn("text", F.explode(F.filter(F.array(F.array_join(own, "")), lambda text: text != "")))
+    rows = mix_plan(docs, docs.columns, **how).where("taken > 0")
+    text = F.col("row").getField("text")
+    whole = lambda run: (run["begin"] == 0) & (run["end"] == F.col("size"))
+    split = F.regexp_extract_all(text, F.lit(rf"({WORD}[\x20\x09-\x0D]*)"), F.lit(1))
+    rows = rows.withColumn("split", F.when(F.exists("runs", lambda run: ~whole(run)), split))
+    every = F.concat(F.array_repeat(F.struct(F.lit(0).cast("long").alias("begin"), F.col("size").alias("end")), F.col("times").cast("int")), F.col("runs"))
+    rows = rows.select("row", "split", "size", F.explode(every).alias("run"))
+    run = F.col("run")
+    piece = F.array_join(F.slice("split", run["begin"].cast("int") + 1, (run["end"] - run["begin"]).cast("int")), "")
+    # A generator, so that the text is put together once and not again for its length.
+    rows = rows.select("row", F.explode(F.array(F.when(whole(run), text).otherwise(piece))).alias("piece"))
+    new = {"text": F.col("piece")}
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
-    return rows.select(*docs.columns)
+        new["n_chars"] = F.length("piece").cast(dict(docs.dtypes)["n_chars"])
+    return rows.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])

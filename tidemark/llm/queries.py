@@ -35,7 +35,7 @@ def op1_lattice_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return mix_sources(docs, ["doc_id"]).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,38 +95,40 @@ LINKS_SQL = """
     select l.vec_id, coalesce(d.n, 0)::bigint as n_links, l.component_id, l.vec_id = l.component_id as kept
     from least l left join degree d on l.vec_id = d.vec_id"""
 
-#: The mix with all quotients listed and ranked, as apportionment is defined.
+#: The mix with all quotients listed and ranked, as apportionment is defined, and all blocks listed.
 MIX_SQL = r"""
-    with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size from documents),
-         k as (select *, greatest(1, least(65536, (sum(size) over () + 65535) // 65536)) as shards, greatest(1, least(8, sum(size) over () // 131072)) as block from d),
-         h as (select *, ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 8))::bigint % shards::bigint as shard, ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 9, 8))::bigint as place from k),
-         s0 as (select source, sum(size)::bigint as source_size, any_value(block)::bigint as block from h group by 1),
+    with d as (select doc_id, source, coalesce(doc_id::varchar, md5(coalesce(text, ''))) as key, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size from documents),
+         h as (select *, ('0x' || substr(md5(key), 1, 8))::bigint as spot, ('0x' || substr(md5(key), 9, 8))::bigint as turn from d),
+         s0 as (select source, sum(size)::bigint as source_size from h group by 1),
          s1 as (select *, row_number() over (order by source is null, source) - 1 as rank from s0),
          s2 as (select *, [5.0::double, 2.0, 1.0][(rank % 3 + 1)::int] as weight, 2.0::double * source_size as cap from s1),
          s3 as (select *, (1.5::double * sum(source_size) over () - coalesce(sum(cap) over (order by cap / weight, rank rows between unbounded preceding and 1 preceding), 0))
                           / sum(weight) over (order by cap / weight, rank rows between current row and unbounded following) as level from s2),
          s4 as (select *, (select arg_min(level, (cap / weight, rank)) from s3 where cap >= level * weight) as water from s3),
-         s as (select source, rank, source_size, block, least(cap, coalesce(water * weight, cap)) as target from s4),
-         q1 as (select source, target / (2 * k + 1) as quotient, rank, (select floor(sum(target) / any_value(block)) from s) as seats
-                from (select *, unnest(range(0, (target / block)::bigint + 50)) as k from s where target > 0)),
-         q2 as (select source, row_number() over (order by quotient desc, rank) <= seats as won from q1),
-         quota as (select source, count(*) filter (won) as quota from q2 group by 1),
-         c as (select source, shard, sum(size)::bigint as cell_size from h group by 1, 2),
-         c1 as (select c.*, s.rank, s.source_size, s.target, s.block, coalesce(quota.quota, 0) as quota, greatest(1, round_even(c.cell_size / s.block, 0))::bigint as blocks
-                from c join s on c.source is not distinct from s.source left join quota on c.source is not distinct from quota.source),
+         s as (select source, rank, source_size, least(cap, coalesce(water * weight, cap)) as target, greatest(1, (source_size + 65535) // 65536) as shards from s4),
+         q1 as (select rank, target / (2 * k + 1) as quotient, (select floor(sum(target) / 512) from s) as seats
+                from (select *, unnest(range(0, (target / 512)::bigint + 50)) as k from s where target > 0)),
+         q2 as (select rank, row_number() over (order by quotient desc, rank) <= seats as won from q1),
+         quota as (select rank, count(*) filter (won) as quota from q2 group by 1),
+         p as (select h.*, s.rank, h.spot % s.shards as shard from h join s on h.source is not distinct from s.source),
+         c as (select rank, shard, sum(size)::bigint as cell_size from p group by 1, 2),
+         c1 as (select c.*, s.source_size, s.target, coalesce(quota.quota, 0) as quota, greatest(1, round_even(c.cell_size / 512, 0))::bigint as blocks from c join s on c.rank = s.rank left join quota on c.rank = quota.rank),
          q3 as (select rank, shard, quota, cell_size / (2 * k + 1) as quotient
                 from (select *, unnest(range(0, (quota * cell_size / greatest(source_size, 1))::bigint + 50)) as k from c1 where cell_size > 0)),
          q4 as (select rank, shard, row_number() over (partition by rank order by quotient desc, shard) <= quota as won from q3),
          w as (select rank, shard, count(*) filter (won) as won from q4 group by 1, 2),
-         c2 as (select c1.*, least(coalesce(w.won, 0), 2 * blocks) as won from c1 left join w on c1.rank = w.rank and c1.shard = w.shard),
-         p as (select h.doc_id, h.size, c2.*exclude(source, shard), c2.shard as sh, sum(h.size) over (partition by h.source, h.shard order by h.place, h.doc_id, h.size rows unbounded preceding)::bigint as upto
-               from h join c2 on h.source is not distinct from c2.source and h.shard = c2.shard)
-    select doc_id, size, source_size, target,
-           coalesce(list_sum(list_transform(range(((upto - size + 1) * blocks - 1) // greatest(cell_size, 1), (upto * blocks - 1) // greatest(cell_size, 1) + 1), lambda j:
-               (least(upto, ((j + 1) * cell_size) // blocks) - greatest(upto - size, (j * cell_size) // blocks))
-               * (won // blocks + case when ((case when blocks % 1000003 = 0 then 999983 else 1000003 end) * j + sh * 7919 + rank * 104729) % blocks < won % blocks then 1 else 0 end))) , 0)::bigint as taken
-    from p where size > 0
-    union all select doc_id, size, source_size, target, 0 from p where size = 0"""
+         c2 as (select c1.*, (least(coalesce(w.won, 0), 2 * blocks) * cell_size) // blocks as rough from c1 left join w on c1.rank = w.rank and c1.shard = w.shard),
+         c3 as (select *, floor(target)::bigint - (sum(rough) over (partition by rank))::bigint as gap, count(*) over (partition by rank) as n, row_number() over (partition by rank order by shard) as i from c2),
+         c4 as (select *, greatest(0, least(rough + trunc(gap * i / n)::bigint - trunc(gap * (i - 1) / n)::bigint, 2 * cell_size)) as wanted from c3),
+         c5 as (select *, wanted // greatest(cell_size, 1) as times, wanted % greatest(cell_size, 1) as rest from c4),
+         b0 as (select *, unnest(range(0, blocks)) as j from c5),
+         b1 as (select *, (j * cell_size) // blocks as begins, ((j + 1) * cell_size) // blocks - (j * cell_size) // blocks as length, ('0x' || substr(md5('0:' || rank || ':' || shard || ':' || j), 1, 8))::bigint as draw from b0),
+         b2 as (select *, greatest(0, least(length, rest - coalesce(sum(length) over (partition by rank, shard order by draw, j rows between unbounded preceding and 1 preceding), 0)))::bigint as more from b1),
+         e as (select *, (sum(size) over (partition by rank, shard order by turn, doc_id nulls first, size rows unbounded preceding))::bigint as upto, row_number() over () as r from p),
+         m as (select e.r, sum(greatest(0, least(e.upto, b2.begins + b2.more) - greatest(e.upto - e.size, b2.begins)))::bigint as more
+               from e join b2 on e.rank = b2.rank and e.shard = b2.shard and b2.begins < e.upto and b2.begins + b2.length > e.upto - e.size group by 1)
+    select e.doc_id, e.size, c5.source_size, c5.target, (c5.times * e.size + coalesce(m.more, 0))::bigint as taken
+    from e join c5 on e.rank = c5.rank and e.shard = c5.shard left join m on e.r = m.r"""
 
 WARC_SQL = """
     with d as (select page_id, encode(coalesce(html, '')) as body from pages),
