@@ -3,11 +3,16 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
 one's docs; all but the last return the columns of documents. Each works on all that its predecessor kept:
 
-language         drops documents whose language can't be told (no letter, or two codewords equally near)
-near_duplicates  keeps the smallest doc_id of each group of near duplicates
+language         drops documents whose language can't be told (no text, no letter, or two codewords equally near)
+near_duplicates  keeps one row, one with the smallest doc_id, of each group of near duplicates and of repeated rows
 personal_data    replaces e-mail and IP addresses, card and phone numbers by their kind in angle brackets
-mix              takes words by source weights: a document comes out once for every time some of its words are taken
+mix              takes texts by source weights: whole, as often as their words are taken, and contiguous runs of words
 tokens           encodes each text and decodes it again: ids, their number, and whether the decoded text is the text
+
+Nulls, empty tables, repeated rows, rows that share an id, very long texts: each stage does what its operator's docstring
+says. A null doc_id is one document a row and stays null; a null lang isn't learned from; a null source is a source; a null
+text ends in the first stage (given to a later one, it has no duplicate, no personal data, no words to mix and no ids).
+Other columns, whatever their names, pass through all stages but the last.
 """
 
 from __future__ import annotations
@@ -52,7 +57,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Stage]] = [("language", language), ("near_duplicates", near_duplicates), ("personal_data", personal_data), ("mix", mix), ("tokens", tokens)]
 
-#: SQL can't express near-duplicate components of shingle sets, a learned classifier or BPE: tests hold run() against brute force.
+#: SQL can't express a learned classifier or BPE: tests/llm/test_brute_force.py holds each stage and run() against plain versions.
 ORACLE_SQL = None
 
 

@@ -6,11 +6,13 @@ wins, and a text whose best two losses hardly differ is flagged as ambiguous. Wi
 in two are bits; with many, a fixed pseudo-random choice of 12 bits a doubling.
 
 Counts are learned from whole texts of a hash sample of labelled documents, SAMPLE an expected language at most (all
-where there are fewer). Everything else covers all rows and whole texts.
+where there are fewer), of the LANGS most frequent values of lang (ties to the one that sorts first): a bound of the fit,
+so that a lang column of free text fills neither driver nor plan. Everything else covers all rows and whole texts.
 
 Defined results: null text, and text without a letter, is `und` with score 0; ties go to the language that sorts first;
-if no row is labelled all is `und`; other columns are ignored, and lang, source and doc_id never enter a prediction;
-an empty table gives an empty result.
+if no row is labelled all is `und`; repeated rows are predicted each on its own; other columns pass through unchanged,
+null or large ids included (those named lang_pred, score or ambiguous are replaced, by accepted kept), and lang, source and
+doc_id never enter a prediction; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,11 +22,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SAMPLE, BUCKETS, SMOOTH = 2000, 1 << 14, 0.5
+from tidemark.llm.shared import made_of_text
+
+#: Labelled texts a language and languages (the most frequent ones) learned from at most, buckets of trigrams, smoothing.
+SAMPLE, LANGS, BUCKETS, SMOOTH = 2000, 256, 1 << 14, 0.5
 #: Trigrams that count in full towards a margin; gap of losses below which a text is ambiguous; bytes read at a time.
 EVIDENCE, GAP, CHUNK = 40, 0.05, 1 << 20
 LETTER = re.compile(r"[^\W\d_]")
@@ -64,14 +70,14 @@ def codewords(n: int) -> np.ndarray:
 
 def learn(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     """(languages, weights of each bucket for each bit) from labelled (doc_id, text, lang)."""
-    rates = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counted = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang").limit(LANGS)
+    rates = {r["lang"]: r["n"] for r in counted.collect()}
     langs = sorted(rates)
     if not langs:
         return [], np.zeros((BUCKETS + 1, 1))
     draw = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) / float(1 << 30)
-    chosen = F.lit(False)
-    for lang in langs:
-        chosen = chosen | ((F.col("lang") == lang) & (draw < min(1.0, SAMPLE / rates[lang])))
+    share = F.create_map(*[F.lit(x) for lang in langs for x in (lang, min(1.0, SAMPLE / rates[lang]))])
+    chosen = F.coalesce(draw < share[F.col("lang")], F.lit(False))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -83,10 +89,9 @@ def learn(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
                 yield pd.DataFrame({"lang": lang, "bucket": seen, "n": total[seen]})
 
     sample = labelled.where(chosen & F.col("text").isNotNull()).select("lang", "text")
-    found = sample.mapInPandas(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()
+    found = sample.mapInPandas(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros((len(langs), BUCKETS))
-    for r in found:
-        counts[langs.index(r["lang"]), r["bucket"]] = r["n"]
+    counts[np.searchsorted(np.array(langs, object), found["lang"].to_numpy(object)), found["bucket"].to_numpy(np.int64)] = found["n"]
     share = (counts + SMOOTH) / (counts.sum(axis=1, keepdims=True) + SMOOTH * BUCKETS)
     code = codewords(len(langs))
     weights = np.zeros((BUCKETS + 1, code.shape[1]))
@@ -129,18 +134,17 @@ def with_language(docs: DataFrame, labelled: DataFrame) -> DataFrame:
     """docs (text, ...) with lang_pred, score and ambiguous, learned from labelled (doc_id, text, lang)."""
     langs, weights = learn(labelled.where("lang is not null"))
     code = codewords(len(langs))
-    docs = docs.drop("lang_pred", "score", "ambiguous")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            known = np.array([bool(langs) and t is not None and LETTER.search(t) is not None for t in batch["text"]], bool)
-            pred, score, near = np.full(len(batch), "und", object), np.zeros(len(batch)), np.ones(len(batch), bool)
-            if known.any():
-                best, score[known], near[known] = decode(margins(batch["text"][known].tolist(), weights), code)
-                pred[known] = np.array(langs, object)[best]
-            yield batch.assign(lang_pred=pred, score=score, ambiguous=near)
+    def make(texts: list[str | None]) -> dict[str, np.ndarray]:
+        known = np.array([bool(langs) and t is not None and LETTER.search(t) is not None for t in texts], bool)
+        pred, score, near = np.full(len(texts), "und", object), np.zeros(len(texts)), np.ones(len(texts), bool)
+        if known.any():
+            best, score[known], near[known] = decode(margins([t for t, k in zip(texts, known, strict=True) if k], weights), code)
+            pred[known] = np.array(langs, object)[best]
+        return {"lang_pred": pred, "score": score, "ambiguous": near}
 
-    return docs.mapInPandas(run, T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())]))
+    new = {"lang_pred": (T.StringType(), pa.string()), "score": (T.DoubleType(), pa.float64()), "ambiguous": (T.BooleanType(), pa.bool_())}
+    return made_of_text(docs, new, make)
 
 
 def remainder(doc_id: str, n: int) -> F.Column:
@@ -153,8 +157,7 @@ def accepted(docs: DataFrame) -> DataFrame:
 
     The classifier learns from the documents' own lang column.
     """
-    # lang_pred, score and ambiguous of docs' own, if any, are put aside and come back.
-    aside = {c: f"_own_{c}" for c in ("lang_pred", "score", "ambiguous") if c in docs.columns}
-    found = with_language(docs.withColumnsRenamed(aside), docs.select("doc_id", "text", "lang"))
-    kept = found.where("lang_pred <> 'und' and not ambiguous").drop("lang_pred", "score", "ambiguous")
-    return kept.withColumnsRenamed({v: k for k, v in aside.items()}).select(*docs.columns)
+    # Whatever docs' other columns are called, they travel as one struct beside the text.
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"), "text")
+    found = with_language(whole, docs.select("doc_id", "text", "lang")).where("lang_pred <> 'und' and not ambiguous")
+    return found.select(*[F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -4,13 +4,13 @@ A table projects unit vectors with random directions onto blocks of eight coordi
 block to the nearest point of the lattice E8; a vector is filed under its own cell and under the cells that differ in
 one block by one of the nearest neighbouring points. Vectors filed under one cell are compared. How many tables there
 are follows from the share of pairs at the threshold that meet in one table, measured on random pairs of that
-dimension, so that at most `miss` of such pairs meet nowhere; how many blocks a table has grows with the logarithm of
-the number of vectors, so that cells stay small. Cells with over BLOCK vectors are dealt to tasks as blocks of pairs.
-Equal vectors are one class and never expanded into pairs.
+dimension, so that at most `miss` of such pairs meet nowhere; a threshold so low that MOST_TABLES don't suffice is refused.
+How many blocks of eight a table has is a parameter, for more of them make cells smaller and tables more. Cells with over
+BLOCK vectors are dealt to tasks as blocks of pairs. Equal vectors are one class and never expanded into pairs.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components link with nothing; vectors of
-different lengths don't link; vec_id is the key (rows that share one are one vertex), a null vec_id links with nothing,
-has a null component and is kept; other columns are ignored; an empty table gives an empty result.
+different lengths don't link; vec_id is the key (rows that share one are one vertex, with the links of all its vectors; a
+row's n_links are its own vector's), a null vec_id links with nothing, has a null component and is kept; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,9 +24,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import components, runs, stored
+from tidemark.llm.shared import components, one_vertex, runs, stored
 
-SCALE, PROBES, BLOCK = 4.0, 3, 512
+SCALE, PROBES, BLOCK, MOST_TABLES = 4.0, 3, 512, 512
 
 
 def roots() -> np.ndarray:
@@ -88,7 +88,10 @@ def tables(dim: int, blocks: int, threshold: float, miss: float) -> int:
     y = threshold * x + np.sqrt(1 - threshold**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
     a, b = cells(x, 0, blocks), cells(y, 0, blocks)
     meet = (a[:, :, None] == b[:, None, :]).any(axis=(1, 2)).mean()
-    return min(64, max(1, int(np.ceil(np.log(miss) / np.log(1 - min(max(meet, 1e-3), 0.999))))))
+    n = max(1, int(np.ceil(np.log(miss) / np.log(1 - min(max(meet, 1e-9), 0.999)))))
+    if n > MOST_TABLES:
+        raise ValueError(f"{n} tables would be needed at this threshold, miss and number of blocks; {MOST_TABLES} are the most")
+    return n
 
 
 def usable(vector: str) -> F.Column:
@@ -102,13 +105,11 @@ def unit_rows(vectors: list) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def cosine_links(vectors: DataFrame, threshold: float = 0.9, miss: float = 0.005) -> DataFrame:
+def cosine_links(vectors: DataFrame, threshold: float = 0.9, miss: float = 0.005, blocks: int = 2) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of vectors (vec_id, embedding, ...)."""
     vectors = vectors.select(F.col("vec_id").cast("long"), "embedding")
     named = vectors.where(usable("embedding") & F.col("vec_id").isNotNull())
     classes = stored(named.groupBy("embedding").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("n")), "lattice-classes")
-    total = classes.count()
-    blocks = 2 + int(total > 1_000_000) + int(total > 100_000_000)
 
     def file(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -155,11 +156,14 @@ def cosine_links(vectors: DataFrame, threshold: float = 0.9, miss: float = 0.005
     links = stored(pairs.distinct(), "lattice-links")
     ends = links.select(F.col("a").alias("id"), F.col("nb").alias("m")).unionByName(links.select(F.col("b").alias("id"), F.col("na").alias("m")))
     degrees = ends.groupBy("id").agg(F.sum("m").alias("linked"))
-    found = components(links.select("a", "b"), "lattice-components")
-    copies = classes.where("n > 1").select("embedding", F.col("id").alias("first"), "n")
     good = F.col("vec_id").isNotNull() & usable("embedding")
+    keyed = vectors.select(F.col("vec_id").alias("id"), F.when(good, F.col("embedding")).alias("embedding"))
+    every, several = one_vertex(links, keyed, classes.select("embedding", F.col("id").alias("first")), "embedding", "lattice")
+    found = components(every, "lattice-components")
+    copies = classes.where("n > 1").select("embedding", F.col("id").alias("first"), "n")
     out = vectors.withColumn("good", good).join(copies, "embedding", "left").withColumn("id", F.when(F.col("good"), F.coalesce("first", "vec_id")))
-    out = out.join(degrees, "id", "left").join(found, "id", "left")
+    out = out.join(degrees, "id", "left").drop("id").join(several.withColumnRenamed("id", "of"), F.col("vec_id") == F.col("of"), "left")
+    out = out.withColumn("id", F.coalesce("vertex", F.when(F.col("good"), F.coalesce("first", "vec_id")))).join(found, "id", "left")
     n_links = F.when(F.col("good"), F.coalesce("linked", F.lit(0)) + F.coalesce("n", F.lit(1)) - 1).otherwise(0).cast("long")
     out = out.select("vec_id", n_links.alias("n_links"), F.coalesce("component_id", "id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

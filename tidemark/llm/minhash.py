@@ -6,24 +6,29 @@ equal sets are one class before anything else, so exact copies cost nothing. In
 with one hub, the class that meets most others (linear however large the bucket). A bucket that is then still in more
 than one component is searched for links between them: its stragglers, the classes outside its largest component, are
 compared with all of it, in blocks of bounded size that count common shingles by their postings; of the links of a
-straggler to a component one is enough. All links are confirmed as 100 * intersection >= 75 * union on full sets.
+straggler to a component one is enough. Sets whose sizes differ by more than the share allows can't be linked and don't meet.
+All links are confirmed as 100 * intersection >= 75 * union on full sets.
 
 Defined results: null, empty and wordless texts have no shingle and are linked with nothing; with fewer words than a
-shingle has, the whole sequence is the one shingle; doc_id is the key: rows that share one are one vertex, and a null
-doc_id is linked with nothing, has a null component and is kept; other columns are ignored; an empty table gives none.
+shingle has, the whole sequence is the one shingle; doc_id is the key: rows that share one are one vertex, whose links
+are those of all their texts, and a null doc_id is linked with nothing, has a null component and is kept; other columns are
+ignored; an empty table gives none. deduplicated keeps one row of each group, repeated rows and null ids included.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.llm.shared import components, runs, stored
+from tidemark.llm.shared import components, made_of_text, one_vertex, runs, stored
 
 BANDS, ROWS = 24, 4
 #: Stragglers and classes of a bucket that meet in one block; counted pairs of shingles, rows with sets at a time.
@@ -107,13 +112,12 @@ def bands(shingles: np.ndarray) -> np.ndarray:
 def signatures(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, set_key, bands) of docs (doc_id, text)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None, bands(s) if len(s) else None) for s in shingle_sets(batch["text"].tolist())]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_shingles": [r[0] for r in rows], "set_key": [r[1] for r in rows], "bands": [r[2] for r in rows]})
+    def make(texts: list[str | None]) -> dict[str, list]:
+        rows = [(len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None, bands(s) if len(s) else None) for s in shingle_sets(texts)]
+        return {c: [r[i] for r in rows] for i, c in enumerate(new)}
 
-    kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, n_shingles long, set_key binary, bands array<long>")
+    new = {"n_shingles": (T.LongType(), pa.int64()), "set_key": (T.BinaryType(), pa.binary()), "bands": (T.ArrayType(T.LongType()), pa.list_(pa.int64()))}
+    return made_of_text(docs.select("doc_id", "text"), new, make).drop("text")
 
 
 def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -171,11 +175,15 @@ def common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 
 
 def across(docs: DataFrame, shared: DataFrame, found: DataFrame, share: int) -> DataFrame:
-    """Links (a, b) between different components of a bucket. shared: (band, id); found: components so far."""
-    rows = shared.join(found, "id", "left").select("band", "id", F.coalesce("component_id", "id").alias("c"))
+    """Links (a, b) between different components of a bucket. shared: (band, id, n_shingles); found: components so far."""
+    rows = shared.join(found, "id", "left").select("band", "id", "n_shingles", F.coalesce("component_id", "id").alias("c"))
+    # Sets that can be linked lie in the same class of sizes or in neighbouring ones; a pair meets where its smaller set's class does.
+    size = F.floor(F.log(F.col("n_shingles").cast("double")) / math.log(100 / share) + 1e-9).cast("int")
+    filed = F.array(F.struct(size.alias("size"), F.lit(True).alias("home")), F.struct((size - 1).alias("size"), F.lit(False).alias("home")))
+    rows = rows.withColumn("filed", F.explode(filed)).select(F.xxhash64("band", "filed.size").alias("band"), "id", "c", "filed.home")
     rows = stored(rows, "near-open")
-    sizes = rows.groupBy("band", "c").agg(F.count(F.lit(1)).alias("n"))
-    buckets = sizes.groupBy("band").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most")).where("n > most")
+    sizes = rows.groupBy("band", "c").agg(F.count(F.lit(1)).alias("n"), F.max("home").alias("home"))
+    buckets = sizes.groupBy("band").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most"), F.max("home").alias("home")).where("n > most and home")
     chunks = lambda n, size: F.ceil(n / size).cast("int")
     rows = rows.join(buckets.select("band", "main", chunks(F.col("n"), RIGHT).alias("kr"), chunks(F.col("n") - F.col("most"), LEFT).alias("kl")), "band")
     chunk = lambda k: F.pmod(F.xxhash64("id", F.lit(23)), F.col(k)).cast("int")
@@ -216,8 +224,8 @@ def near_duplicates(docs: DataFrame, share: int = 75) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     rows = stored(signatures(docs), "near-rows", 4 * BATCH)
     named = rows.where("n_shingles > 0 and doc_id is not null")
-    classes = stored(named.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("n")), "near-classes")
-    entries = classes.select("id", F.explode("bands").alias("band"))
+    classes = stored(named.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n_shingles"), F.count(F.lit(1)).alias("n")), "near-classes")
+    entries = classes.select("id", "n_shingles", F.explode("bands").alias("band"))
     met = entries.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = stored(entries.join(met, "band"), "near-buckets")
     central = shared.groupBy("id").agg(F.sum("n").alias("met"))
@@ -227,17 +235,32 @@ def near_duplicates(docs: DataFrame, share: int = 75) -> DataFrame:
     texts = docs.join(classes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
     links = confirmed(texts, stored(star, "near-pairs"), share)
     found = components(links, "near-components")
-    links = links.unionByName(across(texts, shared.select("band", "id"), found, share))
+    links = links.unionByName(across(texts, shared.select("band", "id", "n_shingles"), found, share))
+    links, several = one_vertex(links, rows.select(F.col("doc_id").alias("id"), "set_key"), classes.select("set_key", F.col("id").alias("first")), "set_key", "near")
     found = components(links, "near-components")
     copies = classes.where("n > 1").select("set_key", F.col("id").alias("first"))
-    out = rows.join(copies, "set_key", "left").withColumn("id", F.coalesce("first", "doc_id"))
-    out = out.join(found, "id", "left")
-    component = F.when(F.col("doc_id").isNull(), None).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("component_id", "id"))
+    out = rows.join(copies, "set_key", "left").join(several, rows["doc_id"] == several["id"], "left").drop("id")
+    out = out.withColumn("id", F.coalesce("vertex", "first", "doc_id")).join(found, "id", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "id"))
     out = out.select("doc_id", "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def deduplicated(docs: DataFrame, share: int = 75) -> DataFrame:
-    """The rows of docs of which each group of near duplicates keeps the smallest doc_id."""
-    gone = near_duplicates(docs, share).where("not kept").select(F.col("doc_id").cast(dict(docs.dtypes)["doc_id"])).distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of docs of each group of near duplicates: one with the smallest doc_id.
+
+    A null doc_id is larger than any other; for the search its row has a place of its own by a hash of all columns, beyond
+    2^62, where ids are asked not to lie. Of repeated rows one stays; of other rows that share an id, which are one vertex,
+    the first by text and then by hash. Columns of any name and type but maps pass through.
+    """
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    place = F.shiftrightunsigned(F.xxhash64(*columns), 2).bitwiseOR(F.lit(1 << 62))
+    packed = docs.select(F.coalesce(F.col("doc_id").cast("long"), place).alias("_place"), F.struct(*columns).alias("row"))
+    found = stored(near_duplicates(packed.select(F.col("_place").alias("doc_id"), F.col("row.text").alias("text")), share), "near-found")
+    gone = found.where("not kept").select(F.col("doc_id").alias("_place")).distinct()
+    again = found.where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("_place"))
+    left = packed.join(gone, "_place", "left_anti")
+    first = Window.partitionBy("_place").orderBy("row.text", F.xxhash64("row"))
+    several = left.join(again, "_place", "left_semi").dropDuplicates().withColumn("_first", F.row_number().over(first)).where("_first = 1").drop("_first")
+    kept = left.join(again, "_place", "left_anti").unionByName(several)
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

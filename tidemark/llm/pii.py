@@ -3,8 +3,9 @@
 Patterns give the base spans of each kind: leftmost, not overlapping, failing ones dropped without another try. They hold
 for whole texts and are linear in their length (an e-mail is looked for at each @, numbers at each run of digits).
 
-The network is trained in numpy, from the base spans of a hash sample of DOCUMENTS texts at most; which windows of a text
-it sees is drawn by hash. It reads classes of characters in windows of WINDOW characters that overlap by half, and decodes
+The network is trained in numpy, from the base spans of a hash sample of DOCUMENTS texts at most, and from what has their
+shape and only fails a check (Luhn, numbers up to 255), which is made again of all that it finds; which windows of a text it
+sees is drawn by hash. It reads classes of characters in windows of WINDOW characters that overlap by half, and decodes
 each by Viterbi. A span of any kind holds a digit or an @, and an e-mail holds no white space, so windows are laid over
 every stretch within half a window of a digit or @ and over the whole run of other characters around an @. The tags of
 neighbouring windows are joined at the middle of their overlap and spans are built from the joined path, so a span may be
@@ -13,8 +14,9 @@ confidence if they overlap none that was taken, and only if they have what their
 to 19 digits that pass Luhn; a phone 9 to 15 digits and a + or parentheses).
 
 Defined results: null text is the empty text and has no spans; a text in which all is base yields just that; offsets
-count code points, ends exclusive; other columns are ignored; an empty table gives an empty result, and where nothing
-can be learned the base spans are the result.
+count code points, ends exclusive; doc_id plays no part and comes back as it is, null or repeated; other columns are
+ignored by with_spans and pass unchanged through redacted; an empty table gives an empty result, and where nothing can be
+learned the base spans are the result.
 """
 
 from __future__ import annotations
@@ -25,10 +27,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm.shared import made_of_text
+
 KINDS = ("email", "ip", "card", "phone")
 #: Texts learned from at most (in expectation), windows of them, window length, network sizes, steps, confidence asked for.
 DOCUMENTS, WINDOWS, WINDOW, EMBED, HIDDEN, STEPS, BATCH, SURE = 4000, 1500, 48, 6, 12, 320, 48, 0.9
@@ -37,6 +42,8 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+#: Rows of text handled at a time.
+ROWS = 2048
 DIGITS, TRIGGER, RUN = re.compile("[0-9]+"), re.compile("[0-9@]"), re.compile(r"\S*")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
@@ -80,6 +87,15 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", max(at + 1, free))
 
 
+def shapes(text: str) -> list[tuple[str, int, int]]:
+    """Spans to learn from: those of the patterns, before the checks that characters don't show (Luhn, numbers up to 255)."""
+    found = base_spans(text)
+    if DIGITS.search(text):
+        found += [("ip", m.start(), m.end()) for m in IP.finditer(text)]
+        found += [("card", m.start(), m.end()) for m in CARD.finditer(text) if 12 <= len(digits(m[0])) <= 19]
+    return sorted(set(found), key=lambda s: (s[1], KINDS.index(s[0])))
+
+
 def base_spans(text: str | None) -> list[tuple[str, int, int]]:
     """Spans of the fixed patterns, by start, then by kind as listed."""
     text = text or ""
@@ -273,7 +289,7 @@ def padded(parts: list[np.ndarray]) -> np.ndarray:
 
 def lessons(key: int, text: str) -> list[tuple[int, int, str, list[int]]]:
     """(round, draw, window, tags) of a text's windows: a hash puts them in order, two a round."""
-    tags, out = tagged(text, base_spans(text)), []
+    tags, out = tagged(text, shapes(text)), []
     drawn = sorted((int.from_bytes(hashlib.blake2b(f"{key}:{a}".encode(), digest_size=7).digest()), a, b) for a, b in windows(text))
     for n, (draw, a, b) in enumerate(drawn[:WINDOWS]):
         out.append((n // 2, draw, text[a:b], tags[a:b].tolist()))
@@ -292,7 +308,7 @@ def learned(rows: list[tuple[str, list[int]]]) -> Tagger | None:
 
 
 def train(texts: list[str]) -> Tagger | None:
-    """A tagger from the base spans of texts; None where no text has one."""
+    """A tagger from the shapes in texts; None where no text has one."""
     rows = sorted(row for n, text in enumerate(texts) for row in lessons(n, text))
     return learned([row[2:] for row in rows[:WINDOWS]])
 
@@ -370,15 +386,15 @@ def with_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) of docs (doc_id, text, ...)."""
     tagger = fitted(docs)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts = [t or "" for t in batch["text"]]
-            base = [base_spans(t) for t in texts]
-            every = all_spans(texts, base, tagger)
-            out = {"doc_id": batch["doc_id"]} | {f"n_{k}": [sum(s[0] == k for s in own) for own in base] for k in KINDS}
-            yield pd.DataFrame(out | {"base_sha256": [hashlib.sha256(written(s).encode()).hexdigest() for s in base], "spans": [written(s) for s in every]})
+    def make(rows: list[str | None]) -> dict[str, list]:
+        texts = [t or "" for t in rows]
+        base = [base_spans(t) for t in texts]
+        every = all_spans(texts, base, tagger)
+        out = {f"n_{k}": [sum(s[0] == k for s in own) for own in base] for k in KINDS}
+        return out | {"base_sha256": [hashlib.sha256(written(s).encode()).hexdigest() for s in base], "spans": [written(s) for s in every]}
 
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    new = {f"n_{k}": (T.LongType(), pa.int64()) for k in KINDS} | {c: (T.StringType(), pa.string()) for c in ("base_sha256", "spans")}
+    return made_of_text(docs.select("doc_id", "text"), new, make, ROWS).drop("text")
 
 
 def redacted(docs: DataFrame) -> DataFrame:
@@ -396,14 +412,12 @@ def redacted(docs: DataFrame) -> DataFrame:
             at = max(at, b)
         return "".join([*out, text[at:]])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts = [t or "" for t in batch["text"]]
-            spans = all_spans(texts, [base_spans(t) for t in texts], tagger)
-            new = [None if old is None else clean(t, s) if s else t for old, t, s in zip(batch["text"], texts, spans, strict=True)]
-            yield batch.assign(text=new)
+    def make(rows: list[str | None]) -> dict[str, list]:
+        texts = [t or "" for t in rows]
+        spans = all_spans(texts, [base_spans(t) for t in texts], tagger)
+        return {"text": [None if old is None else clean(t, s) if s else t for old, t, s in zip(rows, texts, spans, strict=True)]}
 
-    out = docs.mapInPandas(run, T.StructType(docs.schema.fields))
+    out = made_of_text(docs, {"text": (T.StringType(), pa.string())}, make, ROWS)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
     return out

@@ -4,7 +4,9 @@ Groups of equal texts stay together. Groups lie in hash order; the least shard c
 more than the given shards is found by binary search, and the walk's cuts at that capacity are the shards. The search
 runs on bounded summaries: groups' end offsets are summarised in bins, the walk is done once with the latest end that
 may exist (a lower bound of the capacity) and once with ends known to exist (an upper bound), and only bins where the two
-differ are summarised again, finer, until both agree. The driver never holds more than 2 * BINS offsets a round.
+differ are summarised again, finer, until both agree. A round summarises in 2 * BINS bins at most. Where a round gained
+little, the next one looks at the first open range alone, which it narrows BINS times, so that a range takes as many rounds
+as its length has digits to the base BINS, and the driver holds a few times shards * BINS offsets in the end.
 
 Defined results: null text has no bytes (size 1, crc 0), and all null texts are one group; empty text is another group;
 null doc_ids and repeated rows are rows like any other; other columns are ignored; an empty table gives an empty result.
@@ -58,11 +60,12 @@ def minimax_cuts(ends: DataFrame, end: str, total: int, shards: int) -> list[int
     """The group ends at which to cut 0..total into shards contiguous parts of least largest size."""
     windows = [(0, total)]
     bins: list[tuple[int, int, int]] = []
-    before, fine = 2 * total + 2, BINS
+    before = 2 * total + 2
     while True:
         reach = sum(b - a for a, b in windows)
-        fine = BINS if reach <= before // 2 else 4 * fine  # finer still where a round has gained little
-        before, each = reach, max(4, fine // len(windows))
+        if reach > before // 2:
+            windows = windows[:1]
+        before, each = reach, max(4, BINS // len(windows))
         inside, which, bin_ = F.lit(False), F.lit(0), F.lit(0).cast("long")
         for a, b in windows:
             own = (F.col(end) > a) & (F.col(end) <= b)

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word is a run of characters outside ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -17,10 +20,13 @@ ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir as the session has it; only where it is unset, one of our own."""
+    """The folder all executors share: spark.checkpoint.dir as the session has it; only where it is unset, and executors run here, one of our own."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemark-"))
     return context.getCheckpointDir().rstrip("/")
 
 
@@ -41,6 +47,31 @@ def stored(df: DataFrame, tag: str, batch: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def made_of_text(df: DataFrame, new: dict[str, tuple[T.DataType, pa.DataType]], make: Callable[[list[str | None]], dict[str, Any]], rows: int = 1 << 30, end: Callable[[], None] = lambda: None) -> DataFrame:
+    """df with the columns `new`, made of its texts, `rows` at a time; columns of these names are replaced.
+
+    All other columns pass as Arrow arrays, untouched: whole numbers beside nulls stay what they are. end runs in a worker
+    when its task ends, however it ends.
+    """
+    kept = df.drop(*[c for c in new if c != "text"]).columns
+    df = df.select(*[F.col(f"`{c}`") for c in kept])
+    place, types = kept.index("text"), {c: arrow for c, (_, arrow) in new.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, rows):
+                    part = batch.slice(at, rows)
+                    made = make(part.column(place).to_pylist())
+                    own = {c: pa.array(x, types[c]) for c, x in made.items()}
+                    columns = [own.pop(c) if c == "text" and c in own else part.column(i) for i, c in enumerate(kept)]
+                    yield pa.RecordBatch.from_arrays([*columns, *own.values()], names=[*kept, *own])
+        finally:
+            end()
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, *[T.StructField(c, spark) for c, (spark, _) in new.items() if c != "text"]]))
+
+
 def components(links: DataFrame, tag: str = "components") -> DataFrame:
     """Smallest id reachable from each linked id.
 
@@ -72,6 +103,19 @@ def components(links: DataFrame, tag: str = "components") -> DataFrame:
     return labels.join(smallest, "label").select("id", "component_id")
 
 
+def one_vertex(links: DataFrame, rows: DataFrame, classes: DataFrame, key: str, tag: str) -> tuple[DataFrame, DataFrame]:
+    """Make ids whose rows lie in several classes one vertex: links with those that takes, and (id, vertex) of such ids.
+
+    rows: (id, key) of all rows, key null where a row has no class; classes: (key, first), the id that stands for a class.
+    """
+    named = rows.where("id is not null").withColumn("_mark", F.xxhash64(key))  # the same hash means the same class, or hardly ever not
+    ids = named.groupBy("id").agg(F.min("_mark").alias("_low"), F.max("_mark").alias("_high")).where("_low <> _high").select("id")
+    shared = stored(named.join(ids, "id").join(classes, key).select("id", "first").distinct(), f"{tag}-shared")
+    least = stored(shared.groupBy("id").agg(F.min("first").alias("vertex")), f"{tag}-shared")
+    more = shared.join(least, "id").where("first <> vertex").select(F.col("vertex").alias("a"), F.col("first").alias("b"))
+    return links.select("a", "b").unionByName(more), least
+
+
 def runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
     """Sorted batches cut so that no run of equal keys spans two."""
     rest = None

@@ -10,7 +10,11 @@ for a pair and remembered.
 No merge crosses from a non-space to a space, nor a character that is in no piece, so a text is encoded in such units,
 and units are remembered up to a bound. Units not yet known are encoded many at a time: the pieces' automaton advances
 from all positions at once, and the tables of all units are filled position by position, in numpy. Units of over LONG
-characters are encoded one by one, in time linear in their length. Null text is the empty text, which has no ids.
+characters are encoded one by one, in time linear in their length.
+
+Defined results: null text is the empty text, which has no ids and decodes to the empty text; texts may be of any length;
+doc_id plays no part and comes back as it is, null or repeated (repeated rows give repeated rows); other columns are
+ignored by with_digests and pass through with_ids, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,10 +25,12 @@ from collections.abc import Iterable, Iterator
 
 import ahocorasick
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tidemark.llm.shared import made_of_text
+
 SPACE = "▁"
 NORMAL, CONTROL, BYTE = 1, 3, 6
 #: Longest unit that is encoded together with others; characters of text, and rows, encoded at a time.
@@ -341,37 +347,30 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The batches in parts of at most ROWS rows, so that what is made of one stays small."""
-    for batch in batches:
-        for at in range(0, len(batch), ROWS):
-            yield batch.iloc[at : at + ROWS]
+def done(path: str) -> None:
+    """Let go of what the worker's encoder remembers; an idle worker would hold it while other stages need the memory."""
+    if path in _encoders:
+        _encoders[path].forget()
 
 
 def with_digests(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row of docs (doc_id, text, ...); other columns are ignored."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        e = encoder(path)
+    def make(texts: list[str | None]) -> dict[str, list]:
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-        for batch in parts(batches):
-            found = [(n, sha(ids), sha(text)) for n, ids, text in e.summaries(batch["text"])]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_tokens": [f[0] for f in found], "ids_sha256": [f[1] for f in found], "decoded_sha256": [f[2] for f in found]})
+        found = [(n, sha(ids), sha(text)) for n, ids, text in encoder(path).summaries(texts)]
+        return {c: [f[i] for f in found] for i, c in enumerate(new)}
 
-    kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    new = {"n_tokens": (T.LongType(), pa.int64()), "ids_sha256": (T.StringType(), pa.string()), "decoded_sha256": (T.StringType(), pa.string())}
+    return made_of_text(docs.select("doc_id", "text"), new, make, ROWS, lambda: done(path)).drop("text")
 
 
 def with_ids(docs: DataFrame, path: str) -> DataFrame:
     """docs with `ids` (array<int>) and `decoded`, the text decoded from them; columns of these names are replaced."""
-    docs = docs.drop("ids", "decoded")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        e = encoder(path)
-        for batch in parts(batches):
-            found = list(e.summaries(batch["text"]))
-            yield batch.assign(ids=[np.fromstring(f[1], np.int32, sep=",") for f in found], decoded=[f[2] for f in found])
-        e.forget()
+    def make(texts: list[str | None]) -> dict[str, list]:
+        found = list(encoder(path).summaries(texts))
+        return {"ids": [np.fromstring(f[1], np.int32, sep=",") for f in found], "decoded": [f[2] for f in found]}
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
-    return docs.mapInPandas(run, schema)
+    new = {"ids": (T.ArrayType(T.IntegerType()), pa.list_(pa.int32())), "decoded": (T.StringType(), pa.string())}
+    return made_of_text(docs, new, make, ROWS, lambda: done(path))

@@ -29,8 +29,12 @@ from pyspark.sql import functions as F
 from tidemark.llm.shared import shared_dir, stored
 
 MAGIC = b"\x1f\x8b\x08"
-#: Members that must follow each other for the first one found in a range to be taken.
+#: Members that must follow each other for the first one found in a range to be taken. Payloads written here are UTF-8,
+#: which no gzip member is (its second byte is none), so one member would do; in archives from elsewhere a payload that holds
+#: a longer chain of stored members, cut by a range's edge, would be taken for records.
 CHAIN = 16
+#: Ranges a task reads at most, where there are many.
+RANGES = 8
 RECORD = "page_id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string, payload binary"
 
 
@@ -43,14 +47,19 @@ def opened(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path.replace("s3a://", "s3://"))
 
 
+def record_id(page_id: str | None, digest: str, kind: str) -> str:
+    """A record's id: drawn from its page and payload, so that a revisit can name the response it refers to."""
+    return f"<urn:uuid:{uuid.uuid4() if page_id is None else uuid.uuid5(uuid.NAMESPACE_URL, f'{kind}:{page_id}:{digest}')}>"
+
+
 def member(page_id: str | None, url: str | None, payload: bytes, digest: str, refers_to: str | None) -> bytes:
     """One record as a gzip member. A revisit has the response's HTTP head, whose Content-Length tells the payload's."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
-    block = http if refers_to is not None else http + payload
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", "WARC-Date: 2000-01-01T00:00:00Z"]
+    block, kind = (http + payload, "response") if refers_to is None else (http, "revisit")
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(page_id, digest, kind)}", "WARC-Date: 2000-01-01T00:00:00Z"]
     head += [f"{k}: {quote(v, safe=':/?&=#%~+,;@!$()*' if k == 'WARC-Target-URI' else '')}" for k, v in (("WARC-Target-URI", url and url.replace("%", "%25")), ("X-Page-ID", page_id), ("X-Refers-To-Page-ID", refers_to)) if v is not None]
     if refers_to is not None:
-        head.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to, digest, 'response')}"]
     head += [f"WARC-Payload-Digest: sha256:{digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     pack = zlib.compressobj(1, zlib.DEFLATED, 31)
     return pack.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + pack.flush()
@@ -191,5 +200,6 @@ def read_warc(spark: SparkSession, files: DataFrame, split: int = 32 << 20, payl
                 if rows:
                     yield pd.DataFrame(rows, columns=names)
 
-    tasks = max(2 * spark.sparkContext.defaultParallelism, files.count())
-    return ranges.repartition(tasks, "path", "start").mapInPandas(run, RECORD)
+    n_ranges = ranges.count()
+    tasks = max(1, min(n_ranges, max(2 * spark.sparkContext.defaultParallelism, -(-n_ranges // RANGES))))
+    return ranges.repartition(tasks).mapInPandas(run, RECORD)  # dealt in turn, so that each gets as many
