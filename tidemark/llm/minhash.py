@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.shared import components, made_of_text, one_vertex, runs, stored
+from tidemark.llm.shared import components, let_go, made_of_text, one_vertex, runs, stored
 
 BANDS, ROWS = 24, 4
 #: Stragglers and classes of a bucket that meet in one block; counted pairs of shingles, rows with sets at a time.
@@ -126,6 +126,7 @@ def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({"id": batch["doc_id"], "shingles": [s.tobytes() for s in shingle_sets(batch["text"].tolist())]})
+        let_go()
 
     chosen = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
     return stored(chosen.mapInPandas(sets, "id long, shingles binary"), "near-sets", BATCH)
@@ -147,6 +148,7 @@ def confirmed(docs: DataFrame, pairs: DataFrame, share: int = 75) -> DataFrame:
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= share * (len(x) + len(y) - both))
             yield batch.loc[keep, ["a", "b"]]
+        let_go()
 
     both = pairs.join(chosen.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
     both = both.join(chosen.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
@@ -215,6 +217,7 @@ def across(docs: DataFrame, shared: DataFrame, found: DataFrame, share: int) ->
                     out.append(links.drop_duplicates(["a", "c"])[["a", "b"]])
             if out:
                 yield pd.concat(out)
+        let_go()
 
     return stored(blocks.select("band", "id", "c", "straggler", "l", "r", "shingles").mapInPandas(search, "a long, b long"), "near-links", BATCH)
 

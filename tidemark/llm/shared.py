@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -47,7 +49,14 @@ def stored(df: DataFrame, tag: str, batch: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def made_of_text(df: DataFrame, new: dict[str, tuple[T.DataType, pa.DataType]], make: Callable[[list[str | None]], dict[str, Any]], rows: int = 1 << 30, end: Callable[[], None] = lambda: None) -> DataFrame:
+def let_go() -> None:
+    """Give freed memory back to the system; idle Python workers would hold it beside those of other stages."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def made_of_text(df: DataFrame, new: dict[str, tuple[T.DataType, pa.DataType]], make: Callable[[list[str | None]], dict[str, Any]], rows: int = 2048, end: Callable[[], None] = lambda: None) -> DataFrame:
     """df with the columns `new`, made of its texts, `rows` at a time; columns of these names are replaced.
 
     All other columns pass as Arrow arrays, untouched: whole numbers beside nulls stay what they are. end runs in a worker
@@ -68,6 +77,7 @@ def made_of_text(df: DataFrame, new: dict[str, tuple[T.DataType, pa.DataType]],
                     yield pa.RecordBatch.from_arrays([*columns, *own.values()], names=[*kept, *own])
         finally:
             end()
+            let_go()
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, *[T.StructField(c, spark) for c, (spark, _) in new.items() if c != "text"]]))
 

@@ -33,8 +33,8 @@ from tidemark.llm.shared import made_of_text
 
 SPACE = "▁"
 NORMAL, CONTROL, BYTE = 1, 3, 6
-#: Longest unit that is encoded together with others; characters of text, and rows, encoded at a time.
-LONG, CHARS, ROWS = 64, 1_000_000, 512
+#: Longest unit that is encoded together with others; units, characters of text, and rows, encoded at a time.
+LONG, UNITS, CHARS, ROWS = 64, 1 << 14, 1_000_000, 512
 
 
 class Vocabulary:
@@ -112,7 +112,7 @@ class Table:
 
 
 class Encoder:
-    def __init__(self, path: str, units: int = 400_000, pairs: int = 2_000_000):
+    def __init__(self, path: str, units: int = 200_000, pairs: int = 1_000_000):
         """units, pairs: how many encoded units and tested pairs are remembered before starting anew."""
         self.v = Vocabulary(path)
         self.automaton = ahocorasick.Automaton()
@@ -121,7 +121,8 @@ class Encoder:
         self.automaton.make_automaton()
         self.units, self.pairs = units, pairs
         self.stable = Table()
-        self.known: dict[str, tuple[str, int, str]] = {}
+        self.known: dict[str, str] = {}  # ids of a unit in decimals joined by commas
+        self.other: dict[str, str] = {}  # text of the pieces of units that they don't spell
         self.plain_from = 1 + max(i for i, k in enumerate(self.v.kinds) if k != NORMAL)
         self.decimal = [str(i) for i in range(len(self.v.pieces))]
         nodes: dict[str, int] = {"": 0}
@@ -217,9 +218,10 @@ class Encoder:
         return found, (found != -1).sum(axis=1)
 
     def learn(self, texts: list[str]) -> None:
-        """Encode units and remember (ids in decimals joined by commas, number of ids, text of the pieces)."""
-        short = [t for t in texts if len(t) <= LONG]
-        if short:
+        """Encode units and remember their ids, and the text of their pieces where it is another."""
+        every = [t for t in texts if len(t) <= LONG]
+        for at in range(0, len(every), UNITS):
+            short = every[at : at + UNITS]
             found, counts = self.many(short)
             for text, row, n in zip(short, found.tolist(), counts.tolist(), strict=True):
                 ids = row[n - 1 :: -1]
@@ -232,11 +234,13 @@ class Encoder:
 
     def forget(self) -> None:
         """Let go of the units, which an idle worker would hold while other stages need the memory."""
-        self.known = {}
+        self.known, self.other = {}, {}
 
     def remember(self, text: str, ids: list[int]) -> None:
         spelled = "".join(map(self.v.pieces.__getitem__, ids)) if min(ids) >= self.plain_from else self.spelled(ids)
-        self.known[text] = ",".join(map(self.decimal.__getitem__, ids)), len(ids), text if spelled == text else spelled
+        self.known[text] = ",".join(map(self.decimal.__getitem__, ids))
+        if spelled != text:
+            self.other[text] = spelled
 
     def unit(self, text: str) -> list[int]:
         """Ids of a stretch of text by its prefix table."""
@@ -311,11 +315,13 @@ class Encoder:
         used = set().union(*units)
         if len(self.known) > self.units:
             self.known = {u: self.known[u] for u in used.intersection(self.known)}
+            self.other = {u: self.other[u] for u in used.intersection(self.other)}
         self.learn(list(used.difference(self.known)))
         for own in units:
             if own:
-                ids, n, spelled = zip(*map(self.known.__getitem__, own), strict=True)
-                yield sum(n), ",".join(ids), self.text_of("".join(spelled))
+                ids = ",".join(map(self.known.__getitem__, own))
+                spelled = own if self.other.keys().isdisjoint(own) else [self.other.get(u, u) for u in own]
+                yield ids.count(",") + 1, ids, self.text_of("".join(spelled))
             else:
                 yield 0, "", ""
 
