@@ -23,7 +23,7 @@ def test_whole_share_backtest_takes_every_bar(spark):
             shares = max(0, int(value // old["close"]))
             value += side * shares * (new["close"] - old["close"])
             want[symbol, new["ts"]] = (side * shares, value)
-    got = {(r["symbol"], r["ts"]): r for r in Q.QUERIES["whole_share_backtest_all"](spark, SF).collect()}
+    got = {(r["symbol"], r["ts"]): r for r in Q.QUERIES["whole_share_backtest"](spark, SF).collect()}
     assert got.keys() == want.keys() and len(want) > 5 * 61
     for key, (shares, value) in want.items():
         assert got[key]["shares"] == shares and got[key]["value"] == pytest.approx(value, abs=0.01)
@@ -32,7 +32,7 @@ def test_whole_share_backtest_takes_every_bar(spark):
 def test_every_order_becomes_a_report(spark):
     orders = Q.table(spark, SF, "orders").collect()
     want = sorted((f"S{r['o_orderkey'] % 7}", round(float(r["o_totalprice"]), 2), str(r["o_custkey"] % 9)) for r in orders)
-    assert sorted(map(tuple, Q.QUERIES["read_search_reports_all"](spark, SF).collect())) == want
+    assert sorted(map(tuple, Q.QUERIES["read_search_reports"](spark, SF).collect())) == want
 
 
 def test_candidates_are_scored_on_all_rows(spark, monkeypatch):
@@ -58,16 +58,16 @@ def vectors(spark):
 
 def test_vectors_are_taken_whole(spark):
     own = vectors(spark)
-    got = {(r["vec_id"], r["k"]): r["value"] for r in Q.QUERIES["flatten_population_all"](spark, SF).collect()}
+    got = {(r["vec_id"], r["k"]): r["value"] for r in Q.QUERIES["flatten_population"](spark, SF).collect()}
     assert got == {(i, k): pytest.approx(x, abs=1e-6) for i, v in own.items() for k, x in enumerate(v)} and len(got) == 64 * len(own)
-    got = {(r["pair"], r["ord"], r["name"]): (r["x"], r["y"]) for r in Q.QUERIES["crossover_all"](spark, SF).collect()}
+    got = {(r["pair"], r["ord"], r["name"]): (r["x"], r["y"]) for r in Q.QUERIES["crossover"](spark, SF).collect()}
     want = {(i, k, f"g{k}"): (own[i + 1][k - 1], v[k - 1]) if (i * 7919 + k * 31 + 13) % 1000 < 500 else (v[k - 1], own[i + 1][k - 1]) for i, v in own.items() if i + 1 in own for k in range(1, 65)}
     assert got == want
 
 
 def test_matrix_of_all_labels_is_turned_in_blocks(spark):
     own = vectors(spark)
-    got = {r["col"]: (r["n"], r["total"]) for r in Q.QUERIES["series_to_matrix_all"](spark, SF).collect()}
+    got = {r["col"]: (r["n"], r["total"]) for r in Q.QUERIES["series_to_matrix"](spark, SF).collect()}
     assert got == {k: (len(own), pytest.approx(sum(v[k] for v in own.values()), abs=1e-3)) for k in range(64)}
     rows = spark.createDataFrame([(i, [float(i), float(-i)]) for i in range(25)], "row long, values array<double>")
     blocks = {(r["col"], r["block"]): r["values"] for r in Q.M.transpose(rows, 10).collect()}

@@ -28,9 +28,19 @@ def whole() -> WindowSpec:
     return Window.partitionBy("symbol")
 
 
-def with_pos(df: DataFrame) -> DataFrame:
-    """Adds pos, the row's place in its series from 0."""
-    return df.withColumn("pos", (F.row_number().over(line()) - 1).cast("long"))
+def with_pos(df: DataFrame, bucket: Column | None = None) -> DataFrame:
+    """Adds pos, the row's place in its series from 0.
+
+    Rows are numbered inside buckets of time (months; a bucket must grow with ts), whose sizes are summed up beside, so that
+    no task holds a series.
+    """
+    rows = df.withColumn("_bucket", F.date_trunc("month", "ts") if bucket is None else bucket)
+    sizes = rows.groupBy("symbol", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("symbol").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("symbol", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy("symbol", "_bucket").orderBy("ts")
+    placed = rows.withColumn("_in", F.row_number().over(inside)).join(starts, ["symbol", "_bucket"])
+    return placed.withColumn("pos", F.col("_start") + F.col("_in") - 1).select(*df.columns, "pos")
 
 
 def lagged(x: str | Column, n: int) -> Column:

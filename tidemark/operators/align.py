@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import frames as W
+from tidemark.functions import scalar as S
 
 FIELDS = ("open", "high", "low", "close", "volume")
 
@@ -39,7 +40,7 @@ def mesh(bars: DataFrame, x: str = "close") -> DataFrame:
 
 def series_extents(bars: DataFrame) -> DataFrame:
     """(symbol, left, right): slots of each series' first row and its last on the merged axis, counted from its own length."""
-    slots = bars.select("ts").distinct().withColumn("slot", F.row_number().over(Window.orderBy("ts")) - 1)
+    slots = W.with_pos(bars.select(F.lit("").alias("symbol"), "ts").distinct()).select("ts", F.col("pos").alias("slot"))
     rows = bars.join(slots, "ts").groupBy("symbol").agg(F.min("slot").cast("long").alias("left"), F.count(F.lit(1)).alias("n"))
     return rows.select("symbol", "left", (F.col("left") + F.col("n") - 1).alias("right"))
 
@@ -113,9 +114,10 @@ def reject_nan(df: DataFrame, columns: list[str]) -> DataFrame:
 def interleave(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows (pos, value) of two lists in turn, then the tail of the longer: adds place."""
     both = a.withColumn("source", F.lit(0)).unionByName(b.withColumn("source", F.lit(1)))
-    shorter = F.least(*[F.max(F.when(F.col("source") == s, F.col("pos") + 1)).over(Window.partitionBy()) for s in (0, 1)])
-    place = F.when(F.col("pos") < shorter, 2 * F.col("pos") + F.col("source")).otherwise(shorter + F.col("pos"))
-    return both.withColumn("place", place)
+    length = lambda s: F.coalesce(F.max(F.when(F.col("source") == s, F.col("pos") + 1)), F.lit(0))
+    both = both.crossJoin(F.broadcast(both.agg(F.least(length(0), length(1)).alias("_shorter"))))  # one row
+    place = F.when(F.col("pos") < F.col("_shorter"), 2 * F.col("pos") + F.col("source")).otherwise(F.col("_shorter") + F.col("pos"))
+    return both.withColumn("place", place).drop("_shorter")
 
 
 def month_first(bars: DataFrame) -> DataFrame:
@@ -126,7 +128,7 @@ def month_first(bars: DataFrame) -> DataFrame:
 
 def shuffled(df: DataFrame, key: str, seed: int) -> DataFrame:
     """df in an order that depends on the key and seed alone."""
-    return df.orderBy(F.xxhash64(key, F.lit(seed)), key)
+    return df.orderBy(S.uniform(seed, 0.0, 1.0, key), key)
 
 
 def visible_bounds(bars: DataFrame, condition: Column) -> DataFrame:

@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from tidemark.functions import frames as W
 from tidemark.functions import scalar as S
 from tidemark.operators import recursive, series
+from tidemark.operators.halo import ROWS, halo
+from tidemark.operators.scan import spread
+from tidemark.operators.search import written
 
 MIXED = ("open", "high", "low", "close", "volume")
 #: Rows a candidate's fit may take from, and centres of its RBF readout, at most.
@@ -24,25 +27,33 @@ FITTED = "candidate bigint, spread double, centers array<array<double>>, weights
 
 def symbol_features(bars: DataFrame, symbol: str) -> DataFrame:
     """Long features (symbol, ts, feature, db_group, value) of aligned bars: normalised prices of all, group A; indicators of one, group B."""
-    df = W.with_pos(bars)
-    for c in MIXED:
-        df = series.normalize_sma(df, c, 10, f"n_{c}")
-    df = series.percent_return(df, "close", "roc", 100.0)
-    df = series.lin_reg(series.lin_reg(df, "close", 2, 1, "_l2"), "close", 7, 1, "_l7").withColumn("linreg_gap", F.col("_l2") - F.col("_l7"))
-    df = series.r_squared(df, "close", 10, "r_squared")
-    df = series.lin_reg_slope(df, "close", 4, "slope")
-    df = recursive.chaikin_volatility(df, 10, "chaikin")
-    df = recursive.macd(df, "close", 10, 21, "macd")
-    df = series.momentum(df, "close", 10, "momentum")
-    df = recursive.rsi(df, "close", 10, "rsi")
-    df = df.withColumn("open_close", S.pct_of("open", "close")).withColumn("high_low", F.try_divide(F.col("high") - F.col("low"), F.col("low")) * 100)
-    df = series.normalize_unit(df, "close", "unit")
+    bars = written(W.with_pos(bars.select("symbol", "ts", *MIXED)))
+
+    def prices(d: DataFrame) -> DataFrame:
+        for c in MIXED:
+            d = series.normalize_sma(d, c, 10, f"n_{c}")
+        return d
+
+    def indicators(d: DataFrame) -> DataFrame:
+        d = series.percent_return(d, "close", "roc", 100.0)
+        d = series.lin_reg(series.lin_reg(d, "close", 2, 1, "_l2"), "close", 7, 1, "_l7").withColumn("linreg_gap", F.col("_l2") - F.col("_l7"))
+        d = series.lin_reg_slope(series.r_squared(d, "close", 10, "r_squared"), "close", 4, "slope")
+        d = recursive.macd(recursive.chaikin_volatility(d, 10, "chaikin"), "close", 10, 21, "macd")
+        d = recursive.rsi(series.momentum(d, "close", 10, "momentum"), "close", 10, "rsi")
+        return d.withColumn("open_close", S.pct_of("open", "close")).withColumn("high_low", F.try_divide(F.col("high") - F.col("low"), F.col("low")) * 100)
+
+    def listed(d: DataFrame, group: str, names: list[str], only: Column | None = None) -> DataFrame:
+        one = lambda c: F.struct(F.lit(c.removeprefix("n_")).alias("name"), F.col(c).alias("value"))
+        items = F.array(*[one(c) if c != "n_volume" or only is None else F.when(only, one(c)) for c in names])
+        rows = d.select("symbol", "ts", F.explode(F.filter(items, lambda x: x.isNotNull())).alias("f"))
+        return rows.select("symbol", "ts", F.concat_ws(".", "symbol", "f.name").alias("feature"), F.lit(group).alias("db_group"), "f.value")
+
     own = ["roc", "open_close", "high_low", "linreg_gap", "r_squared", "slope", "chaikin", "macd", "momentum", "rsi"]
-    pairs = [("A", f"n_{c}", c == "volume") for c in MIXED] + [("B", c, True) for c in own]
-    items = [F.when(F.lit(not only) | (F.col("symbol") == symbol), F.struct(F.lit(g).alias("db_group"), F.lit(c.removeprefix("n_")).alias("name"), F.col(c).alias("value"))) for g, c, only in pairs]
-    items.append(F.struct(F.lit("U").alias("db_group"), F.lit("unit").alias("name"), F.col("unit").alias("value")))
-    rows = df.select("symbol", "ts", F.explode(F.filter(F.array(*items), lambda x: x.isNotNull())).alias("f"))
-    return rows.select("symbol", "ts", F.concat_ws(".", "symbol", "f.name").alias("feature"), "f.db_group", "f.value")
+    every = halo(series.with_heads(bars, MIXED, 10), 10, ROWS, prices)
+    one = spread(bars.where(F.col("symbol") == symbol), 10, [recursive.fade(10), recursive.fade(21)], indicators)
+    unit = series.normalize_unit(bars, "close", "unit")
+    mine = listed(every, "A", [f"n_{c}" for c in MIXED], F.col("symbol") == symbol)
+    return mine.unionByName(listed(one, "B", own)).unionByName(listed(unit, "U", ["unit"]))
 
 
 def feature_matrix(aligned: DataFrame, symbol: str, unit_pair: tuple[str, str]) -> DataFrame:
@@ -50,14 +61,14 @@ def feature_matrix(aligned: DataFrame, symbol: str, unit_pair: tuple[str, str])
 
     The eleventh of B is the difference of two symbols' unit-scaled closes. Flat features are null.
     """
-    long = symbol_features(aligned, symbol)
+    long = written(symbol_features(aligned, symbol))
     u = F.col("value") * F.when(F.col("symbol") == unit_pair[0], 1).otherwise(-1)
     units = long.where((F.col("db_group") == "U") & F.col("symbol").isin(*unit_pair)).groupBy("ts").agg(F.sum(u).alias("value"))
     units = units.select("ts", F.lit("unit_gap").alias("feature"), F.lit("B").alias("db_group"), "value")
     rows = long.where("db_group <> 'U'").select("ts", "feature", "db_group", "value").unionByName(units)
-    every = Window.partitionBy("feature")
-    low, high = F.min("value").over(every), F.max("value").over(every)
-    return rows.withColumn("value", F.try_divide(F.col("value") - low, high - low))
+    bounds = rows.groupBy("feature").agg(F.min("value").alias("_low"), F.max("value").alias("_high"))
+    scaled = F.try_divide(F.col("value") - F.col("_low"), F.col("_high") - F.col("_low"))
+    return rows.join(bounds, "feature").select("ts", "feature", "db_group", scaled.alias("value"))
 
 
 def to_vectors(long: DataFrame) -> DataFrame:
@@ -76,6 +87,12 @@ def transpose(rows: DataFrame, at_once: int = 4096) -> DataFrame:
     return cells.groupBy("col", "block").agg(F.transform(F.sort_array(F.collect_list(F.struct("row", "value"))), lambda x: x["value"]).alias("values"))
 
 
+def columns_to_matrix(long: DataFrame, features: list[str]) -> DataFrame:
+    """(ts, values) of long rows (ts, feature, value): a value a feature, in their order, null where there is none."""
+    one = lambda f: F.max(F.when(F.col("feature") == f, F.col("value")))
+    return long.where(F.col("feature").isin(features)).groupBy("ts").agg(F.array(*[one(f) for f in features]).alias("values"))
+
+
 def feature_subset(x: str, n: int) -> Column:
     return F.slice(x, 1, n)
 

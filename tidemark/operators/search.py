@@ -62,8 +62,8 @@ def best_mixture(evals: DataFrame) -> DataFrame:
     return evals.groupBy("run_id").agg(F.max_by("mixture_id", at).alias("mixture_id"), F.max("fitness").alias("fitness"))
 
 
-def weighted_pick(items: DataFrame, picks: DataFrame, buckets: int = 256) -> DataFrame:
-    """(pick, id): for each pick's u in 0..1 the item (id, quality) whose interval of the cumulative quality holds u * total.
+def weighted_intervals(items: DataFrame, picks: DataFrame, buckets: int = 256) -> DataFrame:
+    """(pick, id, low, high): for each pick's u in 0..1 the item (id, quality) whose interval low..high of the cumulative quality holds it.
 
     Intervals are kept in order of id; an item with no quality is never picked. Ids, which are numbers, are cut into buckets
     at their quantiles; only a bucket's total takes part in the running sum over all, and picks find their bucket first.
@@ -79,14 +79,28 @@ def weighted_pick(items: DataFrame, picks: DataFrame, buckets: int = 256) -> Dat
     bounds = bounds.withColumn("_to", F.when(F.lead("id").over(own).isNull(), F.col("_end")).otherwise(F.col("_to")))
     bounds = bounds.withColumn("_from", F.coalesce(F.lag("_to").over(own), "_start")).select("_b", "id", (F.col("_from") / F.col("_all")).alias("_from"), (F.col("_to") / F.col("_all")).alias("_to"))
     placed = picks.join(F.broadcast(totals), (F.col("u") >= F.col("_start") / F.col("_all")) & (F.col("u") < F.col("_end") / F.col("_all"))).select("pick", "u", "_b")
-    return placed.join(bounds, "_b").where((F.col("u") >= F.col("_from")) & (F.col("u") < F.col("_to"))).select("pick", "id")
+    found = placed.join(bounds, "_b").where((F.col("u") >= F.col("_from")) & (F.col("u") < F.col("_to")))
+    return found.select("pick", "id", F.col("_from").alias("low"), F.col("_to").alias("high"))
+
+
+def weighted_pick(items: DataFrame, picks: DataFrame, buckets: int = 256) -> DataFrame:
+    """(pick, id): the item that each pick (pick, u) falls on, u in 0..1."""
+    return weighted_intervals(items, picks, buckets).select("pick", "id")
 
 
 def weighted_pick_two(items: DataFrame, pairs: DataFrame, seed: int) -> DataFrame:
-    """(pair, first, second): two different items by quality - the two that come first in an exponential race."""
-    race = pairs.join(items.where("quality > 0")).withColumn("_t", -F.log(draw(seed, "pair", "id") + 2.0**-41) / F.col("quality"))
-    two = race.withColumn("_k", F.row_number().over(Window.partitionBy("pair").orderBy("_t", "id"))).where("_k <= 2")
-    return two.groupBy("pair").agg(F.max(F.when(F.col("_k") == 1, F.col("id"))).alias("first"), F.max(F.when(F.col("_k") == 2, F.col("id"))).alias("second"))
+    """(pair, first, second): two different items by quality, drawn one after the other; second is null where there is but one.
+
+    The second draw falls on what the first leaves of the interval 0..1: past the first item's part it is moved up by that.
+    """
+    drawn = pairs.select("pair").withColumn("u", draw(seed, "pair")).withColumn("v", draw(seed + 1, "pair"))
+    first = weighted_intervals(items, drawn.select(F.col("pair").alias("pick"), "u"))
+    first = written(first.select(F.col("pick").alias("pair"), F.col("id").alias("first"), "low", "high"))
+    rest = F.col("v") * (1 - (F.col("high") - F.col("low")))
+    again = drawn.join(first, "pair").select(F.col("pair").alias("pick"), F.when(rest >= F.col("low"), rest + (F.col("high") - F.col("low"))).otherwise(rest).alias("u"))
+    second = weighted_intervals(items, again).select(F.col("pick").alias("pair"), F.col("id").alias("second"))
+    both = first.select("pair", "first").join(second, "pair", "left")
+    return both.withColumn("second", F.when(F.col("second") != F.col("first"), F.col("second")))
 
 
 def crossover(a: DataFrame, b: DataFrame, coin: Column) -> DataFrame:
@@ -104,12 +118,20 @@ def mutate(genes: DataFrame, specs: DataFrame, rate: float, seed: int) -> DataFr
     return rows.select("candidate", "name", F.when(draw(seed, "candidate", "name") < rate, new).otherwise(F.col("value")).alias("value"))
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder all executors share, below spark.checkpoint.dir; only where that is unset and executors run here, one of our own."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemark-"))
+    return f"{context.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame) -> DataFrame:
     """df stored in the session's checkpoint folder and read back, which ends its lineage."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-"))
-    path = f"{context.getCheckpointDir().rstrip('/')}/search-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, "search")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -2,6 +2,9 @@
 
 All windows of an operator share one partitioning and order, so Spark sorts a series once. Rows whose history is short
 hold 0 where the operator is said to warm up with 0. Operators that need a row's place expect `pos` (frames.with_pos).
+On long series they run in buckets (halo.halo) of which the reach is the rows they look back on; normalize_unit, integral
+and swing, which look back without end, and the first values that sma's compat mode needs (with_heads) are put together
+from summaries of blocks themselves.
 """
 
 from __future__ import annotations
@@ -11,19 +14,34 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import frames as W
 from tidemark.functions import scalar as S
+from tidemark.operators.halo import ROWS, halo
+from tidemark.operators.scan import affine
 
 
 def add(df: DataFrame, out: str, value: Column, *temporary: str) -> DataFrame:
     return df.withColumn(out, value).drop(*temporary)
 
 
+def with_totals(df: DataFrame, **totals: Column) -> DataFrame:
+    """Adds aggregates of the whole series, combined before the shuffle."""
+    return df.join(df.groupBy("symbol").agg(*[c.alias(name) for name, c in totals.items()]), "symbol")
+
+
+def with_heads(df: DataFrame, columns: list[str] | tuple[str, ...], p: int) -> DataFrame:
+    """Adds _first_x and _head_x for each column: a series' first value, and the sum of its first p."""
+    early = df.where(F.col("pos") < p).groupBy("symbol")
+    heads = early.agg(*[F.min_by(x, "pos").alias(f"_first_{x}") for x in columns], *[F.sum(x).alias(f"_head_{x}") for x in columns])
+    return df.join(heads, "symbol")
+
+
 def sma(df: DataFrame, x: str, p: int, out: str, mode: str = "textbook") -> DataFrame:
     """Moving average. compat: the first value weighs twice until the frame is full, and its surplus stays for ever."""
     if mode == "textbook":
         return add(df, out, F.avg(x).over(W.last(p)))
-    first, total = F.first(x).over(W.so_far()), F.sum(x).over(W.so_far())
-    early = (first + total) / (F.col("pos") + 2)
-    head = F.sum(F.when(F.col("pos") < p, F.col(x))).over(W.so_far())
+    if f"_head_{x}" not in df.columns:
+        return sma(with_heads(df, [x], p), x, p, out, mode).drop(f"_first_{x}", f"_head_{x}")
+    first, head = F.col(f"_first_{x}"), F.col(f"_head_{x}")
+    early = (first + F.sum(x).over(W.last(p))) / (F.col("pos") + 2)
     late = F.avg(x).over(W.last(p)) + (first - head / p) / (p + 1)
     return add(df, out, F.when(F.col("pos") < p, early).otherwise(late))
 
@@ -159,7 +177,7 @@ def derivative(df: DataFrame, x: str, out: str) -> DataFrame:
 
 
 def integral(df: DataFrame, x: str, c: float, out: str) -> DataFrame:
-    return add(df, out, F.sum(x).over(W.so_far()) + c)
+    return affine(df, 1.0, {out: F.col(x).cast("double")}, F.col("pos") == 0).withColumn(out, F.col(out) + c)
 
 
 def percent_return(df: DataFrame, x: str, out: str, scale: float = 1.0) -> DataFrame:
@@ -181,8 +199,8 @@ def normalize_sma(df: DataFrame, x: str, p: int, out: str, mode: str = "compat")
 def normalize_unit(df: DataFrame, x: str, out: str, fit_on: Column | None = None) -> DataFrame:
     """(x - min) / (max - min) over the whole series, or over its rows with fit_on; null where flat."""
     y = F.col(x) if fit_on is None else F.when(fit_on, F.col(x))
-    low, high = F.min(y).over(W.whole()), F.max(y).over(W.whole())
-    return add(df, out, F.try_divide(F.col(x) - low, high - low))
+    df = with_totals(df, _low=F.min(y), _high=F.max(y))
+    return add(df, out, F.try_divide(F.col(x) - F.col("_low"), F.col("_high") - F.col("_low")), "_low", "_high")
 
 
 def back_bars(df: DataFrame, x: str, n: int, out: str) -> DataFrame:
@@ -225,29 +243,38 @@ def running_std(df: DataFrame, x: str, p: int, out: str) -> DataFrame:
     return add(df, out, F.stddev_pop(x).over(W.last(p)))
 
 
-def swing(df: DataFrame, strength: int, high: str, out: str, side: str = "high", revise: bool = False) -> DataFrame:
+def swing(df: DataFrame, strength: int, high: str, out: str, side: str = "high", revise: bool = False, block: int = ROWS) -> DataFrame:
     """Swing level: a pivot s rows back counts once s rows on its left are strictly beyond it and s on its right not past it.
 
     It holds until a row passes it, then there is none until the next pivot. Before 2s + 1 rows it is 0; before the first
     pivot a high has none and a low is 0. revise shows a pivot from its own row on rather than from its confirmation.
     """
     s, sign = strength, 1 if side == "high" else -1
-    x = F.col(high) * sign
     line = W.line()
-    middle = F.lag(x, s).over(line)
-    left = F.max(x).over(line.rowsBetween(-2 * s, -s - 1))
-    right = F.max(x).over(line.rowsBetween(-s + 1, 0))
-    df = df.withColumn("_x", x).withColumn("_pivot", F.when((F.col("pos") >= 2 * s) & (middle > left) & (middle >= right), middle))
-    df = df.withColumn("_id", F.count("_pivot").over(W.so_far())).withColumn("_level", F.last("_pivot", ignorenulls=True).over(W.so_far()))
-    since = Window.partitionBy("symbol", "_id").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumn("_value", F.when(F.max("_x").over(since) <= F.col("_level"), F.col("_level") * sign))
+
+    def mark(d: DataFrame) -> DataFrame:
+        d = d.withColumn("_x", F.col(high) * sign)
+        middle = F.lag("_x", s).over(line)
+        left, right = F.max("_x").over(line.rowsBetween(-2 * s, -s - 1)), F.max("_x").over(line.rowsBetween(-s + 1, 0))
+        d = d.withColumn("_pivot", F.when((F.col("pos") >= 2 * s) & (middle > left) & (middle >= right), middle))
+        return d.withColumn("_ahead", F.last("_pivot", ignorenulls=True).over(line.rowsBetween(0, s))) if revise else d
+
+    # In a block: the last pivot, and the highest row since it or since the block's beginning; then what blocks before hold.
+    rows = halo(df, 2 * s, max(block, 3 * s), mark, s).withColumn("_block", F.expr(f"pos div {block}"))
+    inside = Window.partitionBy("symbol", "_block").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_id", F.count("_pivot").over(inside)).withColumn("_own", F.last("_pivot", ignorenulls=True).over(inside))
+    since = Window.partitionBy("symbol", "_block", "_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_top", F.max("_x").over(since))
+    ends = rows.groupBy("symbol", "_block").agg(*[F.max_by(c, "pos").alias(c) for c in ("_id", "_own", "_top")])
+    blocks = Window.partitionBy("symbol").orderBy("_block")
+    ends = ends.withColumn("_run", F.count("_own").over(blocks.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = ends.withColumn("_top", F.max("_top").over(Window.partitionBy("symbol", "_run").orderBy("_block").rowsBetween(Window.unboundedPreceding, 0)))
+    ends = ends.withColumn("_own", F.last("_own", ignorenulls=True).over(blocks.rowsBetween(Window.unboundedPreceding, 0)))
+    before = ends.select("symbol", "_block", F.lag("_own").over(blocks).alias("_old"), F.lag("_top").over(blocks).alias("_old_top"))
+    rows = rows.join(before, ["symbol", "_block"], "left").withColumn("_level", F.coalesce("_own", "_old"))
+    top = F.when(F.col("_id") > 0, F.col("_top")).otherwise(F.greatest("_top", "_old_top"))
     none = F.lit(None).cast("double") if side == "high" else F.lit(0.0)
-    value = F.when(F.col("pos") < 2 * s, 0.0).when(F.col("_id") == 0, none).otherwise(F.col("_value"))
+    value = F.when(F.col("pos") < 2 * s, 0.0).when(F.col("_level").isNull(), none).when(top <= F.col("_level"), F.col("_level") * sign)
     if revise:
-        value = F.coalesce(confirmed_ahead(sign, s), value)
-    return df.withColumn(out, value).drop("_x", "_pivot", "_id", "_level", "_value")
-
-
-def confirmed_ahead(sign: int, s: int) -> Column:
-    """Level of the latest pivot confirmed within the next s rows, shown from its own row on."""
-    return F.last(F.when(F.col("_pivot").isNotNull(), F.col("_pivot") * sign), ignorenulls=True).over(W.line().rowsBetween(0, s))
+        value = F.coalesce(F.col("_ahead") * sign, value)
+    return rows.withColumn(out, value).select(*df.columns, out)

@@ -96,8 +96,11 @@ def trade_report(df: DataFrame, initial: float, charge: float = 9.90) -> DataFra
 
 
 def report_text(report: DataFrame) -> DataFrame:
-    line = F.format_string("%s: %d trades, %d won, %d lost, return %.4f, profit factor %.4f, CPC %.4f", "symbol", "trades", "wins", "losses", "total_return", F.coalesce("profit_factor", F.lit(0.0)), F.coalesce("cpc", F.lit(0.0)))
-    return report.select("symbol", line.alias("report"))
+    """(symbol, report): a line of counts, then a line a figure; a figure that there is none of is left empty."""
+    counts = F.format_string("%s: %d trades, %d won, %d lost, %d gains stopped, %d losses stopped, %d not", "symbol", "trades", "wins", "losses", "stopped_gains", "stopped_losses", "unstopped_losses")
+    figure = lambda name, c: F.concat(F.lit(f"{name}: "), F.coalesce(F.format_string("%.8f", c), F.lit("")))
+    named = {"Return": "total_return", "Total profit": "total_profit", "Total loss": "total_loss", "Profit factor": "profit_factor", "Average win": "avg_win", "Average loss": "avg_loss", "Win fraction": "win_fraction", "Win/loss ratio": "avg_win_loss_ratio", "Largest loss": "max_pct_loss", "CPC index": "cpc"}
+    return report.select("symbol", F.concat_ws("\n", counts, *[figure(*x) for x in named.items()]).alias("report"))
 
 
 def max_drawdown(df: DataFrame, v: str, include_open: bool = False) -> DataFrame:
@@ -127,6 +130,15 @@ def accuracy_pct(df: DataFrame, x: str, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count_if(F.col(x) != 0).alias("n"), F.try_divide(F.count_if(F.col(x) == 1), F.count_if(F.col(x) != 0)).alias("accuracy"))
 
 
+def signal_quality(df: DataFrame, hit: str, guess: float = 0.57) -> DataFrame:
+    """(symbol, accuracy, confidence, overall) of hits 1, misses -1 and abstentions 0; what is abstained from counts as a guess."""
+    found = accuracy_pct(df, hit, "symbol")
+    total = df.groupBy("symbol").agg(F.count(F.lit(1)).alias("_all"))
+    rows = found.join(total, "symbol").withColumn("confidence", F.col("n") / F.col("_all"))
+    overall = F.col("accuracy") * F.col("confidence") + guess * (1 - F.col("confidence"))
+    return rows.select("symbol", "accuracy", "confidence", overall.alias("overall"))
+
+
 def compounded_return(df: DataFrame, side: str) -> DataFrame:
     """(symbol, total, won_pct): product of close/open for longs and open/close for shorts, and the share above 1."""
     step = F.when(F.col(side) > 0, F.try_divide(F.col("close"), F.col("open"))).otherwise(F.try_divide(F.col("open"), F.col("close")))

@@ -11,6 +11,7 @@ from tidemark.functions import frames as W
 from tidemark.functions import scalar as S
 from tidemark.operators import recursive as R
 from tidemark.operators import series as O
+from tidemark.operators.halo import ROWS, halo
 from tidemark.plans import sql
 from tidemark.sources.bars import bars_events
 
@@ -23,11 +24,17 @@ def tidy(x: str | Column, digits: int = 6) -> Column:
     return F.round(S.col(x), digits) + 0.0
 
 
-def indicator(name: str, operator: Callable[[DataFrame], DataFrame], text: str | None, value: str = "value") -> None:
-    """Register operator(bars with pos), which adds `value`, as (symbol, ts, value)."""
+def in_buckets(df: DataFrame, operator: Callable[[DataFrame], DataFrame], reach: int | None, ahead: int = 0) -> DataFrame:
+    """operator(df), in buckets of the series if it looks back `reach` rows at most."""
+    return operator(df) if reach is None else halo(df, reach, ROWS, operator, ahead)
+
+
+def indicator(name: str, operator: Callable[[DataFrame], DataFrame], text: str | None, reach: int | None = None, ahead: int = 0) -> None:
+    """Register operator(bars with pos), which adds `value` and looks back `reach` rows (None: it sees to that), as (symbol, ts, value)."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return operator(W.with_pos(bars_events(spark, sf_dir))).select("symbol", "ts", tidy(value).alias("value"))
+        df = in_buckets(W.with_pos(bars_events(spark, sf_dir)), operator, reach, ahead)
+        return df.select("symbol", "ts", tidy("value").alias("value"))
 
     QUERIES[name] = run
     if text:
@@ -35,7 +42,10 @@ def indicator(name: str, operator: Callable[[DataFrame], DataFrame], text: str |
 
 
 def column(name: str, value: Callable[[], Column], text: str) -> None:
-    indicator(name, lambda df: df.withColumn("value", value().cast("double")), sql.series(text))
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return bars_events(spark, sf_dir).select("symbol", "ts", tidy(value().cast("double")).alias("value"))
+
+    QUERIES[name], SQL[name] = run, sql.series(text)
 
 
 V = "value"
@@ -57,27 +67,29 @@ column("between", lambda: F.when(F.col("close").between(20.0, 60.0), 1.0).otherw
 column("gene_cast", lambda: S.whole(F.col("close") / 2), "round_even(close / 2, 0)")
 column("gaussian", lambda: S.gaussian(50.0, "close"), "exp(-pow(close / 50, 2))")
 column("logistic", lambda: S.logistic(F.col("close") / 50), "1 / (1 + exp(-close / 50))")
-indicator("sma", lambda d: O.sma(d, "close", 10, V), sql.series("avg(close) over wp"))
+indicator("sma", lambda d: O.sma(d, "close", 10, V), sql.series("avg(close) over wp"), reach=9)
 indicator(
-    "sma_compat", lambda d: O.sma(d, "close", 10, V, "compat"),
+    "sma_compat", lambda d: halo(O.with_heads(d, ["close"], 10), 10, ROWS, lambda e: O.sma(e, "close", 10, V, "compat")),
     sql.recursive("close", "case when b.pos < 10 then (r.v * (b.pos + 1) + b.close) / (b.pos + 2) else r.v + (b.close - b.old) / 10 end", ", q as (select *, lag(close, 10) over w as old from p window w as (partition by symbol order by ts))", "q"),
 )
-indicator("momentum", lambda d: O.momentum(d, "close", 10, V), sql.series("close - coalesce(lag(close, 10) over w, first_value(close) over w)"))
-indicator("trend", lambda d: O.trend(d, 5, V), sql.series(f"case when pos < 5 then 0.0 else sign(sum({GREEN}) over wb) end", 5))
-indicator("donchian_min", lambda d: O.donchian_min(d, 10, V, 0.1), sql.series("(min(low) over wp + max(high) over wp) / 2 - (max(high) over wp - min(low) over wp) / 2 * 1.1"))
-indicator("donchian_max", lambda d: O.donchian_max(d, 10, V, 0.1), sql.series("(min(low) over wp + max(high) over wp) / 2 + (max(high) over wp - min(low) over wp) / 2 * 1.1"))
-indicator("donchian_avg", lambda d: O.donchian_avg(d, 10, V), sql.series("(min(low) over wp + max(high) over wp) / 2"))
-indicator("donchian_pct", lambda d: O.donchian_pct(d, 10, "close", V), sql.series("(close - min(low) over wp) / nullif(max(high) over wp - min(low) over wp, 0)"))
+indicator("momentum", lambda d: O.momentum(d, "close", 10, V), sql.series("close - coalesce(lag(close, 10) over w, first_value(close) over w)"), reach=10)
+indicator("trend", lambda d: O.trend(d, 5, V), sql.series(f"case when pos < 5 then 0.0 else sign(sum({GREEN}) over wb) end", 5), reach=5)
+indicator("donchian_min", lambda d: O.donchian_min(d, 10, V, 0.1), sql.series("(min(low) over wp + max(high) over wp) / 2 - (max(high) over wp - min(low) over wp) / 2 * 1.1"), reach=9)
+indicator("donchian_max", lambda d: O.donchian_max(d, 10, V, 0.1), sql.series("(min(low) over wp + max(high) over wp) / 2 + (max(high) over wp - min(low) over wp) / 2 * 1.1"), reach=9)
+indicator("donchian_avg", lambda d: O.donchian_avg(d, 10, V), sql.series("(min(low) over wp + max(high) over wp) / 2"), reach=9)
+indicator("donchian_pct", lambda d: O.donchian_pct(d, 10, "close", V), sql.series("(close - min(low) over wp) / nullif(max(high) over wp - min(low) over wp, 0)"), reach=9)
 FLIP = f", q as (select *, case when ({GREEN}) <> lag({GREEN}) over (partition by symbol order by ts) then 1.0 else 0.0 end as flip from p)"
 indicator(
     "reversal_volatility", lambda d: O.reversal_volatility(d, 5, V),
     sql.series("case when pos < 4 then 0.0 else " + " + ".join(f"coalesce(lag(flip, {i - 1}) over w, 0) * {((5 - i) / 5) ** 2}" for i in range(1, 5)) + " end", 5, FLIP, "q"),
+    reach=5,
 )
 indicator(
     "reversals2", lambda d: O.reversals2(d, 5, 0.5, V),
     sql.series("case when pos < 5 then 0.0 else greatest(0.0, " + " + ".join(f"(lag(flip, {i}) over w * {(5 - i) / 5} - (1 - lag(flip, {i}) over w) * {(5 - i) / 10})" for i in range(5)) + ") end", 5, FLIP, "q"),
+    reach=6,
 )
-indicator("bar_sum1", lambda d: O.bar_sum1(d, 10, V), sql.series("sum(close - open) over wp / 10"))
+indicator("bar_sum1", lambda d: O.bar_sum1(d, 10, V), sql.series("sum(close - open) over wp / 10"), reach=9)
 
 
 def weighted(x: str, p: int, power: int, over: str) -> str:
@@ -86,36 +98,37 @@ def weighted(x: str, p: int, power: int, over: str) -> str:
     return f"({parts}) / ({over})"
 
 
-indicator("bar_sum2", lambda d: O.bar_sum2(d, 5, V), sql.series(weighted("close - open", 5, 1, "pow(least(pos + 1, 5), 2)"), 5))
+indicator("bar_sum2", lambda d: O.bar_sum2(d, 5, V), sql.series(weighted("close - open", 5, 1, "pow(least(pos + 1, 5), 2)"), 5), reach=4)
 indicator(
     "bar_sum3", lambda d: O.bar_sum3(d, 5, 10, 3, V),
     sql.series(
         weighted("x", 3, 1, "pow(least(pos + 1, 3), 2)"), 10,
         f", q0 as (select *, {weighted('close - open', 5, 1, 'pow(least(pos + 1, 5), 2)')} as s, max(abs(close - open)) over wp as m from p {sql.windows(10)}), q as (select *, coalesce(s * 10 / nullif(m, 0), 0) as x from q0)", "q",
     ),
+    reach=13,
 )
-indicator("triangular_ma", lambda d: O.triangular_ma(d, "close", 5, V), sql.series(weighted("close", 5, 1, "pow(least(pos + 1, 5), 2)"), 5))
-indicator("parabolic_ma", lambda d: O.parabolic_ma(d, "close", 5, V), sql.series(weighted("close", 5, 2, "pow(least(pos + 1, 5), 2) * 5"), 5))
-indicator("common_color", lambda d: O.common_color(d, 4, V), sql.series(f"case when sum({GREEN}) over wp <> 0 then sign(sum({GREEN}) over wp) else {GREEN} end::double", 4))
-indicator("lin_reg", lambda d: O.lin_reg(d, "close", 10, 1, V), sql.series("case when pos = 0 then close else avg(close) over wp + regr_slope(close, pos) over wp * (pos + 1 - avg(pos) over wp) end"))
-indicator("lin_reg_slope", lambda d: O.lin_reg_slope(d, "close", 4, V), sql.series("case when pos = 0 then close else regr_slope(close, pos) over wp end", 4))
-indicator("r_squared", lambda d: O.r_squared(d, "close", 10, V), sql.series("case when pos < 9 or max(close) over wp = min(close) over wp then 0 else coalesce(regr_r2(close, pos) over wp, 0) end"))
-indicator("fosc", lambda d: O.fosc(d, "close", 10, V), sql.series("100 * (close - case when pos = 0 then close else avg(close) over wp + regr_slope(close, pos) over wp * (pos - avg(pos) over wp) end) / nullif(close, 0)"))
-indicator("derivative", lambda d: O.derivative(d, "close", V), sql.series("coalesce(close - lag(close) over w, 0)"))
+indicator("triangular_ma", lambda d: O.triangular_ma(d, "close", 5, V), sql.series(weighted("close", 5, 1, "pow(least(pos + 1, 5), 2)"), 5), reach=4)
+indicator("parabolic_ma", lambda d: O.parabolic_ma(d, "close", 5, V), sql.series(weighted("close", 5, 2, "pow(least(pos + 1, 5), 2) * 5"), 5), reach=4)
+indicator("common_color", lambda d: O.common_color(d, 4, V), sql.series(f"case when sum({GREEN}) over wp <> 0 then sign(sum({GREEN}) over wp) else {GREEN} end::double", 4), reach=3)
+indicator("lin_reg", lambda d: O.lin_reg(d, "close", 10, 1, V), sql.series("case when pos = 0 then close else avg(close) over wp + regr_slope(close, pos) over wp * (pos + 1 - avg(pos) over wp) end"), reach=9)
+indicator("lin_reg_slope", lambda d: O.lin_reg_slope(d, "close", 4, V), sql.series("case when pos = 0 then close else regr_slope(close, pos) over wp end", 4), reach=3)
+indicator("r_squared", lambda d: O.r_squared(d, "close", 10, V), sql.series("case when pos < 9 or max(close) over wp = min(close) over wp then 0 else coalesce(regr_r2(close, pos) over wp, 0) end"), reach=9)
+indicator("fosc", lambda d: O.fosc(d, "close", 10, V), sql.series("100 * (close - case when pos = 0 then close else avg(close) over wp + regr_slope(close, pos) over wp * (pos - avg(pos) over wp) end) / nullif(close, 0)"), reach=9)
+indicator("derivative", lambda d: O.derivative(d, "close", V), sql.series("coalesce(close - lag(close) over w, 0)"), reach=1)
 indicator("integral", lambda d: O.integral(d, "close", 3.0, V), sql.series("3 + sum(close) over cum"))
-indicator("percent_return", lambda d: O.percent_return(d, "close", V), sql.series("case when pos = 0 then 0 else (close - lag(close) over w) / nullif(lag(close) over w, 0) end"))
-indicator("roc_close", lambda d: O.percent_return(d, "close", V, 100.0), sql.series("case when pos = 0 then 0 else (close - lag(close) over w) / nullif(lag(close) over w, 0) * 100 end"))
-indicator("extrapolate", lambda d: O.extrapolate(d, "close", V), sql.series("case when pos < 2 then first_value(close) over w else 2 * lag(close, 1) over w - lag(close, 2) over w end"))
-indicator("normalize_sma10", lambda d: O.normalize_sma(d, "close", 10, V, "textbook"), sql.series("coalesce(100 * (close - avg(close) over wp) / nullif(avg(close) over wp, 0), 0)"))
+indicator("percent_return", lambda d: O.percent_return(d, "close", V), sql.series("case when pos = 0 then 0 else (close - lag(close) over w) / nullif(lag(close) over w, 0) end"), reach=1)
+indicator("roc_close", lambda d: O.percent_return(d, "close", V, 100.0), sql.series("case when pos = 0 then 0 else (close - lag(close) over w) / nullif(lag(close) over w, 0) * 100 end"), reach=1)
+indicator("extrapolate", lambda d: O.extrapolate(d, "close", V), sql.series("case when pos < 2 then first_value(close) over w else 2 * lag(close, 1) over w - lag(close, 2) over w end"), reach=2)
+indicator("normalize_sma10", lambda d: O.normalize_sma(d, "close", 10, V, "textbook"), sql.series("coalesce(100 * (close - avg(close) over wp) / nullif(avg(close) over wp, 0), 0)"), reach=9)
 indicator("normalize_unit", lambda d: O.normalize_unit(d, "close", V), sql.series("(close - min(close) over s) / nullif(max(close) over s - min(close) over s, 0)"))
 indicator("scale_to_range", lambda d: O.normalize_unit(d, "close", "u").withColumn(V, F.col("u") * 100 - 50), sql.series("(close - min(close) over s) / nullif(max(close) over s - min(close) over s, 0) * 100 - 50"))
-indicator("next_close_label", lambda d: O.next_close_label(d, V), sql.series("case when lead(close) over w - close >= 0 then 1 when lead(close) over w - close < 0 then -1 end::double"))
-indicator("null_signal", lambda d: d.withColumn(V, F.lit(0.0)), sql.series("0.0"))
-indicator("running_mean_online", lambda d: O.sma(d, "close", 7, V), sql.series("avg(close) over wp", 7))
-indicator("running_std_online", lambda d: O.running_std(d, "close", 7, V), sql.series("stddev_pop(close) over wp", 7))
-indicator("stddev_pop", lambda d: d.withColumn(V, F.stddev_pop("close").over(W.whole())), sql.series("stddev_pop(close) over s"))
-indicator("delay", lambda d: O.delay(d.withColumn(V, F.col("close")), [V], 3), sql.series("lag(close, 3) over w", where="pos >= 3"))
-indicator("udf_signal", lambda d: SIGNALS["close_direction"](d, V), sql.series("case when pos = 0 then 0 when close - lag(close) over w >= 0 then 1 else -1 end::double"))
+indicator("next_close_label", lambda d: O.next_close_label(d, V), sql.series("case when lead(close) over w - close >= 0 then 1 when lead(close) over w - close < 0 then -1 end::double"), reach=0, ahead=1)
+indicator("null_signal", lambda d: d.withColumn(V, F.lit(0.0)), sql.series("0.0"), reach=0)
+indicator("running_mean_online", lambda d: O.sma(d, "close", 7, V), sql.series("avg(close) over wp", 7), reach=6)
+indicator("running_std_online", lambda d: O.running_std(d, "close", 7, V), sql.series("stddev_pop(close) over wp", 7), reach=6)
+indicator("stddev_pop", lambda d: O.with_totals(d, value=F.stddev_pop("close")), sql.series("stddev_pop(close) over s"))
+indicator("delay", lambda d: O.delay(d.withColumn(V, F.col("close")), [V], 3), sql.series("lag(close, 3) over w", where="pos >= 3"), reach=3)
+indicator("udf_signal", lambda d: SIGNALS["close_direction"](d, V), sql.series("case when pos = 0 then 0 when close - lag(close) over w >= 0 then 1 else -1 end::double"), reach=1)
 #: Label functions by name.
 SIGNALS = {"close_direction": O.close_direction, "null": lambda d, out: d.withColumn(out, F.lit(0))}
 
@@ -183,11 +196,11 @@ indicator("swing_low", lambda d: O.swing(d, 3, "low", V, "low"), swing_sql(3, "l
 indicator("swing_revised", lambda d: O.swing(d, 3, "high", V, revise=True), swing_sql(3, "high", 1, "null", True))
 
 
-def lists(name: str, operator: Callable[[DataFrame], DataFrame], text: str) -> None:
+def lists(name: str, operator: Callable[[DataFrame], DataFrame], text: str, reach: int) -> None:
     """Register an operator whose value is an array, as its length and a position-weighted sum."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = operator(W.with_pos(bars_events(spark, sf_dir)))
+        df = in_buckets(W.with_pos(bars_events(spark, sf_dir)), operator, reach)
         total = F.aggregate(F.transform(V, lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, b: a + b)
         return df.select("symbol", "ts", F.size(V).cast("bigint").alias("n"), tidy(total).alias("weighted_sum"))
 
@@ -200,10 +213,11 @@ def list_sql(order: str, where: str = "true", value: str = "close", p: int = 4)
         select symbol, ts, len(l)::bigint as n, round(list_sum(list_transform(l, lambda x, i: x * i)), 6) + 0.0 as weighted_sum from v where {where}"""
 
 
-lists("back_bars", lambda d: O.back_bars(d, "close", 4, V), list_sql("list_reverse(list(close) over wp)"))
-lists("sliding_examples", lambda d: O.sliding_examples(d, "close", 4, V), list_sql("list(close) over wp", "pos >= 3"))
-lists("udtf_examples", lambda d: O.sliding_examples(d, "high", 6, V), list_sql("list(high) over wp", "pos >= 5", p=6))
+lists("back_bars", lambda d: O.back_bars(d, "close", 4, V), list_sql("list_reverse(list(close) over wp)"), 3)
+lists("sliding_examples", lambda d: O.sliding_examples(d, "close", 4, V), list_sql("list(close) over wp", "pos >= 3"), 3)
+lists("udtf_examples", lambda d: O.sliding_examples(d, "high", 6, V), list_sql("list(high) over wp", "pos >= 5", p=6), 5)
 lists(
     "ratio_inputs", lambda d: O.ratio_inputs(d).withColumn(V, F.concat("inputs", F.array(F.col("up").cast("double")))),
     list_sql("[open / o1, 1.0, lag(low) over w / o1, lag(high) over w / o1, lag(close) over w / o1, (close > open)::int::double]", "pos >= 1").replace("from p ", f"from (select *, lag(open) over ({sql.LINE}) as o1 from p) "),
+    1,
 )

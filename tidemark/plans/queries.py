@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,6 +28,7 @@ E, O_, P = sql.EVENTS, sql.ORDERS, sql.POS
 FIVE = "'1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW'"
 OTHERS = ["2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 INITIAL = 1e9
+scratch = G.scratch
 
 
 def query(text: str | None = None, name: str | None = None):
@@ -54,14 +54,6 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.with_pos(B.bars_orders(spark, sf_dir))
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder all executors share."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-"))
-    return f"{context.getCheckpointDir().rstrip('/')}/{name}-{G.uuid.uuid4().hex}"
-
-
 # --- the flagship: how often momentum calls the next hour's direction
 
 
@@ -99,8 +91,7 @@ def bars_lineitem(spark, sf_dir):
 def read_bars(spark, sf_dir):
     path = scratch(spark, "bars")
     B.write_bars(B.bars_orders(spark, sf_dir), path)
-    rows = spark.read.schema(B.TEXT_BAR + ", symbol string").option("sep", ";").csv(path)
-    return rows.select("symbol", F.to_timestamp("day", "yyyyMMdd").cast("timestamp_ntz").alias("ts"), "open", "high", "low", "close", "volume")
+    return B.read_bars(spark, path)
 
 
 @query(f"with {O_} select symbol, strftime(ts, '%Y%m%d') || ';' || format('{{:.6f}};{{:.6f}};{{:.6f}};{{:.6f}};', open, high, low, close) || volume as line from bars")
@@ -147,13 +138,8 @@ def reports_of(spark: SparkSession, rows: DataFrame) -> DataFrame:
     return B.read_search_reports(spark, path).select("strategy", "fitness", F.col("params")["period"].alias("period"))
 
 
-@query("select 'S' || (o_orderkey % 7) as strategy, round(o_totalprice, 2)::double as fitness, (o_custkey % 9)::varchar as period from orders where o_orderkey % 10 = 0")
+@query("select 'S' || (o_orderkey % 7) as strategy, round(o_totalprice, 2)::double as fitness, (o_custkey % 9)::varchar as period from orders")
 def read_search_reports(spark, sf_dir):
-    return reports_of(spark, table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0"))  # as its SQL; read_search_reports_all has them all
-
-
-@query()
-def read_search_reports_all(spark, sf_dir):
     return reports_of(spark, table(spark, sf_dir, "orders"))
 
 
@@ -165,23 +151,34 @@ def normalize_vendor_csv(spark, sf_dir):
     return B.normalize_vendor_csv(spark, path, "vendor")
 
 
-@query(f"with {O_} select ts, open, high, low, close, volume from bars where symbol = '5-LOW' and ts >= '1996-01-01'")
+@query(f"with {O_} select symbol || ' ' || extract(year from ts) as page_id, ts, open, high, low, close, volume from bars where ts >= '1996-01-01'")
 def extract_price_tables(spark, sf_dir):
-    bars = B.bars_orders(spark, sf_dir).where("symbol = '5-LOW'")
+    bars = B.bars_orders(spark, sf_dir)
     cells = F.concat(*[F.concat(F.lit('<td class="tabledata">'), c, F.lit("</td>")) for c in (F.date_format("ts", "MMM d, yyyy"), *[F.regexp_replace(F.col(x).cast("decimal(20,6)").cast("string"), r"(\d)(?=(\d{3})+\.)", "$1,") for x in ("open", "high", "low", "close")], F.col("volume").cast("string"), F.lit("0"))])
-    pages = bars.groupBy(F.year("ts").cast("bigint").alias("page_id")).agg(F.concat(F.lit("<table>"), F.array_join(F.collect_list(F.concat(F.lit("<tr>"), cells, F.lit("</tr>"))), ""), F.lit("</table>")).alias("html"))
-    return B.extract_price_tables(pages, "1996-01-01").drop("page_id")
+    pages = bars.groupBy(F.concat_ws(" ", "symbol", F.year("ts")).alias("page_id")).agg(F.concat(F.lit("<table>"), F.array_join(F.collect_list(F.concat(F.lit("<tr>"), cells, F.lit("</tr>"))), ""), F.lit("</table>")).alias("html"))
+    pages = pages.unionByName(table(spark, sf_dir, "pages").select(F.col("page_id").cast("string"), "html"))  # which hold no such row
+    return B.extract_price_tables(pages, "1996-01-01")
 
 
-@query("""select page_id, len(regexp_extract_all(html, 'href="([^"]*)"', 1))::bigint as n_links, replace(regexp_extract_all(html, 'href="([^"]*)"', 1)[1], '&amp;', '&') as first_link from pages""")
+@query("""select page_id, len(regexp_extract_all(html, 'href="([^"]*)"', 1))::bigint as n_links, replace(regexp_extract_all(html, 'href="([^"]*)"', 1)[1], '&amp;', '&') as first_link,
+    nullif(replace(regexp_extract(html, '(?is)<a\\b[^>]*href="([^"]*)"[^>]*>\\s*Next\\s*</a>', 1), '&amp;', '&'), '') as next_link from pages""")
 def extract_next_link(spark, sf_dir):
     return B.page_links(table(spark, sf_dir, "pages"))
 
 
-@query("select event_id, case when try_cast(json_extract_string(props, '$.k') as bigint) is not null then 'props' else 'unknown' end as route, try_cast(json_extract_string(props, '$.k') as bigint) as k from events")
+@query("""select 'event' as origin, event_id as id, case when try_cast(json_extract_string(props, '$.k') as bigint) is not null then 'props' else 'unknown' end as route, try_cast(json_extract_string(props, '$.k') as bigint)::double as value from events
+    union all select 'order', o_orderkey, 'order', round(o_totalprice, 2) from orders
+    union all select 'customer', c_custkey, 'customer', len(c_mktsegment) from customer union all select 'nation', n_nationkey, 'unknown', null from nation""")
 def decode_typed_json(spark, sf_dir):
-    rows = B.decode_typed_json(table(spark, sf_dir, "events"), "props", B.MESSAGES, default="props")
-    return rows.select("event_id", "route", F.col("props").alias("_").getField("k").alias("k") if dict(rows.dtypes)["props"].startswith("struct") else F.get_json_object("props", "$.k").try_cast("bigint").alias("k"))
+    """Messages of three types and one that no type is known for, which becomes a dead letter."""
+    sent = lambda name, origin, key, body: table(spark, sf_dir, name).select(F.lit(origin).alias("origin"), F.col(key).cast("bigint").alias("id"), body.alias("text"))
+    typed = lambda kind, **fields: F.to_json(F.struct(F.lit(kind).alias("Type"), *[c.alias(n) for n, c in fields.items()]))
+    rows = sent("events", "event", "event_id", F.col("props"))
+    rows = rows.unionByName(sent("orders", "order", "o_orderkey", typed("order", id=F.col("o_orderkey"), price=F.round("o_totalprice", 2))))
+    rows = rows.unionByName(sent("customer", "customer", "c_custkey", typed("customer", id=F.col("c_custkey"), segment=F.col("c_mktsegment"))))
+    rows = rows.unionByName(sent("nation", "nation", "n_nationkey", typed("nation", id=F.col("n_nationkey"))))
+    out = B.decode_typed_json(rows, "text", B.MESSAGES, default="props")
+    return out.select("origin", "id", "route", F.coalesce(F.col("props.k").cast("double"), "order.price", F.length("customer.segment").cast("double")).alias("value"))
 
 
 @query(f"with {O_} select symbol, ts, close from bars where ts >= (select max(ts) from bars where ts < '2000-01-01') + interval 1 day")
@@ -405,13 +402,8 @@ def values_of(rows: DataFrame, vector: Column) -> DataFrame:
     return rows.select("vec_id", F.posexplode(vector).alias("k", "x")).select("vec_id", "k", tidy(F.col("x").cast("double")).alias("value"))
 
 
-@query("select vec_id, (i - 1)::int as k, round(embedding[i]::double, 6) + 0.0 as value from (select *, unnest(range(1, 5)) as i from embeddings)")
+@query("select vec_id, (i - 1)::int as k, round(embedding[i]::double, 6) + 0.0 as value from (select *, unnest(range(1, len(embedding) + 1)) as i from embeddings)")
 def flatten_population(spark, sf_dir):
-    return values_of(table(spark, sf_dir, "embeddings"), F.slice("embedding", 1, 4))  # as its SQL; flatten_population_all has them all
-
-
-@query()
-def flatten_population_all(spark, sf_dir):
     return values_of(table(spark, sf_dir, "embeddings"), F.col("embedding"))
 
 
@@ -491,9 +483,14 @@ def trade_report(spark, sf_dir):
     return T.trade_report(trades(spark, sf_dir), INITIAL).withColumns({c: F.round(c, d) for c, d in digits.items()})
 
 
-@query()
+@query(REPORT + """ select symbol, symbol || ': ' || trades || ' trades, ' || wins || ' won, ' || losses || ' lost, ' || stopped_gains || ' gains stopped, ' || stopped_losses || ' losses stopped, ' || unstopped_losses || ' not' as counts,
+    round(total_return, 4) as total_return, round(total_profit / total_loss, 4) as profit_factor, round(wins / trades, 4) as win_fraction, round(avg_win / avg_loss, 4) as win_loss_ratio, round(total_profit / total_loss * (wins / trades) * (avg_win / avg_loss), 4) as cpc, round(max_pct_loss, 6) as max_pct_loss from g""")
 def report_text(spark, sf_dir):
-    return T.report_text(T.trade_report(trades(spark, sf_dir), INITIAL))
+    """The printed report read back: its words as they are, its numbers as numbers."""
+    text = T.report_text(T.trade_report(trades(spark, sf_dir), INITIAL))
+    number = lambda name, digits: F.round(F.regexp_extract("report", name + r": (-?[0-9.]+)", 1).try_cast("double"), digits)
+    named = {"total_return": ("Return", 4), "profit_factor": ("Profit factor", 4), "win_fraction": ("Win fraction", 4), "win_loss_ratio": ("Win/loss ratio", 4), "cpc": ("CPC index", 4), "max_pct_loss": ("Largest loss", 6)}
+    return text.select("symbol", F.substring_index("report", "\n", 1).alias("counts"), *[number(*x).alias(c) for c, x in named.items()])
 
 
 @query(f"with {sql.TRADES}, y as (select *, extract(year from ts)::bigint as year from t) select year, symbol, count(*) as n, round(sum(profit), 1) as profit from y where ts between '1996-01-01' and '1999-12-31' group by 1, 2")
@@ -547,10 +544,9 @@ def signal_accuracy_pct(spark, sf_dir):
     return T.accuracy_pct(signalled(spark, sf_dir), "hit", "symbol").withColumn("accuracy", F.round("accuracy", 6))
 
 
-@query(f"with {SIGNALLED} select symbol, round(count(*) filter (hit = 1) / nullif(count(*) filter (hit <> 0), 0), 6) as accuracy, round(count(*) filter (hit <> 0) / count(*), 6) as confidence from ac group by 1")
+@query(f"with {SIGNALLED}, q as (select symbol, count(*) filter (hit = 1) / nullif(count(*) filter (hit <> 0), 0) as a, count(*) filter (hit <> 0) / count(*) as c from ac group by 1) select symbol, round(a, 6) as accuracy, round(c, 6) as confidence, round(a * c + 0.57 * (1 - c), 6) as overall from q")
 def signal_quality(spark, sf_dir):
-    df = T.accuracy_pct(signalled(spark, sf_dir), "hit", "symbol").join(events(spark, sf_dir).groupBy("symbol").agg(F.count(F.lit(1)).alias("all")), "symbol")
-    return df.select("symbol", F.round("accuracy", 6).alias("accuracy"), F.round(F.col("n") / F.col("all"), 6).alias("confidence"))
+    return T.signal_quality(signalled(spark, sf_dir), "hit").select("symbol", *[F.round(c, 6).alias(c) for c in ("accuracy", "confidence", "overall")])
 
 
 @query(f"with {E}, {P}, m as (select *, close - coalesce(lag(close, 10) over w, first_value(close) over w) as m, lead(close) over w - close as d from p window w as ({sql.LINE})) select symbol, round(avg(case when sign(m) = case when d >= 0 then 1 else -1 end then 1.0 else 0.0 end), 6) as fitness from m where d is not null and pos >= 20 group by 1")
@@ -583,18 +579,11 @@ def signal_backtest(spark, sf_dir):
 
 @query(f"""with recursive {sql.ORDERS}, {P}, m as (select *, sign(close - open) as sig from p), h as (select *, lag(close) over ({sql.LINE}) as old, lag(case when sig > 0 then 1 else -1 end) over ({sql.LINE}) as side from m),
     r as (select symbol, pos, ts, 0::bigint as shares, 1e9::double as value from h where pos = 0
-          union all select b.symbol, b.pos, b.ts, (b.side * greatest(0, floor(r.value / b.old)))::bigint, r.value + b.side * greatest(0, floor(r.value / b.old)) * (b.close - b.old) * 1.0 from r join h b on b.symbol = r.symbol and b.pos = r.pos + 1 where b.pos <= 60)
+          union all select b.symbol, b.pos, b.ts, (b.side * greatest(0, floor(r.value / b.old)))::bigint, r.value + b.side * greatest(0, floor(r.value / b.old)) * (b.close - b.old) * 1.0 from r join h b on b.symbol = r.symbol and b.pos = r.pos + 1)
     select symbol, ts, shares, round(value, 2) as value from r""")
 def whole_share_backtest(spark, sf_dir):
     df = orders(spark, sf_dir).withColumn("sig", F.signum(F.col("close") - F.col("open")))
-    rows = T.whole_share_backtest(df, "sig", 1e9).join(df.where("pos <= 60").select("symbol", "ts"), ["symbol", "ts"])  # the report's first 60 steps
-    return rows.select("symbol", "ts", "shares", F.round("value", 2).alias("value"))
-
-
-@query()
-def whole_share_backtest_all(spark, sf_dir):
-    df = orders(spark, sf_dir).withColumn("sig", F.signum(F.col("close") - F.col("open")))
-    rows = T.whole_share_backtest(df, "sig", 1e9)  # every bar; whole_share_backtest is its first 61, which recursive SQL can follow
+    rows = T.whole_share_backtest(df, "sig", 1e9)
     return rows.select("symbol", "ts", "shares", F.round("value", 2).alias("value"))
 
 
@@ -622,7 +611,11 @@ def discretionary_trades(spark, sf_dir):
     return done.select("symbol", "ts", "side", "exit", F.round("profit", 2).alias("profit"), F.round("value_after", 2).alias("value_after"))
 
 
-@query(None)
+@query(f"""with recursive {sql.ORDERS}, {P}, q as (select *, case when close >= open then open - low else high - open end as wick, greatest(high - low, coalesce(abs(low - lag(close) over w), 0), coalesce(abs(high - lag(close) over w), 0)) as tr from p window w as ({sql.LINE})),
+    r as (select symbol, pos, ts, open, close, wick as e, tr as a from q where pos = 0
+          union all select b.symbol, b.pos, b.ts, b.open, b.close, 0.25 * b.wick + 0.75 * r.e, ((least(b.pos + 1, 7) - 1) * r.a + b.tr) / least(b.pos + 1, 7) from r join q b on b.symbol = r.symbol and b.pos = r.pos + 1),
+    k as (select *, 1.2 * (0.65 * e + 0.35 * a) as risk from r)
+    select symbol, ts, round(0.025 / nullif(risk, 0), 8) + 0.0 as size_pct, round(case when close >= open then open - risk else open + risk end, 4) + 0.0 as stop from k""")
 def risk_sizing(spark, sf_dir):
     df = orders(spark, sf_dir).withColumn("side", F.when(S.is_green(), "long").otherwise("short"))
     df = R.atr(R.ema(df, S.opening_wick(), 7, "wick7"), 7, "atr7")
@@ -709,7 +702,7 @@ def except_rows(spark, sf_dir):
     return table(spark, sf_dir, "customer").where("c_acctbal < 0").select("c_nationkey").exceptAll(table(spark, sf_dir, "supplier").select("s_nationkey"))
 
 
-@query()
+@query("select c_custkey from customer order by ('0x' || substr(md5('7:' || c_custkey), 1, 8))::bigint, c_custkey")
 def shuffle(spark, sf_dir):
     return A.shuffled(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", 7)
 
@@ -741,13 +734,8 @@ def column_totals(rows: DataFrame) -> DataFrame:
     return turned.groupBy("col").agg(F.sum(F.size("values")).cast("bigint").alias("n"), tidy(F.sum(total), 4).alias("total"))
 
 
-@query("select (i - 1)::int as col, count(*) as n, round(sum(embedding[i]::double), 4) + 0.0 as total from (select *, unnest(range(1, 65)) as i from embeddings where label = 3) group by 1")
+@query("select (i - 1)::int as col, count(*) as n, round(sum(embedding[i]::double), 4) + 0.0 as total from (select *, unnest(range(1, len(embedding) + 1)) as i from embeddings) group by 1")
 def series_to_matrix(spark, sf_dir):
-    return column_totals(table(spark, sf_dir, "embeddings").where("label = 3"))  # as its SQL; series_to_matrix_all has all labels
-
-
-@query()
-def series_to_matrix_all(spark, sf_dir):
     return column_totals(table(spark, sf_dir, "embeddings"))
 
 
@@ -818,15 +806,42 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.feature_matrix(aligned, "1-URGENT", ("2-HIGH", "5-LOW"))
 
 
-@query()
+#: The features one by one: averages in compat mode of all series' prices, indicators of one, both scaled to 0..1.
+FEATURES = f"""with recursive {ALIGNED}, fb as (select symbol, ts, {', '.join(A.FIELDS)} from al union all select symbol, ts, {', '.join(A.FIELDS)} from bars where symbol = '1-URGENT'),
+    fp as (select *, row_number() over ({sql.LINE}) - 1 as pos from fb),
+    fl as (select symbol, ts, pos, unnest(['open', 'high', 'low', 'close', 'volume']) as name, unnest([open, high, low, close, volume::double]) as x from fp),
+    fs as (select *, first_value(x) over w as fx, sum(case when pos < 10 then x else 0 end) over (partition by symbol, name) as head, sum(x) over (w rows unbounded preceding) as upto, avg(x) over (w rows 9 preceding) as mean
+           from fl where name <> 'volume' or symbol = '1-URGENT' window w as (partition by symbol, name order by ts)),
+    fm as (select *, case when pos < 10 then (fx + upto) / (pos + 2) else mean + (fx - head / 10) / 11 end as average from fs),
+    b0 as (select *, coalesce(close - lag(close) over (order by ts), 0) as move from fp where symbol = '1-URGENT'),
+    rr as (select pos, high - low as e, close as f, close as s, 0.0::double as u, 0.0::double as d from b0 where pos = 0
+           union all select b.pos, {2 / 11} * (b.high - b.low) + {9 / 11} * r.e, {2 / 11} * b.close + {9 / 11} * r.f, {2 / 22} * b.close + {20 / 22} * r.s, {2 / 11} * greatest(b.move, 0) + {9 / 11} * r.u, {2 / 11} * greatest(-b.move, 0) + {9 / 11} * r.d
+           from rr r join b0 b on b.pos = r.pos + 1),
+    b1 as (select b0.*, rr.e, rr.f, rr.s, rr.u, rr.d, coalesce(lag(rr.e, 10) over w, first_value(rr.e) over w) as old from b0 join rr on b0.pos = rr.pos window w as (order by b0.ts)),
+    b2 as (select *, avg(close) over w2 + regr_slope(close, pos) over w2 * (pos + 1 - avg(pos) over w2) as l2, avg(close) over w7 + regr_slope(close, pos) over w7 * (pos + 1 - avg(pos) over w7) as l7,
+           case when pos < 9 or max(close) over w10 = min(close) over w10 then 0 else coalesce(regr_r2(close, pos) over w10, 0) end as r2, case when pos = 0 then close else regr_slope(close, pos) over w4 end as slope,
+           case when pos = 0 then 0 else (close - lag(close) over w) / nullif(lag(close) over w, 0) * 100 end as roc, close - coalesce(lag(close, 10) over w, first_value(close) over w) as momentum
+           from b1 window w as (order by ts), w2 as (order by ts rows 1 preceding), w4 as (order by ts rows 3 preceding), w7 as (order by ts rows 6 preceding), w10 as (order by ts rows 9 preceding)),
+    un as (select symbol, ts, (close - min(close) over s) / nullif(max(close) over s - min(close) over s, 0) as unit from fp window s as (partition by symbol)),
+    fv as (select ts, symbol || '.' || name as feature, 'A' as db_group, case when average = 0 then 0 else 100 * (x - average) / average end as value from fm
+           union all select ts, '1-URGENT.' || unnest(['roc', 'open_close', 'high_low', 'linreg_gap', 'r_squared', 'slope', 'chaikin', 'macd', 'momentum', 'rsi']), 'B',
+               unnest([roc, (open - close) / nullif(open, 0) * 100, (high - low) / nullif(low, 0) * 100, case when pos = 0 then 0 else l2 - l7 end, r2, slope, 100 * (e - old) / nullif(old, 0), f - s, momentum,
+                       case when pos = 0 then 50 when d = 0 and u > 0 then 100 else 100 - 100 / (1 + u / nullif(d, 0)) end]) from b2
+           union all select ts, 'unit_gap', 'B', sum(case when symbol = '2-HIGH' then unit else -unit end) from un where symbol in ('2-HIGH', '5-LOW') group by 1),
+    fz as (select ts, feature, db_group, (value - min(value) over f) / nullif(max(value) over f - min(value) over f, 0) as value from fv window f as (partition by feature))"""
+
+
+@query(FEATURES + " select ts, feature, db_group, round(value, 6) + 0.0 as value from fz")
 def feature_matrix(spark, sf_dir):
-    return features(spark, sf_dir).groupBy("db_group", "feature").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean"))
+    return features(spark, sf_dir).withColumn("value", tidy("value"))
 
 
-@query()
+@query(FEATURES + f""", place as (select *, row_number() over (partition by ts order by db_group, feature) as i from fz), lb as (select ts, case when lead(close) over ({sql.LINE}) - close >= 0 then 1 when lead(close) over ({sql.LINE}) - close < 0 then -1 end as label from bars where symbol = '1-URGENT')
+    select place.ts, count(*)::int as n, round(sum(coalesce(value, 0) * i), 4) + 0.0 as weighted, any_value(label)::int as label from place join lb on place.ts = lb.ts where label is not null group by 1""")
 def training_set(spark, sf_dir):
     labels = O.next_close_label(orders(spark, sf_dir).where("symbol = '1-URGENT'"), "label")
-    return M.training_set(M.to_vectors(features(spark, sf_dir)), labels).select("ts", F.size("features").alias("n"), "label")
+    weighted = F.aggregate(F.transform("features", lambda x, i: F.coalesce(x, F.lit(0.0)) * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return M.training_set(M.to_vectors(features(spark, sf_dir)), labels).select("ts", F.size("features").alias("n"), tidy(weighted, 4).alias("weighted"), "label")
 
 
 # --- search
@@ -839,7 +854,13 @@ def weighted_pick(spark, sf_dir):
     return G.weighted_pick(items, picks)
 
 
-@query()
+PICKS = """u as (select n_nationkey as pair, ('0x' || substr(md5('3:' || n_nationkey), 1, 8))::bigint / 4294967296.0::double as u, ('0x' || substr(md5('4:' || n_nationkey), 1, 8))::bigint / 4294967296.0::double as v from nation),
+    c as (select s_suppkey as id, (sum(abs(s_acctbal)) over (order by s_suppkey rows unbounded preceding)) / sum(abs(s_acctbal)) over () as high, abs(s_acctbal) / sum(abs(s_acctbal)) over () as own from supplier where s_acctbal <> 0),
+    f as (select u.*, c.id as first, c.high - c.own as low, c.own from u join c on u >= c.high - c.own and u < c.high),
+    g as (select *, case when v * (1 - own) >= low then v * (1 - own) + own else v * (1 - own) end as w from f)"""
+
+
+@query(f"with {PICKS} select pair, first, c.id as second from g join c on w >= c.high - c.own and w < c.high")
 def weighted_pick_two(spark, sf_dir):
     items = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.abs("s_acctbal").alias("quality"))
     return G.weighted_pick_two(items, table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("pair")), 3)
@@ -853,13 +874,8 @@ def crossed(rows: DataFrame, vector: Column) -> DataFrame:
     return G.crossover(genes.withColumnRenamed("vec_id", "pair"), genes.withColumn("pair", F.col("vec_id") - 1).drop("vec_id"), coin)
 
 
-@query("select a.vec_id as pair, i as ord, 'g' || i as name, case when (a.vec_id * 7919 + i * 31 + 13) % 1000 < 500 then b.embedding[i]::double else a.embedding[i]::double end as x, case when (a.vec_id * 7919 + i * 31 + 13) % 1000 < 500 then a.embedding[i]::double else b.embedding[i]::double end as y from embeddings a join embeddings b on b.vec_id = a.vec_id + 1, (select unnest(range(1, 6)) as i)")
+@query("select a.vec_id as pair, i as ord, 'g' || i as name, case when (a.vec_id * 7919 + i * 31 + 13) % 1000 < 500 then b.embedding[i]::double else a.embedding[i]::double end as x, case when (a.vec_id * 7919 + i * 31 + 13) % 1000 < 500 then a.embedding[i]::double else b.embedding[i]::double end as y from embeddings a join embeddings b on b.vec_id = a.vec_id + 1, (select unnest(range(1, 65)) as i)")
 def crossover(spark, sf_dir):
-    return crossed(table(spark, sf_dir, "embeddings"), F.slice("embedding", 1, 5))  # as its SQL; crossover_all has all genes
-
-
-@query()
-def crossover_all(spark, sf_dir):
     return crossed(table(spark, sf_dir, "embeddings"), F.col("embedding"))
 
 
@@ -867,13 +883,37 @@ def specs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "region").select(F.col("r_name").alias("name"), F.col("r_regionkey").cast("double").alias("min"), (F.col("r_regionkey") + 10.0).alias("max"), F.lit(0.25).alias("granularity"))
 
 
-@query()
+def drawn(seed: int, *keys: str) -> str:
+    """SQL of a draw from 0..1."""
+    return f"(('0x' || substr(md5('{seed}:' || {' || chr(58) || '.join(keys)}), 1, 8))::bigint / 4294967296.0::double)"
+
+
+GENES = f"""s as (select r_name as name, r_regionkey::double as low, r_regionkey + 10.0::double as high from region), n as (select unnest(range(0, (select count(*) from customer))) as candidate),
+    genes as (select candidate, name, low, high, least(high, round_even({drawn(5, 'candidate', 'name')} * (high - low) / 0.25, 0) * 0.25 + low) as value from n, s)"""
+
+
+@query(f"with {GENES} select candidate, name, value from genes")
 def random_candidates(spark, sf_dir):
     n = table(spark, sf_dir, "customer").count()
     return G.random_candidates(spark, n, specs(spark, sf_dir), 5)
 
 
-@query()
+@query("select c_custkey, round(" + drawn(21, "c_custkey") + " * 30 + 20, 6) as u, " + drawn(22, "c_custkey") + " < 0.3 as coin, round((" + " + ".join(drawn(23 * 65536 + i, "c_custkey") for i in range(4)) + ") * 2 - 4, 6) + 0.0 as total from customer")
+def uniform_double(spark, sf_dir):
+    """uniform_double, with_prob and random_vector: draws that depend on the row's key."""
+    v = F.aggregate(S.random_vector(23, 4, -1.0, 1.0, "c_custkey"), F.lit(0.0), lambda a, x: a + x)
+    return table(spark, sf_dir, "customer").select("c_custkey", F.round(S.uniform(21, 20.0, 50.0, "c_custkey"), 6).alias("u"), S.with_prob(22, 0.3, "c_custkey").alias("coin"), tidy(v).alias("total"))
+
+
+@query(f"with {O_}, m as (pivot (select symbol, ts, close from bars) on symbol in ({FIVE}) using max(close) group by ts) select ts, round(" + " + ".join(f'coalesce(\"{s}\", 0) * {i + 1}' for i, s in enumerate(["1-URGENT", *OTHERS])) + ", 4) as weighted from m")
+def columns_to_matrix(spark, sf_dir):
+    """Closes of five series as rows of a matrix, by date; null where a series has no bar."""
+    rows = M.columns_to_matrix(B.bars_orders(spark, sf_dir).select("ts", F.col("symbol").alias("feature"), F.col("close").alias("value")), ["1-URGENT", *OTHERS])
+    total = F.aggregate(F.transform("values", lambda x, i: F.coalesce(x, F.lit(0.0)) * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return rows.select("ts", F.round(total, 4).alias("weighted"))
+
+
+@query(f"with {GENES} select candidate, name, case when {drawn(9, 'candidate', 'name')} < 0.05 then least(high, round_even({drawn(10, 'candidate', 'name')} * (high - low) / 0.25, 0) * 0.25 + low) else value end as value from genes")
 def mutate(spark, sf_dir):
     n = table(spark, sf_dir, "customer").count()
     return G.mutate(G.random_candidates(spark, n, specs(spark, sf_dir), 5), specs(spark, sf_dir), 0.05, 9)
@@ -962,7 +1002,7 @@ def view_mixture_tree(spark, sf_dir):
 
 @query(f"with {O_} select row_number() over (order by symbol) as run_id, 'run ' || row_number() over (order by symbol) || ' on ' || symbol || ': ' || count(*) || ' bars from ' || strftime(min(ts), '%Y-%m-%d') as description from bars group by symbol")
 def run_description(spark, sf_dir):
-    runs = B.bars_orders(spark, sf_dir).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"))
+    runs = B.bars_orders(spark, sf_dir).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"))  # a row a run
     return V.run_description(runs.withColumn("run_id", F.row_number().over(W.Window.orderBy("symbol")).cast("bigint")))
 
 

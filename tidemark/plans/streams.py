@@ -15,6 +15,8 @@ from tidemark.plans import queries as Q
 from tidemark.plans import sql
 from tidemark.plans.indicators import tidy
 from tidemark.sources.bars import MESSAGES, bars_events, decode_typed_json
+from tidemark.sources.bars import read_run_requests as parse
+from tidemark.sources.bars import read_settings_xml as read
 from tidemark.streaming import ops
 
 QUERIES, SQL = {}, {}
@@ -161,23 +163,19 @@ def udf_kernel(spark, sf_dir):
     return Q.G.grid_search(bars_events(spark, sf_dir), grid, kernel)
 
 
-@query()
+@query("""select p_size::double as "Max", count(*) as n, sum(p_partkey)::double as total from part group by 1""")
 def read_settings_xml(spark, sf_dir):
     path = Q.scratch(spark, "settings")
-    gene = F.format_string("<VGene><Name>%s</Name><Min>%d</Min><Max>%d</Max><Granularity>1</Granularity><Value>%d</Value></VGene>", "p_name", F.lit(0), "p_size", "p_partkey")
-    parts = Q.table(spark, sf_dir, "part").select("p_name", F.col("p_size").cast("int").alias("p_size"), "p_partkey")
-    parts.select(gene).write.text(path)
-    from tidemark.sources.bars import read_settings_xml as read
-
+    genes = Q.table(spark, sf_dir, "part").select(F.col("p_name").alias("Name"), F.lit(0).alias("Min"), F.col("p_size").cast("int").alias("Max"), F.lit(1).alias("Granularity"), F.col("p_partkey").alias("Value"))
+    genes.write.format("xml").option("rootTag", "Settings").option("rowTag", "VGene").save(path)
     return read(spark, path).groupBy("Max").agg(F.count(F.lit(1)).alias("n"), F.sum("Value").alias("total"))
 
 
-@query("select o_orderkey as id, 'TRAIN' as kind, o_orderdate::date as start_date from orders")
+@query("select o_orderkey as id, 'TRAIN' as kind, o_orderdate::date as start_date, 0.2::double as validation from orders")
 def read_run_requests(spark, sf_dir):
     path = Q.scratch(spark, "requests")
     orders = Q.table(spark, sf_dir, "orders")
     text = F.format_string('{"Type":"TRAIN","ProtoRunName":"%d","StartDate":ISODate("%s"),"ValidationPct":0.2}', "o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd"))
     orders.select(text).write.text(path)
-    schema = "Type string, ProtoRunName string, StartDate string"
-    rows = spark.read.text(path).select(F.from_json(F.regexp_replace("value", r'ISODate\(\s*("[^"]*")\s*\)', "$1"), schema).alias("r"))
-    return rows.select(F.col("r.ProtoRunName").cast("bigint").alias("id"), F.col("r.Type").alias("kind"), F.to_date("r.StartDate").alias("start_date"))
+    rows = parse(spark, path, a_line=True)
+    return rows.select(F.col("ProtoRunName").cast("bigint").alias("id"), F.col("Type").alias("kind"), F.to_date("StartDate").alias("start_date"), F.col("ValidationPct").alias("validation"))

@@ -34,9 +34,10 @@ def bars_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def read_bars(spark: SparkSession, path: str) -> DataFrame:
-    """`yyyyMMdd;open;high;low;close;volume` files without header; the symbol is the file's stem."""
-    rows = spark.read.schema(TEXT_BAR).option("sep", ";").csv(path)
-    symbol = F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[^./]*)?$", 1)
+    """`yyyyMMdd;open;high;low;close;volume` files without header; the symbol is that of the folder (symbol=...), else the file's stem."""
+    rows = spark.read.schema(TEXT_BAR).option("sep", ";").option("recursiveFileLookup", True).csv(path)
+    folder = F.regexp_extract(F.input_file_name(), r"/symbol=([^/]+)/[^/]*$", 1)
+    symbol = F.when(folder != "", folder).otherwise(F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[^./]*)?$", 1))
     return rows.select(F.url_decode(symbol).alias("symbol"), F.to_timestamp("day", "yyyyMMdd").cast("timestamp_ntz").alias("ts"), "open", "high", "low", "close", "volume")
 
 
@@ -79,9 +80,9 @@ def next_link(html: Column, label: str = "Next") -> Column:
 
 
 def page_links(pages: DataFrame) -> DataFrame:
-    """(page_id, n_links, first_link) of pages (page_id, html)."""
+    """(page_id, n_links, first_link, next_link) of pages (page_id, html)."""
     links = F.regexp_extract_all(F.col("html"), F.lit('href="([^"]*)"'), F.lit(1))
-    return pages.select("page_id", F.size(links).cast("bigint").alias("n_links"), F.replace(F.get(links, F.lit(0)), F.lit("&amp;"), F.lit("&")).alias("first_link"))
+    return pages.select("page_id", F.size(links).cast("bigint").alias("n_links"), F.replace(F.get(links, F.lit(0)), F.lit("&amp;"), F.lit("&")).alias("first_link"), next_link(F.col("html")).alias("next_link"))
 
 
 def read_trade_log(lines: DataFrame) -> DataFrame:
@@ -101,10 +102,10 @@ def read_search_reports(spark: SparkSession, path: str) -> DataFrame:
     return rows.where(F.map_contains_key("params", "Fitness")).select(F.col("params")["Strategy"].alias("strategy"), F.col("params")["Fitness"].try_cast("double").alias("fitness"), "params")
 
 
-def read_run_requests(spark: SparkSession, path: str) -> DataFrame:
-    """Run request files whose dates are ISODate("...") literals."""
+def read_run_requests(spark: SparkSession, path: str, a_line: bool = False) -> DataFrame:
+    """Run requests, one a file (or a line), whose dates are ISODate("...") literals."""
     schema = "Type string, ProtoRunName string, Symbol string, StartDate string, EndDate string, ValidationPct double, SignalType string"
-    text = spark.read.text(path, wholetext=True)
+    text = spark.read.text(path, wholetext=not a_line)
     return text.select(F.from_json(F.regexp_replace("value", r'ISODate\(\s*("[^"]*")\s*\)', "$1"), schema).alias("r")).select("r.*")
 
 
@@ -114,7 +115,8 @@ def read_settings_xml(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("xml").option("rowTag", "VGene").schema(schema).load(path)
 
 
-MESSAGES = {"props": "struct<k:bigint>"}
+#: Record types by the Type they name.
+MESSAGES = {"props": "struct<k:bigint>", "order": "struct<id:bigint,price:double>", "customer": "struct<id:bigint,segment:string>"}
 
 
 def decode_typed_json(rows: DataFrame, text: str, types: dict[str, str], default: str | None = None) -> DataFrame:
