@@ -35,21 +35,22 @@ def test_every_order_becomes_a_report(spark):
     assert sorted(map(tuple, Q.QUERIES["read_search_reports"](spark, SF).collect())) == want
 
 
-def test_candidates_are_scored_on_all_rows(spark, monkeypatch):
-    monkeypatch.setattr(Q.M, "SAMPLE", 100)
-    score = Q.M.candidate_fitness
+def test_candidates_are_fitted_and_scored_on_all_rows(spark, monkeypatch):
+    score, train, fits = Q.M.candidate_fitness, Q.M.train_candidates, []
     monkeypatch.setattr(Q.M, "candidate_fitness", lambda rows, fitted: score(rows.repartition(3), fitted, 70, 3))
-    fits = []
-    train = Q.M.train_candidates
-    monkeypatch.setattr(Q.M, "train_candidates", lambda own, x, y: fits.append((len(x), train(own, x, y))) or fits[0][1])
+    monkeypatch.setattr(Q.M, "train_candidates", lambda own, rows: fits.append(train(own, rows.repartition(3), Q.M.CENTERS, 60, 3)) or fits[0])
     got = {r["candidate"]: r["fitness"] for r in Q.QUERIES["candidate_training"](spark, SF).collect()}
-    rows = Q.table(spark, SF, "embeddings").collect()
+    rows = sorted(Q.table(spark, SF, "embeddings").collect(), key=lambda r: r["vec_id"])
     x, y = np.array([r["embedding"] for r in rows], float), np.array([1.0 if r["label"] % 2 else -1.0 for r in rows])
-    assert fits[0][0] == 100 and len(rows) == 500 and len(got) == 10
-    for c in fits[0][1].collect():
-        gap = ((x[:, None, :] - np.array(c["centers"])[None]) ** 2).sum(axis=2)
-        guess = np.exp(-gap / c["spread"] ** 2) @ np.array(c["weights"][:-1]) + c["weights"][-1]
-        assert got[c["candidate"]] == pytest.approx((np.sign(guess) == y).mean(), abs=1e-4)
+    assert len(rows) == 500 and len(got) == 10
+    for c in fits[0].collect():
+        start, n = int(c["candidate"] % 10 / 20 * len(x)), int(0.4 * len(x))
+        own, at = slice(start, start + n), x[start : start + n : n // 8][:8]
+        assert np.allclose(np.array(c["centers"]), at)
+        phi = lambda v: np.c_[np.exp(-((v[:, None, :] - at[None]) ** 2).sum(axis=2) / c["spread"] ** 2), np.ones(len(v))]  # noqa: B023, E731
+        w = np.linalg.lstsq(phi(x[own]), y[own], rcond=None)[0]
+        assert np.allclose(phi(x) @ np.array(c["weights"]), phi(x) @ w, atol=1e-4)
+        assert got[c["candidate"]] == pytest.approx((np.sign(phi(x) @ w) == y).mean(), abs=0.005)
 
 
 def vectors(spark):

@@ -20,8 +20,8 @@ from tidemark.operators.scan import spread
 from tidemark.operators.search import written
 
 MIXED = ("open", "high", "low", "close", "volume")
-#: Rows a candidate's fit may take from, and centres of its RBF readout, at most.
-SAMPLE, CENTERS = 2000, 8
+#: Centres of a candidate's RBF readout at most.
+CENTERS = 8
 FITTED = "candidate bigint, spread double, centers array<array<double>>, weights array<double>"
 
 
@@ -173,26 +173,59 @@ def fitness(df: DataFrame, predicted: str, actual: str, *keys: str) -> DataFrame
     return df.groupBy(*keys).agg(F.avg(F.when(same, 1.0).otherwise(0.0)).alias("fitness"))
 
 
-def train_candidates(candidates: DataFrame, x: np.ndarray, y: np.ndarray, centers: int = CENTERS) -> DataFrame:
+def train_candidates(candidates: DataFrame, rows: DataFrame, centers: int = CENTERS, rows_at_once: int = 2048, candidates_at_once: int = 256) -> DataFrame:
     """(candidate, spread, centers, weights) of candidates (candidate, offset, size, spread): each fits an RBF readout on its slice.
 
-    One task a batch of candidates; x and y are a sample of bounded size that every task gets. The last weight is the bias.
+    rows: (row bigint, x, y). A slice is floor(size n) of the n rows in order of row, from place floor(offset n) on; its
+    centres are rows at even distances. Blocks of rows meet the candidates whose slices they lie in, and only the sums of
+    their normal equations leave a block; the last weight is the bias. Equal to a least-squares fit on the whole slice.
     """
-
-    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    line = rows.select(F.lit("").alias("symbol"), F.col("row").alias("ts"), "x", F.col("y").cast("double").alias("y"))
+    placed = written(W.with_pos(line, F.expr("ts div 65536")).select("pos", "x", "y"))
+    n = placed.count()
+    start = F.greatest(F.lit(0), F.least(F.lit(n - 1), F.floor(F.col("offset") * n)))
+    length = F.greatest(F.lit(1), F.least(n - F.col("start"), F.floor(F.col("size") * n)))
+    own = candidates.select("candidate", "spread", "size", start.cast("bigint").alias("start")).withColumn("length", length.cast("bigint"))
+    step = F.greatest(F.lit(1), F.expr(f"length div {centers}"))
+    at = F.filter(F.transform(F.sequence(F.lit(0), F.lit(centers - 1)), lambda i: i * step), lambda k: k < F.col("length"))
+    chosen = own.select("candidate", "start", F.posexplode(at).alias("ord", "k")).withColumn("pos", F.col("start") + F.col("k"))
+    chosen = chosen.join(placed.select("pos", "x"), "pos").groupBy("candidate").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "x"))), lambda c: c["x"]).alias("centers"))
+    own = written(own.join(chosen, "candidate").select("candidate", "spread", "start", (F.col("start") + F.col("length")).alias("end"), "centers"))
+    chunks = -(-own.count() // candidates_at_once) or 1
+    blocks = F.sequence(F.expr(f"start div {rows_at_once}"), F.expr(f"(end - 1) div {rows_at_once}"))
+    asked = own.withColumn("block", F.explode(blocks)).withColumn("chunk", F.pmod(F.xxhash64("candidate"), F.lit(chunks)))
+    held = placed.withColumn("block", F.expr(f"pos div {rows_at_once}")).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(chunks - 1).cast("bigint"))))
+
+    def sums(some: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(block):
+            pos, x, y = block["pos"].to_numpy(), np.array(block["x"].tolist(), float), block["y"].to_numpy(float)
+            for c in some.itertuples(index=False):
+                inside = (pos >= c.start) & (pos < c.end)
+                phi = np.c_[bases(x[inside], c.centers, c.spread), np.ones(inside.sum())]
+                out.append((c.candidate, np.r_[(phi.T @ phi).ravel(), phi.T @ y[inside]].tolist()))
+        return pd.DataFrame(out, columns=["candidate", "sums"])
+
+    parts = asked.groupBy("block", "chunk").cogroup(held.groupBy("block", "chunk")).applyInPandas(sums, "candidate bigint, sums array<double>")
+    added = parts.select("candidate", F.posexplode("sums").alias("k", "v")).groupBy("candidate", "k").agg(F.sum("v").alias("v"))
+    added = added.groupBy("candidate").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "v"))), lambda s: s["v"]).alias("sums"))
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for c in batch.itertuples(index=False):
-                start = int(np.clip(np.floor(c.offset * len(x)), 0, len(x) - 1))
-                n = int(np.clip(np.floor(c.size * len(x)), 1, len(x) - start))
-                own, label = x[start : start + n], y[start : start + n]
-                chosen = own[:: max(1, n // centers)][:centers]
-                phi = np.exp(-((own[:, None, :] - chosen[None]) ** 2).sum(axis=2) / c.spread**2)
-                w = np.linalg.lstsq(np.c_[phi, np.ones(n)], label, rcond=None)[0]
-                out.append((c.candidate, c.spread, chosen.tolist(), w.tolist()))
-            yield pd.DataFrame(out, columns=["candidate", "spread", "centers", "weights"])
+            weights = []
+            for v in batch["sums"]:
+                m = int((len(v) + 0.25) ** 0.5)  # m (m + 1) sums for m unknowns
+                weights.append((np.linalg.pinv(np.array(v[: m * m]).reshape(m, m), rcond=1e-12, hermitian=True) @ np.array(v[m * m :])).tolist())
+            yield batch[["candidate", "spread", "centers"]].assign(weights=weights)
+
+    return own.join(added, "candidate").select("candidate", "spread", "centers", "sums").mapInPandas(solve, FITTED)
+
 
-    return candidates.select("candidate", "offset", "size", "spread").mapInPandas(fit, FITTED)
+def bases(x: np.ndarray, centers: list, spread: float) -> np.ndarray:
+    """exp(-(distance / spread)^2) of rows to centres."""
+    at = np.array([list(v) for v in centers], float)
+    gap = np.maximum((x**2).sum(axis=1)[:, None] - 2 * x @ at.T + (at**2).sum(axis=1), 0)
+    return np.exp(-gap / spread**2)
 
 
 def candidate_fitness(rows: DataFrame, fitted: DataFrame, rows_at_once: int = 2048, candidates_at_once: int = 256) -> DataFrame:
@@ -206,12 +239,9 @@ def candidate_fitness(rows: DataFrame, fitted: DataFrame, rows_at_once: int = 20
         out = []
         if len(left):
             x, y = np.array(left["x"].tolist(), float), np.sign(left["y"].to_numpy(float))
-            own = (x**2).sum(axis=1)[:, None]
             for c in right.itertuples(index=False):
-                at = np.array([list(v) for v in c.centers], float)
-                gap = np.maximum(own - 2 * x @ at.T + (at**2).sum(axis=1), 0)
                 w = np.array(c.weights)
-                out.append((c.candidate, int((np.sign(np.exp(-gap / c.spread**2) @ w[:-1] + w[-1]) == y).sum()), len(y)))
+                out.append((c.candidate, int((np.sign(bases(x, c.centers, c.spread) @ w[:-1] + w[-1]) == y).sum()), len(y)))
         return pd.DataFrame(out, columns=["candidate", "hits", "n"])
 
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))

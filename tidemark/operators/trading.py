@@ -275,17 +275,55 @@ def discretionary_of(rows: DataFrame, initial: float, force_open: bool = True) -
     return equity_curve(trade_pnl(rows), initial)
 
 
-def trades_on_calendar(bars: DataFrame, trades: DataFrame) -> DataFrame:
+def discretionary_sized(rows: DataFrame, initial: float, margin: float, gains: bool = True, losses: bool = True, fix_slippage: bool = False, price: float | None = None) -> DataFrame:
+    """Trades of log rows with their bars (symbol, ts, gain, open, high, low, close), sized by the account's value so far.
+
+    A gain goes with the bar's colour and leaves at the open plus the gain, or at the close (fix_slippage); a loss goes
+    against it and leaves at its stop, the open less the loss. Gains or losses that are left out, and a gain of null, are
+    recorded flat at the open. A trade has value // open shares (or // price), each times margin; the whole number depends on
+    the value, so that one fold a symbol streams through its rows and holds that value only.
+    """
+    won, green = F.col("gain") >= 0, S.is_green()
+    taken = F.coalesce(F.when(won, F.lit(gains)).otherwise((F.col("gain") < 0) & F.lit(losses)), F.lit(False))
+    up = F.when(taken, F.when(won, green).otherwise(~green)).otherwise(F.lit(True))
+    moved = F.when(up, F.col("open") + F.col("gain")).otherwise(F.col("open") - F.col("gain"))
+    exit_ = F.when(~taken, F.col("open")).when(won & F.lit(fix_slippage), F.col("close")).otherwise(F.when(won & ~green, F.col("open") - F.col("gain")).otherwise(moved))
+    rows = rows.withColumn("side", F.when(up, "long").otherwise("short")).withColumn("entry", F.col("open")).withColumn("exit", exit_)
+    stop = F.when(~taken, F.col("open")).when(won, F.when(green, F.col("low") - 0.1).otherwise(F.col("high") + 0.1)).otherwise(F.col("exit"))
+    rows = rows.withColumn("stop", stop).withColumn("unstopped_exit", F.col("close"))
+    each = F.when(up, F.col("exit") - F.col("entry")).otherwise(F.col("entry") - F.col("exit")) * margin
+    columns = ["symbol", "ts", "side", "entry", "stop", "exit", "unstopped_exit"]
+    dealt = rows.select(*columns, each.alias("each"), (F.lit(price) if price else F.col("open")).alias("price")).repartition("symbol").sortWithinPartitions("symbol", "ts")
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        symbol, value = None, initial
+        for batch in batches:
+            sizes, before, after = [], [], []
+            for s, gain, cost in zip(batch["symbol"], batch["each"], batch["price"], strict=True):
+                if s != symbol:
+                    symbol, value = s, initial
+                sizes.append(int(value / cost) if cost else 0)
+                before.append(value)
+                value += gain * sizes[-1]
+                after.append(value)
+            yield batch[columns].assign(size=sizes, profit=[b - a for a, b in zip(before, after, strict=True)], value_before=before, value_after=after)
+
+    return dealt.mapInPandas(fold, "symbol string, ts timestamp_ntz, side string, entry double, stop double, exit double, unstopped_exit double, size bigint, profit double, value_before double, value_after double")
+
+
+def trades_on_calendar(bars: DataFrame, trades: DataFrame, unstopped: bool = False) -> DataFrame:
     """Every bar date between a symbol's first and last trade; dates without one carry the last trade's value on.
 
-    trades: (symbol, ts, entry, exit, value_after). Adds is_fill; filled rows have entry = exit = the last exit.
+    trades: (symbol, ts, entry, exit, value_after). Adds is_fill; filled rows have entry = exit = the last exit, or (unstopped)
+    the last trade's unstopped_exit.
     """
     ends = trades.groupBy("symbol").agg(F.min("ts").alias("_a"), F.max("ts").alias("_b"))
     days = bars.select("symbol", "ts").join(ends, "symbol").where("ts between _a and _b").drop("_a", "_b")
-    rows = days.join(trades.select("symbol", "ts", F.struct("entry", "exit", "value_after").alias("t")), ["symbol", "ts"], "left")
+    left = F.col("unstopped_exit") if unstopped else F.col("exit")
+    rows = days.join(trades.select("symbol", "ts", F.struct("entry", "exit", "value_after", left.alias("left")).alias("t")), ["symbol", "ts"], "left")
     rows = rows.withColumn("is_fill", F.col("t").isNull()).withColumn("t", F.last("t", ignorenulls=True).over(W.so_far()))
-    entry = F.when(F.col("is_fill"), F.col("t.exit")).otherwise(F.col("t.entry"))
-    return rows.select("symbol", "ts", entry.alias("entry"), F.col("t.exit").alias("exit"), F.col("t.value_after").alias("value_after"), "is_fill")
+    kept = lambda c: F.when(F.col("is_fill"), F.col("t.left")).otherwise(F.col(f"t.{c}")).alias(c)
+    return rows.select("symbol", "ts", kept("entry"), kept("exit"), F.col("t.value_after").alias("value_after"), "is_fill")
 
 
 def risk_sizing(df: DataFrame, ema_out: str, atr_out: str) -> DataFrame:

@@ -332,6 +332,12 @@ def trades_on_calendar(spark, sf_dir):
     return T.trades_on_calendar(B.bars_orders(spark, sf_dir), own).withColumn("value_after", F.round("value_after", 2))
 
 
+@query(f"with {sql.TRADES}, e as (select symbol, min(ts) as a, max(ts) as b from t where pos % 3 = 0 group by 1), d as (select bars.symbol, bars.ts, t.entry, t.exit, t.unstopped_exit, t.value_after from bars join e on bars.symbol = e.symbol and bars.ts between a and b left join t on t.symbol = bars.symbol and t.ts = bars.ts and t.pos % 3 = 0), f as (select *, entry is null as is_fill, last_value(unstopped_exit ignore nulls) over (partition by symbol order by ts rows unbounded preceding) as u, last_value(value_after ignore nulls) over (partition by symbol order by ts rows unbounded preceding) as v from d) select symbol, ts, case when is_fill then u else entry end as entry, case when is_fill then u else exit end as exit, round(v, 2) as value_after, is_fill from f")
+def trades_on_calendar_unstopped(spark, sf_dir):
+    own = trades(spark, sf_dir).where("pos % 3 = 0")
+    return T.trades_on_calendar(B.bars_orders(spark, sf_dir), own, unstopped=True).withColumn("value_after", F.round("value_after", 2))
+
+
 @query(f"with {O_} select l.o_orderkey, b.symbol, b.close from orders l join bars b on b.ts = date_trunc('day', l.o_orderdate) where b.symbol = '5-LOW'")
 def lookup_bar(spark, sf_dir):
     log = table(spark, sf_dir, "orders").select("o_orderkey", F.date_trunc("day", "o_orderdate").cast("timestamp_ntz").alias("ts"))
@@ -475,12 +481,19 @@ REPORT = f"""with {sql.TRADES}, g as (select symbol, count(*) as trades, count(*
     count(*) filter (profit <= 0 and stopped) as stopped_losses, count(*) filter (profit <= 0 and not stopped) as unstopped_losses, max(-profit / value_before) as max_pct_loss from t group by 1)"""
 
 
-@query(REPORT + """ select symbol, trades, wins, losses, round(total_return, 6) as total_return, round(total_profit, 1) as total_profit, round(total_loss, 1) as total_loss, round(total_profit / total_loss, 6) as profit_factor,
+REPORTED = """ select symbol, trades, wins, losses, round(total_return, 6) as total_return, round(total_profit, 1) as total_profit, round(total_loss, 1) as total_loss, round(total_profit / total_loss, 6) as profit_factor,
     round(avg_win, 2) as avg_win, round(avg_loss, 2) as avg_loss, stopped_gains, stopped_losses, unstopped_losses, round(max_pct_loss, 8) as max_pct_loss, round(wins / trades, 6) as win_fraction, round(avg_win / avg_loss, 6) as avg_win_loss_ratio,
-    round(total_profit / total_loss * (wins / trades) * (avg_win / avg_loss), 6) as cpc from g""")
-def trade_report(spark, sf_dir):
+    round(total_profit / total_loss * (wins / trades) * (avg_win / avg_loss), 6) as cpc from g"""
+
+
+def reported(report: DataFrame) -> DataFrame:
     digits = {"total_profit": 1, "total_loss": 1, "avg_win": 2, "avg_loss": 2, "max_pct_loss": 8, "total_return": 6, "profit_factor": 6, "win_fraction": 6, "avg_win_loss_ratio": 6, "cpc": 6}
-    return T.trade_report(trades(spark, sf_dir), INITIAL).withColumns({c: F.round(c, d) for c, d in digits.items()})
+    return report.withColumns({c: F.round(c, d) for c, d in digits.items()})
+
+
+@query(REPORT + REPORTED)
+def trade_report(spark, sf_dir):
+    return reported(T.trade_report(trades(spark, sf_dir), INITIAL))
 
 
 @query(REPORT + """ select symbol, symbol || ': ' || trades || ' trades, ' || wins || ' won, ' || losses || ' lost, ' || stopped_gains || ' gains stopped, ' || stopped_losses || ' losses stopped, ' || unstopped_losses || ' not' as counts,
@@ -493,10 +506,9 @@ def report_text(spark, sf_dir):
     return text.select("symbol", F.substring_index("report", "\n", 1).alias("counts"), *[number(*x).alias(c) for c, x in named.items()])
 
 
-@query(f"with {sql.TRADES}, y as (select *, extract(year from ts)::bigint as year from t) select year, symbol, count(*) as n, round(sum(profit), 1) as profit from y where ts between '1996-01-01' and '1999-12-31' group by 1, 2")
+@query(REPORT.replace("from t group by 1", "from (select * from t where ts between '1996-01-01' and '1999-12-31') group by 1") + REPORTED)
 def trade_blotter(spark, sf_dir):
-    rows = A.date_range(trades(spark, sf_dir), "1996-01-01", "1999-12-31")
-    return rows.groupBy(F.year("ts").cast("bigint").alias("year"), "symbol").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("profit"), 1).alias("profit"))
+    return reported(T.trade_report(A.date_range(trades(spark, sf_dir), "1996-01-01", "1999-12-31"), INITIAL))
 
 
 def drawdown_sql(include_open: bool) -> str:
@@ -611,6 +623,35 @@ def discretionary_trades(spark, sf_dir):
     return done.select("symbol", "ts", "side", "exit", F.round("profit", 2).alias("profit"), F.round("value_after", 2).alias("value_after"))
 
 
+def sized_sql(gains: bool, losses: bool, slippage: bool, price: str) -> str:
+    return f"""with recursive {sql.ORDERS}, {P}, lg as (select *, lead(close) over ({sql.LINE}) - open as gain from p),
+        k as (select *, row_number() over ({sql.LINE}) - 1 as i, case when gain >= 0 then {gains} when gain < 0 then {losses} else false end as taken from lg),
+        s as (select *, case when not taken then true when gain >= 0 then close >= open else close < open end as up from k),
+        x as (select *, case when not taken then open when gain >= 0 and {slippage} then close when up then open + gain else open - gain end as leave from s),
+        y as (select *, case when not taken then open when gain >= 0 then case when close >= open then low - 0.1 else high + 0.1 end else leave end as stop, (case when up then leave - open else open - leave end) * 0.01 as each from x),
+        r as (select symbol, i, 1e6::double as before, trunc(1e6::double / {price})::bigint as size, 1e6::double + each * trunc(1e6::double / {price}) as after from y where i = 0
+              union all select b.symbol, b.i, r.after, trunc(r.after / {price})::bigint, r.after + b.each * trunc(r.after / {price}) from r join y b on b.symbol = r.symbol and b.i = r.i + 1)
+        select y.symbol, y.ts, case when up then 'long' else 'short' end as side, round(leave, 4) as exit, round(stop, 4) as stop, r.size, round(r.after, 2) as value_after from y join r on y.symbol = r.symbol and y.i = r.i"""
+
+
+def sized(spark: SparkSession, sf_dir: str, *switches: bool, price: float | None = None) -> DataFrame:
+    """A log whose gain is what the next close lies above the open; a margin of a hundredth keeps accounts within bounds."""
+    log = B.bars_orders(spark, sf_dir).withColumn("gain", F.lead("close").over(W.line()) - F.col("open"))
+    rows = T.discretionary_sized(log, 1e6, 0.01, *switches, price=price)
+    return rows.select("symbol", "ts", "side", F.round("exit", 4).alias("exit"), F.round("stop", 4).alias("stop"), "size", F.round("value_after", 2).alias("value_after"))
+
+
+@query(sized_sql(True, True, False, "open"))
+def discretionary_sized(spark, sf_dir):
+    return sized(spark, sf_dir, True, True, False)
+
+
+@query(sized_sql(True, False, True, "150000"))
+def discretionary_sized_gains(spark, sf_dir):
+    """Losses recorded flat, gains leave at the close, sizes from a fixed price."""
+    return sized(spark, sf_dir, True, False, True, price=150000.0)
+
+
 @query(f"""with recursive {sql.ORDERS}, {P}, q as (select *, case when close >= open then open - low else high - open end as wick, greatest(high - low, coalesce(abs(low - lag(close) over w), 0), coalesce(abs(high - lag(close) over w), 0)) as tr from p window w as ({sql.LINE})),
     r as (select symbol, pos, ts, open, close, wick as e, tr as a from q where pos = 0
           union all select b.symbol, b.pos, b.ts, b.open, b.close, 0.25 * b.wick + 0.75 * r.e, ((least(b.pos + 1, 7) - 1) * r.a + b.tr) / least(b.pos + 1, 7) from r join q b on b.symbol = r.symbol and b.pos = r.pos + 1),
@@ -940,10 +981,8 @@ def grid_search(spark, sf_dir):
 @query()
 def candidate_training(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"), F.when(F.col("label") % 2 != 0, 1.0).otherwise(-1.0).alias("y"))
-    sample = rows.orderBy(F.xxhash64("vec_id")).limit(M.SAMPLE).collect()  # fits take a bounded sample, fitness takes all rows
-    x, y = M.np.array([r["x"] for r in sample], dtype=float), M.np.array([r["y"] for r in sample])
     own = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("candidate"), (F.col("s_suppkey") % 10 / 20).alias("offset"), F.lit(0.4).alias("size"), (F.col("s_suppkey") % 3 + 1.0).alias("spread"))
-    fitted = G.written(M.train_candidates(own, x, y))
+    fitted = G.written(M.train_candidates(own, rows.withColumnRenamed("vec_id", "row")))
     return M.candidate_fitness(rows, fitted).select("candidate", F.round("fitness", 4).alias("fitness"))
 
 
