@@ -109,8 +109,11 @@ def stream_ema(rows: DataFrame, p: int, path: str, checkpoint: str):
 
 
 def stream_progress(notes: DataFrame, total: int, delay: str = "1 day") -> DataFrame:
-    """Completed items and their share, each (mixture, ord) counted once. notes: (ts, mixture, ord)."""
-    done = notes.withWatermark("ts", delay).dropDuplicates(["mixture", "ord"])
+    """Completed items and their share, each (mixture, ord) counted once however often it is delivered within the delay.
+
+    notes: (ts, mixture, ord). What is remembered of an item ends with the delay.
+    """
+    done = notes.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["mixture", "ord"])
     return done.groupBy().agg(F.count(F.lit(1)).alias("completed")).withColumn("share", F.col("completed") / total)
 
 
