@@ -28,13 +28,39 @@ def whole() -> WindowSpec:
     return Window.partitionBy("symbol")
 
 
+def with_totals(df: DataFrame, **totals: Column) -> DataFrame:
+    """Adds aggregates of the whole series, combined before the shuffle."""
+    return df.join(df.groupBy("symbol").agg(*[c.alias(name) for name, c in totals.items()]), "symbol")
+
+
+def month() -> Column:
+    return F.date_trunc("month", "ts")
+
+
+def with_folds(df: DataFrame, bucket: Column | None = None, **folds: tuple[str, Column]) -> DataFrame:
+    """Adds running folds of a series: ("sum" | "max" | "last", value) over the rows up to the current one, nulls left out.
+
+    A fold runs inside buckets of time, whose totals are put together beside, so that no task holds a series.
+    """
+    rows = df.withColumn("_bucket", month() if bucket is None else bucket).withColumns({f"_x_{n}": x for n, (_, x) in folds.items()})
+    inside = Window.partitionBy("symbol", "_bucket").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("symbol").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    over = {"sum": lambda c, w: F.sum(c).over(w), "max": lambda c, w: F.max(c).over(w), "last": lambda c, w: F.last(c, ignorenulls=True).over(w)}
+    total = {"sum": F.sum, "max": F.max, "last": lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("ts")))}
+    both = {"sum": lambda a, b: F.coalesce(a + b, a, b), "max": lambda a, b: F.greatest(a, b), "last": lambda a, b: F.coalesce(b, a)}
+    totals = rows.groupBy("symbol", "_bucket").agg(*[total[kind](f"_x_{n}").alias(n) for n, (kind, _) in folds.items()])
+    totals = totals.select("symbol", "_bucket", *[over[kind](n, before).alias(f"_old_{n}") for n, (kind, _) in folds.items()])
+    rows = rows.withColumns({f"_own_{n}": over[kind](f"_x_{n}", inside) for n, (kind, _) in folds.items()}).join(totals, ["symbol", "_bucket"])
+    return rows.select(*[c for c in df.columns if c not in folds], *[both[kind](F.col(f"_old_{n}"), F.col(f"_own_{n}")).alias(n) for n, (kind, _) in folds.items()])
+
+
 def with_pos(df: DataFrame, bucket: Column | None = None) -> DataFrame:
     """Adds pos, the row's place in its series from 0.
 
     Rows are numbered inside buckets of time (months; a bucket must grow with ts), whose sizes are summed up beside, so that
     no task holds a series.
     """
-    rows = df.withColumn("_bucket", F.date_trunc("month", "ts") if bucket is None else bucket)
+    rows = df.withColumn("_bucket", month() if bucket is None else bucket)
     sizes = rows.groupBy("symbol", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("symbol").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("symbol", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))

@@ -20,9 +20,9 @@ def align_calendar(bars: DataFrame, symbol: str, others: list[str]) -> DataFrame
     names = F.array(*[F.lit(s) for s in others])
     grid = calendar.select(F.explode(names).alias("symbol"), "ts")
     rows = grid.join(bars.where(F.col("symbol").isin(others)).withColumn("_bar", F.struct(*FIELDS)), ["symbol", "ts"], "left")
-    back = F.last("_bar", ignorenulls=True).over(W.so_far())
-    ahead = F.first("_bar", ignorenulls=True).over(W.line().rowsBetween(0, Window.unboundedFollowing))
-    filled = rows.select("symbol", "ts", F.coalesce(back, ahead).alias("b"), F.col("_bar").isNull().alias("filled"))
+    rows = W.with_folds(rows, _back=("last", F.col("_bar")))
+    first = rows.groupBy("symbol").agg(F.min_by("_bar", F.when(F.col("_bar").isNotNull(), F.col("ts"))).alias("_first"))
+    filled = rows.join(first, "symbol").select("symbol", "ts", F.coalesce("_back", "_first").alias("b"), F.col("_bar").isNull().alias("filled"))
     return filled.select("symbol", "ts", *[F.col(f"b.{c}").alias(c) for c in FIELDS], "filled")
 
 
@@ -58,16 +58,15 @@ def date_range(bars: DataFrame, start: str, end: str) -> DataFrame:
 def index_window(bars: DataFrame, start: str, end: str) -> DataFrame:
     """Rows (with pos) from the first one on or after start to the last one on or before end, by place."""
     on = lambda s: F.lit(s).cast("timestamp_ntz")
-    first = F.min(F.when(F.col("ts") >= on(start), F.col("pos"))).over(W.whole())
-    last = F.max(F.when(F.col("ts") <= on(end), F.col("pos"))).over(W.whole())
-    return bars.withColumn("_a", first).withColumn("_b", last).where(F.col("pos").between(F.col("_a"), F.col("_b"))).drop("_a", "_b")
+    first = F.min(F.when(F.col("ts") >= on(start), F.col("pos")))
+    last = F.max(F.when(F.col("ts") <= on(end), F.col("pos")))
+    return W.with_totals(bars, _a=first, _b=last).where(F.col("pos").between(F.col("_a"), F.col("_b"))).drop("_a", "_b")
 
 
 def fraction_window(bars: DataFrame, offset: float, size: float) -> DataFrame:
     """floor(size n) rows, one at least, from place floor(offset n), within the series."""
-    n = F.count(F.lit(1)).over(W.whole())
-    start = F.greatest(F.lit(0), F.least(n - 1, F.floor(n * F.lit(offset))))
-    rows = bars.withColumn("_n", n).withColumn("_start", start)
+    rows = W.with_totals(bars, _n=F.count(F.lit(1)))
+    rows = rows.withColumn("_start", F.greatest(F.lit(0), F.least(F.col("_n") - 1, F.floor(F.col("_n") * F.lit(offset)))))
     length = F.greatest(F.lit(1), F.least(F.col("_n") - F.col("_start"), F.floor(F.col("_n") * F.lit(size))))
     return rows.where((F.col("pos") >= F.col("_start")) & (F.col("pos") < F.col("_start") + length)).drop("_n", "_start")
 
@@ -75,8 +74,7 @@ def fraction_window(bars: DataFrame, offset: float, size: float) -> DataFrame:
 def trim_value(df: DataFrame, x: str, v: float) -> DataFrame:
     """Drop leading and trailing rows equal to v; a series of nothing else goes."""
     kept = F.when(~F.col(x).eqNullSafe(F.lit(v)), F.col("ts"))
-    rows = df.withColumn("_a", F.min(kept).over(W.whole())).withColumn("_b", F.max(kept).over(W.whole()))
-    return rows.where("ts >= _a and ts <= _b").drop("_a", "_b")
+    return W.with_totals(df, _a=F.min(kept), _b=F.max(kept)).where("ts >= _a and ts <= _b").drop("_a", "_b")
 
 
 def split_by_date(bars: DataFrame, start: str, end: str, validation: float) -> DataFrame:
@@ -89,13 +87,15 @@ def split_by_date(bars: DataFrame, start: str, end: str, validation: float) -> D
 
 def split_by_rows(bars: DataFrame, parts: int) -> DataFrame:
     """Adds part 0..parts-1: slices of floor(n / parts) rows, the last with the remainder."""
-    each = F.greatest(F.lit(1), F.floor(F.count(F.lit(1)).over(W.whole()) / parts))
-    return bars.withColumn("part", F.least(F.floor(F.col("pos") / each), F.lit(parts - 1)).cast("int"))
+    each = F.greatest(F.lit(1), F.floor(F.col("_n") / parts))
+    rows = W.with_totals(bars, _n=F.count(F.lit(1)))
+    return rows.withColumn("part", F.least(F.floor(F.col("pos") / each), F.lit(parts - 1)).cast("int")).drop("_n")
 
 
 def train_share(bars: DataFrame, share: float = 0.8) -> DataFrame:
     """Adds train: whether a row is among the first floor(share n)."""
-    return bars.withColumn("train", F.col("pos") < F.floor(F.count(F.lit(1)).over(W.whole()) * F.lit(share)))
+    rows = W.with_totals(bars, _n=F.count(F.lit(1)))
+    return rows.withColumn("train", F.col("pos") < F.floor(F.col("_n") * F.lit(share))).drop("_n")
 
 
 def from_first_signal(bars: DataFrame, signals: DataFrame) -> DataFrame:

@@ -22,11 +22,6 @@ def add(df: DataFrame, out: str, value: Column, *temporary: str) -> DataFrame:
     return df.withColumn(out, value).drop(*temporary)
 
 
-def with_totals(df: DataFrame, **totals: Column) -> DataFrame:
-    """Adds aggregates of the whole series, combined before the shuffle."""
-    return df.join(df.groupBy("symbol").agg(*[c.alias(name) for name, c in totals.items()]), "symbol")
-
-
 def with_heads(df: DataFrame, columns: list[str] | tuple[str, ...], p: int) -> DataFrame:
     """Adds _first_x and _head_x for each column: a series' first value, and the sum of its first p."""
     early = df.where(F.col("pos") < p).groupBy("symbol")
@@ -199,7 +194,7 @@ def normalize_sma(df: DataFrame, x: str, p: int, out: str, mode: str = "compat")
 def normalize_unit(df: DataFrame, x: str, out: str, fit_on: Column | None = None) -> DataFrame:
     """(x - min) / (max - min) over the whole series, or over its rows with fit_on; null where flat."""
     y = F.col(x) if fit_on is None else F.when(fit_on, F.col(x))
-    df = with_totals(df, _low=F.min(y), _high=F.max(y))
+    df = W.with_totals(df, _low=F.min(y), _high=F.max(y))
     return add(df, out, F.try_divide(F.col(x) - F.col("_low"), F.col("_high") - F.col("_low")), "_low", "_high")
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import frames as W
 from tidemark.functions import scalar as S
 from tidemark.operators import series
+from tidemark.operators.halo import ROWS, halo
 
 #: Session times of a bar's day.
 OPENS, CLOSES = "interval '9:30' hour to minute", "interval 16 hour"
@@ -46,8 +47,8 @@ def trade_pnl(df: DataFrame, commission: float = 4.95) -> DataFrame:
 
 def equity_curve(df: DataFrame, initial: float) -> DataFrame:
     """Adds value_before and value_after of the account (symbol) around each trade."""
-    after = F.lit(initial) + F.sum("profit").over(W.so_far())
-    return df.withColumn("value_after", after).withColumn("value_before", F.col("value_after") - F.col("profit"))
+    rows = W.with_folds(df, value_after=("sum", F.col("profit")))
+    return rows.withColumn("value_after", F.col("value_after") + initial).withColumn("value_before", F.col("value_after") - F.col("profit"))
 
 
 def flat(df: DataFrame, gains: bool = False, losses: bool = False) -> DataFrame:
@@ -105,9 +106,8 @@ def report_text(report: DataFrame) -> DataFrame:
 
 def max_drawdown(df: DataFrame, v: str, include_open: bool = False) -> DataFrame:
     """(symbol, max_drawdown): worst (peak - trough) / peak of drawdowns that recovered, or of all (include_open)."""
-    peak = F.max(v).over(W.line().rowsBetween(Window.unboundedPreceding, -1))
-    rows = df.withColumn("_peak", peak).withColumn("_high", (F.col("_peak").isNull() | (F.col(v) >= F.col("_peak"))).cast("int"))
-    rows = rows.withColumn("_episode", F.sum("_high").over(W.so_far())).withColumn("_top", F.max(v).over(W.so_far()))
+    rows = W.with_folds(df.select("symbol", "ts", v), _top=("max", F.col(v)))
+    rows = W.with_folds(rows, _episode=("sum", F.when(F.col(v) == F.col("_top"), 1).otherwise(0)))  # each new or equal high begins one
     episodes = rows.groupBy("symbol", "_episode").agg(F.max("_top").alias("top"), F.min(v).alias("low"))
     last = F.max("_episode").over(Window.partitionBy("symbol"))
     episodes = episodes.withColumn("_open", F.col("_episode") == last)
@@ -152,7 +152,7 @@ def signal_backtest(df: DataFrame, prediction: str, margin: float = 1.0) -> Data
     A prediction of 0 counts as short.
     """
     change = F.try_divide(F.lead("close", 1).over(W.line()) - F.col("close"), F.col("close"))
-    rows = df.withColumn("_r", change).where("_r is not null").withColumn("_side", F.when(F.col(prediction) > 0, 1.0).otherwise(-1.0))
+    rows = halo(df, 0, ROWS, lambda d: d.withColumn("_r", change), 1).where("_r is not null").withColumn("_side", F.when(F.col(prediction) > 0, 1.0).otherwise(-1.0))
     return rows.groupBy("symbol").agg(F.product(1 + margin * F.col("_r") * F.col("_side")).alias("total"), F.avg(F.when(F.col("_r") * F.col("_side") > 0, 1.0).otherwise(0.0)).alias("hit_rate"), F.count(F.lit(1)).alias("n"))
 
 
@@ -321,7 +321,7 @@ def trades_on_calendar(bars: DataFrame, trades: DataFrame, unstopped: bool = Fal
     days = bars.select("symbol", "ts").join(ends, "symbol").where("ts between _a and _b").drop("_a", "_b")
     left = F.col("unstopped_exit") if unstopped else F.col("exit")
     rows = days.join(trades.select("symbol", "ts", F.struct("entry", "exit", "value_after", left.alias("left")).alias("t")), ["symbol", "ts"], "left")
-    rows = rows.withColumn("is_fill", F.col("t").isNull()).withColumn("t", F.last("t", ignorenulls=True).over(W.so_far()))
+    rows = W.with_folds(rows.withColumn("is_fill", F.col("t").isNull()), t=("last", F.col("t")))
     kept = lambda c: F.when(F.col("is_fill"), F.col("t.left")).otherwise(F.col(f"t.{c}")).alias(c)
     return rows.select("symbol", "ts", kept("entry"), kept("exit"), F.col("t.value_after").alias("value_after"), "is_fill")
 

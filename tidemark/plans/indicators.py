@@ -126,7 +126,7 @@ indicator("next_close_label", lambda d: O.next_close_label(d, V), sql.series("ca
 indicator("null_signal", lambda d: d.withColumn(V, F.lit(0.0)), sql.series("0.0"), reach=0)
 indicator("running_mean_online", lambda d: O.sma(d, "close", 7, V), sql.series("avg(close) over wp", 7), reach=6)
 indicator("running_std_online", lambda d: O.running_std(d, "close", 7, V), sql.series("stddev_pop(close) over wp", 7), reach=6)
-indicator("stddev_pop", lambda d: O.with_totals(d, value=F.stddev_pop("close")), sql.series("stddev_pop(close) over s"))
+indicator("stddev_pop", lambda d: W.with_totals(d, value=F.stddev_pop("close")), sql.series("stddev_pop(close) over s"))
 indicator("delay", lambda d: O.delay(d.withColumn(V, F.col("close")), [V], 3), sql.series("lag(close, 3) over w", where="pos >= 3"), reach=3)
 indicator("udf_signal", lambda d: SIGNALS["close_direction"](d, V), sql.series("case when pos = 0 then 0 when close - lag(close) over w >= 0 then 1 else -1 end::double"), reach=1)
 #: Label functions by name.

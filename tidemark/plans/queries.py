@@ -16,7 +16,7 @@ from tidemark.operators import search as G
 from tidemark.operators import series as O
 from tidemark.operators import trading as T
 from tidemark.operators import views as V
-from tidemark.operators.halo import halo, two_level_pos
+from tidemark.operators.halo import ROWS, halo, two_level_pos
 from tidemark.plans import sql
 from tidemark.plans.indicators import tidy
 from tidemark.sources import bars as B
@@ -57,10 +57,15 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- the flagship: how often momentum calls the next hour's direction
 
 
+def called(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars with their momentum m over ten rows and the label of the next one's direction."""
+    return halo(events(spark, sf_dir), 10, ROWS, lambda d: O.next_close_label(O.momentum(d, "close", 10, "m"), "label"), 1)
+
+
 @query(f"""with {E}, {P}, m as (select *, close - coalesce(lag(close, 10) over w, first_value(close) over w) as m, lead(close) over w - close as d from p window w as ({sql.LINE}))
     select symbol, count(*)::bigint as n, round(avg(case when (m > 0) = (d >= 0) then 1.0 else 0.0 end), 6) as accuracy from m where d is not null and m <> 0 group by 1""")
 def momentum_calls(spark, sf_dir):
-    df = O.next_close_label(O.momentum(events(spark, sf_dir), "close", 10, "m"), "label").where("label is not null and m <> 0")
+    df = called(spark, sf_dir).where("label is not null and m <> 0")
     hit = F.when(F.signum("m") == F.col("label"), 1.0).otherwise(0.0)
     return df.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(hit), 6).alias("accuracy"))
 
@@ -423,8 +428,11 @@ def outstanding_work(spark, sf_dir):
 
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sign of the last bar's momentum held for a session, 100 shares, the last bar's opening wick as stop."""
-    df = O.momentum(orders(spark, sf_dir), "close", 10, "m").withColumn("wick", S.opening_wick())
-    df = df.withColumn("side", F.when(W.lagged("m", 1) >= 0, "long").otherwise("short")).withColumn("pw", W.lagged("wick", 1)).where("pos >= 1")
+    def sides(d: DataFrame) -> DataFrame:
+        d = O.momentum(d, "close", 10, "m").withColumn("wick", S.opening_wick())
+        return d.withColumn("side", F.when(W.lagged("m", 1) >= 0, "long").otherwise("short")).withColumn("pw", W.lagged("wick", 1))
+
+    df = halo(orders(spark, sf_dir), 11, ROWS, sides).where("pos >= 1")
     df = df.withColumn("size", F.lit(100)).withColumn("stop", F.when(F.col("side") == "long", F.col("open") - F.col("pw")).otherwise(F.col("open") + F.col("pw")))
     return T.equity_curve(T.trade_pnl(T.session_exit(df)), INITIAL)
 
@@ -542,8 +550,8 @@ SIGNALLED = f"{E}, {P}, sg as (select *, sign(coalesce(lag(close - open) over ({
 
 
 def signalled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = events(spark, sf_dir).withColumn("sig", F.signum(F.coalesce(F.lag(F.col("close") - F.col("open")).over(W.line()), F.lit(0.0))))
-    return T.signal_accuracy(df, "sig", "hit")
+    last = F.signum(F.coalesce(F.lag(F.col("close") - F.col("open")).over(W.line()), F.lit(0.0)))
+    return T.signal_accuracy(halo(events(spark, sf_dir), 1, ROWS, lambda d: d.withColumn("sig", last)), "sig", "hit")
 
 
 @query(f"with {SIGNALLED} select symbol, ts, hit::int as hit from ac")
@@ -563,7 +571,7 @@ def signal_quality(spark, sf_dir):
 
 @query(f"with {E}, {P}, m as (select *, close - coalesce(lag(close, 10) over w, first_value(close) over w) as m, lead(close) over w - close as d from p window w as ({sql.LINE})) select symbol, round(avg(case when sign(m) = case when d >= 0 then 1 else -1 end then 1.0 else 0.0 end), 6) as fitness from m where d is not null and pos >= 20 group by 1")
 def fitness(spark, sf_dir):
-    df = O.next_close_label(O.momentum(events(spark, sf_dir), "close", 10, "m"), "label").where("label is not null and pos >= 20")
+    df = called(spark, sf_dir).where("label is not null and pos >= 20")
     return M.fitness(df, "m", "label", "symbol").withColumn("fitness", F.round("fitness", 6))
 
 
@@ -585,7 +593,7 @@ def compounded_return(spark, sf_dir):
 
 @query(f"with {SIGNALLED}, st as (select symbol, (lead(close) over ({sql.LINE}) - close) / nullif(close, 0) * (case when sig > 0 then 1 else -1 end) * 0.01 as r from ac) select symbol, round(product(1 + r), 6) as total, round(avg(case when r > 0 then 1.0 else 0.0 end), 6) as hit_rate, count(*)::bigint as n from st where r is not null group by 1")
 def signal_backtest(spark, sf_dir):
-    rows = T.signal_backtest(signalled(spark, sf_dir), "sig", 0.01)
+    rows = T.signal_backtest(signalled(spark, sf_dir), "sig", 0.01)  # runs in buckets of its own
     return rows.select("symbol", F.round("total", 6).alias("total"), F.round("hit_rate", 6).alias("hit_rate"), "n")
 
 
@@ -636,7 +644,8 @@ def sized_sql(gains: bool, losses: bool, slippage: bool, price: str) -> str:
 
 def sized(spark: SparkSession, sf_dir: str, *switches: bool, price: float | None = None) -> DataFrame:
     """A log whose gain is what the next close lies above the open; a margin of a hundredth keeps accounts within bounds."""
-    log = B.bars_orders(spark, sf_dir).withColumn("gain", F.lead("close").over(W.line()) - F.col("open"))
+    gain = F.lead("close").over(W.line()) - F.col("open")
+    log = halo(orders(spark, sf_dir), 0, ROWS, lambda d: d.withColumn("gain", gain), 1)
     rows = T.discretionary_sized(log, 1e6, 0.01, *switches, price=price)
     return rows.select("symbol", "ts", "side", F.round("exit", 4).alias("exit"), F.round("stop", 4).alias("stop"), "size", F.round("value_after", 2).alias("value_after"))
 
@@ -880,7 +889,7 @@ def feature_matrix(spark, sf_dir):
 @query(FEATURES + f""", place as (select *, row_number() over (partition by ts order by db_group, feature) as i from fz), lb as (select ts, case when lead(close) over ({sql.LINE}) - close >= 0 then 1 when lead(close) over ({sql.LINE}) - close < 0 then -1 end as label from bars where symbol = '1-URGENT')
     select place.ts, count(*)::int as n, round(sum(coalesce(value, 0) * i), 4) + 0.0 as weighted, any_value(label)::int as label from place join lb on place.ts = lb.ts where label is not null group by 1""")
 def training_set(spark, sf_dir):
-    labels = O.next_close_label(orders(spark, sf_dir).where("symbol = '1-URGENT'"), "label")
+    labels = halo(orders(spark, sf_dir).where("symbol = '1-URGENT'"), 0, ROWS, lambda d: O.next_close_label(d, "label"), 1)
     weighted = F.aggregate(F.transform("features", lambda x, i: F.coalesce(x, F.lit(0.0)) * (i + 1)), F.lit(0.0), lambda a, x: a + x)
     return M.training_set(M.to_vectors(features(spark, sf_dir)), labels).select("ts", F.size("features").alias("n"), tidy(weighted, 4).alias("weighted"), "label")
 
@@ -1061,4 +1070,4 @@ def halo_sma(spark, sf_dir):
 
 @query(f"with {E}, {P} select symbol, ts, round(close - coalesce(lag(close, 3) over w, first_value(close) over w), 6) + 0.0 as value from p window w as ({sql.LINE})")
 def udf_indicator(spark, sf_dir):
-    return events(spark, sf_dir).transform(O.momentum, "close", 3, "value").select("symbol", "ts", tidy("value").alias("value"))
+    return halo(events(spark, sf_dir), 3, ROWS, lambda d: O.momentum(d, "close", 3, "value")).select("symbol", "ts", tidy("value").alias("value"))
