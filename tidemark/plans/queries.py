@@ -610,7 +610,9 @@ def whole_share_backtest(spark, sf_dir):
 def ledger_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     action = F.element_at(F.array(*[F.lit(a) for a in ("buy", "sell", "short", "cover")]), (F.pmod(F.col("l_partkey"), F.lit(4)) + 1).cast("int"))
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("string").alias("account"), F.col("l_returnflag").alias("symbol"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).cast("bigint").alias("seq"), action.alias("action"), F.col("l_quantity").cast("bigint").alias("shares"), F.round(F.col("l_extendedprice") / F.greatest(F.col("l_quantity"), F.lit(1)), 2).alias("price"))
-    return rows.dropDuplicates(["account", "seq"])
+    # Lines that share account and seq are one order: the least of them, whichever comes first.
+    rest = F.min(F.struct("symbol", "action", "shares", "price")).alias("o")
+    return rows.groupBy("account", "seq").agg(rest).select("account", "o.symbol", "seq", "o.action", "o.shares", "o.price")
 
 
 @query()
