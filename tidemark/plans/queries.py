@@ -641,15 +641,18 @@ def sized_sql(gains: bool, losses: bool, slippage: bool, price: str) -> str:
         y as (select *, case when not taken then open when gain >= 0 then case when close >= open then low - 0.1 else high + 0.1 end else leave end as stop, (case when up then leave - open else open - leave end) * 0.01 as each from x),
         r as (select symbol, i, 1e6::double as before, trunc(1e6::double / {price})::bigint as size, 1e6::double + each * trunc(1e6::double / {price}) as after from y where i = 0
               union all select b.symbol, b.i, r.after, trunc(r.after / {price})::bigint, r.after + b.each * trunc(r.after / {price}) from r join y b on b.symbol = r.symbol and b.i = r.i + 1)
-        select y.symbol, y.ts, case when up then 'long' else 'short' end as side, round(leave, 4) as exit, round(stop, 4) as stop, r.size, round(r.after, 2) as value_after from y join r on y.symbol = r.symbol and y.i = r.i"""
+        select y.symbol, y.ts, case when up then 'long' else 'short' end as side, round(leave, 4) as exit, round(stop, 4) as stop, r.size, round(r.after, 4) as value_after from y join r on y.symbol = r.symbol and y.i = r.i"""
 
 
 def sized(spark: SparkSession, sf_dir: str, *switches: bool, price: float | None = None) -> DataFrame:
-    """A log whose gain is what the next close lies above the open; a margin of a hundredth keeps accounts within bounds."""
+    """A log whose gain is what the next close lies above the open; a margin of a hundredth keeps accounts within bounds.
+
+    Prices are whole cents, so values are whole multiples of 0.0001 and none lies on a tie of that rounding.
+    """
     gain = F.lead("close").over(W.line()) - F.col("open")
     log = halo(orders(spark, sf_dir), 0, ROWS, lambda d: d.withColumn("gain", gain), 1)
     rows = T.discretionary_sized(log, 1e6, 0.01, *switches, price=price)
-    return rows.select("symbol", "ts", "side", F.round("exit", 4).alias("exit"), F.round("stop", 4).alias("stop"), "size", F.round("value_after", 2).alias("value_after"))
+    return rows.select("symbol", "ts", "side", F.round("exit", 4).alias("exit"), F.round("stop", 4).alias("stop"), "size", F.round("value_after", 4).alias("value_after"))
 
 
 @query(sized_sql(True, True, False, "open"))
