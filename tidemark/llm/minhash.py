@@ -257,13 +257,13 @@ def deduplicated(docs: DataFrame, share: int = 75) -> DataFrame:
     the first by text and then by hash. Columns of any name and type but maps pass through.
     """
     columns = [F.col(f"`{c}`") for c in docs.columns]
+    key, first = (f"_{name}" + "_" * max(map(len, docs.columns)) for name in ("place", "first"))  # longer than any name there is
     place = F.shiftrightunsigned(F.xxhash64(*columns), 2).bitwiseOR(F.lit(1 << 62))
-    packed = docs.select(F.coalesce(F.col("doc_id").cast("long"), place).alias("_place"), F.struct(*columns).alias("row"))
-    found = stored(near_duplicates(packed.select(F.col("_place").alias("doc_id"), F.col("row.text").alias("text")), share), "near-found")
-    gone = found.where("not kept").select(F.col("doc_id").alias("_place")).distinct()
-    again = found.where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("_place"))
-    left = packed.join(gone, "_place", "left_anti")
-    first = Window.partitionBy("_place").orderBy("row.text", F.xxhash64("row"))
-    several = left.join(again, "_place", "left_semi").dropDuplicates().withColumn("_first", F.row_number().over(first)).where("_first = 1").drop("_first")
-    kept = left.join(again, "_place", "left_anti").unionByName(several)
-    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    rows = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), place))
+    found = stored(near_duplicates(rows.select(F.col(key).alias("doc_id"), "text"), share), "near-found")
+    gone = found.where("not kept").select(F.col("doc_id").alias(key)).distinct()
+    again = found.where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias(key))
+    left = rows.join(gone, key, "left_anti")
+    line = Window.partitionBy(key).orderBy("text", F.xxhash64(*columns))
+    several = left.join(again, key, "left_semi").dropDuplicates().withColumn(first, F.row_number().over(line)).where(F.col(first) == 1)
+    return left.join(again, key, "left_anti").select(*columns).unionByName(several.select(*columns))
