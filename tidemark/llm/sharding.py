@@ -3,10 +3,10 @@
 Groups of equal texts stay together. Groups lie in hash order; the least shard capacity for which a greedy walk needs no
 more than the given shards is found by binary search, and the walk's cuts at that capacity are the shards. The search
 runs on bounded summaries: groups' end offsets are summarised in bins, the walk is done once with the latest end that
-may exist (a lower bound of the capacity) and once with ends known to exist (an upper bound), and only bins where the two
-differ are summarised again, finer, until both agree. A round summarises in 2 * BINS bins at most. Where a round gained
-little, the next one looks at the first open range alone, which it narrows BINS times, so that a range takes as many rounds
-as its length has digits to the base BINS, and the driver holds a few times shards * BINS offsets in the end.
+may exist (a lower bound of the capacity) and once with ends known to exist (an upper bound), and only bins that lie
+between the cuts of the two walks are split, until both bounds agree. A bin is never made coarser, and each split takes at
+least two bits off its width, so the search ends; a round splits BINS / 4 bins (or as many as there are shards, if more)
+into 2 * BINS (4 * shards) at most, and the driver holds the bins it split.
 
 Defined results: null text has no bytes (size 1, crc 0), and all null texts are one group; empty text is another group;
 null doc_ids and repeated rows are rows like any other; other columns are ignored; an empty table gives an empty result.
@@ -15,6 +15,8 @@ null doc_ids and repeated rows are rows like any other; other columns are ignore
 from __future__ import annotations
 
 from bisect import bisect_right
+from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,22 +27,31 @@ from tidemark.llm.shared import stored
 BUCKETS, SALTS, BINS = 4096, 64, 8192
 
 
+class Bin(NamedTuple):
+    """Group ends that agree in all bits of (end - 1) from `level` on: the first, the last, and how many there are."""
+
+    first: int
+    last: int
+    n: int
+    level: int
+
+
 class Offsets:
-    """Groups' end offsets as far as known: sorted bins (first end, last end, ends in it)."""
+    """Groups' end offsets as far as known, in sorted bins."""
 
-    def __init__(self, bins: list[tuple[int, int, int]]):
+    def __init__(self, bins: list[Bin]):
         self.bins = sorted(bins)
-        self.firsts = [b[0] for b in self.bins]
+        self.firsts = [b.first for b in self.bins]
 
     def last_end(self, x: int, sure: bool) -> int:
         """The last group end at or before x: one that is known to exist, or (not sure) the latest that may exist."""
         i = bisect_right(self.firsts, x) - 1
         if i < 0:
             return 0
-        first, last, n = self.bins[i]
-        if x >= last:
-            return last
-        return first if sure or n <= 2 else x
+        own = self.bins[i]
+        if x >= own.last:
+            return own.last
+        return own.first if sure or own.n <= 2 else x
 
     def walk(self, capacity: int, shards: int, sure: bool) -> list[int]:
         cuts = [0]
@@ -55,40 +66,56 @@ class Offsets:
             low, high = (low, mid) if self.walk(mid, shards, sure)[-1] >= total else (mid + 1, high)
         return low
 
-
-def minimax_cuts(ends: DataFrame, end: str, total: int, shards: int) -> list[int]:
-    """The group ends at which to cut 0..total into shards contiguous parts of least largest size."""
-    windows = [(0, total)]
-    bins: list[tuple[int, int, int]] = []
-    before = 2 * total + 2
+    def between(self, early: list[int], late: list[int], most: int) -> list[Bin]:
+        """The first `most` bins with ends not known yet that lie between two walks' cuts, those of the first cuts first."""
+        found: dict[Bin, None] = {}
+        for x, y in zip(early, late, strict=True):
+            i = max(0, bisect_right(self.firsts, min(x, y)) - 1)
+            for own in self.bins[i : bisect_right(self.firsts, max(x, y))]:
+                if own.n > 2 and own.last >= min(x, y):
+                    found[own] = None
+                    if len(found) == most:
+                        return list(found)
+        return list(found)
+
+
+def finer(ends: DataFrame, end: str, bins: list[Bin], by: int) -> list[Bin]:
+    """The ends of the given bins in bins `by` levels below: len(bins) << by of them at most."""
+    names = F.split(F.lit(",".join(f"{b.level}:{(b.first - 1) >> b.level}" for b in bins)), ",")
+    wanted = ends.sparkSession.range(1).select(F.explode(names).alias("_name"))  # BINS / 4 rows or the number of shards at most
+    wanted = wanted.select(F.split("_name", ":")[0].cast("int").alias("_level"), F.split("_name", ":")[1].cast("long").alias("_prefix"))
+    at = (F.col(end).cast("long") - 1).alias("_at")
+    rows = ends.select(at, F.explode(F.array(*[F.lit(x) for x in sorted({b.level for b in bins})])).alias("_level"))
+    rows = rows.withColumn("_prefix", F.expr("shiftright(_at, _level)")).join(F.broadcast(wanted), ["_level", "_prefix"])
+    rows = rows.withColumn("_level", F.greatest(F.col("_level") - by, F.lit(0)))
+    found = rows.groupBy("_level", F.expr("shiftright(_at, _level)").alias("_bin")).agg(F.min("_at"), F.max("_at"), F.countDistinct("_at")).collect()
+    return [Bin(r[2] + 1, r[3] + 1, r[4], r[0]) for r in found]
+
+
+def searched(total: int, shards: int, refine: Callable[[list[Bin], int], list[Bin]]) -> list[int]:
+    """The group ends at which to cut 0..total into shards contiguous parts of least largest size.
+
+    refine(bins, by) gives bins `by` levels finer for some bins. A bin is only ever replaced by finer ones, those of the
+    first cuts first. Where no bin with unknown ends lies between the two walks, the walk at the lower bound met known
+    ends only, so both bounds are one.
+    """
+    bins: list[Bin] = []
+    coarse = [Bin(1, total, total, total.bit_length())]
     while True:
-        reach = sum(b - a for a, b in windows)
-        if reach > before // 2:
-            windows = windows[:1]
-        before, each = reach, max(4, BINS // len(windows))
-        inside, which, bin_ = F.lit(False), F.lit(0), F.lit(0).cast("long")
-        for a, b in windows:
-            own = (F.col(end) > a) & (F.col(end) <= b)
-            inside = inside | own
-            which = which + (F.col(end) > b).cast("int")
-            bin_ = F.when(own, F.floor((F.col(end) - a - 1) / max(1, (b - a) // each))).otherwise(bin_)
-        summary = ends.where(inside).groupBy(which.alias("_window"), bin_.alias("_bin"))
-        found = summary.agg(F.min(end), F.max(end), F.countDistinct(end)).collect()
-        bins = [x for x in bins if not any(x[0] > a and x[1] <= b for a, b in windows)] + [tuple(map(int, r[2:])) for r in found]
+        new = refine(coarse, max(2, (BINS // len(coarse)).bit_length() - 1))
+        bins = [b for b in bins if b not in set(coarse)] + new
         known = Offsets(bins)
         high, low = known.least(total, shards, True), known.least(total, shards, False)
-        early, late = known.walk(low, shards, True), known.walk(high, shards, False)
-        windows = []
-        for x, y in zip(early, late, strict=True):
-            if coarse := [b for b in known.bins if b[2] > 2 and b[0] <= y and b[1] >= x]:
-                a, b = coarse[0][0] - 1, coarse[-1][1]
-                if windows and a <= windows[-1][1]:
-                    a, b = windows[-1][0], max(b, windows.pop()[1])
-                windows.append((a, b))
-        if high == low or not windows:
+        coarse = known.between(known.walk(low, shards, False), known.walk(high, shards, True), max(BINS // 4, shards))
+        if high == low or not coarse:
             return known.walk(high, shards, True)
 
 
+def minimax_cuts(ends: DataFrame, end: str, total: int, shards: int) -> list[int]:
+    """The group ends of a table at which to cut 0..total into shards contiguous parts of least largest size."""
+    return searched(total, shards, lambda bins, by: finer(ends, end, bins, by))
+
+
 def crc(text: Column) -> Column:
     return F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).cast("long")
 
