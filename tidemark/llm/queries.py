@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.counts import token_counts
+from tidemark.llm.divergence import source_divergence
 from tidemark.llm.langid import remainder, with_language
 from tidemark.llm.lattice import cosine_links
 from tidemark.llm.maxscore import top_k
@@ -15,6 +17,7 @@ from tidemark.llm.mixing import mix_sources
 from tidemark.llm.pii import with_spans
 from tidemark.llm.quality import scored
 from tidemark.llm.sharding import shard_bytes
+from tidemark.llm.spelling import spelling_variants
 from tidemark.llm.tokens import with_digests
 from tidemark.llm.warc import read_warc, write_warc
 
@@ -29,6 +32,12 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def word_vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def op1_lattice_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cosine_links(table(spark, sf_dir, "embeddings"))
 
@@ -78,8 +87,24 @@ def op10_minmax_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), word_vocabulary())
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_lattice_links, op2_mix_sources, op3_warc, op4_sentencepiece, op5_maxscore_top5, op6_language_codes, op7_pairwise_quality, op8_personal_data, op9_shards, op10_minmax_near_duplicates)
+    f.__name__: f
+    for f in (
+        op1_lattice_links, op2_mix_sources, op3_warc, op4_sentencepiece, op5_maxscore_top5, op6_language_codes, op7_pairwise_quality, op8_personal_data, op9_shards,
+        op10_minmax_near_duplicates, op11_source_divergence, op12_token_counts, op13_spelling_variants,
+    )
 }
 
 #: Brute force: all pairs of usable vectors by cosine in double precision; components by following links.
@@ -159,10 +184,54 @@ NEAR_SQL = r"""
          least as (select doc_id, min(c) as component_id from reach group by 1)
     select g.doc_id, len(g.s)::bigint as n_shingles, l.component_id, g.doc_id = l.component_id as kept from g join least l on g.doc_id = l.doc_id"""
 
+#: Divergences from counts of all terms in all groups.
+DIVERGENCE_SQL = r"""
+    with d as (select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source,
+                      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents),
+         t as (select r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d),
+         kept as (select lang, term, count(*) as n from t group by 1, 2 having count(distinct r) >= 30),
+         langs as (select lang, count(*) as v, sum(n) as total from kept group by 1),
+         g0 as (select distinct lang, source from d),
+         c as (select g0.lang, g0.source, kept.term, kept.n as n_lang, count(t.r) as n from g0 join kept on g0.lang = kept.lang
+               left join t on t.lang = g0.lang and t.source = g0.source and t.term = kept.term group by 1, 2, 3, 4),
+         s as (select lang, source, sum(n) as total from c group by 1, 2),
+         p as (select c.*, (1 + (1000000000::hugeint * (c.n + 5)) // (s.total + 5 * langs.v))::bigint as p, (1 + (1000000000::hugeint * (c.n_lang + 5)) // (langs.total + 5 * langs.v))::bigint as q
+               from c join s on c.lang = s.lang and c.source = s.source join langs on c.lang = langs.lang),
+         sums as (select a.lang, a.source, b.source as item, sum(abs(a.p - b.p)) as value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by 1, 2, 3),
+         pairs as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(sums.value, 0)::bigint as value
+                   from g0 a join g0 b on a.lang = b.lang and a.source <> b.source left join sums on sums.lang = a.lang and sums.source = a.source and sums.item = b.source),
+         own as (select lang, source, 'term' as part, term as item, p - q as value from p where n > 0 and p > q),
+         ranked as (select *, (row_number() over (partition by lang, source, part order by value desc, item))::int as rank from (select * from pairs union all select * from own))
+    select * from ranked where part = 'pair' or rank <= 50"""
+
+#: crc32 by its table of 256 values (made by its rule), byte by byte; near words by the code points they lose.
+SPELLING_SQL = r"""
+    with recursive step as (select i, i::bigint as v, 0 as k from range(256) t(i)
+                            union all select i, case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end, k + 1 from step where k < 8),
+         crc as (select list(v order by i) as c from step where k = 8),
+         t as (select doc_id::varchar as id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) as run from documents),
+         u as (select id, run, count(*) as n, hex(encode(id || ':' || run)) as x from t where length(run) >= 6 group by 1, 2),
+         h as (select id, run, n, xor(list_reduce(list_transform(range(1, length(x)::bigint, 2), lambda i: ('0x' || substr(x, i, 2))::bigint),
+                                                   lambda a, b: xor(a >> 8, c[(xor(a, b) & 255) + 1]), 4294967295::bigint), 4294967295) as h from u, crc),
+         w as (select case when h % 199 = 0 then substr(run, 1, (h % length(run))::int) || substr(run, (h % length(run) + 2)::int) else run end as word, n from h),
+         words as (select word, sum(n)::bigint as n from w where length(word) >= 6 group by 1 having sum(n) >= 5),
+         less as (select word, n, unnest(range(1, length(word) + 1)) as i from words),
+         cut as (select word, n, i, length(word) as size, substr(word, 1, (i - 1)::int) || substr(word, (i + 1)::int) as rest from less),
+         near as (select a.word, b.word as other, b.n as n from cut a join cut b on a.rest = b.rest and a.i = b.i and a.size = b.size and a.word <> b.word
+                  union select a.word, b.word, b.n from cut a join words b on a.rest = b.word
+                  union select b.word, a.word, a.n from cut a join words b on a.rest = b.word),
+         best as (select word, count(*) as n_near, arg_min(other, (-n, other)) as form, max(n) as form_n from near group by 1),
+         forms as (select words.word, words.n, coalesce(n_near, 0)::bigint as n_near, case when form_n >= 5 * words.n then form end as form, case when form_n >= 5 * words.n then form_n end as form_n
+                   from words left join best on words.word = best.word),
+         chain as (select word, word as at, form as next from forms union all select chain.word, forms.word, forms.form from chain join forms on chain.next = forms.word)
+    select forms.word, forms.form, chain.at as root, forms.n, forms.n_near, forms.form_n from forms join chain on forms.word = chain.word where chain.next is null"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_lattice_links": LINKS_SQL,
     "op2_mix_sources": MIX_SQL,
     "op3_warc": WARC_SQL,
     "op5_maxscore_top5": SEARCH_SQL,
     "op10_minmax_near_duplicates": NEAR_SQL,
+    "op11_source_divergence": DIVERGENCE_SQL,
+    "op13_spelling_variants": SPELLING_SQL,
 }
