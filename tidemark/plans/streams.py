@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,11 +90,9 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay(spark, sf_dir, "events").select(F.col("event_type").alias("symbol"), "ts", F.col("event_id").alias("id"), F.col("value").cast("double").alias("x"))
 
 
-def values(spark: SparkSession, sf_dir: str, stream: Callable[..., Any], p: int) -> DataFrame:
+def values(spark: SparkSession, sf_dir: str, stream: Callable[..., DataFrame], p: int) -> DataFrame:
     """A series operator run over all there is, which comes as one batch, so no row is late."""
-    path = Q.scratch(spark, "series")
-    stream(ticks(spark, sf_dir), p, path, f"{path}-state").trigger(availableNow=True).start().awaitTermination()
-    rows = ops.series(spark, path)
+    rows = finished(stream(ticks(spark, sf_dir), p), spark)
     return rows.where("not late").select("symbol", F.col("ts").cast("timestamp_ntz").alias("ts"), tidy("value").alias("value"))
 
 

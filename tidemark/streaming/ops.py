@@ -1,8 +1,8 @@
 """Structured Streaming twins: bars, running means and averages, routing, progress, ledgers.
 
-State is one record a key: the last values a window needs, the last average, or an account's positions. Rows of a series
-that come in a later batch than one after them in order of (ts, id) are counted as late in the output (late = true) and
-change nothing; rows of one batch are never late to each other.
+State is one record a key in the state store: the last values a window needs, the last average, or an account's positions.
+Rows of a series that come in a later batch than one after them in order of (ts, id) are counted as late and change nothing;
+rows of one batch are never late to each other.
 """
 
 from __future__ import annotations
@@ -11,15 +11,16 @@ import json
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from numpy.lib.stride_tricks import sliding_window_view
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.operators.trading import LEDGER, Ledger, ledger_rows
 
-WRITTEN = "symbol string, ts timestamp, id bigint, value double, late boolean, state string"
-
 
 def stream_bars(ticks: DataFrame, symbol: str, price: str, tie: str, width: str = "1 hour", delay: str = "2 hours") -> DataFrame:
     """Ticks (ts timestamp, ...) to bars by tumbling window; a bar comes out once the watermark passes it."""
@@ -34,78 +35,87 @@ def ingest_new(bars: DataFrame, high_water: str, delay: str = "3 days") -> DataF
     return bars.where(F.col("ts") > F.lit(high_water).cast("timestamp")).withWatermark("ts", delay).dropDuplicatesWithinWatermark(["symbol", "ts"])
 
 
-def per_series(rows: DataFrame, begin: Callable[[], Any], step: Callable[[Any, float], float], path: str, checkpoint: str):
-    """Write step(state, x) for each row of rows (symbol, ts, id, x), in order of (ts, id) within its batch; `series` reads it.
+#: Only this store keeps state by transformWithState.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+VALUES = "symbol string, ts timestamp, id bigint, value double, late boolean, n_late bigint"
+
+#: f(last, xs): values of new rows xs after the values kept from earlier ones, and what is kept then.
+Fold = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+
+
+class Running(StatefulProcessor):
+    """A fold over each series in order of (ts, id): what the fold keeps, the last place seen and the late rows so far.
 
-    Spark sorts a batch's rows and a symbol's stream through its task in Arrow batches; only its state is held. A batch is
-    written with the states after it, as JSON: the state object and the last (ts, id) seen. A retried batch replaces itself.
+    A trigger's rows of a series are held as three arrays of numbers and folded at once, so the trigger's size bounds them.
     """
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        symbol, own, seen, any_ = None, None, None, False
-        kept = lambda: (symbol, None, None, None, None, json.dumps((own, seen)))
-        for batch in batches:
-            out = []
-            for s, ts, n, x, state in zip(batch["symbol"], batch["ts"], batch["id"], batch["x"], batch["state"], strict=True):
-                if not any_ or s != symbol:
-                    if any_:
-                        out.append(kept())
-                    symbol, own, seen, any_ = s, begin(), None, True
-                if state is not None:
-                    own, seen = json.loads(state)
-                    continue
-                at = [ts.value, int(n)]
-                late = seen is not None and at < seen
-                out.append((s, ts, n, None if late else step(own, float(x)), late, None))
-                seen = seen if late else at
-            yield pd.DataFrame(out, columns=["symbol", "ts", "id", "value", "late", "state"])
-        if any_:
-            yield pd.DataFrame([kept()], columns=["symbol", "ts", "id", "value", "late", "state"])
-
-    def write(batch: DataFrame, epoch: int) -> None:
-        new = batch.select("symbol", "ts", "id", "x", F.lit(None).cast("string").alias("state"))
-        if epoch:
-            old = batch.sparkSession.read.schema(WRITTEN).parquet(f"{path}/epoch={epoch - 1}").where("state is not null")
-            new = new.unionByName(old.select("symbol", "ts", F.lit(0).cast("bigint").alias("id"), F.lit(0.0).alias("x"), "state"))
-        line = new.repartition("symbol").sortWithinPartitions("symbol", F.col("state").isNull(), "ts", "id")
-        line.mapInPandas(fold, WRITTEN).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
-
-    keyed = rows.select("symbol", "ts", F.col("id").cast("bigint").alias("id"), F.col("x").cast("double").alias("x"))
-    return keyed.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-
-
-def series(spark: SparkSession, path: str) -> DataFrame:
-    """(symbol, ts, id, value, late) of all that per_series wrote to path."""
-    return spark.read.schema(WRITTEN).parquet(path).where("state is null").select("symbol", "ts", "id", "value", "late")
-
-
-def stream_mean(rows: DataFrame, p: int, path: str, checkpoint: str):
-    def step(last: list[float], x: float) -> float:
-        last.append(x)
-        del last[:-p]
-        return sum(last) / len(last)
-
-    return per_series(rows, list, step, path, checkpoint)
-
-
-def stream_std(rows: DataFrame, p: int, path: str, checkpoint: str):
-    def step(last: list[float], x: float) -> float:
-        last.append(x)
-        del last[:-p]
-        mean = sum(last) / len(last)
-        return (sum((v - mean) ** 2 for v in last) / len(last)) ** 0.5
-
-    return per_series(rows, list, step, path, checkpoint)
-
-
-def stream_ema(rows: DataFrame, p: int, path: str, checkpoint: str):
-    k = 2 / (1 + p)
-
-    def step(last: list[float], x: float) -> float:
-        last[:] = [x * k + (1 - k) * last[0] if last else x]
-        return last[0]
-
-    return per_series(rows, list, step, path, checkpoint)
+    def __init__(self, fold: Fold, ttl_ms: int | None):
+        self.fold, self.ttl_ms = fold, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("series", "kept array<double>, ts bigint, id bigint, n_late bigint", self.ttl_ms)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers: Any) -> Iterator[pd.DataFrame]:  # noqa: N802
+        parts = [(b["ts"].to_numpy("datetime64[us]").astype(np.int64), b["id"].to_numpy(np.int64), b["x"].to_numpy(np.float64)) for b in rows]
+        ts, ids, xs = (np.concatenate(c) for c in zip(*parts, strict=True))
+        order = np.lexsort((ids, ts))
+        ts, ids, xs = ts[order], ids[order], xs[order]
+        kept, at, last, n_late = self.state.get() if self.state.exists() else ([], None, None, 0)
+        late = np.zeros(len(ts), bool) if at is None else (ts < at) | (ts == at) & (ids < last)
+        values = np.full(len(ts), np.nan)
+        kept = np.array(kept, np.float64)
+        if not late.all():
+            values[~late], kept = self.fold(kept, xs[~late])
+            at, last = int(ts[-1]), int(ids[-1])  # a row that is not late sorts after all that are
+        self.state.update((kept.tolist(), at, last, int(n_late + late.sum())))
+        out = pd.DataFrame({"symbol": key[0], "ts": ts.astype("datetime64[us]"), "id": ids, "value": values, "late": late, "n_late": n_late + np.cumsum(late)})
+        for start in range(0, len(out), 65536):
+            yield out.iloc[start : start + 65536]
+
+    def close(self) -> None:
+        pass
+
+
+def per_series(rows: DataFrame, fold: Fold, ttl: str | None = None) -> DataFrame:
+    """(symbol, ts, id, value, late, n_late) of a stream (symbol, ts, id, x), one row each.
+
+    A row whose (ts, id) is before one of an earlier trigger is late: it has no value (NaN) and changes nothing but the
+    series' count of late rows, n_late. ttl: what is kept of a series goes when it gets no row for so long ("30 days");
+    such a stream looks for what to drop in every trigger, so it needs a processing-time trigger: availableNow doesn't end.
+    """
+    spark = rows.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    keyed = rows.select("symbol", "ts", F.col("id").cast("bigint").alias("id"), F.col("x").cast("double").alias("x")).groupBy("symbol")
+    ttl_ms = int(pd.Timedelta(ttl).total_seconds() * 1000) if ttl else None
+    return keyed.transformWithStateInPandas(Running(fold, ttl_ms), VALUES, "append", "ProcessingTime" if ttl else "None")
+
+
+def over_last(p: int, figure: Callable[[np.ndarray], np.ndarray]) -> Fold:
+    """figure (along the last axis) of each row and the p - 1 before it, fewer at the start of a series."""
+
+    def fold(kept: np.ndarray, xs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        line = np.concatenate([kept, xs])
+        head = [figure(line[: i + 1]) for i in range(len(kept), min(p - 1, len(line)))]
+        tail = [figure(sliding_window_view(line[i : i + 65536 + p - 1], p)) for i in range(0, len(line) - p + 1, 65536)]
+        return np.concatenate([np.array(head, np.float64), *tail]), line[max(0, len(line) - p + 1) :]
+
+    return fold
+
+
+def stream_mean(rows: DataFrame, p: int, ttl: str | None = None) -> DataFrame:
+    return per_series(rows, over_last(p, lambda x: x.mean(axis=-1)), ttl)
+
+
+def stream_std(rows: DataFrame, p: int, ttl: str | None = None) -> DataFrame:
+    return per_series(rows, over_last(p, lambda x: x.std(axis=-1)), ttl)
+
+
+def stream_ema(rows: DataFrame, p: int, ttl: str | None = None) -> DataFrame:
+    def fold(kept: np.ndarray, xs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        line = pd.Series(np.concatenate([kept, xs])).ewm(alpha=2 / (1 + p), adjust=False).mean().to_numpy()
+        return line[len(kept) :], line[-1:]
+
+    return per_series(rows, fold, ttl)
 
 
 def stream_progress(notes: DataFrame, total: int, delay: str = "1 day") -> DataFrame:
