@@ -34,7 +34,7 @@ BREAK = re.compile(BETWEEN)
 #: Documents of a language that must hold a term; occurrences added to each term; what shares are whole parts of; ranks listed.
 LEAST, ADDED, SCALE, TOP = 30, 5, 1_000_000_000, 50
 #: Rows of a shard, about; sources that meet at a time; cells of the matrix that a shard fills at a time.
-ROWS, SOURCES, CELLS = 1 << 19, 256, 1 << 20
+ROWS, SOURCES, CELLS = 1 << 15, 256, 1 << 20
 
 
 def terms(texts: pa.Array, rows: np.ndarray) -> pa.Table:
