@@ -41,7 +41,7 @@ from tidemark.llm.shared import let_go
 
 LIMIT = 2048
 #: Characters of a unit that is cut further and not remembered; bytes of units encoded at a time; bytes of units remembered.
-LONG, BATCH, KNOWN = 4096, 1 << 18, 1 << 25
+LONG, BATCH, KNOWN = 4096, 1 << 18, 1 << 27
 #: The split of words that the finer boundaries were derived from (a fixed value).
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SPACE = re.compile(r"[\x20\x09-\x0D]")
