@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalar as S
+from tidemark.operators.halo import ROWS, halo
 
 
 def _line(low: float, step: float) -> Callable[[Column], Column]:
@@ -157,9 +158,11 @@ def evolve(spark: SparkSession, specs: DataFrame, evaluate: Callable[[DataFrame]
     return history
 
 
-def grid_search(bars: DataFrame, grid: DataFrame, kernel: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def grid_search(bars: DataFrame, grid: DataFrame, kernel: Callable[[DataFrame], DataFrame], prepare: Callable[[DataFrame], DataFrame] | None = None, reach: int = 0, ahead: int = 0, most: int = 10_000) -> DataFrame:
     """(candidate columns, fitness) of each grid point: kernel(grid x bars) with the signal as column expressions.
 
-    The grid multiplies the bars on purpose; it is asked to be the smaller side.
+    prepare looks back `reach` rows and ahead `ahead` (bars with pos) and runs once, in buckets, before the grid multiplies
+    the bars; kernel then works row by row and aggregates. A grid of up to `most` points is sent to all tasks.
     """
-    return kernel(bars.join(grid))
+    rows = bars if prepare is None else halo(bars, reach, ROWS, prepare, ahead)
+    return kernel(rows.join(F.broadcast(grid) if grid.count() <= most else grid))

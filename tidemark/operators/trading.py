@@ -104,20 +104,54 @@ def report_text(report: DataFrame) -> DataFrame:
     return report.select("symbol", F.concat_ws("\n", counts, *[figure(*x) for x in named.items()]).alias("report"))
 
 
-def max_drawdown(df: DataFrame, v: str, include_open: bool = False) -> DataFrame:
-    """(symbol, max_drawdown): worst (peak - trough) / peak of drawdowns that recovered, or of all (include_open)."""
-    rows = W.with_folds(df.select("symbol", "ts", v), _top=("max", F.col(v)))
-    rows = W.with_folds(rows, _episode=("sum", F.when(F.col(v) == F.col("_top"), 1).otherwise(0)))  # each new or equal high begins one
-    episodes = rows.groupBy("symbol", "_episode").agg(F.max("_top").alias("top"), F.min(v).alias("low"))
-    last = F.max("_episode").over(Window.partitionBy("symbol"))
-    episodes = episodes.withColumn("_open", F.col("_episode") == last)
-    fall = F.try_divide(F.col("top") - F.col("low"), F.col("top"))
-    return episodes.groupBy("symbol").agg(F.coalesce(F.max(F.when(~F.col("_open") | F.lit(include_open), fall)), F.lit(0.0)).alias("max_drawdown"))
+def fall(top: Column, low: Column) -> Column:
+    return F.try_divide(top - low, top)
+
+
+def joined(a: Column, b: Column) -> Column:
+    """The drawdowns of two stretches of a series that follow each other: closes, head_low, worst, tail_top, tail_low.
+
+    closes: whether a row reaches the peak before the stretch; head_low: the lowest value until then; worst: the largest fall
+    that began and recovered inside; tail_top, tail_low: the last peak and the lowest value since. The operation is associative.
+    """
+    low = F.least(a["tail_low"], b["head_low"])
+    recovered = F.when(b["closes"], fall(a["tail_top"], low))
+    return F.struct(
+        (a["closes"] | b["closes"]).alias("closes"), F.when(a["closes"], a["head_low"]).otherwise(F.least(a["head_low"], b["head_low"])).alias("head_low"),
+        F.when(a["closes"], F.greatest(a["worst"], b["worst"], recovered)).otherwise(b["worst"]).alias("worst"),
+        F.when(b["closes"], b["tail_top"]).otherwise(a["tail_top"]).alias("tail_top"), F.when(b["closes"], b["tail_low"]).when(a["closes"], low).alias("tail_low"),
+    )
+
+
+def max_drawdown(df: DataFrame, v: str, include_open: bool = False, unit: str = "month") -> DataFrame:
+    """(symbol, max_drawdown): worst (peak - trough) / peak of drawdowns that recovered, or of all (include_open).
+
+    A block of time (unit) is summed up in one row, given the peak before it; the rows of a year, then years, are joined.
+    """
+    rows = df.select("symbol", "ts", F.col(v).cast("double").alias("_v"), F.date_trunc(unit, "ts").alias("_block"))
+    rows = W.with_folds(rows, F.col("_block"), _top=("max", F.col("_v")))
+    block = Window.partitionBy("symbol", "_block")
+    so_far = block.orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_peak", F.sum(F.when(F.col("_v") == F.col("_top"), 1).otherwise(0)).over(so_far))  # each new or equal high begins one; 0: none yet
+    parts = rows.groupBy("symbol", "_block", "_peak").agg(F.max("_top").alias("top"), F.min("_v").alias("low")).withColumn("_last", F.max("_peak").over(block))
+    inside, tail = (F.col("_peak") > 0) & (F.col("_peak") < F.col("_last")), (F.col("_peak") > 0) & (F.col("_peak") == F.col("_last"))
+    own = {
+        "closes": F.max("_peak") > 0, "head_low": F.min(F.when(F.col("_peak") == 0, F.col("low"))), "worst": F.max(F.when(inside, fall(F.col("top"), F.col("low")))),
+        "tail_top": F.max(F.when(tail, F.col("top"))), "tail_low": F.max(F.when(tail, F.col("low"))),
+    }
+    blocks = parts.groupBy("symbol", "_block").agg(F.struct(*[c.alias(n) for n, c in own.items()]).alias("s"))
+    none = F.struct(F.lit(False).alias("closes"), *[F.lit(None).cast("double").alias(n) for n in own if n != "closes"])
+    for keys in (["symbol", F.date_trunc("year", "_block").alias("_block")], ["symbol"]):
+        line = F.array_sort(F.collect_list(F.struct("_block", "s")))
+        blocks = blocks.groupBy(*keys).agg(F.aggregate(F.transform(line, lambda x: x["s"]), none, joined).alias("s"))
+    open_ = F.when(F.lit(include_open), fall(F.col("s.tail_top"), F.col("s.tail_low")))
+    return blocks.select("symbol", F.coalesce(F.greatest("s.worst", open_), F.lit(0.0)).alias("max_drawdown"))
 
 
 def max_losses(df: DataFrame, p: int = 10) -> DataFrame:
-    """(symbol, max_losses): most losses in p trades, from the compat average of 0 and p flags."""
-    rows = series.sma(df.withColumn("_flag", F.when(F.col("profit") > 0, 0.0).otherwise(float(p))), "_flag", p, "_avg", "compat")
+    """(symbol, max_losses): most losses in p trades (with pos), from the compat average of 0 and p flags."""
+    flagged = series.with_heads(df.withColumn("_flag", F.when(F.col("profit") > 0, 0.0).otherwise(float(p))), ["_flag"], p)
+    rows = halo(flagged, p, ROWS, lambda d: series.sma(d, "_flag", p, "_avg", "compat"))
     return rows.groupBy("symbol").agg(F.max(F.floor(F.col("_avg") + 1e-9)).cast("int").alias("max_losses"))
 
 

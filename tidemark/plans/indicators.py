@@ -215,7 +215,6 @@ def list_sql(order: str, where: str = "true", value: str = "close", p: int = 4)
 
 lists("back_bars", lambda d: O.back_bars(d, "close", 4, V), list_sql("list_reverse(list(close) over wp)"), 3)
 lists("sliding_examples", lambda d: O.sliding_examples(d, "close", 4, V), list_sql("list(close) over wp", "pos >= 3"), 3)
-lists("udtf_examples", lambda d: O.sliding_examples(d, "high", 6, V), list_sql("list(high) over wp", "pos >= 5", p=6), 5)
 lists(
     "ratio_inputs", lambda d: O.ratio_inputs(d).withColumn(V, F.concat("inputs", F.array(F.col("up").cast("double")))),
     list_sql("[open / o1, 1.0, lag(low) over w / o1, lag(high) over w / o1, lag(close) over w / o1, (close > open)::int::double]", "pos >= 1").replace("from p ", f"from (select *, lag(open) over ({sql.LINE}) as o1 from p) "),

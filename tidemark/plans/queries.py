@@ -205,10 +205,13 @@ def write_trades_csv(spark, sf_dir):
 
 @query("select o_orderkey, o_custkey % 5 as run_id from orders")
 def store_append(spark, sf_dir):
+    """Two batches, both delivered twice, and a third whose write broke off before its manifest and was run again."""
     path, rows = scratch(spark, "store"), table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 5).alias("run_id"))
-    sinks.store_append(rows.where("o_orderkey % 2 = 0"), path)
-    sinks.store_append(rows.where("o_orderkey % 2 <> 0"), path)
-    return spark.read.schema(rows.schema).parquet(path)
+    parts = [rows.where(f"o_orderkey % 3 = {k}") for k in range(3)]
+    parts[2].write.partitionBy("run_id").parquet(f"{path}/data/batch-2-broken")
+    for k in (0, 1, 0, 1, 2):
+        sinks.store_append(parts[k], path, f"batch-{k}")
+    return sinks.store_read(spark, path, rows.schema)
 
 
 @query("select c_custkey, 'r1' as run_id from customer")
@@ -983,13 +986,15 @@ def evolve(spark, sf_dir):
 
 @query(f"with {O_}, {P}, g as (select unnest(range(2, 7))::double as n), k as (select g.n, p.symbol, p.ts, close - lag(close, 2) over (partition by g.n, p.symbol order by ts) * (n / 4) as sig, lead(close) over (partition by g.n, p.symbol order by ts) - close as d from p, g) select n, count(*) as bars, round(avg(case when sign(sig) = sign(d) then 1.0 else 0.0 end), 6) as fitness from k where sig is not null and d is not null group by 1")
 def grid_search(spark, sf_dir):
+    def around(df: DataFrame) -> DataFrame:
+        return df.withColumn("old", W.lagged("close", 2)).withColumn("d", F.lead("close").over(W.line()) - F.col("close"))
+
     def kernel(df: DataFrame) -> DataFrame:
-        line = W.Window.partitionBy("n", "symbol").orderBy("ts")
-        df = df.withColumn("sig", F.col("close") - F.lag("close", 2).over(line) * (F.col("n") / 4)).withColumn("d", F.lead("close").over(line) - F.col("close"))
+        df = df.withColumn("sig", F.col("close") - F.col("old") * (F.col("n") / 4))
         same = F.when(F.signum("sig") == F.signum("d"), 1.0).otherwise(0.0)
         return df.where("sig is not null and d is not null").groupBy("n").agg(F.count(F.lit(1)).alias("bars"), F.round(F.avg(same), 6).alias("fitness"))
 
-    return G.grid_search(orders(spark, sf_dir), G.param_grid(spark, {"n": (2.0, 6.0, 1.0)}), kernel)
+    return G.grid_search(orders(spark, sf_dir), G.param_grid(spark, {"n": (2.0, 6.0, 1.0)}), kernel, around, 2, 1)
 
 
 @query()

@@ -120,22 +120,33 @@ def stream_ledger(spark, sf_dir):
     return rows.groupBy("account").agg(F.count(F.lit(1)).alias("n"))
 
 
-def running(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(f"with {sql.EVENTS} select symbol, ts, round(max(close) over (partition by symbol order by ts rows unbounded preceding) - close, 6) + 0.0 as value from bars")
+def map_with_history(spark, sf_dir):
     step = lambda state, x: (max(state, x), max(state, x) - x)
     return H.map_with_history(bars_events(spark, sf_dir), ["close"], lambda: float("-inf"), step, "value").withColumn("value", tidy("value"))
 
 
-PEAK = f"with {sql.EVENTS} select symbol, ts, round(max(close) over (partition by symbol order by ts rows unbounded preceding) - close, 6) + 0.0 as value from bars"
+@query(f"with {sql.EVENTS}, f as (select symbol, ts, max(close) over w - close as fall from bars window w as ({sql.LINE} rows unbounded preceding)) select symbol, ts, round(max(fall) over ({sql.LINE} rows unbounded preceding), 6) + 0.0 as value from f")
+def udf_map_series(spark, sf_dir):
+    """The largest fall from an earlier close to a later one so far: state is (highest, lowest, largest fall), in blocks of 64 bars."""
+    begin = lambda: [None, None, 0.0]
 
+    def merge(a: list, b: list) -> list:
+        if a[0] is None or b[0] is None:
+            return b if a[0] is None else a
+        return [max(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2], a[0] - b[1])]
 
-@query(PEAK)
-def map_with_history(spark, sf_dir):
-    return running(spark, sf_dir)
+    bars = W.with_pos(bars_events(spark, sf_dir))
+    rows = H.map_blocks(bars, ["close"], begin, lambda s, x: merge(s, [x, x, 0.0]), merge, lambda s, x: s[2], "value", 64)
+    return rows.withColumn("value", tidy("value"))
 
 
-@query(PEAK)
-def udf_map_series(spark, sf_dir):
-    return running(spark, sf_dir)
+@query(f"with {sql.EVENTS}, e as (select symbol, ts, list(close) over ({sql.LINE} rows between (volume % 7) preceding and current row) as l from bars) select symbol, ts, len(l)::bigint as n, round(list_sum(list_transform(l, lambda x, i: x * i)), 6) + 0.0 as weighted_sum from e")
+def udtf_examples(spark, sf_dir):
+    """Windows of closes, each as long as its own bar's volume says: 1 to 7 bars."""
+    rows = H.sized_examples(W.with_pos(bars_events(spark, sf_dir)), "close", F.col("volume") % 7 + 1, 7)
+    total = F.aggregate(F.transform("example", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, b: a + b)
+    return rows.select("symbol", "ts", F.size("example").cast("bigint").alias("n"), tidy(total).alias("weighted_sum"))
 
 
 @query(f"with {sql.EVENTS} select symbol, ts, round(high * 2 - low, 6) + 0.0 as value from bars")
@@ -152,14 +163,15 @@ def udf_strategy(spark, sf_dir):
 
 @query(f"with {sql.EVENTS}, {sql.POS}, g as (select unnest([2, 5, 10]) as period), m as (select g.period, symbol, close - coalesce(lag(close, 1) over w, close) as m, close >= open as up from p, g window w as (partition by g.period, symbol order by ts)) select period, round(avg(case when (m * period >= 0) = up then 1.0 else 0.0 end), 6) as fitness from m group by 1")
 def udf_kernel(spark, sf_dir):
+    def moved(df: DataFrame) -> DataFrame:
+        return df.withColumn("m", F.col("close") - F.coalesce(W.lagged("close", 1), F.col("close")))
+
     def kernel(df: DataFrame) -> DataFrame:
-        line = W.Window.partitionBy("period", "symbol").orderBy("ts")
-        m = F.col("close") - F.coalesce(F.lag("close").over(line), F.col("close"))
-        rows = df.withColumn("hit", F.when((m * F.col("period") >= 0) == S.is_green(), 1.0).otherwise(0.0))
+        rows = df.withColumn("hit", F.when((F.col("m") * F.col("period") >= 0) == S.is_green(), 1.0).otherwise(0.0))
         return rows.groupBy("period").agg(F.round(F.avg("hit"), 6).alias("fitness"))
 
     grid = spark.range(1).select(F.explode(F.array(F.lit(2), F.lit(5), F.lit(10))).alias("period"))
-    return Q.G.grid_search(bars_events(spark, sf_dir), grid, kernel)
+    return Q.G.grid_search(W.with_pos(bars_events(spark, sf_dir)), grid, kernel, moved, 1)
 
 
 @query("""select p_size::double as "Max", count(*) as n, sum(p_partkey)::double as total from part group by 1""")
