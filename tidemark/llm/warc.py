@@ -103,15 +103,26 @@ def write_warc(pages: DataFrame, folder: str | None = None, least: int = 100) ->
 
 
 class Source:
-    """Bytes of a file by position, read in blocks."""
+    """Bytes of a file by position. One block is held, so that what is read on from it costs no request.
 
-    def __init__(self, path: str, block: int = 1 << 20):
+    Up to `end`, where the reader's range ends, blocks are of `block` bytes; what lies behind comes in steps.
+    """
+
+    def __init__(self, path: str, end: int, block: int = 1 << 20, step: int = 1 << 14):
         files, name = opened(path)
-        self.file, self.block = files.open_input_file(name), block
-        self.size = self.file.size()
+        self.file, self.end, self.block, self.step = files.open_input_file(name), end, block, step
+        self.size, self.start, self.held, self.fetched = self.file.size(), 0, memoryview(b""), 0
 
-    def read(self, at: int, n: int | None = None) -> bytes:
-        return self.file.read_at(min(n or self.block, max(0, self.size - at)), at)
+    def read(self, at: int, n: int = 0) -> memoryview:
+        """n bytes from a place on, or without n some, up to a step; fewer where the file ends."""
+        own = self.held[at - self.start :] if self.start <= at else self.held[:0]
+        if len(own) < min(n or 1, self.size - at):
+            wanted = max(n, min(self.block, max(self.step, self.end - at)))
+            more = self.file.read_at(max(0, min(wanted - len(own), self.size - at - len(own))), at + len(own))
+            self.fetched += len(more)
+            self.held, self.start = memoryview(bytes(own) + more), at
+            own = self.held
+        return own[: n or self.step]
 
 
 def inflate(source: Source, at: int) -> tuple[bytes, int] | None:
@@ -147,34 +158,38 @@ def parsed(record: bytes) -> tuple:
     return fields.get("x-page-id"), fields.get("warc-target-uri"), length, digest, kind, fields.get("x-refers-to-page-id"), payload
 
 
-def chained(source: Source, at: int, end: int) -> bool:
-    """Whether members follow each other from a place on, to the range's end or for CHAIN members.
+def chained(source: Source, at: int, end: int, n: int) -> list[tuple[bytes, int]]:
+    """The members that follow each other from a place on, to the range's end or n of them, each with its end; none if they don't.
 
     A payload that is itself an archive may hold members in a stored block; where that block ends, their chain breaks.
     """
-    for _ in range(CHAIN):
+    out: list[tuple[bytes, int]] = []
+    while at < end and len(out) < n:
         found = inflate(source, at)
         if found is None:
-            return False
+            return []
+        out.append(found)
         at = found[1]
-        if at >= end:
-            break
-    return True
+    return out
 
 
 def records_in(path: str, start: int, end: int) -> Iterator[tuple]:
     """Records whose member starts in start..end of a file."""
-    source = Source(path)
+    yield from records_of(Source(path, end), start, end)
+
+
+def records_of(source: Source, start: int, end: int) -> Iterator[tuple]:
     at, sure = start, start == 0
     while at < end:
-        if (sure or chained(source, at, end)) and (found := inflate(source, at)) is not None:
-            yield parsed(found[0])
-            at, sure = found[1], True
+        if found := chained(source, at, end, 1 if sure else CHAIN):
+            for record, at in found:  # noqa: B020
+                yield parsed(record)
+            sure = True
             continue
         sure = False
         at += 1  # no record here: on to the next magic
         while at < end:
-            data = source.read(at, min(source.block, end - at) + 2)
+            data = bytes(source.read(at, min(source.step, end - at) + 2))
             if (hit := data.find(MAGIC)) >= 0:
                 at += hit
                 break
