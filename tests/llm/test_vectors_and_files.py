@@ -171,7 +171,7 @@ TEXTS = [" \n\tabctheing▁ é日本語😀<s>0129.,\x00́İ​", " " * 20 + "ab
 
 
 def test_ids_equal_the_library(library):
-    rng, e = random.Random(1), tokens.Encoder(piece_model(), units=500, pairs=2000)
+    rng, e = random.Random(1), tokens.Encoder(piece_model(), room=200_000, pairs=2000)
     texts = ["".join(rng.choices(rng.choice(TEXTS), k=rng.randint(0, 120))) for _ in range(3000)]
     texts += [None, "", " ", "\n", "a" * 5000, " " * 3000, "€" * 100, "x" * 70 + " " + "ab" * 40, "\x00", "<unk> <s> </s> <0x41>"]
     for text, (n, ids, decoded) in zip(texts, e.summaries(texts), strict=True):

@@ -112,14 +112,14 @@ class Table:
 
 
 class Encoder:
-    def __init__(self, path: str, units: int = 200_000, pairs: int = 1_000_000):
-        """units, pairs: how many encoded units and tested pairs are remembered before starting anew."""
+    def __init__(self, path: str, room: int = 48 << 20, pairs: int = 1_000_000):
+        """room: bytes of encoded units that are remembered, from task to task; pairs: tested pairs that are remembered before starting anew."""
         self.v = Vocabulary(path)
         self.automaton = ahocorasick.Automaton()
         for piece, i in self.v.ids.items():
             self.automaton.add_word(piece, (len(piece), i))
         self.automaton.make_automaton()
-        self.units, self.pairs = units, pairs
+        self.room, self.held, self.pairs = room, 0, pairs
         self.stable = Table()
         self.known: dict[str, str] = {}  # ids of a unit in decimals joined by commas
         self.other: dict[str, str] = {}  # text of the pieces of units that they don't spell
@@ -232,15 +232,18 @@ class Encoder:
             if len(text) > LONG:
                 self.remember(text, self.unit(text))
 
-    def forget(self) -> None:
-        """Let go of the units, which an idle worker would hold while other stages need the memory."""
-        self.known, self.other = {}, {}
+    def forget(self, most: int) -> None:
+        """Let go of all units if they take more than `most` bytes."""
+        if self.held > most:
+            self.known, self.other, self.held = {}, {}, 0
 
     def remember(self, text: str, ids: list[int]) -> None:
         spelled = "".join(map(self.v.pieces.__getitem__, ids)) if min(ids) >= self.plain_from else self.spelled(ids)
-        self.known[text] = ",".join(map(self.decimal.__getitem__, ids))
+        self.known[text] = own = ",".join(map(self.decimal.__getitem__, ids))
+        self.held += 260 + 4 * len(text) + len(own)  # about what strings and tables take
         if spelled != text:
             self.other[text] = spelled
+            self.held += 260 + 4 * len(spelled)
 
     def unit(self, text: str) -> list[int]:
         """Ids of a stretch of text by its prefix table."""
@@ -313,9 +316,7 @@ class Encoder:
     def _some(self, texts: list[str | None]) -> Iterator[tuple[int, str, str]]:
         units = [self.split(self.escaped(text or "")) for text in texts]
         used = set().union(*units)
-        if len(self.known) > self.units:
-            self.known = {u: self.known[u] for u in used.intersection(self.known)}
-            self.other = {u: self.other[u] for u in used.intersection(self.other)}
+        self.forget(self.room)  # before these are learned, so that all of them are at hand
         self.learn(list(used.difference(self.known)))
         for own in units:
             if own:
@@ -324,6 +325,10 @@ class Encoder:
                 yield ids.count(",") + 1, ids, self.text_of("".join(spelled))
             else:
                 yield 0, "", ""
+        for long in (u for u in used if len(u) > LONG):
+            self.held -= 260 + 4 * len(long) + len(self.known.pop(long))
+            if long in self.other:
+                self.held -= 260 + 4 * len(self.other.pop(long))
 
 
 def _utf8(run: bytes) -> str:
@@ -354,9 +359,9 @@ def encoder(path: str) -> Encoder:
 
 
 def done(path: str) -> None:
-    """Let go of what the worker's encoder remembers; an idle worker would hold it while other stages need the memory."""
+    """What a worker's encoder remembers stays for its next task, within its room."""
     if path in _encoders:
-        _encoders[path].forget()
+        _encoders[path].forget(_encoders[path].room)
 
 
 def with_digests(docs: DataFrame, path: str) -> DataFrame:
