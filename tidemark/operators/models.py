@@ -6,9 +6,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,28 +94,97 @@ def feature_subset(x: str, n: int) -> Column:
     return F.slice(x, 1, n)
 
 
+def gram(df: DataFrame, x: str) -> tuple[int, np.ndarray, np.ndarray]:
+    """Number of rows, sums of x and sums of its products: d and d * d numbers, added up inside tasks and then by Spark."""
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
+        for batch in batches:
+            if len(batch):
+                v = np.array(batch["v"].tolist(), float)
+                own = np.r_[len(v), v.sum(axis=0), (v.T @ v).ravel()]
+                total = own if total is None else total + own
+        if total is not None:
+            yield pd.DataFrame({"s": [total.tolist()]})
+
+    parts = df.select(F.col(x).cast("array<double>").alias("v")).where("v is not null").mapInPandas(part, "s array<double>")
+    sums = np.array([r[1] for r in sorted(parts.select(F.posexplode("s").alias("k", "v")).groupBy("k").agg(F.sum("v").alias("v")).collect())])
+    if not len(sums):
+        return 0, np.zeros(0), np.zeros((0, 0))
+    d = int((len(sums) - 0.75) ** 0.5 - 0.5)  # 1 + d + d * d sums
+    return int(sums[0]), sums[1 : d + 1], sums[d + 1 :].reshape(d, d)
+
+
+def directions(n: int, sums: np.ndarray, products: np.ndarray, subset: int | None = None, complement: bool = False) -> np.ndarray:
+    """Principal directions, the most telling first, of rows with these sums once they are cut to `subset` features and complement coded.
+
+    Cutting takes a block of the covariances, and complement coding mirrors them, so no other pass over the rows is needed.
+    A direction's first entry of any weight is positive.
+    """
+    c = products / n - np.outer(sums, sums) / n**2
+    c = c[:subset, :subset]
+    c = np.block([[c, -c], [-c, c]]) if complement else c
+    found = np.linalg.eigh(c)[1].T[::-1]
+    return found * np.array([np.sign(v[np.flatnonzero(np.abs(v) > 1e-9)[0]]) for v in found])[:, None]
+
+
 def pca_basis(df: DataFrame, x: str, k: int) -> list[list[float]]:
-    """The first k principal directions (the data's means removed); Spark fits them, the driver holds k vectors."""
-    model = PCA(k=k, inputCol="v", outputCol="p").fit(df.select(array_to_vector(F.col(x).cast("array<double>")).alias("v")))
-    return model.pc.toArray().T.tolist()
+    """The first k principal directions (the data's means removed); the driver holds d * d sums."""
+    n, sums, products = gram(df, x)
+    return directions(n, sums, products)[:k].tolist() if n else []
 
 
 def pca_project(x: str, basis: list[list[float]], n: int) -> Column:
     """(x . d) d for the n-th direction, held to those there are; x isn't centred, so the direction's sign doesn't matter."""
-    d = F.array(*[F.lit(float(v)) for v in basis[max(0, min(n, len(basis) - 1))]])
+    return along(x, F.array(*[F.lit(float(v)) for v in basis[max(0, min(n, len(basis) - 1))]]))
+
+
+def along(x: str, d: Column) -> Column:
     length = S.dot(F.col(x), d)
     return F.transform(d, lambda v: v * length)
 
 
+GENES = ["subset", "complement", "component"]
+
+
+def bases_of(df: DataFrame, x: str, genes: DataFrame) -> DataFrame:
+    """Distinct genes (subset, complement, component) with their direction of the rows' x as they tailor it; null without a component.
+
+    The rows are read once; each distinct set of genes takes its direction from the same sums, in tasks.
+    """
+    n, sums, products = gram(df, x)
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for subset, complement, component in batch[GENES].astype(object).itertuples(index=False):
+                found = directions(n, sums, products, None if pd.isna(subset) else int(subset), bool(complement)) if n and not pd.isna(component) else None
+                out.append(None if found is None else found[max(0, min(int(component), len(found) - 1))].tolist())
+            yield batch[GENES].assign(basis=out)
+
+    keys = genes.select(F.col("subset").cast("int"), F.col("complement").cast("boolean"), F.col("component").cast("int")).distinct()
+    return keys.mapInPandas(fit, "subset int, complement boolean, component int, basis array<double>")
+
+
+def tailored(x: str, basis: str = "basis") -> Column:
+    """x as a row's genes ask for: the first features only, complement coded, projected on one direction."""
+    v = F.col(x).cast("array<double>")
+    v = F.when(F.col("subset").isNull(), v).otherwise(F.slice(v, 1, F.col("subset")))
+    v = F.when(F.col("complement"), S.complement_code(v)).otherwise(v)
+    length = S.dot(v, F.col(basis))
+    return F.when(F.col(basis).isNull(), v).otherwise(F.transform(F.col(basis), lambda d: d * length))
+
+
 def tailor_inputs(df: DataFrame, x: str, out: str, subset: int | None = None, complement: bool = False, component: int | None = None) -> DataFrame:
     """Inputs as a candidate's genes ask for: the first features only, complement coded, projected on one direction."""
     df = df.withColumn(out, F.col(x).cast("array<double>"))
+    n, sums, products = gram(df, out) if component is not None else (0, np.zeros(0), np.zeros((0, 0)))
     if subset is not None:
         df = df.withColumn(out, feature_subset(out, subset))
     if complement:
         df = df.withColumn(out, S.complement_code(out))
-    if component is not None:
-        df = df.withColumn(out, pca_project(out, pca_basis(df, out, component + 1), component))
+    if component is not None and n:
+        df = df.withColumn(out, pca_project(out, directions(n, sums, products, subset, complement).tolist(), component))
     return df
 
 
@@ -142,13 +208,48 @@ def rbf_predict(df: DataFrame, x: str, centers: DataFrame, weights: list[float],
     return rows.withColumn("prediction", S.dot("phi", F.array(*[F.lit(float(w)) for w in weights])) + bias).drop("phi")
 
 
-def least_squares_readout(df: DataFrame, phi: str, label: str) -> tuple[list[float], float, bool]:
-    """Weights, bias and whether the fit is degenerate: normal equations summed by Spark, solved for m unknowns."""
-    rows = df.select(array_to_vector(phi).alias("features"), F.col(label).cast("double").alias("label"))
-    model = LinearRegression(solver="normal", regParam=0.0, standardization=False).fit(rows)
-    weights = [float(v) for v in model.coefficients]
-    bad = not np.isfinite(weights + [model.intercept]).all()
-    return weights, float(model.intercept), bad
+def triangle(rows: np.ndarray) -> np.ndarray:
+    """R of a QR decomposition, with as many rows as columns."""
+    r = np.linalg.qr(rows, mode="r")
+    return np.vstack([r, np.zeros((max(0, rows.shape[1] - len(r)), rows.shape[1]))])
+
+
+def least_squares_readout(df: DataFrame, phi: str, label: str, at_once: int = 16, tolerance: float = 1e-10) -> tuple[list[float], float, bool]:
+    """Weights, bias and whether the fit is degenerate (then all 0): too few rows, or columns that depend on each other.
+
+    Blocks of rows become triangles of m + 2 columns (bases, one, label), and triangles are stacked and made one, at_once at a
+    time, so that squared condition numbers never arise; the driver solves the last one. A column depends on those before it
+    where its part of the triangle's diagonal is below `tolerance` of its length.
+    """
+
+    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        r = None
+        for batch in batches:
+            if len(batch):
+                own = np.c_[np.array(batch["phi"].tolist(), float), np.ones(len(batch)), batch["label"].to_numpy(float)]
+                r = triangle(own if r is None else np.vstack([r, own]))
+        if r is not None:
+            yield pd.DataFrame({"r": [r.ravel().tolist()]})
+
+    def stacked(batch: pd.DataFrame) -> pd.DataFrame:
+        m = int(len(batch["r"].iloc[0]) ** 0.5)
+        return pd.DataFrame({"r": [triangle(np.array(batch["r"].tolist(), float).reshape(-1, m)).ravel().tolist()]})
+
+    rows = df.select(F.col(phi).cast("array<double>").alias("phi"), F.col(label).cast("double").alias("label")).where("phi is not null and label is not null")
+    parts = written(rows.mapInPandas(blocks, "r array<double>"))
+    while (left := parts.count()) > 1:
+        groups = -(-left // at_once)
+        parts = written(parts.withColumn("g", F.pmod(F.xxhash64("r"), F.lit(groups)) if groups > 1 else F.lit(0)).groupBy("g").applyInPandas(stacked, "r array<double>"))
+    if not left:
+        return [], 0.0, True
+    r = np.array(parts.first()["r"])
+    r = r.reshape(int(len(r) ** 0.5), -1)
+    a, y = r[:-1, :-1], r[:-1, -1]
+    lengths = np.sqrt((a**2).sum(axis=0))
+    if (np.abs(np.diag(a)) <= tolerance * lengths).any() or not np.isfinite(r).all():
+        return [0.0] * (len(a) - 1), 0.0, True
+    weights = np.linalg.solve(a, y)
+    return weights[:-1].tolist(), float(weights[-1]), False
 
 
 def mixture_vote(predictions: DataFrame) -> DataFrame:
@@ -156,14 +257,23 @@ def mixture_vote(predictions: DataFrame) -> DataFrame:
     return predictions.groupBy("mixture", "t").agg(F.signum(F.avg("prediction")).alias("vote"))
 
 
-def expert_predictions(rows: DataFrame, experts: DataFrame) -> DataFrame:
-    """(mixture, expert, t, prediction) of rows (t, features) by RBF experts (mixture, expert, bias, spread, degenerate, bases).
+def expert_predictions(rows: DataFrame, experts: DataFrame, most: int = 10_000) -> DataFrame:
+    """(mixture, expert, t, prediction) of rows (t, features) by RBF experts, each on inputs tailored by its own genes.
 
-    The experts of a mixture are few; their number is what the cross product multiplies the rows by.
+    experts: (mixture, expert, subset, complement, component, bias, spread, degenerate, bases), whose centres lie among its
+    tailored inputs. Rows are tailored once for each distinct set of genes, and its experts join by it; up to `most` sets,
+    and experts, are sent to all tasks.
     """
-    pairs = rows.select("t", "features").join(experts)
-    x = F.col("features").cast("array<double>")
-    total = F.aggregate("bases", F.lit(0.0), lambda s, b: s + b["weight"] * F.exp(-S.squared_gap(x, b["center"]) / (F.col("spread") * F.col("spread"))))
+    small = lambda d: F.broadcast(d) if d.count() <= most else d
+    experts = experts.withColumns({"subset": F.col("subset").cast("int"), "complement": F.col("complement").cast("boolean"), "component": F.col("component").cast("int")})
+    genes = written(bases_of(rows, "features", experts).withColumn("gene", F.monotonically_increasing_id()))
+    same = F.lit(True)
+    for g in GENES:
+        same = same & F.col(f"e.{g}").eqNullSafe(F.col(f"g.{g}"))
+    own = written(experts.alias("e").join(genes.alias("g"), same).select("gene", "mixture", "expert", "bias", "spread", "degenerate", "bases"))
+    inputs = rows.select("t", "features").join(small(genes)).select("t", "gene", tailored("features").alias("x"))
+    pairs = inputs.join(small(own), "gene")
+    total = F.aggregate("bases", F.lit(0.0), lambda s, b: s + b["weight"] * F.exp(-S.squared_gap(F.col("x"), b["center"]) / (F.col("spread") * F.col("spread"))))
     return pairs.select("mixture", "expert", "t", F.when(F.col("degenerate"), 0.0).otherwise(F.col("bias") + total).alias("prediction"))
 
 

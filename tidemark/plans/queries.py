@@ -797,22 +797,50 @@ def series_to_matrix(spark, sf_dir):
     return column_totals(table(spark, sf_dir, "embeddings"))
 
 
-@query()
+def pca_sql(d: int, vectors: str, k: int, rounds: int = 14) -> str:
+    """CTEs v1 .. vk (v): principal directions of x (v), one after the other: covariances squared again and again, then without what was found."""
+    trace = f"list_sum(list_transform(range(1, {d + 1}), lambda i: m[i][i]))"
+    scaled = f"list_transform(m, lambda r: list_transform(r, lambda c: c / {trace}))"
+    out = f"""x as ({vectors}), g as (select i, j, avg(v[i] * v[j]) - avg(v[i]) * avg(v[j]) as c from x, range(1, {d + 1}) t(i), range(1, {d + 1}) u(j) group by 1, 2),
+        c1 as (select list(r order by i) as m from (select i, list(c order by j) as r from g group by 1))"""
+    for n in range(1, k + 1):
+        out += f""", p{n} as (select 0 as k, {scaled} as m from c{n}
+            union all select k, {scaled} from (select k + 1 as k, list_transform(m, lambda a: list_transform(m, lambda b: list_dot_product(a, b))) as m from p{n} where k < {rounds})),
+            q{n} as (select m, list_transform(range(1, {d + 1}), lambda i: m[i][i]) as z from p{n} where k = {rounds}),
+            w{n} as (select m[list_position(z, list_max(z))::int] as w from q{n}), v{n} as (select list_transform(w, lambda c: c / sqrt(list_dot_product(w, w))) as v from w{n}),
+            c{n + 1} as (select list_transform(range(1, {d + 1}), lambda i: list_transform(range(1, {d + 1}), lambda j: m[i][j] - l * v[i] * v[j])) as m
+                         from (select m, v, list_dot_product(v, list_transform(m, lambda r: list_dot_product(r, v))) as l from c{n}, v{n}))"""
+    return out
+
+
+ALL_64 = pca_sql(64, "select embedding::double[] as v from embeddings", 4)
+
+
+@query(f"with recursive {ALL_64}, e as (select vec_id, embedding::double[] as e from embeddings) select vec_id, {', '.join(f'round(abs(list_dot_product(e, v{i + 1}.v)), 4) + 0.0 as c{i}' for i in range(4))} from e, v1, v2, v3, v4")
 def pca_basis(spark, sf_dir):
     basis = M.pca_basis(table(spark, sf_dir, "embeddings"), "embedding", 4)
     return table(spark, sf_dir, "embeddings").select("vec_id", *[tidy(F.abs(S.dot(F.col("embedding").cast("array<double>"), F.array(*[F.lit(v) for v in b]))), 4).alias(f"c{i}") for i, b in enumerate(basis)])
 
 
-@query()
+def shown(df: DataFrame, x: str) -> DataFrame:
+    """A vector as its entries' number, length, and sum weighted by place."""
+    weighted = F.aggregate(F.transform(x, lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, v: a + v)
+    return df.select("vec_id", F.size(x).cast("bigint").alias("n"), tidy(S.norm2(x), 4).alias("length"), tidy(weighted, 4).alias("weighted"))
+
+
+SHOWN = "select vec_id, len(t)::bigint as n, round(sqrt(list_dot_product(t, t)), 4) + 0.0 as length, round(list_sum(list_transform(t, lambda c, i: c * i)), 4) + 0.0 as weighted from t"
+
+
+@query(f"with recursive {ALL_64}, t as (select vec_id, list_transform(v, lambda c: c * list_dot_product(e.embedding::double[], v)) as t from embeddings e, v3) {SHOWN}")
 def pca_project_nth(spark, sf_dir):
     df = table(spark, sf_dir, "embeddings").withColumn("v", F.col("embedding").cast("array<double>"))
-    return df.select("vec_id", F.round(S.norm2(M.pca_project("v", M.pca_basis(df, "v", 3), 2)), 4).alias("length"))
+    return shown(df.withColumn("t", M.pca_project("v", M.pca_basis(df, "v", 3), 2)), "t")
 
 
-@query()
+@query(f"""with recursive e as (select vec_id, embedding[1:20]::double[] as u from embeddings), f as (select vec_id, list_concat(u, list_transform(u, lambda c: 1 - c)) as v from e),
+    {pca_sql(40, "select v from f", 2)}, t as (select vec_id, list_transform(v2.v, lambda c: c * list_dot_product(f.v, v2.v)) as t from f, v2) {SHOWN}""")
 def tailor_inputs(spark, sf_dir):
-    df = M.tailor_inputs(table(spark, sf_dir, "embeddings"), "embedding", "t", 20, True, 1)
-    return df.select("vec_id", F.size("t").alias("n"), F.round(S.norm2("t"), 4).alias("length"))
+    return shown(M.tailor_inputs(table(spark, sf_dir, "embeddings"), "embedding", "t", 20, True, 1), "t")
 
 
 CENTERS = "c as (select vec_id as ord, embedding::double[] as center from embeddings where vec_id < 10)"
@@ -836,12 +864,28 @@ def rbf_predict(spark, sf_dir):
     return M.rbf_predict(df, "embedding", centers(df), [i - 4.0 for i in range(10)], 0.5, 1.2).select("vec_id", tidy("prediction").alias("prediction"))
 
 
-@query()
+#: Normal equations by elimination without exchanges; the least pivot, as a part of what stood there, tells a fit that is none.
+READOUT = """with recursive {centers}, f as (select e.vec_id, e.label::double as y, list(exp(-list_sum(list_transform(list_zip(e.embedding::double[], c.center), lambda z: pow(z[1] - z[2], 2))) / 1.44) order by c.ord) as phi from embeddings e, c group by 1, 2),
+    h as (select 'full' as fit, vec_id, y, list_append(phi, 1.0) as h from f union all select 'deficient', vec_id, y, list_concat(phi, [phi[1], 1.0]) from f),
+    g as (select fit, i, j, sum(h[i] * case when j <= len(h) then h[j] else y end) as c from h, range(1, 13) t(i), range(1, 14) u(j) where i <= len(h) and j <= len(h) + 1 group by 1, 2, 3),
+    a0 as (select fit, list(r order by i) as m from (select fit, i, list(c order by j) as r from g group by 1, 2) group by 1),
+    a as (select fit, 1 as k, m, m as first, 1.0::double as least from a0
+          union all select fit, k + 1, list_transform(range(1, len(m) + 1), lambda i: case when i = k then list_transform(m[k], lambda c: c / m[k][k])
+              else list_transform(range(1, len(m) + 2), lambda j: m[i][j] - m[i][k] / m[k][k] * m[k][j]) end), first, least(least, abs(m[k][k]) / first[k][k]) from a where k <= len(m)),
+    w as (select fit, least < 1e-9 as bad, list_transform(m, lambda r: r[len(r)]) as w from a where k = len(m) + 1)
+    select vec_id, h.fit, round(case when bad then 0 else list_dot_product(h.h, w.w) end, 4) + 0.0 as fitted, bad as degenerate from h join w on h.fit = w.fit"""
+
+
+@query(READOUT.format(centers=CENTERS))
 def least_squares_readout(spark, sf_dir):
+    """Two fits: with ten centres, and with one of them twice, which has no single solution."""
     df = table(spark, sf_dir, "embeddings")
-    rows = M.rbf_design(df, "embedding", centers(df), 1.2)
-    w, bias, bad = M.least_squares_readout(rows, "phi", "label")
-    return rows.select("vec_id", F.round(S.dot("phi", F.array(*[F.lit(v) for v in w])) + bias, 4).alias("fitted"), F.lit(bad).alias("degenerate"))
+    rows, out = M.rbf_design(df, "embedding", centers(df), 1.2), []
+    for fit, phi in (("full", F.col("phi")), ("deficient", F.concat("phi", F.slice("phi", 1, 1)))):
+        own = rows.withColumn("h", phi)
+        w, bias, bad = M.least_squares_readout(own, "h", "label")
+        out.append(own.select("vec_id", F.lit(fit).alias("fit"), tidy(S.dot("h", F.array(*[F.lit(v) for v in w])) + bias, 4).alias("fitted"), F.lit(bad).alias("degenerate")))
+    return out[0].unionByName(out[1])
 
 
 @query("select (vec_id % 7)::bigint as mixture, label::bigint as t, sign(avg(embedding[1]::double)) as vote from embeddings group by 1, 2")
@@ -850,11 +894,15 @@ def mixture_vote(spark, sf_dir):
     return M.mixture_vote(df.select((F.col("vec_id") % 7).alias("mixture"), F.col("label").cast("bigint").alias("t"), F.get("embedding", F.lit(0)).cast("double").alias("prediction"))).withColumn("vote", F.col("vote").cast("tinyint"))
 
 
-@query(PHI + " select 'm' || (ord % 2) as mixture, ord as expert, vec_id as t, round(0.1 + 2 * phi, 6) as prediction from f")
+@query("""with x as (select vec_id, embedding::double[] as v from embeddings), c as (select vec_id as ord, 8 + 4 * (vec_id % 3) as subset, vec_id % 2 = 1 as complement, v from x where vec_id < 10),
+    p as (select x.vec_id, ord, complement, x.v[1:subset] as a, c.v[1:subset] as b from x, c), q as (select vec_id, ord, case when complement then list_concat(a, list_transform(a, lambda z: 1 - z)) else a end as a, case when complement then list_concat(b, list_transform(b, lambda z: 1 - z)) else b end as b from p)
+    select 'm' || (ord % 2) as mixture, ord as expert, vec_id as t, round(0.1 + 2 * exp(-list_sum(list_transform(list_zip(a, b), lambda z: pow(z[1] - z[2], 2))) / 1.44), 6) as prediction from q""")
 def expert_predictions(spark, sf_dir):
+    """Ten experts of six kinds of inputs: 8, 12 or 16 features, with or without their complements."""
     df = table(spark, sf_dir, "embeddings")
-    base = F.array(F.struct(F.col("embedding").cast("array<double>").alias("center"), F.lit(2.0).alias("weight")))
-    experts = df.where("vec_id < 10").select(F.concat(F.lit("m"), F.col("vec_id") % 2).alias("mixture"), F.col("vec_id").alias("expert"), F.lit(0.1).alias("bias"), F.lit(1.2).alias("spread"), F.lit(False).alias("degenerate"), base.alias("bases"))
+    genes = df.where("vec_id < 10").withColumns({"subset": (8 + 4 * (F.col("vec_id") % 3)).cast("int"), "complement": F.col("vec_id") % 2 == 1, "component": F.lit(None).cast("int"), "basis": F.lit(None).cast("array<double>")})
+    base = F.array(F.struct(M.tailored("embedding").alias("center"), F.lit(2.0).alias("weight")))
+    experts = genes.select(F.concat(F.lit("m"), F.col("vec_id") % 2).alias("mixture"), F.col("vec_id").alias("expert"), *M.GENES, F.lit(0.1).alias("bias"), F.lit(1.2).alias("spread"), F.lit(False).alias("degenerate"), base.alias("bases"))
     return M.expert_predictions(df.select(F.col("vec_id").alias("t"), F.col("embedding").alias("features")), experts).withColumn("prediction", F.round("prediction", 6))
 
 
