@@ -7,13 +7,14 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.sources import barfiles
 from tidemark.sources import bars as B
 from tidemark.sources import sinks
 
 
 def test_read_bars(spark, tmp_path):
     (tmp_path / "ABC.txt").write_text("20100104;10.0;12.5;9.5;11.0;300\n20100105;11.0;11.5;10.0;10.5;200\n")
-    rows = B.read_bars(spark, str(tmp_path)).orderBy("ts").collect()
+    rows = barfiles.read_bars(spark, str(tmp_path)).orderBy("ts").collect()
     assert tuple(rows[0]) == ("ABC", dt.datetime(2010, 1, 4), 10.0, 12.5, 9.5, 11.0, 300) and len(rows) == 2
 
 

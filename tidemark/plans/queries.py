@@ -19,8 +19,8 @@ from tidemark.operators import views as V
 from tidemark.operators.halo import ROWS, halo, two_level_pos
 from tidemark.plans import sql
 from tidemark.plans.indicators import tidy
+from tidemark.sources import barfiles, sinks
 from tidemark.sources import bars as B
-from tidemark.sources import sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -96,7 +96,7 @@ def bars_lineitem(spark, sf_dir):
 def read_bars(spark, sf_dir):
     path = scratch(spark, "bars")
     B.write_bars(B.bars_orders(spark, sf_dir), path)
-    return B.read_bars(spark, path)
+    return barfiles.read_bars(spark, path)
 
 
 @query(f"with {O_} select symbol, strftime(ts, '%Y%m%d') || ';' || format('{{:.6f}};{{:.6f}};{{:.6f}};{{:.6f}};', open, high, low, close) || volume as line from bars")
@@ -171,18 +171,25 @@ def extract_next_link(spark, sf_dir):
     return B.page_links(table(spark, sf_dir, "pages"))
 
 
-@query("""select 'event' as origin, event_id as id, case when try_cast(json_extract_string(props, '$.k') as bigint) is not null then 'props' else 'unknown' end as route, try_cast(json_extract_string(props, '$.k') as bigint)::double as value from events
+SENT_SQL = """select 'event' as origin, event_id as id, case when try_cast(json_extract_string(props, '$.k') as bigint) is not null then 'props' else 'unknown' end as route, try_cast(json_extract_string(props, '$.k') as bigint)::double as value from events
     union all select 'order', o_orderkey, 'order', round(o_totalprice, 2) from orders
-    union all select 'customer', c_custkey, 'customer', len(c_mktsegment) from customer union all select 'nation', n_nationkey, 'unknown', null from nation""")
-def decode_typed_json(spark, sf_dir):
-    """Messages of three types and one that no type is known for, which becomes a dead letter."""
-    sent = lambda name, origin, key, body: table(spark, sf_dir, name).select(F.lit(origin).alias("origin"), F.col(key).cast("bigint").alias("id"), body.alias("text"))
+    union all select 'customer', c_custkey, 'customer', len(c_mktsegment) from customer union all select 'nation', n_nationkey, 'unknown', null from nation"""
+
+
+def messages(read: Callable[[str], DataFrame]) -> DataFrame:
+    """(origin, id, text): messages of three types and one that no type is known for; read gives a table by its name."""
+    sent = lambda name, origin, key, body: read(name).select(F.lit(origin).alias("origin"), F.col(key).cast("bigint").alias("id"), body.alias("text"))
     typed = lambda kind, **fields: F.to_json(F.struct(F.lit(kind).alias("Type"), *[c.alias(n) for n, c in fields.items()]))
     rows = sent("events", "event", "event_id", F.col("props"))
     rows = rows.unionByName(sent("orders", "order", "o_orderkey", typed("order", id=F.col("o_orderkey"), price=F.round("o_totalprice", 2))))
     rows = rows.unionByName(sent("customer", "customer", "c_custkey", typed("customer", id=F.col("c_custkey"), segment=F.col("c_mktsegment"))))
-    rows = rows.unionByName(sent("nation", "nation", "n_nationkey", typed("nation", id=F.col("n_nationkey"))))
-    out = B.decode_typed_json(rows, "text", B.MESSAGES, default="props")
+    return rows.unionByName(sent("nation", "nation", "n_nationkey", typed("nation", id=F.col("n_nationkey"))))
+
+
+@query(SENT_SQL)
+def decode_typed_json(spark, sf_dir):
+    """What no type is known for becomes a dead letter."""
+    out = B.decode_typed_json(messages(lambda name: table(spark, sf_dir, name)), "text", B.MESSAGES, default="props")
     return out.select("origin", "id", "route", F.coalesce(F.col("props.k").cast("double"), "order.price", F.length("customer.segment").cast("double")).alias("value"))
 
 
@@ -380,9 +387,26 @@ def interleave(spark, sf_dir):
 # --- entities: runs are customers' nations, generations their order years, mixtures their customers
 
 
-@query("select n_nationkey as run_id, extract(year from o_orderdate)::bigint as generation, o_custkey as mixture_id, round(max(o_totalprice), 2) as fitness from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by 1, 2, 3")
+@query("""with o as (select o_orderkey, o_totalprice, o_orderstatus, o_custkey, c_nationkey as run_id, extract(year from o_orderdate)::bigint as generation from orders join customer on o_custkey = c_custkey),
+    g as (select run_id, generation, max(o_totalprice) > 1.8::double * avg(o_totalprice) as evaluated, max(o_totalprice) as fitness from o group by 1, 2),
+    good as (select run_id from g group by 1 having bool_and(evaluated)),
+    m as (select run_id, generation, o_custkey as mixture_id, max(o_totalprice) as fitness, string_agg((case when o_orderstatus = 'F' then 'rbf' else 'rnn' end) || o_orderkey, ' ' order by o_orderkey) as experts from o group by 1, 2, 3),
+    p as (select *, (row_number() over (partition by run_id, generation order by mixture_id) - 1) // 8 as part from m)
+    select p.run_id, p.generation, p.part, round(any_value(g.fitness), 2) as fitness, string_agg(mixture_id || ': ' || experts, '; ' order by mixture_id) as mixtures
+    from p join good on p.run_id = good.run_id join g on g.run_id = p.run_id and g.generation = p.generation group by 1, 2, 3""")
 def entity_tree(spark, sf_dir):
-    return evals(spark, sf_dir)
+    """Generations are evaluated where their largest order is over 1.8 times the average one; experts are orders, of a kind by status."""
+    o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    o = o.select("o_orderkey", "o_totalprice", "o_orderstatus", F.col("o_custkey").alias("customer"), F.col("c_nationkey").cast("bigint").alias("run_id"), F.year("o_orderdate").cast("bigint").alias("generation"))
+    o = o.withColumn("generation_id", F.col("run_id") * 10_000 + F.col("generation")).withColumn("mixture_id", F.col("generation_id") * 1_000_000_000 + F.col("customer"))
+    generations, mixtures = o.select("generation_id", "run_id", "generation").distinct(), o.select("mixture_id", "generation_id").distinct()
+    gen_evals = o.groupBy("generation_id").agg(F.max("o_totalprice").alias("fitness"), F.avg("o_totalprice").alias("mean")).where("fitness > 1.8D * mean").drop("mean")
+    expert = lambda kind, rows: rows.select("mixture_id", F.col("o_orderkey").cast("bigint").alias("ord"), F.lit(kind).alias("kind"), F.col("o_orderkey").cast("bigint").alias("id"))
+    experts = V.experts_of_mixture(expert("rbf", o.where("o_orderstatus = 'F'")), expert("rnn", o.where("o_orderstatus <> 'F'")))
+    tree = V.entity_tree(table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("run_id")), generations, gen_evals, mixtures, o.groupBy("mixture_id").agg(F.max("o_totalprice").alias("fitness")), experts, 8)
+    ids = lambda m: F.array_join(F.transform(m["experts"], lambda e: F.concat(e["kind"], e["id"].cast("string"))), " ")
+    text = F.array_join(F.transform("mixtures", lambda m: F.concat((m["mixture_id"] % 1_000_000_000).cast("string"), F.lit(": "), ids(m))), "; ")
+    return tree.select("run_id", "generation", "part", F.round("fitness", 2).alias("fitness"), text.alias("mixtures"))
 
 
 def evals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -394,10 +418,16 @@ def evals(spark: SparkSession, sf_dir: str) -> DataFrame:
 EVALS = "ev as (select c_nationkey as run_id, extract(year from o_orderdate)::bigint as generation, o_custkey as mixture_id, round(max(o_totalprice), 2) as fitness from orders join customer on o_custkey = c_custkey group by 1, 2, 3)"
 
 
-@query("select s_suppkey as id, 'rbf' as kind, s_nationkey::bigint as ord from supplier union all select c_custkey, 'rnn', c_nationkey::bigint from customer")
+@query("""with e as (select s_nationkey::bigint as mixture_id, s_suppkey as ord, 'rbf' as kind from supplier union all select c_nationkey, c_custkey, 'rnn' from customer),
+    p as (select *, (row_number() over (partition by mixture_id order by ord, kind) - 1) // 16 as part from e)
+    select mixture_id, part, count(*) as n, string_agg(kind || ord, ' ' order by ord, kind) as experts from p group by 1, 2""")
 def experts_of_mixture(spark, sf_dir):
-    a = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.lit("rbf").alias("kind"), F.col("s_nationkey").cast("bigint").alias("ord"))
-    return a.unionByName(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.lit("rnn").alias("kind"), F.col("c_nationkey").cast("bigint").alias("ord")), allowMissingColumns=True)
+    """Experts of two tables in the order they have in their mixture, 16 a row."""
+    kind = lambda name, nation, key, kind: table(spark, sf_dir, name).select(F.col(nation).cast("bigint").alias("mixture_id"), F.col(key).cast("bigint").alias("ord"), F.lit(kind).alias("kind"))
+    both = V.experts_of_mixture(kind("supplier", "s_nationkey", "s_suppkey", "rbf"), kind("customer", "c_nationkey", "c_custkey", "rnn"))
+    rows = V.in_blocks(both, ["mixture_id"], "ord", ["kind"], "experts", 16)
+    text = F.array_join(F.transform("experts", lambda e: F.concat(e["kind"], e["ord"].cast("string"))), " ")
+    return rows.select("mixture_id", "part", F.size("experts").cast("bigint").alias("n"), text.alias("experts"))
 
 
 @query("select c_custkey, n_name from customer join nation on c_nationkey = n_nationkey")

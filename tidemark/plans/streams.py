@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions import frames as W
 from tidemark.functions import scalar as S
@@ -13,9 +15,10 @@ from tidemark.operators import history as H
 from tidemark.plans import queries as Q
 from tidemark.plans import sql
 from tidemark.plans.indicators import tidy
-from tidemark.sources.bars import MESSAGES, bars_events, decode_typed_json
+from tidemark.sources.bars import HANDLERS, MESSAGES, bars_events
 from tidemark.sources.bars import read_run_requests as parse
 from tidemark.sources.bars import read_settings_xml as read
+from tidemark.sources.sinks import store_read
 from tidemark.streaming import ops
 
 QUERIES, SQL = {}, {}
@@ -64,12 +67,16 @@ def stream_ingest_new(spark, sf_dir):
     return finished(ops.ingest_new(rows, "2000-01-01"), spark).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
-@query("select case when try_cast(json_extract_string(props, '$.k') as bigint) is not null then 'props' else 'unknown' end as route, count(*) as n from events group by 1")
+@query(f"with m as ({Q.SENT_SQL}) select *, case when route <> 'unknown' then null when origin = 'event' then 'props: lacks k' else 'no handler for ' || origin end as error from m")
 def stream_decode_route(spark, sf_dir):
+    """Streams of four types of messages, dispatched to three typed stores and one of dead letters, which are then read."""
     path = Q.scratch(spark, "routes")
-    rows = decode_typed_json(replay(spark, sf_dir, "events").select("event_id", F.col("props").alias("text")), "text", MESSAGES, default="props")
-    ops.route(rows.select("event_id", "text", "route"), path, f"{path}-state", ["props"]).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema("event_id bigint, text string, epoch bigint, route string").parquet(path).groupBy("route").agg(F.count(F.lit(1)).alias("n"))
+    sent = Q.messages(lambda name: replay(spark, sf_dir, name))
+    ops.route(sent, "text", HANDLERS, path, f"{path}-state", "props").trigger(availableNow=True).start().awaitTermination()
+    value = {"props": F.col("r.k").cast("double"), "order": F.col("r.price"), "customer": F.length("r.segment").cast("double")}
+    stores = [store_read(spark, f"{path}/{n}", T.StructType.fromDDL(f"origin string, id bigint, {n} {MESSAGES[n]}")).withColumnRenamed(n, "r").select("origin", "id", F.lit(n).alias("route"), v.alias("value"), F.lit(None).cast("string").alias("error")) for n, v in value.items()]
+    dead = store_read(spark, f"{path}/unknown", T.StructType.fromDDL("origin string, id bigint, text string, error string")).select("origin", "id", F.lit("unknown").alias("route"), F.lit(None).cast("double").alias("value"), "error")
+    return functools.reduce(DataFrame.unionByName, [*stores, dead])
 
 
 @query("select count(distinct (user_id, event_id)) as completed from events")

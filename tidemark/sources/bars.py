@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BAR = "symbol string, ts timestamp_ntz, open double, high double, low double, close double, volume bigint"
-#: Column order of the text layout: date, open, high, low, close, volume.
-TEXT_BAR = "day string, open double, high double, low double, close double, volume bigint"
 
 
 def ticks_to_bars(ticks: DataFrame, symbol: str, ts: str, tie: list[str], price: str, unit: str) -> DataFrame:
@@ -33,14 +33,6 @@ def bars_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ticks_to_bars(lines, "l_returnflag", "l_shipdate", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], "l_extendedprice", "day")
 
 
-def read_bars(spark: SparkSession, path: str) -> DataFrame:
-    """`yyyyMMdd;open;high;low;close;volume` files without header; the symbol is that of the folder (symbol=...), else the file's stem."""
-    rows = spark.read.schema(TEXT_BAR).option("sep", ";").option("recursiveFileLookup", True).csv(path)
-    folder = F.regexp_extract(F.input_file_name(), r"/symbol=([^/]+)/[^/]*$", 1)
-    symbol = F.when(folder != "", folder).otherwise(F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[^./]*)?$", 1))
-    return rows.select(F.url_decode(symbol).alias("symbol"), F.to_timestamp("day", "yyyyMMdd").cast("timestamp_ntz").alias("ts"), "open", "high", "low", "close", "volume")
-
-
 def bars_text(bars: DataFrame) -> DataFrame:
     """Bars as lines of the text layout, with their symbol."""
     price = lambda c: F.format_string("%.6f", F.col(c))
@@ -132,6 +124,48 @@ def decode_typed_json(rows: DataFrame, text: str, types: dict[str, str], default
     return out.withColumn("route", route)
 
 
+class Handler(NamedTuple):
+    """Takes messages of one Type: their record's schema, the fields it can't do without, and a condition on the record `r`."""
+
+    route: str
+    kind: str
+    schema: str
+    needs: tuple[str, ...] = ()
+    where: str = "true"
+
+
+#: One handler for each of the record types above.
+HANDLERS = [Handler("props", "props", MESSAGES["props"], ("k",)), Handler("order", "order", MESSAGES["order"], ("id", "price")), Handler("customer", "customer", MESSAGES["customer"], ("id",))]
+
+
+def dispatched(rows: DataFrame, text: str, handlers: list[Handler], default: str | None = None) -> DataFrame:
+    """Adds route, one record column for each handler's route, and error.
+
+    Handlers are asked in order and the first that takes the message has it; what none takes goes to `unknown` with the
+    reason: no JSON, no type, no handler of its type, or what the last handler of its type missed. default: the type of
+    objects that name none.
+    """
+    named = F.get_json_object(F.col(text), "$.Type")
+    whole = F.get_json_object(F.col(text), "$").startswith("{")
+    kind = F.when(whole, F.coalesce(named, F.lit(default)))
+    missed = F.when(~F.coalesce(whole, F.lit(False)), F.lit("no JSON object")).when(kind.isNull(), F.lit("no type"))
+    missed = missed.when(~kind.isin([h.kind for h in handlers]), F.concat(F.lit("no handler for "), kind))
+    out = rows.withColumn("_kind", kind)
+    for i, h in enumerate(handlers):
+        out = out.withColumn("r", F.when(F.col("_kind") == h.kind, F.from_json(F.col(text), h.schema)))
+        lacks = F.array_join(F.filter(F.array(*[F.when(F.col(f"r.{n}").isNull(), F.lit(n)) for n in h.needs], F.lit(None).cast("string")), lambda x: x.isNotNull()), ", ")
+        own = F.when(lacks != "", F.concat(F.lit(f"{h.kind}: lacks "), lacks)).when(~F.coalesce(F.expr(h.where), F.lit(False)), F.lit(f"{h.kind}: {h.route} refuses it"))
+        out = out.withColumn(f"_e{i}", F.when(F.col("_kind") == h.kind, own)).withColumn(f"_r{i}", F.when((F.col("_kind") == h.kind) & F.col(f"_e{i}").isNull(), F.col("r"))).drop("r")
+    route = F.coalesce(*[F.when(F.col(f"_r{i}").isNotNull(), h.route) for i, h in enumerate(handlers)], F.lit("unknown"))
+    last = F.coalesce(*[F.col(f"_e{i}") for i in reversed(range(len(handlers)))])
+    out = out.withColumn("route", route).withColumn("error", F.when(F.col("route") == "unknown", F.coalesce(missed, last)))
+    records: dict[str, Column] = {}
+    for i, h in enumerate(handlers):
+        own = F.when((F.col("route") == h.route), F.col(f"_r{i}"))
+        records[h.route] = F.coalesce(records[h.route], own) if h.route in records else own
+    return out.withColumns(records).drop("_kind", *[f"_{x}{i}" for x in "er" for i in range(len(handlers))])
+
+
 def universe(bars: DataFrame, symbols: list[str], start: str | None = None, end: str | None = None) -> DataFrame:
     """Bars of some symbols, dates inclusive; filters reach the scan where bars is a table partitioned by symbol."""
     rows = bars.where(F.col("symbol").isin(symbols))

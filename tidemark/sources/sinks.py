@@ -25,8 +25,8 @@ def files_of(spark: SparkSession, path: str) -> tuple[Any, Callable[[str], Any]]
     return named(path).getFileSystem(spark._jsc.hadoopConfiguration()), named
 
 
-def store_append(rows: DataFrame, path: str, batch: str, by: str = "run_id") -> bool:
-    """Append rows to a store (a folder an entity type) as one batch, partitioned by run; whether they were new.
+def store_append(rows: DataFrame, path: str, batch: str, by: str | None = "run_id") -> bool:
+    """Append rows to a store (a folder an entity type) as one batch, partitioned by run (or not, by=None); whether they were new.
 
     Files go to a folder of their own first; a manifest that names it, put in place by a rename, makes them part of the store.
     A batch whose manifest is there is not written again, and files of a write that broke off are never read. A batch has
@@ -39,7 +39,7 @@ def store_append(rows: DataFrame, path: str, batch: str, by: str = "run_id") ->
     if files.exists(manifest):
         return False
     folder = f"{batch}-{uuid.uuid4().hex}"
-    rows.write.partitionBy(by).parquet(f"{path}/data/{folder}")
+    (rows.write.partitionBy(by) if by else rows.write).parquet(f"{path}/data/{folder}")
     draft = named(f"{path}/drafts/{folder}")
     out = files.create(draft, True)
     try:
@@ -50,8 +50,8 @@ def store_append(rows: DataFrame, path: str, batch: str, by: str = "run_id") ->
     return bool(files.rename(draft, manifest))
 
 
-def store_read(spark: SparkSession, path: str, schema: T.StructType, by: str = "run_id") -> DataFrame:
-    """The rows of all batches of a store that were appended whole; schema names the store's columns, `by` among them."""
+def store_read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The rows of all batches of a store that were appended whole; schema names the store's columns, that of its folders among them."""
     files, named = files_of(spark, path)
     kept = f"{path}/manifests"
     if not files.exists(named(kept)) or not files.listStatus(named(kept)):

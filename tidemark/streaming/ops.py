@@ -20,6 +20,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.operators.trading import LEDGER, Ledger, ledger_rows
+from tidemark.sources.bars import Handler, dispatched
+from tidemark.sources.sinks import store_append
 
 
 def stream_bars(ticks: DataFrame, symbol: str, price: str, tie: str, width: str = "1 hour", delay: str = "2 hours") -> DataFrame:
@@ -127,14 +129,25 @@ def stream_progress(notes: DataFrame, total: int, delay: str = "1 day") -> DataF
     return done.groupBy().agg(F.count(F.lit(1)).alias("completed")).withColumn("share", F.col("completed") / total)
 
 
-def route(routed: DataFrame, path: str, checkpoint: str, routes: list[str]):
-    """Write rows with a route (sources.bars.decode_typed_json) to one folder a route, the rest to `unknown`."""
+def route(messages: DataFrame, text: str, handlers: list[Handler], path: str, checkpoint: str, default: str | None = None):
+    """Dispatch a stream of messages to one store a route, typed, and what no handler takes to `unknown` with its error.
 
-    def fan_out(batch: DataFrame, epoch: int) -> None:
-        kept = F.when(F.col("route").isin(routes), F.col("route")).otherwise("unknown")
-        batch.withColumn("route", kept).withColumn("epoch", F.lit(epoch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch", "route").parquet(path)
-
-    return routed.writeStream.foreachBatch(fan_out).option("checkpointLocation", checkpoint)
+    A store holds the stream's other columns and the record's (unknown: the text and the error); sinks.store_read reads it.
+    Each trigger is one batch of each store, by its id, so a trigger that runs again after a failure half-way changes only
+    the stores it had not reached.
+    """
+    others = [c for c in messages.columns if c != text]
+
+    def deliver(batch: DataFrame, epoch: int) -> None:
+        routed = dispatched(batch, text, handlers, default).persist()
+        try:
+            for name in dict.fromkeys(h.route for h in handlers):
+                store_append(routed.where(F.col("route") == name).select(*others, f"`{name}`"), f"{path}/{name}", f"batch-{epoch}", None)
+            store_append(routed.where("route = 'unknown'").select(*others, text, "error"), f"{path}/unknown", f"batch-{epoch}", None)
+        finally:
+            routed.unpersist()
+
+    return messages.writeStream.foreachBatch(deliver).option("checkpointLocation", checkpoint)
 
 
 def stream_ledger(orders: DataFrame, initial: float, margin: float, cost: float) -> DataFrame:
