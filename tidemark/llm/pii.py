@@ -5,7 +5,9 @@ for whole texts and are linear in their length (an e-mail is looked for at each
 
 The network is trained in numpy, from the base spans of a hash sample of DOCUMENTS texts at most, and from what has their
 shape and only fails a check (Luhn, numbers up to 255), which is made again of all that it finds; which windows of a text it
-sees is drawn by hash. It reads classes of characters in windows of WINDOW characters that overlap by half, and decodes
+sees is drawn by hash. Their spans also come in VARIANTS windows in forms that no pattern has (foreign letters, parentheses,
+other signs between groups of digits), in other contexts and beside numbers that are no personal data, so that the network
+learns shapes rather than the contexts it saw. It reads classes of characters in windows of WINDOW characters that overlap by half, and decodes
 each by Viterbi. A span of any kind holds a digit or an @, and an e-mail holds no white space, so windows are laid over
 every stretch within half a window of a digit or @ and over the whole run of other characters around an @. The tags of
 neighbouring windows are joined at the middle of their overlap and spans are built from the joined path, so a span may be
@@ -22,6 +24,7 @@ learned the base spans are the result.
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections.abc import Iterator
 
@@ -35,8 +38,8 @@ from pyspark.sql import types as T
 from tidemark.llm.shared import made_of_text
 
 KINDS = ("email", "ip", "card", "phone")
-#: Texts learned from at most (in expectation), windows of them, window length, network sizes, steps, confidence asked for.
-DOCUMENTS, WINDOWS, WINDOW, EMBED, HIDDEN, STEPS, BATCH, SURE = 4000, 1500, 48, 6, 12, 320, 48, 0.9
+#: Texts learned from at most (in expectation), windows of them, variants made of these, window length, network sizes, steps, confidence asked for.
+DOCUMENTS, WINDOWS, VARIANTS, WINDOW, EMBED, HIDDEN, STEPS, BATCH, SURE = 4000, 1500, 6000, 48, 6, 16, 400, 48, 0.6
 LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
@@ -213,16 +216,14 @@ class Tagger:
         gold += (trans[y[:, :-1], y[:, 1:]] * both).sum()
         d_em = np.exp(alpha + beta - z[:, None, None]) * mask[:, :, None]
         np.subtract.at(d_em, (rows[:, None], np.arange(length)[None, :], y), mask.astype(float))
-        d_trans = np.zeros_like(trans)
-        for t in range(1, length):
-            pair = np.exp(alpha[:, t - 1, :, None] + trans + (em[:, t] + beta[:, t])[:, None, :] - z[:, None, None])
-            d_trans += (pair * both[:, t - 1, None, None]).sum(axis=0)
+        pairs = np.exp(alpha[:, :-1, :, None] + trans + (em[:, 1:] + beta[:, 1:])[:, :, None, :] - z[:, None, None, None])
+        d_trans = (pairs * both[:, :, None, None]).sum(axis=(0, 1))
         np.subtract.at(d_trans, (y[:, :-1][both], y[:, 1:][both]), 1)
         g = {"trans": d_trans, "out": np.einsum("nth,ntk->hk", h, d_em), "out_b": d_em.sum(axis=(0, 1)), "embed": np.zeros_like(self.p["embed"])}
         d_h = d_em @ self.p["out"].T
         for d, kept, dh_all in (("f", kf, d_h[:, :, :HIDDEN]), ("b", kb, d_h[:, :, HIDDEN:])):
             w = self.p[f"w_{d}"]
-            gw, gb, dh, dc = np.zeros_like(w), np.zeros(4 * HIDDEN), np.zeros((n, HIDDEN)), np.zeros((n, HIDDEN))
+            gw, gb, dh, dc, d_x = np.zeros_like(w), np.zeros(4 * HIDDEN), np.zeros((n, HIDDEN)), np.zeros((n, HIDDEN)), np.zeros((n, length, EMBED))
             for t, zt, i, f, o, u, old, tc in reversed(kept):
                 dh = dh + dh_all[:, t]
                 dc = dc + dh * o * (1 - tc**2)
@@ -230,8 +231,8 @@ class Tagger:
                 gw += zt.T @ dg
                 gb += dg.sum(axis=0)
                 dz = dg @ w.T
-                np.add.at(g["embed"], x[:, t], dz[:, :EMBED])
-                dh, dc = dz[:, EMBED:], dc * f
+                d_x[:, t], dh, dc = dz[:, :EMBED], dz[:, EMBED:], dc * f
+            g["embed"] += np.eye(CLASSES)[x.ravel()].T @ d_x.reshape(-1, EMBED)
             g[f"w_{d}"], g[f"b_{d}"] = gw, gb
         return float(z.sum() - gold) / n, {k: v / n for k, v in g.items()}
 
@@ -296,11 +297,80 @@ def lessons(key: int, text: str) -> list[tuple[int, int, str, list[int]]]:
     return out
 
 
+#: Letters outside ASCII, what a number's groups are parted by, and what stands around a span.
+FOREIGN, PARTING, AROUND = "äöüßéèàñçøåœščžğłαβγдежи", " -./", ["", " ", " ", " ", ": ", "(", ")", "[", "]", "<", ">", '"', "'", ", ", ". ", ";", "=", "\n", " - ", "/"]
+
+
+def reshaped(kind: str, text: str, rng: random.Random) -> str:
+    """Another span of a kind: its digits and letters drawn anew, and often in a form that no fixed pattern has."""
+    drawn = lambda n: "".join(rng.choices("0123456789", k=n))
+    if kind == "ip":
+        return ".".join(str(rng.randint(0, 255)) for _ in range(4))
+    if kind == "card":
+        sizes = rng.choice([[4, 4, 4, 4], [4, 4, 4, 4], [4, 6, 5], [4, 4, 4, 1], [6, 10], [4, 4, 4, 4, 3], [16], [13]])
+        return rng.choice(PARTING).join(map(drawn, sizes))
+    if kind == "phone":
+        lead = rng.choice(["+" + drawn(rng.randint(1, 3)) + rng.choice([" ", "-", " (0) ", " ("]), "(" + drawn(rng.randint(2, 4)) + ")" + rng.choice(["", " ", "-"]), "(" + drawn(rng.randint(2, 4)) + ")" + rng.choice([" ", "/"]), "(+" + drawn(2) + ") "])
+        part = rng.choice([" ", "-", ".", ""])
+        rest = part.join(drawn(rng.randint(3, 4)) for _ in range(rng.choice([2, 2, 3])))
+        return lead + (drawn(3) + ") " if lead.endswith(" (") else "") + rest
+    if rng.random() < 0.6:  # names and hosts of any length, as many labels as there may be
+        name = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+        local = rng.choice(["", name(1) + rng.choice("._-")]) + name(rng.randint(1, 12)) + rng.choice(["", "", str(rng.randint(1, 9999))])
+        text = f"{local}@{rng.choice(['', '', name(rng.randint(2, 6)) + '.'])}{name(rng.randint(1, 14))}{rng.choice(['', '', '-' + name(rng.randint(2, 8)), str(rng.randint(1, 99))])}.{rng.choice(['', '', 'co.', 'com.'])}{name(rng.randint(2, 4))}"
+    out = [rng.choice("0123456789") if c.isdigit() else rng.choice("abcdefghijklmnopqrstuvwxyz") if c.islower() else rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ") if c.isupper() else c for c in text]
+    letters = [i for i, c in enumerate(out) if c.isalpha()]
+    for i in rng.sample(letters, min(len(letters), rng.choice([0, 1, 1, 2, 4]))):
+        out[i] = rng.choice(FOREIGN)
+    for i in [i for i, c in enumerate(out) if c in "._-+%"]:
+        out[i] = out[i] if rng.random() < 0.7 or out[i] == "." and "@" in out[:i] else rng.choice("._-+")
+    return "".join(out)
+
+
+def decoy(rng: random.Random) -> str:
+    """Numbers and signs that are no personal data: dates, times, prices, versions, names, counts."""
+    n = lambda a, b: str(rng.randint(a, b))
+    return rng.choice([
+        f"{n(1900, 2099)}-{n(10, 12)}-{n(10, 31)}", f"{n(1, 31)}/{n(1, 12)}/{n(1900, 2099)}", f"{n(0, 23)}:{n(10, 59)}", f"${n(1, 999)},{n(100, 999)}.{n(10, 99)}", f"{n(1, 20)}.{n(0, 20)}.{n(0, 20)}", f"#{n(1, 999999)}", f"@{rng.choice(['name', 'user', 'Joe_7'])}",
+        f"({n(1, 99)})", f"({n(1900, 2099)})", f"{n(1900, 1999)}-{n(2000, 2099)}", f"{n(0, 9)}.{n(1000, 999999)}", n(0, 10**9), f"{n(1, 99)} %", f"x@{n(1, 9)}", f"{n(1, 9)}+{n(1, 9)}", f"[{n(1, 99)}]", f"{n(1, 99)}({n(1, 12)}): {n(1, 99)}-{n(100, 199)}",
+    ])
+
+
+def variants(rows: list[tuple[str, list[int]]], n: int, seed: int = 5) -> list[tuple[str, list[int]]]:
+    """n windows made of others: their spans in new forms, or decoys, between stretches of other windows, random words, or nothing."""
+    rng, out = random.Random(seed), []
+    spans = [(k, window[a:b]) for window, tags in rows for (k, a, b) in spans_of(0, np.array(tags), np.ones(len(tags)))]
+    kinds = sorted({k for k, _ in spans})
+    own = {k: [t for kind, t in spans if kind == k] for k in kinds}
+    plain = [window[: next((i for i, t in enumerate(tags) if t), len(tags))] for window, tags in rows]
+
+    def words() -> str:
+        made = lambda: "".join(rng.choices("aeiourstnldmcp" if rng.random() < 0.9 else "äéñжz", k=rng.randint(1, 10)))
+        text = rng.choice(plain) if plain and rng.random() < 0.4 else " ".join(made().capitalize() if rng.random() < 0.2 else made() for _ in range(8))
+        return text[: rng.choice([0, 3, 12, 24, 48, 48])]
+
+    while kinds and len(out) < n:
+        text, marks = words() + rng.choice(AROUND), []
+        for _ in range(rng.choice([1, 1, 1, 2])):
+            if rng.random() < 0.3:
+                text += decoy(rng)
+            else:
+                kind = rng.choice(kinds)
+                new = reshaped(kind, rng.choice(own[kind]), rng)
+                marks.append((kind, len(text), len(text) + len(new)))
+                text += new
+            text += rng.choice(AROUND) + words()
+        tags = tagged(text, marks)
+        out += [(text[a:b], tags[a:b].tolist()) for a, b in windows(text)]
+    return out[:n]
+
+
 def learned(rows: list[tuple[str, list[int]]]) -> Tagger | None:
-    """A tagger from windows and their tags; None where none holds a span."""
-    y = [np.array(tags, np.int64) for _, tags in rows]
-    if not any(t.any() for t in y):
+    """A tagger from windows and their tags, and from variants of them; None where none holds a span."""
+    if not any(any(tags) for _, tags in rows):
         return None
+    rows = rows + variants(rows, VARIANTS)
+    y = [np.array(tags, np.int64) for _, tags in rows]
     mask = np.arange(WINDOW)[None, :] < np.array([len(t) for t in y])[:, None]
     tagger = Tagger()
     tagger.train(padded([classes(window) for window, _ in rows]), padded(y), mask)
