@@ -63,6 +63,7 @@ column("pct_high_low", lambda: F.try_divide(F.col("high") - F.col("low"), F.col(
 column("average_two", lambda: (F.col("open") + F.col("close")) / 2, "(open + close) / 2")
 column("quantize", lambda: S.quantize("close", 1.0, 0.25), "round_even((close - 1) / 0.25, 0) * 0.25 + 1")
 column("clamp", lambda: S.clamp("close", 20.0, 60.0), "least(60.0, greatest(20.0, close))")
+column("clip", lambda: S.clamp("close", F.col("open") * 0.9, F.col("open") * 1.1), "least(open * 1.1::double, greatest(open * 0.9::double, close))")
 column("between", lambda: F.when(F.col("close").between(20.0, 60.0), 1.0).otherwise(0.0), "case when close between 20 and 60 then 1.0 else 0.0 end")
 column("gene_cast", lambda: S.whole(F.col("close") / 2), "round_even(close / 2, 0)")
 column("gaussian", lambda: S.gaussian(50.0, "close"), "exp(-pow(close / 50, 2))")

@@ -341,15 +341,16 @@ def zip_series(spark, sf_dir):
     return A.zip_series(al.where("symbol = '2-HIGH'"), al.where("symbol = '5-LOW'"), "close", "close")
 
 
-@query(f"with {sql.TRADES}, e as (select symbol, min(ts) as a, max(ts) as b from t where pos % 3 = 0 group by 1), d as (select bars.symbol, bars.ts, t.entry, t.exit, t.value_after from bars join e on bars.symbol = e.symbol and bars.ts between a and b left join t on t.symbol = bars.symbol and t.ts = bars.ts and t.pos % 3 = 0), f as (select *, entry is null as is_fill, last_value(exit ignore nulls) over (partition by symbol order by ts rows unbounded preceding) as last_exit, last_value(value_after ignore nulls) over (partition by symbol order by ts rows unbounded preceding) as v from d) select symbol, ts, case when is_fill then last_exit else entry end as entry, last_exit as exit, round(v, 2) as value_after, is_fill from f")
+@query(f"with {sql.TRADES}, e as (select symbol, min(ts) as a, max(ts) as b from t where profit > 0 group by 1), d as (select bars.symbol, bars.ts, t.entry, t.exit, t.value_after from bars join e on bars.symbol = e.symbol and bars.ts between a and b left join t on t.symbol = bars.symbol and t.ts = bars.ts and t.profit > 0), f as (select *, entry is null as is_fill, last_value(exit ignore nulls) over (partition by symbol order by ts rows unbounded preceding) as last_exit, last_value(value_after ignore nulls) over (partition by symbol order by ts rows unbounded preceding) as v from d) select symbol, ts, case when is_fill then last_exit else entry end as entry, last_exit as exit, round(v, 2) as value_after, is_fill from f")
 def trades_on_calendar(spark, sf_dir):
-    own = trades(spark, sf_dir).where("pos % 3 = 0")
+    """A log that holds winning trades only, so that the days of the others are filled."""
+    own = trades(spark, sf_dir).where("profit > 0")
     return T.trades_on_calendar(B.bars_orders(spark, sf_dir), own).withColumn("value_after", F.round("value_after", 2))
 
 
-@query(f"with {sql.TRADES}, e as (select symbol, min(ts) as a, max(ts) as b from t where pos % 3 = 0 group by 1), d as (select bars.symbol, bars.ts, t.entry, t.exit, t.unstopped_exit, t.value_after from bars join e on bars.symbol = e.symbol and bars.ts between a and b left join t on t.symbol = bars.symbol and t.ts = bars.ts and t.pos % 3 = 0), f as (select *, entry is null as is_fill, last_value(unstopped_exit ignore nulls) over (partition by symbol order by ts rows unbounded preceding) as u, last_value(value_after ignore nulls) over (partition by symbol order by ts rows unbounded preceding) as v from d) select symbol, ts, case when is_fill then u else entry end as entry, case when is_fill then u else exit end as exit, round(v, 2) as value_after, is_fill from f")
+@query(f"with {sql.TRADES}, e as (select symbol, min(ts) as a, max(ts) as b from t where profit > 0 group by 1), d as (select bars.symbol, bars.ts, t.entry, t.exit, t.unstopped_exit, t.value_after from bars join e on bars.symbol = e.symbol and bars.ts between a and b left join t on t.symbol = bars.symbol and t.ts = bars.ts and t.profit > 0), f as (select *, entry is null as is_fill, last_value(unstopped_exit ignore nulls) over (partition by symbol order by ts rows unbounded preceding) as u, last_value(value_after ignore nulls) over (partition by symbol order by ts rows unbounded preceding) as v from d) select symbol, ts, case when is_fill then u else entry end as entry, case when is_fill then u else exit end as exit, round(v, 2) as value_after, is_fill from f")
 def trades_on_calendar_unstopped(spark, sf_dir):
-    own = trades(spark, sf_dir).where("pos % 3 = 0")
+    own = trades(spark, sf_dir).where("profit > 0")
     return T.trades_on_calendar(B.bars_orders(spark, sf_dir), own, unstopped=True).withColumn("value_after", F.round("value_after", 2))
 
 
@@ -918,10 +919,11 @@ def least_squares_readout(spark, sf_dir):
     return out[0].unionByName(out[1])
 
 
-@query("select (vec_id % 7)::bigint as mixture, label::bigint as t, sign(avg(embedding[1]::double)) as vote from embeddings group by 1, 2")
+@query("select (vec_id % 7)::bigint as mixture, label::bigint as t, sign(avg(x)) as vote from (select vec_id, label, unnest(embedding::double[]) as x from embeddings) group by 1, 2")
 def mixture_vote(spark, sf_dir):
+    """Every component of a vector is an expert's prediction."""
     df = table(spark, sf_dir, "embeddings")
-    return M.mixture_vote(df.select((F.col("vec_id") % 7).alias("mixture"), F.col("label").cast("bigint").alias("t"), F.get("embedding", F.lit(0)).cast("double").alias("prediction"))).withColumn("vote", F.col("vote").cast("tinyint"))
+    return M.mixture_vote(df.select((F.col("vec_id") % 7).alias("mixture"), F.col("label").cast("bigint").alias("t"), F.explode(F.col("embedding").cast("array<double>")).alias("prediction"))).withColumn("vote", F.col("vote").cast("tinyint"))
 
 
 @query("""with x as (select vec_id, embedding::double[] as v from embeddings), c as (select vec_id as ord, 8 + 4 * (vec_id % 3) as subset, vec_id % 2 = 1 as complement, v from x where vec_id < 10),

@@ -79,15 +79,16 @@ def stream_decode_route(spark, sf_dir):
     return functools.reduce(DataFrame.unionByName, [*stores, dead])
 
 
-@query("select count(distinct (user_id, event_id)) as completed from events")
+@query("select count(distinct (user_id, event_id)) as completed, round(count(distinct (user_id, event_id)) / (count(*) + count(distinct user_id)), 6) as share from events")
 def stream_progress(spark, sf_dir):
-    """Every event is an item of its user's, and is delivered twice."""
+    """Every event is an item of its user's, and is delivered twice; each user has asked for one item more than was done."""
+    asked = Q.table(spark, sf_dir, "events").agg((F.count(F.lit(1)) + F.countDistinct("user_id")).alias("n")).first()["n"]
     notes = replay(spark, sf_dir, "events").select("ts", F.col("user_id").alias("mixture"), F.col("event_id").alias("ord"))
     notes = notes.withColumn("delivery", F.explode(F.sequence(F.lit(1), F.lit(2)))).drop("delivery")
     path = Q.scratch(spark, "progress")
     write = lambda batch, epoch: batch.write.mode("overwrite").parquet(path)
-    ops.stream_progress(notes, 1000).writeStream.outputMode("complete").option("checkpointLocation", f"{path}-state").foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema("completed bigint, share double").parquet(path).select("completed")
+    ops.stream_progress(notes, asked).writeStream.outputMode("complete").option("checkpointLocation", f"{path}-state").foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("completed bigint, share double").parquet(path).select("completed", F.round("share", 6).alias("share"))
 
 
 TICKS = "k as (select event_type as symbol, ts::timestamp as ts, value::double as x, row_number() over (partition by event_type order by ts) - 1 as pos from events)"
