@@ -1077,7 +1077,22 @@ def grid_search(spark, sf_dir):
     return G.grid_search(orders(spark, sf_dir), G.param_grid(spark, {"n": (2.0, 6.0, 1.0)}), kernel, around, 2, 1)
 
 
-@query()
+#: Each candidate's slice of the rows, its centres, and its normal equations by elimination, scored on all rows.
+TRAINED = """with recursive x as (select embedding::double[] as x, case when label % 2 <> 0 then 1.0 else -1.0 end as y, row_number() over (order by vec_id) - 1 as pos, count(*) over () as n from embeddings),
+    c0 as (select s_suppkey as candidate, (s_suppkey % 10 / 20)::double as off, (s_suppkey % 3 + 1)::double as spread, (select max(n) from x) as n from supplier),
+    c1 as (select *, greatest(0, least(n - 1, floor(off * n)))::bigint as first from c0), c2 as (select *, greatest(1, least(n - first, floor(0.4::double * n)))::bigint as size from c1),
+    k as (select candidate, spread, first, first + size as stop, ord, first + ord * greatest(1, size // 8) as pos from c2, range(0, 8) r(ord) where ord * greatest(1, size // 8) < size),
+    h as (select k.candidate, x.pos, x.y, x.pos >= any_value(k.first) and x.pos < any_value(k.stop) as own, list_append(list(exp(-list_sum(list_transform(list_zip(x.x, c.x), lambda z: pow(z[1] - z[2], 2))) / pow(k.spread, 2)) order by k.ord), 1.0) as h
+          from k join x c on c.pos = k.pos, x group by 1, 2, 3),
+    g as (select candidate, i, j, sum(h[i] * case when j <= len(h) then h[j] else y end) as c from h, range(1, 10) t(i), range(1, 11) u(j) where own and i <= len(h) and j <= len(h) + 1 group by 1, 2, 3),
+    a0 as (select candidate, list(r order by i) as m from (select candidate, i, list(c order by j) as r from g group by 1, 2) group by 1),
+    a as (select candidate, 1 as k, m from a0 union all select candidate, k + 1, list_transform(range(1, len(m) + 1), lambda i: case when i = k then list_transform(m[k], lambda c: c / m[k][k])
+              else list_transform(range(1, len(m) + 2), lambda j: m[i][j] - m[i][k] / m[k][k] * m[k][j]) end) from a where k <= len(m)),
+    w as (select candidate, list_transform(m, lambda r: r[len(r)]) as w from a where k = len(m) + 1)
+    select h.candidate, round(avg(case when sign(list_dot_product(h.h, w.w)) = sign(h.y) then 1.0 else 0.0 end), 4) as fitness from h join w on h.candidate = w.candidate group by 1"""
+
+
+@query(TRAINED)
 def candidate_training(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"), F.when(F.col("label") % 2 != 0, 1.0).otherwise(-1.0).alias("y"))
     own = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("candidate"), (F.col("s_suppkey") % 10 / 20).alias("offset"), F.lit(0.4).alias("size"), (F.col("s_suppkey") % 3 + 1.0).alias("spread"))
