@@ -107,3 +107,12 @@ def test_a_grid_meets_prepared_bars(spark):
     for most in (0, 100):
         out = G.grid_search(df, G.param_grid(spark, {"n": (1.0, 3.0, 1.0)}), kernel, lambda d: d.withColumn("old", W.lagged("close", 2)), 2, 0, most)
         assert {r["n"]: r["v"] for r in out.collect()} == {n: sum(n * i - (i - 2) for i in range(2, 9)) for n in (1.0, 2.0, 3.0)}
+
+
+def test_buckets_of_dense_series(spark):
+    ticks = spark.range(4000).select(F.lit("s").alias("symbol"), (F.lit(dt.datetime(2020, 1, 31, 22)) + F.make_interval(secs=F.col("id").cast("decimal(18,6)"))).cast("timestamp_ntz").alias("ts"), "id")
+    for most, n in ((5000, 1), (3600, 2), (60, 67), (1, 4000)):
+        bucket = W.bucket_of(ticks, most)
+        assert ticks.select(bucket).distinct().count() == n
+        assert W.with_pos(ticks, bucket).where("pos <> id").count() == 0
+    assert W.with_pos(ticks.limit(0), W.bucket_of(ticks.limit(0))).count() == 0

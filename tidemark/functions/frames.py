@@ -37,10 +37,24 @@ def month() -> Column:
     return F.date_trunc("month", "ts")
 
 
+def bucket_of(df: DataFrame, most: int = 1 << 16) -> Column:
+    """The widest bucket of time that holds at most `most` rows of a symbol, for with_pos and with_folds on dense series.
+
+    It counts rows by symbol and month, and by shorter units only where a month holds too many (a count each, combined
+    before the shuffle). Where even a second does, seconds it is.
+    """
+    for unit in ("month", "day", "hour", "minute"):
+        counts = df.groupBy("symbol", F.date_trunc(unit, "ts")).agg(F.count(F.lit(1)).alias("n"))
+        if (counts.agg(F.max("n")).first()[0] or 0) <= most:
+            return F.date_trunc(unit, "ts")
+    return F.date_trunc("second", "ts")
+
+
 def with_folds(df: DataFrame, bucket: Column | None = None, **folds: tuple[str, Column]) -> DataFrame:
     """Adds running folds of a series: ("sum" | "max" | "last", value) over the rows up to the current one, nulls left out.
 
-    A fold runs inside buckets of time, whose totals are put together beside, so that no task holds a series.
+    A fold runs inside buckets of time (months, or as given; bucket_of chooses for dense series), whose totals are put
+    together beside, so that no task holds a series.
     """
     rows = df.withColumn("_bucket", month() if bucket is None else bucket).withColumns({f"_x_{n}": x for n, (_, x) in folds.items()})
     inside = Window.partitionBy("symbol", "_bucket").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
@@ -57,8 +71,8 @@ def with_folds(df: DataFrame, bucket: Column | None = None, **folds: tuple[str,
 def with_pos(df: DataFrame, bucket: Column | None = None) -> DataFrame:
     """Adds pos, the row's place in its series from 0.
 
-    Rows are numbered inside buckets of time (months; a bucket must grow with ts), whose sizes are summed up beside, so that
-    no task holds a series.
+    Rows are numbered inside buckets of time (months, or as given: a bucket must grow with ts; bucket_of chooses for dense
+    series), whose sizes are summed up beside, so that no task holds a series.
     """
     rows = df.withColumn("_bucket", month() if bucket is None else bucket)
     sizes = rows.groupBy("symbol", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
