@@ -237,3 +237,32 @@ def test_pipeline_decisions(spark):
     m = sentencepiece.SentencePieceProcessor(model_file=piece_model())
     want = sorted((r["doc_id"], tuple(m.encode(r["text"]))) for r in seen["mix"].collect())
     assert sorted((r["doc_id"], tuple(r["ids"])) for r in last) == want
+
+
+def test_a_pair_counts_once_and_rows_stay_few(spark, monkeypatch):
+    """A group of near copies shares most cells: its links are summed in tasks, some rows a vector, no list of pairs."""
+    kept, store = {}, lattice.stored
+    monkeypatch.setattr(lattice, "stored", lambda df, tag, *more: kept.setdefault(tag, store(df, tag, *more)))
+    rng, n = np.random.default_rng(5), 1100
+    data = [(i, [float(x) for x in np.r_[1.0, rng.normal(size=15) * 0.01]]) for i in range(n)]
+    data += [(n, data[0][1]), (n + 1, data[0][1]), (n + 2, [-1.0] + [0.0] * 15), (n + 2, [-1.0, 0.01] + [0.0] * 14), (n + 3, [-1.0, 0.02] + [0.0] * 14)]
+    out = lattice.cosine_links(spark.createDataFrame(data, VECTORS.split(", label")[0])).collect()
+    assert {r["n_links"] for r in out if r["vec_id"] < n + 2} == {n + 1} and {r["component_id"] for r in out if r["vec_id"] < n + 2} == {0}
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in out if r["vec_id"] >= n + 2) == [(n + 2, 1, n + 2), (n + 2, 1, n + 2), (n + 3, 2, n + 2)]
+    assert kept["lattice-links"].count() < 20 * n
+
+
+def test_cells_met_before_and_least_ids_equal_plain_loops():
+    rng = np.random.default_rng(6)
+    for _ in range(50):
+        left, right = ([np.sort(rng.choice(40, rng.integers(0, 6), replace=False)).astype(np.int64) for _ in range(rng.integers(1, 9))] for _ in "ab")
+        plain = [[bool(set(x.tolist()) & set(y.tolist())) for y in right] for x in left]
+        assert lattice.met_before(left, right).tolist() == plain
+        hit = rng.random((len(left), len(right))) < 0.2
+        x, y = rng.permutation(100)[: len(left)], 100 + rng.permutation(100)[: len(right)]
+        label = {int(v): int(v) for v in [*x, *y]}
+        for _ in label:
+            for i, j in np.argwhere(hit):
+                label[int(x[i])] = label[int(y[j])] = min(label[int(x[i])], label[int(y[j])])
+        a, b = lattice.least_linked(hit, x, y, False)
+        assert a.tolist() == [label[int(v)] for v in x] and b.tolist() == [label[int(v)] for v in y]

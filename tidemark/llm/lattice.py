@@ -6,7 +6,10 @@ one block by one of the nearest neighbouring points. Vectors filed under one cel
 are follows from the share of pairs at the threshold that meet in one table, measured on random pairs of that
 dimension, so that at most `miss` of such pairs meet nowhere; a threshold so low that MOST_TABLES don't suffice is refused.
 How many blocks of eight a table has is a parameter, for more of them make cells smaller and tables more. Cells with over
-BLOCK vectors are dealt to tasks as blocks of pairs. Equal vectors are one class and never expanded into pairs.
+BLOCK vectors are dealt to tasks as blocks of pairs. A vector carries the cells it shares with others that come before the
+one it is compared in, so that each pair counts in the first of its common cells only: a task sends numbers of links and
+the smallest id a vector reaches in its block, a row for each of its vectors, and no list of pairs is ever made.
+Equal vectors are one class and never expanded into pairs.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components link with nothing; vectors of
 different lengths don't link; vec_id is the key (rows that share one are one vertex, with the links of all its vectors; a
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.shared import components, one_vertex, runs, stored
 
-SCALE, PROBES, BLOCK, MOST_TABLES = 4.0, 3, 512, 512
+SCALE, PROBES, BLOCK, MOST_TABLES, CELLS = 4.0, 3, 512, 512, 4096
 
 
 def roots() -> np.ndarray:
@@ -105,11 +108,41 @@ def unit_rows(vectors: list) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def met_before(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Which of the left and right rows have a common cell among those that each lists."""
+    met = np.zeros((len(left), len(right)), bool)
+    common = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    for at in range(0, len(common), CELLS):
+        some = common[at : at + CELLS]
+        member = []
+        for rows in (left, right):
+            flat = np.concatenate(rows)
+            place = np.minimum(np.searchsorted(some, flat), len(some) - 1)
+            inside = some[place] == flat
+            table = np.zeros((len(rows), len(some)), np.float32)
+            table[np.repeat(np.arange(len(rows)), [len(v) for v in rows])[inside], place[inside]] = 1
+            member.append(table)
+        met |= member[0] @ member[1].T > 0
+    return met
+
+
+def least_linked(hit: np.ndarray, left: np.ndarray, right: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Smallest id that left and right rows reach by the links of hit; same: left and right are the same rows."""
+    most = np.iinfo(np.int64).max
+    while True:
+        x = np.minimum(left, np.where(hit, right[None, :], most).min(axis=1, initial=most))
+        y = x if same else np.minimum(right, np.where(hit, x[:, None], most).min(axis=0, initial=most))
+        if (x == left).all() and (y == right).all():
+            return x, y
+        left, right = x, y
+
+
 def cosine_links(vectors: DataFrame, threshold: float = 0.9, miss: float = 0.005, blocks: int = 2) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of vectors (vec_id, embedding, ...)."""
     vectors = vectors.select(F.col("vec_id").cast("long"), "embedding")
     named = vectors.where(usable("embedding") & F.col("vec_id").isNotNull())
-    classes = stored(named.groupBy("embedding").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("n")), "lattice-classes")
+    mark = F.xxhash64("embedding").alias("mark")  # tells the vectors of one id apart
+    classes = stored(named.groupBy("embedding").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("n")).withColumn("mark", mark), "lattice-classes")
 
     def file(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -117,14 +150,17 @@ def cosine_links(vectors: DataFrame, threshold: float = 0.9, miss: float = 0.005
                 unit = unit_rows(some["embedding"].tolist())
                 for t in range(tables(int(dim), blocks, threshold, miss)):
                     found = cells(unit, t, blocks)
-                    yield pd.DataFrame({"cell": found.ravel(), "id": np.repeat(some["id"].to_numpy(), found.shape[1])})
-
-    filed = stored(classes.select("id", "embedding").mapInPandas(file, "cell long, id long"), "lattice-cells")
-    parts = filed.groupBy("cell").agg(F.count(F.lit(1)).alias("in_cell")).where("in_cell > 1").select("cell", F.ceil(F.col("in_cell") / BLOCK).cast("int").alias("k"))
-    filed = filed.join(parts, "cell").withColumn("c", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
-    filed = filed.withColumn("d", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    filed = filed.select("cell", "id", "c", F.least("c", "d").alias("i"), F.greatest("c", "d").alias("j"))
-    wide = filed.join(classes.select("id", "n", "embedding"), "id")
+                    yield pd.DataFrame({"cell": found.ravel(), **{c: np.repeat(some[c].to_numpy(), found.shape[1]) for c in ("id", "mark")}})
+
+    filed = stored(classes.select("id", "mark", "embedding").mapInPandas(file, "cell long, id long, mark long"), "lattice-cells")
+    parts = filed.groupBy("cell").agg(F.count(F.lit(1)).alias("in_cell")).where("in_cell > 1")
+    # Each class with the cells it shares, the fullest first: an order all classes agree on. A pair belongs to the first cell common to both.
+    listed = F.array_sort(F.collect_list(F.struct((-F.col("in_cell")).alias("less"), "cell"))).alias("cells")
+    listed = filed.join(parts, "cell").groupBy("id", "mark").agg(listed).join(classes, ["id", "mark"])
+    wide = listed.select("id", "mark", "n", "embedding", "cells", F.posexplode("cells").alias("at", "own"))
+    wide = wide.select("id", "mark", "n", "embedding", F.col("own.cell").alias("cell"), F.ceil(-F.col("own.less") / BLOCK).cast("int").alias("k"), F.slice("cells.cell", 1, F.col("at")).alias("before"))
+    wide = wide.withColumn("c", F.pmod(F.xxhash64("id"), F.col("k")).cast("int")).withColumn("d", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    wide = wide.withColumn("i", F.least("c", "d")).withColumn("j", F.greatest("c", "d"))
     wide = wide.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -140,29 +176,37 @@ def cosine_links(vectors: DataFrame, threshold: float = 0.9, miss: float = 0.005
                 for dim in np.unique(lengths[at:end]):
                     own = at + np.flatnonzero(lengths[at:end] == dim)
                     unit = unit_rows(batch["embedding"].iloc[own].tolist())
-                    left = own if k[at, 1] == k[at, 2] else own[c[own] == k[at, 1]]
-                    right = own if k[at, 1] == k[at, 2] else own[c[own] == k[at, 2]]
-                    x, y = np.nonzero(unit[np.searchsorted(own, left)] @ unit[np.searchsorted(own, right)].T >= threshold)
-                    a, b = left[x], right[y]
-                    keep = ids[a] != ids[b]
-                    a, b = a[keep], b[keep]
-                    a, b = np.where(ids[a] < ids[b], a, b), np.where(ids[a] < ids[b], b, a)
-                    out.append(np.stack([ids[a], ids[b], n[a], n[b]], axis=1))
+                    same = k[at, 1] == k[at, 2]
+                    left = np.arange(len(own)) if same else np.flatnonzero(c[own] == k[at, 1])
+                    right = left if same else np.flatnonzero(c[own] == k[at, 2])
+                    hit = (unit[left] @ unit[right].T >= threshold) & (ids[own[left]][:, None] != ids[own[right]][None, :])
+                    if same:
+                        hit |= hit.T
+                    x, y = np.flatnonzero(hit.any(axis=1)), np.flatnonzero(hit.any(axis=0))
+                    if not len(x):
+                        continue
+                    left, right, hit = own[left[x]], own[right[y]], hit[np.ix_(x, y)]
+                    hit &= ~met_before(batch["before"].iloc[left].tolist(), batch["before"].iloc[right].tolist())
+                    roots = least_linked(hit, ids[left], ids[right], same)
+                    for rows, root, linked in zip((left, right)[: 2 - same], roots, (hit @ n[right], n[left] @ hit), strict=False):
+                        some = linked > 0
+                        out.append(np.stack([rows[some], root[some], linked[some]], axis=1))
             if out:
-                found = pd.DataFrame(np.concatenate(out), columns=["a", "b", "na", "nb"])
-                yield found.drop_duplicates()
-
-    pairs = wide.select("cell", "id", "c", "i", "j", "n", "embedding").mapInPandas(compare, "a long, b long, na long, nb long")
-    links = stored(pairs.distinct(), "lattice-links")
-    ends = links.select(F.col("a").alias("id"), F.col("nb").alias("m")).unionByName(links.select(F.col("b").alias("id"), F.col("na").alias("m")))
-    degrees = ends.groupBy("id").agg(F.sum("m").alias("linked"))
+                rows, root, linked = np.concatenate(out).T
+                found = pd.DataFrame({"id": ids[rows], "mark": batch["mark"].to_numpy()[rows], "root": root, "linked": linked})
+                yield found.groupby(["id", "mark", "root"], as_index=False)["linked"].sum()
+
+    ends = wide.select("cell", "id", "mark", "c", "i", "j", "n", "embedding", "before").mapInPandas(compare, "id long, mark long, root long, linked long")
+    ends = stored(ends, "lattice-links")
+    degrees = ends.groupBy("id", "mark").agg(F.sum("linked").alias("linked"))
+    links = ends.select(F.col("id").alias("a"), F.col("root").alias("b")).where("a <> b")
     good = F.col("vec_id").isNotNull() & usable("embedding")
     keyed = vectors.select(F.col("vec_id").alias("id"), F.when(good, F.col("embedding")).alias("embedding"))
     every, several = one_vertex(links, keyed, classes.select("embedding", F.col("id").alias("first")), "embedding", "lattice")
     found = components(every, "lattice-components")
     copies = classes.where("n > 1").select("embedding", F.col("id").alias("first"), "n")
     out = vectors.withColumn("good", good).join(copies, "embedding", "left").withColumn("id", F.when(F.col("good"), F.coalesce("first", "vec_id")))
-    out = out.join(degrees, "id", "left").drop("id").join(several.withColumnRenamed("id", "of"), F.col("vec_id") == F.col("of"), "left")
+    out = out.withColumn("mark", mark).join(degrees, ["id", "mark"], "left").drop("id").join(several.withColumnRenamed("id", "of"), F.col("vec_id") == F.col("of"), "left")
     out = out.withColumn("id", F.coalesce("vertex", F.when(F.col("good"), F.coalesce("first", "vec_id")))).join(found, "id", "left")
     n_links = F.when(F.col("good"), F.coalesce("linked", F.lit(0)) + F.coalesce("n", F.lit(1)) - 1).otherwise(0).cast("long")
     out = out.select("vec_id", n_links.alias("n_links"), F.coalesce("component_id", "id", "vec_id").alias("component_id"))
