@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.shared import components, one_vertex, runs, stored
 
-SCALE, PROBES, BLOCK, MOST_TABLES, CELLS = 4.0, 3, 512, 512, 4096
+SCALE, PROBES, BLOCK, MOST_TABLES, CELLS, SMALL = 4.0, 3, 512, 512, 4096, 16
 
 
 def roots() -> np.ndarray:
@@ -108,6 +108,18 @@ def unit_rows(vectors: list) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def promising(unit: np.ndarray, edges: np.ndarray, threshold: float) -> np.ndarray:
+    """Which of the runs of rows between edges are longer than SMALL, or hold two rows about as near as the threshold."""
+    size = np.diff(edges)
+    good = size > SMALL
+    run = np.repeat(np.arange(len(size)), size)
+    short = ~good[run]
+    for d in range(1, min(SMALL, size.max(initial=0))):
+        a = np.flatnonzero(short[:-d] & (run[:-d] == run[d:]))
+        good[run[a[np.einsum("ij,ij->i", unit[a], unit[a + d]) >= threshold - 1e-9]]] = True
+    return good
+
+
 def met_before(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """Which of the left and right rows have a common cell among those that each lists."""
     met = np.zeros((len(left), len(right)), bool)
@@ -165,20 +177,20 @@ def cosine_links(vectors: DataFrame, threshold: float = 0.9, miss: float = 0.005
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in runs(batches, ["cell", "i", "j"]):
-            k = batch[["cell", "i", "j"]].to_numpy()
-            edges = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]).any(axis=1), True])
+            keys, before = batch[["cell", "i", "j"]].to_numpy(), batch["before"].to_numpy()
             ids, n, c = batch["id"].to_numpy(), batch["n"].to_numpy(), batch["c"].to_numpy()
             lengths = batch["embedding"].map(len).to_numpy()
             out = []
-            for at, end in zip(edges, edges[1:], strict=False):
-                if end - at < 2:
-                    continue
-                for dim in np.unique(lengths[at:end]):
-                    own = at + np.flatnonzero(lengths[at:end] == dim)
-                    unit = unit_rows(batch["embedding"].iloc[own].tolist())
-                    same = k[at, 1] == k[at, 2]
-                    left = np.arange(len(own)) if same else np.flatnonzero(c[own] == k[at, 1])
-                    right = left if same else np.flatnonzero(c[own] == k[at, 2])
+            for dim in np.unique(lengths):
+                own = np.flatnonzero(lengths == dim)
+                unit, k = unit_rows(batch["embedding"].iloc[own].tolist()), keys[own]
+                edges = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]).any(axis=1), True])
+                near = np.flatnonzero(promising(unit, edges, threshold))
+                for at, end in zip(edges[near], edges[near + 1], strict=True):
+                    some = np.arange(at, end)
+                    same = bool(k[at, 1] == k[at, 2])
+                    left = some if same else some[c[own[some]] == k[at, 1]]
+                    right = some if same else some[c[own[some]] == k[at, 2]]
                     hit = (unit[left] @ unit[right].T >= threshold) & (ids[own[left]][:, None] != ids[own[right]][None, :])
                     if same:
                         hit |= hit.T
@@ -186,7 +198,9 @@ def cosine_links(vectors: DataFrame, threshold: float = 0.9, miss: float = 0.005
                     if not len(x):
                         continue
                     left, right, hit = own[left[x]], own[right[y]], hit[np.ix_(x, y)]
-                    hit &= ~met_before(batch["before"].iloc[left].tolist(), batch["before"].iloc[right].tolist())
+                    hit &= ~met_before(list(before[left]), list(before[right]))
+                    if not hit.any():
+                        continue
                     roots = least_linked(hit, ids[left], ids[right], same)
                     for rows, root, linked in zip((left, right)[: 2 - same], roots, (hit @ n[right], n[left] @ hit), strict=False):
                         some = linked > 0
