@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -19,7 +21,7 @@ from tidemark.operators.search import written
 MIXED = ("open", "high", "low", "close", "volume")
 #: Centres of a candidate's RBF readout at most.
 CENTERS = 8
-FITTED = "candidate bigint, spread double, centers array<array<double>>, weights array<double>"
+FITTED = "candidate bigint, subset int, complement boolean, basis array<double>, spread double, centers array<array<double>>, weights array<double>, seconds double"
 
 
 def symbol_features(bars: DataFrame, symbol: str) -> DataFrame:
@@ -283,9 +285,72 @@ def fitness(df: DataFrame, predicted: str, actual: str, *keys: str) -> DataFrame
     return df.groupBy(*keys).agg(F.avg(F.when(same, 1.0).otherwise(0.0)).alias("fitness"))
 
 
+def over_slices(own: DataFrame, placed: DataFrame, sums: Callable[..., np.ndarray], rows_at_once: int, candidates_at_once: int) -> DataFrame:
+    """(candidate, sums) of own (candidate, start, end, ...): sums(candidate's row, x, y) of its slice of placed (pos, x, y).
+
+    Blocks of rows meet the candidates whose slices they lie in, and only sums leave a block; the last one is the seconds it took.
+    """
+    chunks = -(-own.count() // candidates_at_once) or 1
+    blocks = F.sequence(F.expr(f"start div {rows_at_once}"), F.expr(f"(end - 1) div {rows_at_once}"))
+    asked = own.withColumn("block", F.explode(blocks)).withColumn("chunk", F.pmod(F.xxhash64("candidate"), F.lit(chunks)))
+    held = placed.withColumn("block", F.expr(f"pos div {rows_at_once}")).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(chunks - 1).cast("bigint"))))
+
+    def run(some: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(block):
+            pos, x, y = block["pos"].to_numpy(), np.array(block["x"].tolist(), float), block["y"].to_numpy(float)
+            for c in some.itertuples(index=False):
+                begun, inside = time.perf_counter(), (pos >= c.start) & (pos < c.end)
+                found = sums(c, x[inside], y[inside])
+                out.append((c.candidate, [*found.tolist(), time.perf_counter() - begun]))
+        return pd.DataFrame(out, columns=["candidate", "sums"])
+
+    parts = asked.groupBy("block", "chunk").cogroup(held.groupBy("block", "chunk")).applyInPandas(run, "candidate bigint, sums array<double>")
+    added = parts.select("candidate", F.posexplode("sums").alias("k", "v")).groupBy("candidate", "k").agg(F.sum("v").alias("v"))
+    return added.groupBy("candidate").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "v"))), lambda s: s["v"]).alias("sums"))
+
+
+def tailored_rows(x: np.ndarray, subset: float | None, complement: bool | None, basis: list | None) -> np.ndarray:
+    """Rows of x as genes ask for; as `tailored` does it with columns."""
+    x = x if pd.isna(subset) else x[:, : int(subset)]
+    x = np.c_[x, 1 - x] if complement is not None and not pd.isna(complement) and complement else x
+    return x if basis is None else np.outer(x @ np.array(basis), np.array(basis))
+
+
+def slice_bases(own: DataFrame, placed: DataFrame, rows_at_once: int, candidates_at_once: int) -> DataFrame:
+    """own (candidate, start, end, subset, complement, component, ...) with basis: the component-th direction of its slice, tailored.
+
+    Slices that several candidates share are summed once, and candidates of like genes share a direction.
+    """
+    asked = own.where("component is not null").groupBy("start", "end").agg(F.min("candidate").alias("candidate"), F.collect_set(F.struct(*GENES)).alias("genes"))
+    asked = written(asked)
+    sums = over_slices(asked.drop("genes"), placed, lambda c, x, y: np.r_[len(x), x.sum(axis=0), (x.T @ x).ravel()], rows_at_once, candidates_at_once)
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False):
+                v = np.array(row.sums[:-1])
+                d = int((len(v) - 0.75) ** 0.5 - 0.5)  # 1 + d + d * d sums
+                for g in row.genes:
+                    found = directions(int(v[0]), v[1 : d + 1], v[d + 1 :].reshape(d, d), g["subset"], bool(g["complement"]))
+                    out.append((row.start, row.end, g["subset"], g["complement"], g["component"], found[max(0, min(g["component"], len(found) - 1))].tolist()))
+            yield pd.DataFrame(out, columns=["start", "end", *GENES, "basis"])
+
+    found = asked.join(sums, "candidate").select("start", "end", "genes", "sums").mapInPandas(fit, "start bigint, end bigint, subset int, complement boolean, component int, basis array<double>")
+    keys = ["start", "end", *GENES]
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"o.{k}").eqNullSafe(F.col(f"b.{k}"))
+    return own.alias("o").join(written(found).alias("b"), same, "left").select("o.*", "b.basis")
+
+
 def train_candidates(candidates: DataFrame, rows: DataFrame, centers: int = CENTERS, rows_at_once: int = 2048, candidates_at_once: int = 256) -> DataFrame:
-    """(candidate, spread, centers, weights) of candidates (candidate, offset, size, spread): each fits an RBF readout on its slice.
+    """(candidate, subset, complement, basis, spread, centers, weights, seconds) of candidates (candidate, offset, size, spread).
 
+    Each fits an RBF readout on its slice of the rows, tailored by its genes, if candidates have any of subset, complement
+    and component (null: not asked for): the first features only, complement coded, along the component-th principal
+    direction of its own slice. seconds are those its fit took in all tasks together.
     rows: (row bigint, x, y). A slice is floor(size n) of the n rows in order of row, from place floor(offset n) on; its
     centres are rows at even distances. Blocks of rows meet the candidates whose slices they lie in, and only the sums of
     their normal equations leave a block; the last weight is the bias. Equal to a least-squares fit on the whole slice.
@@ -295,40 +360,38 @@ def train_candidates(candidates: DataFrame, rows: DataFrame, centers: int = CENT
     n = placed.count()
     start = F.greatest(F.lit(0), F.least(F.lit(n - 1), F.floor(F.col("offset") * n)))
     length = F.greatest(F.lit(1), F.least(n - F.col("start"), F.floor(F.col("size") * n)))
-    own = candidates.select("candidate", "spread", "size", start.cast("bigint").alias("start")).withColumn("length", length.cast("bigint"))
+    genes = [(F.col(g) if g in candidates.columns else F.lit(None)).cast("boolean" if g == "complement" else "int").alias(g) for g in GENES]
+    own = candidates.select("candidate", "spread", "size", *genes, start.cast("bigint").alias("start")).withColumn("length", length.cast("bigint"))
     step = F.greatest(F.lit(1), F.expr(f"length div {centers}"))
     at = F.filter(F.transform(F.sequence(F.lit(0), F.lit(centers - 1)), lambda i: i * step), lambda k: k < F.col("length"))
     chosen = own.select("candidate", "start", F.posexplode(at).alias("ord", "k")).withColumn("pos", F.col("start") + F.col("k"))
     chosen = chosen.join(placed.select("pos", "x"), "pos").groupBy("candidate").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "x"))), lambda c: c["x"]).alias("centers"))
-    own = written(own.join(chosen, "candidate").select("candidate", "spread", "start", (F.col("start") + F.col("length")).alias("end"), "centers"))
-    chunks = -(-own.count() // candidates_at_once) or 1
-    blocks = F.sequence(F.expr(f"start div {rows_at_once}"), F.expr(f"(end - 1) div {rows_at_once}"))
-    asked = own.withColumn("block", F.explode(blocks)).withColumn("chunk", F.pmod(F.xxhash64("candidate"), F.lit(chunks)))
-    held = placed.withColumn("block", F.expr(f"pos div {rows_at_once}")).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(chunks - 1).cast("bigint"))))
+    own = written(own.join(chosen, "candidate").select("candidate", "spread", *GENES, "start", (F.col("start") + F.col("length")).alias("end"), "centers"))
+    if "component" in candidates.columns:
+        own = written(slice_bases(own, placed, rows_at_once, candidates_at_once))
+    else:
+        own = own.withColumn("basis", F.lit(None).cast("array<double>"))
+    own = own.drop("component")
+    tailor = lambda c, x: tailored_rows(x, c.subset, c.complement, c.basis)
 
-    def sums(some: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(block):
-            pos, x, y = block["pos"].to_numpy(), np.array(block["x"].tolist(), float), block["y"].to_numpy(float)
-            for c in some.itertuples(index=False):
-                inside = (pos >= c.start) & (pos < c.end)
-                phi = np.c_[bases(x[inside], c.centers, c.spread), np.ones(inside.sum())]
-                out.append((c.candidate, np.r_[(phi.T @ phi).ravel(), phi.T @ y[inside]].tolist()))
-        return pd.DataFrame(out, columns=["candidate", "sums"])
+    def sums(c: Any, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        phi = np.c_[bases(tailor(c, x), tailor(c, np.array(list(c.centers))), c.spread), np.ones(len(x))]
+        return np.r_[(phi.T @ phi).ravel(), phi.T @ y]
 
-    parts = asked.groupBy("block", "chunk").cogroup(held.groupBy("block", "chunk")).applyInPandas(sums, "candidate bigint, sums array<double>")
-    added = parts.select("candidate", F.posexplode("sums").alias("k", "v")).groupBy("candidate", "k").agg(F.sum("v").alias("v"))
-    added = added.groupBy("candidate").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "v"))), lambda s: s["v"]).alias("sums"))
+    added = over_slices(own, placed, sums, rows_at_once, candidates_at_once)
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            weights = []
-            for v in batch["sums"]:
+            weights, places, seconds = [], [], []
+            for c in batch.itertuples(index=False):
+                begun, v = time.perf_counter(), np.array(c.sums[:-1])
                 m = int((len(v) + 0.25) ** 0.5)  # m (m + 1) sums for m unknowns
-                weights.append((np.linalg.pinv(np.array(v[: m * m]).reshape(m, m), rcond=1e-12, hermitian=True) @ np.array(v[m * m :])).tolist())
-            yield batch[["candidate", "spread", "centers"]].assign(weights=weights)
+                weights.append((np.linalg.pinv(v[: m * m].reshape(m, m), rcond=1e-12, hermitian=True) @ v[m * m :]).tolist())
+                places.append(tailor(c, np.array(list(c.centers))).tolist())
+                seconds.append(c.sums[-1] + time.perf_counter() - begun)
+            yield batch[["candidate", "subset", "complement", "basis", "spread"]].assign(centers=places, weights=weights, seconds=seconds)
 
-    return own.join(added, "candidate").select("candidate", "spread", "centers", "sums").mapInPandas(solve, FITTED)
+    return own.join(added, "candidate").select("candidate", "subset", "complement", "basis", "spread", "centers", "sums").mapInPandas(solve, FITTED)
 
 
 def bases(x: np.ndarray, centers: list, spread: float) -> np.ndarray:
@@ -351,11 +414,12 @@ def candidate_fitness(rows: DataFrame, fitted: DataFrame, rows_at_once: int = 20
             x, y = np.array(left["x"].tolist(), float), np.sign(left["y"].to_numpy(float))
             for c in right.itertuples(index=False):
                 w = np.array(c.weights)
-                out.append((c.candidate, int((np.sign(bases(x, c.centers, c.spread) @ w[:-1] + w[-1]) == y).sum()), len(y)))
+                own = tailored_rows(x, c.subset, c.complement, c.basis)
+                out.append((c.candidate, int((np.sign(bases(own, c.centers, c.spread) @ w[:-1] + w[-1]) == y).sum()), len(y)))
         return pd.DataFrame(out, columns=["candidate", "hits", "n"])
 
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = rows.select(F.pmod(F.monotonically_increasing_id(), F.lit(down)).cast("int").alias("r"), every(across).alias("c"), "x", "y")
-    right = fitted.select(every(down).alias("r"), F.pmod(F.xxhash64("candidate"), F.lit(across)).cast("int").alias("c"), "candidate", "spread", "centers", "weights")
+    right = fitted.select(every(down).alias("r"), F.pmod(F.xxhash64("candidate"), F.lit(across)).cast("int").alias("c"), "candidate", "subset", "complement", "basis", "spread", "centers", "weights")
     counts = left.groupBy("r", "c").cogroup(right.groupBy("r", "c")).applyInPandas(score, "candidate bigint, hits bigint, n bigint")
     return counts.groupBy("candidate").agg((F.sum("hits") / F.sum("n")).alias("fitness"))

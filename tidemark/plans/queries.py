@@ -1100,6 +1100,24 @@ def candidate_training(spark, sf_dir):
     return M.candidate_fitness(rows, fitted).select("candidate", F.round("fitness", 4).alias("fitness"))
 
 
+#: The same by candidates on inputs of their own genes; complement coding doubles a squared distance.
+TAILORED = (
+    TRAINED.replace("(s_suppkey % 3 + 1)::double as spread", "((s_suppkey % 3 + 1) / 2)::double as spread, 16 * (s_suppkey % 4 + 1) as subset, s_suppkey % 2 + 1 as twice")
+    .replace("select candidate, spread, first", "select candidate, spread, subset, twice, first")
+    .replace("-list_sum(list_transform(list_zip(x.x, c.x)", "-twice * list_sum(list_transform(list_zip(x.x[1:subset], c.x[1:subset])")
+)
+
+
+@query(TAILORED)
+def tailored_training(spark, sf_dir):
+    """Candidates with genes: the first 16, 32, 48 or 64 features, every other one complement coded."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"), F.when(F.col("label") % 2 != 0, 1.0).otherwise(-1.0).alias("y"))
+    key = F.col("s_suppkey")
+    own = table(spark, sf_dir, "supplier").select(key.alias("candidate"), (key % 10 / 20).alias("offset"), F.lit(0.4).alias("size"), ((key % 3 + 1.0) / 2).alias("spread"), (16 * (key % 4 + 1)).alias("subset"), (key % 2 == 1).alias("complement"))
+    fitted = G.written(M.train_candidates(own, rows.withColumnRenamed("vec_id", "row")))
+    return M.candidate_fitness(rows, fitted).join(fitted.where("seconds > 0").select("candidate"), "candidate").select("candidate", F.round("fitness", 4).alias("fitness"))
+
+
 # --- views
 
 
