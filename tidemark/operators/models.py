@@ -310,10 +310,10 @@ def over_slices(own: DataFrame, placed: DataFrame, sums: Callable[..., np.ndarra
     return added.groupBy("candidate").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "v"))), lambda s: s["v"]).alias("sums"))
 
 
-def tailored_rows(x: np.ndarray, subset: float | None, complement: bool | None, basis: list | None) -> np.ndarray:
+def tailored_rows(x: np.ndarray, subset: float | None, complement: bool, basis: list | None) -> np.ndarray:
     """Rows of x as genes ask for; as `tailored` does it with columns."""
     x = x if pd.isna(subset) else x[:, : int(subset)]
-    x = np.c_[x, 1 - x] if complement is not None and not pd.isna(complement) and complement else x
+    x = np.c_[x, 1 - x] if complement else x
     return x if basis is None else np.outer(x @ np.array(basis), np.array(basis))
 
 
@@ -333,9 +333,10 @@ def slice_bases(own: DataFrame, placed: DataFrame, rows_at_once: int, candidates
                 v = np.array(row.sums[:-1])
                 d = int((len(v) - 0.75) ** 0.5 - 0.5)  # 1 + d + d * d sums
                 for g in row.genes:
-                    found = directions(int(v[0]), v[1 : d + 1], v[d + 1 :].reshape(d, d), g["subset"], bool(g["complement"]))
-                    out.append((row.start, row.end, g["subset"], g["complement"], g["component"], found[max(0, min(g["component"], len(found) - 1))].tolist()))
-            yield pd.DataFrame(out, columns=["start", "end", *GENES, "basis"])
+                    subset, complement, component = None if pd.isna(g["subset"]) else int(g["subset"]), bool(g["complement"]), int(g["component"])
+                    found = directions(int(v[0]), v[1 : d + 1], v[d + 1 :].reshape(d, d), subset, complement)
+                    out.append((row.start, row.end, subset, complement, component, found[max(0, min(component, len(found) - 1))].tolist()))
+            yield pd.DataFrame(out, columns=["start", "end", *GENES, "basis"]).astype({"subset": "Int32"})
 
     found = asked.join(sums, "candidate").select("start", "end", "genes", "sums").mapInPandas(fit, "start bigint, end bigint, subset int, complement boolean, component int, basis array<double>")
     keys = ["start", "end", *GENES]
@@ -353,14 +354,16 @@ def train_candidates(candidates: DataFrame, rows: DataFrame, centers: int = CENT
     direction of its own slice. seconds are those its fit took in all tasks together.
     rows: (row bigint, x, y). A slice is floor(size n) of the n rows in order of row, from place floor(offset n) on; its
     centres are rows at even distances. Blocks of rows meet the candidates whose slices they lie in, and only the sums of
-    their normal equations leave a block; the last weight is the bias. Equal to a least-squares fit on the whole slice.
+    their normal equations leave a block; the last weight is the bias. Equal to the least-squares fit of
+    least weights on the whole slice, singular values below a millionth of the largest counted as none.
     """
     line = rows.select(F.lit("").alias("symbol"), F.col("row").alias("ts"), "x", F.col("y").cast("double").alias("y"))
     placed = written(W.with_pos(line, F.expr("ts div 65536")).select("pos", "x", "y"))
     n = placed.count()
     start = F.greatest(F.lit(0), F.least(F.lit(n - 1), F.floor(F.col("offset") * n)))
     length = F.greatest(F.lit(1), F.least(n - F.col("start"), F.floor(F.col("size") * n)))
-    genes = [(F.col(g) if g in candidates.columns else F.lit(None)).cast("boolean" if g == "complement" else "int").alias(g) for g in GENES]
+    given = {g: F.col(g) if g in candidates.columns else F.lit(None) for g in GENES}
+    genes = [given["subset"].cast("int").alias("subset"), F.coalesce(given["complement"].cast("boolean"), F.lit(False)).alias("complement"), given["component"].cast("int").alias("component")]
     own = candidates.select("candidate", "spread", "size", *genes, start.cast("bigint").alias("start")).withColumn("length", length.cast("bigint"))
     step = F.greatest(F.lit(1), F.expr(f"length div {centers}"))
     at = F.filter(F.transform(F.sequence(F.lit(0), F.lit(centers - 1)), lambda i: i * step), lambda k: k < F.col("length"))
