@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators import models as M
+from tidemark.operators import search as G
 from tidemark.operators import views as V
 from tidemark.sources import barfiles
 from tidemark.sources import bars as B
@@ -187,3 +188,12 @@ def test_candidates_are_fitted_on_inputs_of_their_own_genes(spark):
         assert np.allclose(phi @ np.array(found[i]["weights"]), phi @ w, atol=1e-2)
         assert scores[i] == pytest.approx((np.sign(phi @ w) == y).mean(), abs=0.01)
         assert found[i]["seconds"] > 0 and (found[i]["basis"] is None) == (component is None)
+
+
+def test_every_generation_is_full(spark):
+    """However fit its parents are: by share, all of none, or one alone of some."""
+    specs = spark.createDataFrame([("a", 0.0, 10.0, 0.5), ("b", -5.0, 5.0, 0.0)], "name string, min double, max double, granularity double")
+    total = lambda genes: genes.groupBy("candidate").agg(F.sum("value").alias("t"))
+    for fitness in (1 / (1 + F.abs("t")), -F.abs("t"), F.when(F.col("candidate") == 3, 1.0).otherwise(0.0)):
+        out = G.evolve(spark, specs, lambda genes: total(genes).select("candidate", fitness.alias("fitness")), 9, 4, 3, 0.1, 7)  # noqa: B023
+        assert {(r["generation"], r["candidate"]) for r in out.collect()} == {(g, c) for g in range(3) for c in range(9)}

@@ -141,6 +141,8 @@ def evolve(spark: SparkSession, specs: DataFrame, evaluate: Callable[[DataFrame]
     """(generation, candidate, fitness) of a genetic search: draw, evaluate, select, cross, mutate.
 
     evaluate: genes (candidate, name, value) -> (candidate, fitness). Each generation is stored, so lineage doesn't grow.
+    Parents are drawn by fitness: those of none or less are left out, unless no parent has any; then all are alike. A parent
+    that is alone pairs with itself, so that every generation has n candidates.
     """
     genes, history = written(random_candidates(spark, n, specs, seed)), None
     for g in range(generations):
@@ -149,8 +151,11 @@ def evolve(spark: SparkSession, specs: DataFrame, evaluate: Callable[[DataFrame]
         history = rows if history is None else history.unionByName(rows)
         if g + 1 == generations:
             break
-        parents = top_k(scored, keep, "fitness", "candidate").select(F.col("candidate").alias("id"), F.col("fitness").alias("quality"))
+        parents = written(top_k(scored, keep, "fitness", "candidate").select(F.col("candidate").alias("id"), F.col("fitness").alias("quality")))
+        if parents.where("quality > 0").isEmpty():
+            parents = parents.withColumn("quality", F.lit(1.0))
         couples = weighted_pick_two(parents, spark.range((n + 1) // 2).withColumnRenamed("id", "pair"), seed + 10 * g + 1)
+        couples = written(couples.withColumn("second", F.coalesce("second", "first")))
         side = lambda c: couples.join(genes, couples[c] == genes["candidate"]).select("pair", F.lit(0).alias("ord"), "name", "value")
         children = crossover(side("first"), side("second"), draw(seed + 10 * g + 2, "pair", "ord", "name") < 0.5)
         both = children.select((2 * F.col("pair")).alias("candidate"), "name", F.col("x").alias("value")).unionByName(children.select((2 * F.col("pair") + 1).alias("candidate"), "name", F.col("y").alias("value")))

@@ -1057,9 +1057,36 @@ def mutate(spark, sf_dir):
     return G.mutate(G.random_candidates(spark, n, specs(spark, sf_dir), 5), specs(spark, sf_dir), 0.05, 9)
 
 
-@query()
+def evolved(generations: int, seed: int) -> str:
+    """SQL of a genetic search: each generation's fitness, parents, couples and children, who mutate into the next."""
+    redrawn = lambda n: f"least(high, round_even({drawn(n, 'candidate', 'name')} * (high - low) / 0.25, 0) * 0.25 + low)"
+    parts = [
+        "size as (select count(*) as n from supplier)",
+        "spec as (select r_name as name, r_regionkey::double as low, r_regionkey + 10.0::double as high from region)",
+        f"g0 as materialized (select candidate, name, {redrawn(seed)} as value from (select unnest(range(n)) as candidate from size), spec)",
+    ]
+    for g in range(generations):
+        at = seed + 10 * g
+        parts.append(f"s{g} as materialized (select candidate, 1 / (1 + sum(abs(value - 5))) as fitness from g{g} group by 1)")
+        if g + 1 == generations:
+            break
+        parts += [
+            f"p{g} as (select candidate as id, fitness as q from s{g} qualify row_number() over (order by fitness desc, candidate) <= (select greatest(2, n // 4) from size))",
+            f"c{g} as materialized (select id, sum(q) over (order by id rows unbounded preceding) / sum(q) over () as upto, q / sum(q) over () as own from p{g})",
+            f"u{g} as (select pair, {drawn(at + 1, 'pair')} as u, {drawn(at + 2, 'pair')} as v from (select unnest(range((n + 1) // 2)) as pair from size))",
+            f"f{g} as (select u{g}.*, id as first, upto - own as low, own, v * (1 - own) as rest from u{g} join c{g} on u >= upto - own and u < upto)",
+            f"t{g} as materialized (select pair, first, c.id as second from (select *, case when rest >= low then rest + own else rest end as w from f{g}) f join c{g} c on w >= c.upto - c.own and w < c.upto)",
+            f"x{g} as (select pair, a.name, a.value as x, b.value as y, {drawn(at + 2, 'pair', '0', 'a.name')} < 0.5 as swap from t{g} join g{g} a on a.candidate = first join g{g} b on b.candidate = second and b.name = a.name)",
+            f"k{g} as (select 2 * pair as candidate, name, case when swap then y else x end as value from x{g} union all select 2 * pair + 1, name, case when swap then x else y end from x{g})",
+            f"g{g + 1} as materialized (select candidate, name, case when {drawn(at + 3, 'candidate', 'name')} < 0.05 then {redrawn(at + 4)} else value end as value from k{g} join spec using (name) where candidate < (select n from size))",
+        ]
+    return f"with {', '.join(parts)} " + " union all ".join(f"select {g} as generation, candidate, fitness from s{g}" for g in range(generations))
+
+
+@query(evolved(3, 11))
 def evolve(spark, sf_dir):
-    evaluate = lambda genes: genes.groupBy("candidate").agg((-F.sum(F.abs(F.col("value") - 5))).alias("fitness"))
+    """Three generations of candidates, fitter the nearer their genes are to 5."""
+    evaluate = lambda genes: genes.groupBy("candidate").agg((1 / (1 + F.sum(F.abs(F.col("value") - 5)))).alias("fitness"))
     n = table(spark, sf_dir, "supplier").count()
     return G.evolve(spark, specs(spark, sf_dir), evaluate, n, max(2, n // 4), 3, 0.05, 11)
 
