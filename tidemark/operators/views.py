@@ -64,8 +64,10 @@ def fitness_series(evals: DataFrame) -> DataFrame:
     return evals.groupBy("run_id", "generation").agg(F.max("fitness").alias("fitness"))
 
 
-def mixture_tree(mixtures: DataFrame, experts: DataFrame) -> DataFrame:
-    return nested(mixtures, experts, ["mixture_id"], "ord", ["kind"], "experts")
+def mixture_tree(mixtures: DataFrame, *kinds: DataFrame) -> DataFrame:
+    """(mixture_id, experts): each mixture with the experts of all kinds (mixture_id, ord, kind, ...) in order, a kind's own fields null in others."""
+    experts = experts_of_mixture(*kinds)
+    return nested(mixtures, experts, ["mixture_id"], "ord", [c for c in experts.columns if c not in ("mixture_id", "ord")], "experts")
 
 
 def run_description(runs: DataFrame) -> DataFrame:

@@ -1191,11 +1191,15 @@ def view_generation(spark, sf_dir):
     return evals(spark, sf_dir).where("generation = 1997").select("run_id", "mixture_id", "fitness")
 
 
-@query("select n_nationkey as mixture_id, count(*) as experts, string_agg(s_suppkey::varchar, ',' order by s_suppkey) as ids from nation join supplier on s_nationkey = n_nationkey group by 1")
+@query("select n_nationkey as mixture_id, count(*) as experts, string_agg(s_suppkey || case when s_suppkey % 2 = 0 then ':rbf:' || (s_suppkey % 3 + 1) else ':recurrent:' || (s_suppkey % 50 + 1) end, ',' order by s_suppkey) as ids from nation join supplier on s_nationkey = n_nationkey group by 1")
 def view_mixture_tree(spark, sf_dir):
-    experts = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("mixture_id"), F.col("s_suppkey").alias("ord"), F.lit("rbf").alias("kind"))
-    tree = V.mixture_tree(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("mixture_id")), experts)
-    return tree.select("mixture_id", F.size("experts").cast("bigint").alias("experts"), F.array_join(F.transform("experts", lambda e: e["ord"].cast("string")), ",").alias("ids"))
+    """Mixtures of experts of two kinds, every other one, each kind with a field of its own."""
+    own = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("mixture_id"), F.col("s_suppkey").cast("bigint").alias("ord"))
+    rbf = own.where("ord % 2 = 0").withColumns({"kind": F.lit("rbf"), "spread": F.col("ord") % 3 + 1})
+    recurrent = own.where("ord % 2 <> 0").withColumns({"kind": F.lit("recurrent"), "epochs": F.col("ord") % 50 + 1})
+    tree = V.mixture_tree(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("mixture_id")), rbf, recurrent)
+    text = lambda e: F.concat_ws(":", e["ord"].cast("string"), e["kind"], F.coalesce(e["spread"], e["epochs"]).cast("string"))
+    return tree.select("mixture_id", F.size("experts").cast("bigint").alias("experts"), F.array_join(F.transform("experts", text), ",").alias("ids"))
 
 
 @query(f"with {O_} select row_number() over (order by symbol) as run_id, 'run ' || row_number() over (order by symbol) || ' on ' || symbol || ': ' || count(*) || ' bars from ' || strftime(min(ts), '%Y-%m-%d') as description from bars group by symbol")
