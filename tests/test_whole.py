@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import itertools
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -86,3 +88,31 @@ def test_items_are_picked_from_buckets(spark):
     assert sorted(map(tuple, rows.collect())) == sorted(want.items()) and len(want) == 300
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert not any("Window" in x and "id#" in x and "[_b#" not in x for x in plan.splitlines())  # no window over all ids
+
+
+def test_accounts_outgrow_a_bigint(spark):
+    bars = [("a", dt.datetime(2020, 1, 1) + dt.timedelta(i), 1e5 + i, 3.0, 4.0, 2.0, 3.5) for i in range(12)]
+    rows = spark.createDataFrame(bars, "symbol string, ts timestamp_ntz, gain double, open double, high double, low double, close double")
+    got = Q.T.discretionary_sized(rows, 1e6, 0.01).orderBy("ts").collect()
+    value, sizes = 1e6, []
+    for r, (_, _, gain, start, *_) in zip(got, bars, strict=True):
+        sizes.append(int(value / start))
+        assert r["size"] == sizes[-1] and r["value_before"] == pytest.approx(value, rel=1e-12)
+        value += (start + gain - start) * 0.01 * sizes[-1]
+        assert r["value_after"] == pytest.approx(value, rel=1e-12)
+    assert sizes[0] == 333333 and sizes[-1] > 2**63
+
+
+def test_sized_trades_of_a_long_log_go_on(spark):
+    """The SQL of discretionary_sized on more bars than its bigint holds out for, with sizes as doubles instead."""
+    path = "/root/testdata/sf0.1"
+    con = duckdb.connect()
+    con.sql(f"create view orders as select * from read_parquet('{path}/orders.parquet')")
+    text = Q.SQL["discretionary_sized"].replace(")::bigint,", ")::double,").replace(")::bigint as size", ")::double as size")
+    want = {(s, ts): (size, value) for s, ts, size, value in con.sql(f"select symbol, ts, size, value_after from ({text})").fetchall()}
+    got = {(r["symbol"], r["ts"]): r for r in Q.QUERIES["discretionary_sized"](spark, path).collect()}
+    assert got.keys() == want.keys() and len(want) == 5 * 2405
+    for key, (size, value) in want.items():
+        assert got[key]["value_after"] == pytest.approx(value, rel=1e-9)
+        assert got[key]["size"] is None if size >= 2**63 else got[key]["size"] == pytest.approx(size, rel=1e-9, abs=1)
+    assert any(r["size"] is None for r in got.values())

@@ -6,6 +6,7 @@ depend on their own result (integer shares, average cost) run per key in pandas.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -315,7 +316,8 @@ def discretionary_sized(rows: DataFrame, initial: float, margin: float, gains: b
     A gain goes with the bar's colour and leaves at the open plus the gain, or at the close (fix_slippage); a loss goes
     against it and leaves at its stop, the open less the loss. Gains or losses that are left out, and a gain of null, are
     recorded flat at the open. A trade has value // open shares (or // price), each times margin; the whole number depends on
-    the value, so that one fold a symbol streams through its rows and holds that value only.
+    the value, so that one fold a symbol streams through its rows and holds that value only. size is a double, which holds
+    every whole number that a quotient of doubles is cut to; accounts that compound outgrow a bigint.
     """
     won, green = F.col("gain") >= 0, S.is_green()
     taken = F.coalesce(F.when(won, F.lit(gains)).otherwise((F.col("gain") < 0) & F.lit(losses)), F.lit(False))
@@ -336,13 +338,14 @@ def discretionary_sized(rows: DataFrame, initial: float, margin: float, gains: b
             for s, gain, cost in zip(batch["symbol"], batch["each"], batch["price"], strict=True):
                 if s != symbol:
                     symbol, value = s, initial
-                sizes.append(int(value / cost) if cost else 0)
+                size = value / cost if cost else 0.0
+                sizes.append(float(int(size)) if math.isfinite(size) else size)
                 before.append(value)
                 value += gain * sizes[-1]
                 after.append(value)
             yield batch[columns].assign(size=sizes, profit=[b - a for a, b in zip(before, after, strict=True)], value_before=before, value_after=after)
 
-    return dealt.mapInPandas(fold, "symbol string, ts timestamp_ntz, side string, entry double, stop double, exit double, unstopped_exit double, size bigint, profit double, value_before double, value_after double")
+    return dealt.mapInPandas(fold, "symbol string, ts timestamp_ntz, side string, entry double, stop double, exit double, unstopped_exit double, size double, profit double, value_before double, value_after double")
 
 
 def trades_on_calendar(bars: DataFrame, trades: DataFrame, unstopped: bool = False) -> DataFrame:

@@ -681,12 +681,13 @@ def sized_sql(gains: bool, losses: bool, slippage: bool, price: str) -> str:
 def sized(spark: SparkSession, sf_dir: str, *switches: bool, price: float | None = None) -> DataFrame:
     """A log whose gain is what the next close lies above the open; a margin of a hundredth keeps accounts within bounds.
 
-    Prices are whole cents, so values are whole multiples of 0.0001 and none lies on a tie of that rounding.
+    Prices are whole cents, so values are whole multiples of 0.0001 and none lies on a tie of that rounding. Long logs outgrow
+    a bigint's numbers of shares, and SQL's cast fails there; such a size is null here, and the values go on.
     """
     gain = F.lead("close").over(W.line()) - F.col("open")
     log = halo(orders(spark, sf_dir), 0, ROWS, lambda d: d.withColumn("gain", gain), 1)
     rows = T.discretionary_sized(log, 1e6, 0.01, *switches, price=price)
-    return rows.select("symbol", "ts", "side", F.round("exit", 4).alias("exit"), F.round("stop", 4).alias("stop"), "size", F.round("value_after", 4).alias("value_after"))
+    return rows.select("symbol", "ts", "side", F.round("exit", 4).alias("exit"), F.round("stop", 4).alias("stop"), F.col("size").try_cast("bigint").alias("size"), F.round("value_after", 4).alias("value_after"))
 
 
 @query(sized_sql(True, True, False, "open"))
