@@ -8,6 +8,7 @@ import itertools
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.plans import queries as Q
 
@@ -135,3 +136,14 @@ def test_candidates_alike_share_a_fit(spark, monkeypatch):
     for i, r in got.items():
         assert r["fit"] == i % 6 and scores[i] == scores[i % 6]
         assert np.allclose(np.array(r["weights"]), alone[i % 6]["weights"]) and np.allclose(np.array(r["centers"]), alone[i % 6]["centers"])
+
+
+def test_work_of_candidate_training_ends_with_its_settings(spark, monkeypatch):
+    """More suppliers of the same thirty settings: as many fits, and as many fitted candidates meet the rows."""
+    met, slices, table = [], Q.M.over_slices, Q.table
+    monkeypatch.setattr(Q.M, "over_slices", lambda own, *rest: met.append(own.count()) or slices(own, *rest))
+    more = spark.range(1, 301).select(F.col("id").alias("s_suppkey"))
+    monkeypatch.setattr(Q, "table", lambda spark, sf_dir, name: more if name == "supplier" else table(spark, sf_dir, name))
+    got = {r["candidate"]: r["fitness"] for r in Q.QUERIES["candidate_training"](spark, SF).collect()}
+    assert met == [30] and got.keys() == set(range(1, 301))
+    assert all(f == got[(i - 1) % 30 + 1] for i, f in got.items())
