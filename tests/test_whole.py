@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import itertools
+import os
 
 import duckdb
 import numpy as np
@@ -11,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.plans import queries as Q
+from tidemark.streaming import ops
 
 SF = "/root/testdata/sf0.001"
 
@@ -147,3 +149,33 @@ def test_work_of_candidate_training_ends_with_its_settings(spark, monkeypatch):
     got = {r["candidate"]: r["fitness"] for r in Q.QUERIES["candidate_training"](spark, SF).collect()}
     assert met == [30] and got.keys() == set(range(1, 301))
     assert all(f == got[(i - 1) % 30 + 1] for i, f in got.items())
+
+
+def test_accounts_of_a_stream_share_buckets(spark, tmp_path):
+    """Forty accounts, one without a name, in three buckets over two triggers: rows as in one batch, and three states, not forty."""
+    rng = np.random.default_rng(3)
+    orders = [(f"a{i % 40}" if i % 40 else None, "xyz"[rng.integers(3)], i, ("buy", "sell", "short", "cover")[rng.integers(4)], int(rng.integers(1, 9)), float(rng.integers(1, 50))) for i in range(2000)]
+    schema = "account string, symbol string, seq long, action string, shares long, price double"
+    for part in (orders[:1000], orders[1000:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/orders")
+    first = min((p for p in (tmp_path / "orders").glob("part-*")), key=lambda p: spark.read.parquet(str(p)).agg(F.min("seq")).first()[0])
+    os.utime(first, (1, 1))  # files are taken by age
+    rows = ops.stream_ledger(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/orders"), 300.0, 4.0, 1.0, 3)
+    run = rows.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    done = [p for p in run.recentProgress if p["numInputRows"]]
+    assert len(done) == 2 and done[-1]["stateOperators"][0]["numRowsTotal"] == 3
+    got = {r["seq"]: tuple(r) for r in spark.read.schema(rows.schema).parquet(f"{tmp_path}/out").collect()}
+    want = {r["seq"]: tuple(r) for r in Q.T.position_ledger(spark.createDataFrame(orders, schema), 300.0, 4.0, 1.0).collect()}
+    assert got == want and len(want) == 2000
+    held, equity = {}, 300.0  # an account by hand, as far as it may go
+    for seq, (account, symbol, _, action, shares, price) in enumerate(orders):
+        if account != "a7":
+            continue
+        n, average = held.get(symbol, (0, 0.0))
+        sign, invested = 1 if action in ("buy", "sell") else -1, sum(abs(k) * c for k, c in held.values())
+        if n * sign >= 0 and action in ("buy", "short") and shares * price <= (equity - 1) * 4 - invested:
+            held[symbol], equity = (n + sign * shares, (abs(n) * average + shares * price) / (abs(n) + shares)), equity - 1
+        elif n * sign > 0 and action in ("sell", "cover") and shares <= abs(n):
+            held[symbol], equity = (n - sign * shares, average if abs(n) > shares else 0.0), equity + sign * shares * (price - average) - 1
+        assert got[seq][9] == pytest.approx(equity) and got[seq][10] == pytest.approx(sum(abs(k) * c for k, c in held.values()))

@@ -7,8 +7,9 @@ depend on their own result (integer shares, average cost) run per key in pandas.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -219,17 +220,21 @@ def whole_share_backtest(df: DataFrame, prediction: str, initial: float, margin:
 
 
 LEDGER = "account string, symbol string, seq bigint, action string, shares bigint, price double, position bigint, avg_cost double, realised double, equity double, invested double, buying_power double, error string"
+LEDGER_ORDER = ["account", "symbol", "seq", "action", "shares", "price"]
+LEDGER_STATE = {"position": "int64", "avg_cost": "float64", "realised": "float64", "equity": "float64", "invested": "float64", "buying_power": "float64", "error": "object"}
 
 
 class Ledger:
     """Positions of one account: average cost, realised profit, equity, invested money and buying power."""
 
-    def __init__(self, initial: float, margin: float, cost: float):
-        self.equity, self.margin, self.cost, self.positions = initial, margin, cost, {}
+    def __init__(self, initial: float, margin: float, cost: float, positions: dict[str, tuple[int, float]] | None = None):
+        self.equity, self.margin, self.cost, self.positions, self.invested = initial, margin, cost, {}, 0.0
+        for symbol, own in (positions or {}).items():
+            self.hold(symbol, *own)
 
-    @property
-    def invested(self) -> float:
-        return sum(abs(n) * c for n, c in self.positions.values())
+    def hold(self, symbol: str, shares: int, average: float) -> None:
+        self.positions[symbol] = (shares, average)
+        self.invested = sum([abs(n) * c for n, c in self.positions.values()])
 
     @property
     def power(self) -> float:
@@ -246,23 +251,31 @@ class Ledger:
         if action in ("buy", "short"):
             if shares * price > (self.equity - self.cost) * self.margin - self.invested:
                 return 0.0, "Insufficient buying power"
-            self.positions[symbol] = (held + sign * shares, (abs(held) * average + shares * price) / (abs(held) + shares))
+            self.hold(symbol, held + sign * shares, (abs(held) * average + shares * price) / (abs(held) + shares))
             self.equity -= self.cost
             return 0.0, None
         if shares > abs(held):
             return 0.0, "More than the position"
         profit = sign * shares * (price - average)
         left = held - sign * shares
-        self.positions[symbol] = (left, average if left else 0.0)
+        self.hold(symbol, left, average if left else 0.0)
         self.equity += profit - self.cost
         return profit, None
 
 
-def ledger_rows(ledger: Ledger, orders: Iterable) -> Iterator[tuple]:
-    for o in orders:
-        profit, error = ledger.act(o.symbol, o.action, int(o.shares), float(o.price))
-        held, average = ledger.positions.get(o.symbol, (0, 0.0))
-        yield (o.account, o.symbol, o.seq, o.action, o.shares, o.price, held, average, profit, ledger.equity, ledger.invested, ledger.power, error)
+def ledger_rows(orders: pd.DataFrame, turn: Callable[[str], Ledger], account: str | None = None, ledger: Ledger | None = None) -> tuple[pd.DataFrame, str | None, Ledger | None]:
+    """Orders that lie by account with the state after each, and the last account with its ledger, which the next may go on with.
+
+    turn: gives the ledger of an account whose orders begin.
+    """
+    out, values = [], [orders[c].tolist() for c in ("account", "symbol", "action", "shares", "price")]
+    for own, symbol, action, shares, price in zip(*values, strict=True):
+        if ledger is None or own != account:
+            account, ledger = own, turn(own)
+        profit, error = ledger.act(symbol, action, int(shares), float(price))
+        out.append((*ledger.positions.get(symbol, (0, 0.0)), profit, ledger.equity, ledger.invested, ledger.power, error))
+    columns = zip(*out, strict=True) if out else [()] * len(LEDGER_STATE)
+    return orders[LEDGER_ORDER].assign(**{n: np.array(v, kind) for (n, kind), v in zip(LEDGER_STATE.items(), columns, strict=True)}), account, ledger
 
 
 def position_ledger(orders: DataFrame, initial: float, margin: float, cost: float) -> DataFrame:
@@ -270,19 +283,14 @@ def position_ledger(orders: DataFrame, initial: float, margin: float, cost: floa
 
     Accounts are independent; the orders of one stream through in order of seq and only its positions are held.
     """
-    names = [c.split()[0] for c in LEDGER.split(", ")]
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         account, ledger = None, None
         for batch in batches:
-            out = []
-            for own, rows in batch.groupby("account", sort=False):
-                if own != account:
-                    account, ledger = own, Ledger(initial, margin, cost)
-                out += ledger_rows(ledger, rows.itertuples(index=False))
-            yield pd.DataFrame(out, columns=names)
+            rows, account, ledger = ledger_rows(batch, lambda _: Ledger(initial, margin, cost), account, ledger)
+            yield rows
 
-    rows = orders.select("account", "symbol", "seq", "action", "shares", "price").repartition("account").sortWithinPartitions("account", "seq")
+    rows = orders.select(*LEDGER_ORDER).repartition("account").sortWithinPartitions("account", "seq")
     return rows.mapInPandas(fold, LEDGER)
 
 

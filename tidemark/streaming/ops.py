@@ -1,6 +1,6 @@
 """Structured Streaming twins: bars, running means and averages, routing, progress, ledgers.
 
-State is one record a key in the state store: the last values a window needs, the last average, or an account's positions.
+State is one record a key in the state store: the last values a window needs, the last average, or the ledgers of a bucket of accounts.
 Rows of a series that come in a later batch than one after them in order of (ts, id) are counted as late and change nothing;
 rows of one batch are never late to each other.
 """
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tidemark.operators.trading import LEDGER, Ledger, ledger_rows
+from tidemark.operators.trading import LEDGER, LEDGER_ORDER, Ledger, ledger_rows
 from tidemark.sources.bars import Handler, dispatched
 from tidemark.sources.sinks import store_append
 
@@ -150,19 +150,20 @@ def route(messages: DataFrame, text: str, handlers: list[Handler], path: str, ch
     return messages.writeStream.foreachBatch(deliver).option("checkpointLocation", checkpoint)
 
 
-def stream_ledger(orders: DataFrame, initial: float, margin: float, cost: float) -> DataFrame:
-    """operators.trading.position_ledger on a stream of orders, in order of seq within a batch; an account's state is its ledger."""
-    names = [c.split()[0] for c in LEDGER.split(", ")]
+def stream_ledger(orders: DataFrame, initial: float, margin: float, cost: float, buckets: int = 4096) -> DataFrame:
+    """operators.trading.position_ledger on a stream of orders, in order of seq within a batch; state is the accounts' ledgers.
+
+    Accounts go through Python, and are kept, by bucket of their hash, as calls by account cost more than their orders.
+    A trigger's orders of a bucket are held at once.
+    """
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ledger = Ledger(initial, margin, cost)
-        if state.exists:
-            ledger.equity, held = json.loads(state.get[0])
-            ledger.positions = {s: (n, c) for s, n, c in held}
-        rows = pd.concat(list(batches)).sort_values("seq", kind="stable")
-        out = list(ledger_rows(ledger, rows.itertuples(index=False)))
-        state.update((json.dumps((ledger.equity, [(s, n, c) for s, (n, c) in ledger.positions.items()])),))
-        yield pd.DataFrame(out, columns=names)
-
-    keyed = orders.select("account", "symbol", "seq", "action", "shares", "price").groupBy("account")
+        ledgers = {account: Ledger(equity, margin, cost, {s: (n, c) for s, n, c in held}) for account, equity, held in json.loads(state.get[0])} if state.exists else {}
+        rows = pd.concat(list(batches)).sort_values("seq", kind="stable").sort_values("account", kind="stable")
+        out, _, _ = ledger_rows(rows, lambda account: ledgers.setdefault(account, Ledger(initial, margin, cost)))
+        state.update((json.dumps([(a, o.equity, [(s, n, c) for s, (n, c) in o.positions.items()]) for a, o in ledgers.items()]),))
+        for start in range(0, len(out), 65536):
+            yield out.iloc[start : start + 65536]
+
+    keyed = orders.select(*LEDGER_ORDER, F.pmod(F.xxhash64("account"), F.lit(buckets)).alias("bucket")).groupBy("bucket")
     return keyed.applyInPandasWithState(fold, LEDGER, "state string", "append", GroupStateTimeout.NoTimeout)
