@@ -151,6 +151,24 @@ def test_work_of_candidate_training_ends_with_its_settings(spark, monkeypatch):
     assert all(f == got[(i - 1) % 30 + 1] for i, f in got.items())
 
 
+def test_shuffles_of_candidates_follow_the_rows_not_their_product(spark, monkeypatch):
+    """Ten times the suppliers, same vectors: the bytes shuffled by both queries hardly grow (by chunks of 256 they grew as suppliers)."""
+    table, moved = Q.table, {}
+
+    def shuffled() -> int:
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        return sum(e.totalShuffleWrite() for e in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jsc.sc().statusStore().executorList(True)))
+
+    for name, n in itertools.product(("candidate_training", "tailored_training"), (300, 3000)):
+        more = spark.range(1, n + 1).select(F.col("id").alias("s_suppkey"))
+        monkeypatch.setattr(Q, "table", lambda spark, sf_dir, which, more=more: more if which == "supplier" else table(spark, sf_dir, which))
+        before = shuffled()
+        assert Q.QUERIES[name](spark, SF).count() == n
+        moved[name, n] = shuffled() - before
+    for name in ("candidate_training", "tailored_training"):
+        assert 0 < moved[name, 3000] < 2 * moved[name, 300], moved
+
+
 def test_accounts_of_a_stream_share_buckets(spark, tmp_path):
     """Forty accounts, one without a name, in three buckets over two triggers: rows as in one batch, and three states, not forty."""
     rng = np.random.default_rng(3)
